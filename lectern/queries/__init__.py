@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rendering",)
+MODULES = ("rendering", "merging")
 
 
 def load_all():
