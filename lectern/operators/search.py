@@ -107,16 +107,21 @@ def _grid(vectors: DataFrame, queries: DataFrame, n_queries: int, k: int, decima
             .applyInPandas(one_cell, out))
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | None = None,
-         doc_id: str = "doc_id", vector: str = "embedding", query_id: str = "query_id",
-         query_vector: str = "embedding", decimals: int = RANK_DECIMALS,
-         max_queries: int = MAX_QUERIES, cell_rows: int = CELL_ROWS) -> DataFrame:
+def topk(vectors: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
     """``(query_id, rank, doc_id, score)`` of the k best vectors per query.
 
     ``where`` applies before the search, so a selective condition still fills
     its k rows. Scores are rounded to ``decimals`` before ranking and ties go
     by ``doc_id``, which makes the result independent of partitioning.
     """
+    return _topk(vectors, queries, k, **options)[0]
+
+
+def _topk(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | None = None,
+          doc_id: str = "doc_id", vector: str = "embedding", query_id: str = "query_id",
+          query_vector: str = "embedding", decimals: int = RANK_DECIMALS,
+          max_queries: int = MAX_QUERIES, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, int | None]:
+    """The hits and a bound of their number, None when the query set is large."""
     pool = vectors if where is None else vectors.where(where)
     pool = pool.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("vec"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qvec"))
@@ -125,11 +130,13 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | None
                         T.StructField("score", T.DoubleType())])
     head = asked.limit(max_queries + 1).toArrow()
     head = head.filter(head.column(1).is_valid()) if head.num_rows <= max_queries else head
+    bound: int | None = head.num_rows * k
     if head.num_rows > max_queries:
+        bound = None
         candidates = _grid(pool, asked, asked.count(), k, decimals, out, max_queries, cell_rows)
     elif head.num_rows == 0:
         return pool.sparkSession.createDataFrame([], out).select(
-            "query_id", F.lit(0).alias("rank"), "doc_id", "score")
+            "query_id", F.lit(0).alias("rank"), "doc_id", "score"), 0
     else:
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -138,7 +145,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | None
         candidates = pool.mapInArrow(_scan(ids, matrix, k, decimals, to_arrow_schema(out)), out)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "doc_id", "score")
+    return ranked.select("query_id", "rank", "doc_id", "score"), bound
 
 
 def attach(hits: DataFrame, collection: DataFrame, columns: list[str],
@@ -168,3 +175,16 @@ def hits_per_query(hits: DataFrame, *columns: str) -> DataFrame:
     """One row per query with its ranked (document, score) list; at most k entries each."""
     entry = F.struct("rank", "doc_id", "score", *columns)
     return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
+
+
+def search(collection: DataFrame, questions: DataFrame, k: int, *, where: Column | None = None,
+           columns: tuple[str, ...] = ("doc_label", "source_db", "source_table", "text")) -> DataFrame:
+    """Top-k hits of questions (``query_id, question, embedding``) with their documents.
+
+    Hits known to be few go to the collection, whose texts are then neither
+    shuffled nor collected.
+    """
+    hits, bound = _topk(collection, questions, k, where=where)
+    found = attach(hits, collection, list(columns), bound)
+    named = questions.select("query_id", "question")
+    return found.join(F.broadcast(named) if bound is not None else named, "query_id")

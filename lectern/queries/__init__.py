@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rendering", "merging")
+MODULES = ("rendering", "merging", "searching")
 
 
 def load_all():
