@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lectern.functions import text as X
+from lectern.operators.skew import skewed_join
 
 CHUNK_MARK = ".chunk_"
 
 
-def active_children(child: DataFrame, parent: DataFrame, on: Column, child_selected: Column,
+def active_children(child: DataFrame, parent: DataFrame, on: Sequence[str], child_selected: Column,
                     parent_active: Column) -> DataFrame:
     """Selected children of active parents."""
-    return child.where(child_selected).join(parent.where(parent_active), on, "inner")
+    return skewed_join(child.where(child_selected), parent.where(parent_active), on)
 
 
 def deselect(df: DataFrame, exclusions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(exclusions.select(*keys).distinct(), list(keys), "left_anti")
+    return skewed_join(df, exclusions.select(*keys).distinct(), keys, "left_anti")
 
 
 def stale_documents(collection: DataFrame, source: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -72,8 +73,6 @@ def enrich_first_chunk(hits: DataFrame, collection: DataFrame, columns: Sequence
     added = chunks.join(F.broadcast(wanted) if small else wanted, "doc_id")
     both = (hits.withColumn("added", F.lit(False))
             .unionByName(added.withColumn("added", F.lit(True)), allowMissingColumns=True))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "added"))
     return both.withColumn("position", place)
 
@@ -89,7 +88,7 @@ def resolve_paths(refs: DataFrame, listing: DataFrame, path: str = "path",
     places = distinct.select(path, F.explode(X.path_candidates(F.col(path), prefixes)).alias("c")).select(path, "c.*")
     files = listing.select(F.col("path").alias("candidate")).distinct()
     found = places.join(files, "candidate").groupBy(path).agg(F.min_by("candidate", "prio").alias("resolved_path"))
-    return refs.join(found, path, "left")
+    return skewed_join(refs, found, [path], "left")
 
 
 def file_path_for_doc(ids: DataFrame, collection: DataFrame, file_path: Column) -> DataFrame:

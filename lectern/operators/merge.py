@@ -12,6 +12,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lectern.operators.skew import skewed_join
+
+SMALL_KEYS = 1_000_000
+
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int = 1,
                   rank: str | None = None) -> DataFrame:
@@ -42,11 +46,30 @@ def live(log: DataFrame, key: str, order: Sequence[str], deleted: Column) -> Dat
     return latest.where(~F.coalesce(deleted, F.lit(False)))
 
 
+def apply_changes(current: DataFrame, changes: DataFrame, key: str = "doc_id",
+                  small_keys: int = SMALL_KEYS) -> DataFrame:
+    """A collection with one row per key after a log of ``(..., version, batch, deleted)``.
+
+    The newest version wins, the later batch among equal versions. Only rows
+    whose key occurs in the log are compared and shuffled; where the log has
+    few keys, they go to the collection, so that its other rows are only scanned.
+    """
+    keys = changes.select(key).distinct()
+    if keys.limit(small_keys + 1).count() <= small_keys:
+        keys = F.broadcast(keys)
+    untouched = current.join(keys, key, "left_anti")
+    touched = current.join(keys, key, "left_semi")
+    rows = (touched.withColumn("batch", F.lit(-1).cast("bigint")).withColumn("deleted", F.lit(False))
+            .unionByName(changes))
+    newest = top_per_group(rows, [key], [F.col("version").desc_nulls_last(), F.desc("batch")])
+    return untouched.unionByName(newest.where("NOT deleted").drop("batch", "deleted"))
+
+
 def precedence_merge(sources: Sequence[DataFrame], keys: Sequence[str], group: Sequence[str]) -> DataFrame:
     """Earlier sources win per key; the last one adds only groups no earlier source knows."""
     *first, fallback = sources
     known = reduce(DataFrame.unionByName, [s.withColumn("_tier", F.lit(i)) for i, s in enumerate(first)])
-    fresh = fallback.join(known.select(*group).distinct(), list(group), "left_anti")
+    fresh = skewed_join(fallback, known.select(*group).distinct(), group, "left_anti")
     tiers = known.unionByName(fresh.withColumn("_tier", F.lit(len(first))))
     return top_per_group(tiers, keys, ["_tier"]).drop("_tier")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rendering", "merging", "searching")
+MODULES = ("rendering", "merging", "searching", "syncing", "profiling")
 
 
 def load_all():

@@ -23,7 +23,8 @@ TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "li
        "WHERE c_acctbal > 0 AND o_orderstatus = 'O'")
 def active_children(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    return J.active_children(o, c, F.col("o_custkey") == F.col("c_custkey"), F.col("o_orderstatus") == "O",
+    children = o.withColumn("c_custkey", F.col("o_custkey"))
+    return J.active_children(children, c, ["c_custkey"], F.col("o_orderstatus") == "O",
                              F.col("c_acctbal") > 0).select("o_orderkey", "c_custkey", "c_name")
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import csv
+import io
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.config import TableConfig
 from lectern.functions import text as X
 from lectern.operators import documents as D
+from lectern.operators.joins import resolve_paths
+from lectern.operators.skew import skewed_join
 
 
 def file_refs(df: DataFrame, cfg: TableConfig) -> DataFrame:
@@ -34,3 +40,147 @@ def file_refs(df: DataFrame, cfg: TableConfig) -> DataFrame:
         .where(F.col("path") != "")
         .withColumn("parent_id", F.concat_ws(".", "table_key", "row_id"))
     )
+
+
+# ---- extraction --------------------------------------------------------------
+
+
+def _csv_text(content: bytes) -> str:
+    """Cells joined by `` | ``, rows by a line break; always comma-separated."""
+    lines = []
+    try:
+        for row in csv.reader(io.StringIO(content.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))):
+            lines.append(" | ".join(row))
+    except csv.Error:  # keep the rows read so far
+        pass
+    return "\n".join(lines)
+
+
+def _plain_text(content: Column) -> Column:
+    return F.regexp_replace(X.decode_bytes(content), "\r\n?", "\n")
+
+
+def _html_text(content: Column) -> Column:
+    return X.html_to_text(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n"))
+
+
+class Extractors:
+    """Text extractors by file extension.
+
+    ``native`` ones map a binary Column to a text Column. ``python`` ones map
+    the bytes of one file to its text and run as an Arrow UDF on the files of
+    their extensions only; an error there is kept with the file.
+    """
+
+    def __init__(self) -> None:
+        self._native: dict[str, Callable[[Column], Column]] = {}
+        self._python: dict[str, Callable[[bytes], str]] = {}
+        self.register_native(("txt", "text", "log", "md", "rst"), _plain_text)
+        self.register_native(("html", "htm"), _html_text)
+        self.register_python(("csv", "tsv"), _csv_text)
+
+    def register_native(self, extensions: Sequence[str], fn: Callable[[Column], Column]) -> None:
+        for e in extensions:
+            self._native[e.lower().lstrip(".")] = fn
+
+    def register_python(self, extensions: Sequence[str], fn: Callable[[bytes], str]) -> None:
+        for e in extensions:
+            self._python[e.lower().lstrip(".")] = fn
+
+    def supported(self) -> list[str]:
+        return sorted({*self._native, *self._python})
+
+    def extract(self, df: DataFrame, content: str = "content", extension: str = "extension") -> DataFrame:
+        """Adds ``text`` (NULL when blank or not extractable) and ``error``."""
+        ext = F.col(extension)
+        by_function: dict[Callable, list[str]] = {}
+        for e, fn in self._native.items():
+            by_function.setdefault(fn, []).append(e)
+        text = F.lit(None).cast("string")
+        for fn, extensions in by_function.items():
+            text = F.when(ext.isin(extensions), fn(F.col(content))).otherwise(text)
+        out = df.withColumn("_native", text)
+        if self._python:
+            functions = dict(self._python)
+
+            @F.pandas_udf("text string, error string")
+            def run(contents: pd.Series, extensions: pd.Series) -> pd.DataFrame:
+                texts, errors = [], []
+                for data, e in zip(contents, extensions):
+                    done, failure = None, None
+                    if data is not None:
+                        try:
+                            done = functions[e](data)
+                        except Exception as exc:
+                            failure = f"{type(exc).__name__}: {exc}"
+                    texts.append(done)
+                    errors.append(failure)
+                return pd.DataFrame({"text": texts, "error": errors}, dtype="object")
+
+            own = F.when(ext.isin(list(functions)), F.col(content))
+            out = out.withColumn("_python", run(own, ext))
+        else:
+            out = out.withColumn("_python", F.lit(None).cast("struct<text:string,error:string>"))
+        stripped = X.strip(F.coalesce("_native", "_python.text"))
+        return (out.withColumn("text", F.when(stripped != "", stripped)).withColumn("error", F.col("_python.error"))
+                .drop("_native", "_python"))
+
+
+# ---- files -------------------------------------------------------------------
+
+
+def scan_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files below a folder as ``(path, length, content)``; the content is read only when used."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", "content")
+
+
+def extract_refs(refs: DataFrame, files: DataFrame, extractors: Extractors | None = None,
+                 prefixes: Sequence[str] = X.UPLOAD_PREFIXES) -> DataFrame:
+    """File references with ``resolved_path``, ``extension``, ``text`` and ``error``.
+
+    A file named by many rows is read and extracted once.
+    """
+    placed = resolve_paths(refs, files.select("path"), prefixes=prefixes)
+    typed = placed.withColumn("extension", X.file_extension(F.col("resolved_path"), F.col("file_type")))
+    wanted = typed.where(F.col("resolved_path").isNotNull()).select("resolved_path", "extension").distinct()
+    read = wanted.join(files.select(F.col("path").alias("resolved_path"), "content"), "resolved_path")
+    done = (extractors or Extractors()).extract(read).drop("content")
+    return skewed_join(typed, done, ["resolved_path", "extension"], "left")
+
+
+def file_results(extracted: DataFrame) -> DataFrame:
+    """One result row per reference: extracted or not, text length, error."""
+    return extracted.select(
+        "table_key", "row_id", "path", F.col("text").isNotNull().alias("extracted"),
+        F.coalesce(F.length("text"), F.lit(0)).alias("text_length"), "error")
+
+
+def csv_rows_as_documents(df: DataFrame) -> DataFrame:
+    """One text per CSV row: ``column: value`` lines."""
+    lines = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c), F.lit(""))) for c in df.columns]
+    return df.withColumn("text", F.concat_ws("\n", *lines))
+
+
+def write_files(df: DataFrame, root: str, name: str, content: str) -> DataFrame:
+    """One file per row, ``(path, length)`` of the files written.
+
+    Writes through the file system of the folder's URI from the tasks; a
+    repeated task writes the same file again.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            paths, sizes = [], []
+            for file_name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with system.open_output_stream(f"{base}/{file_name}") as out:
+                    out.write(data)
+                paths.append(f"{base}/{file_name}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())],
+                                             names=["path", "length"])
+
+    return df.select(F.col(name), F.col(content)).mapInArrow(run, "path string, length bigint")
