@@ -149,10 +149,14 @@ def path_candidates(path: Column, prefixes: Sequence[str] = UPLOAD_PREFIXES) ->
 def chunk_sliding(c: Column, size: int = 1000, overlap: int = 200) -> Column:
     """Character windows; a last window inside the one before it is left out."""
     step = size - overlap
-    last = F.greatest(F.ceil((F.length(c) - size) / F.lit(step)), F.lit(0))
-    windows = F.transform(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")),
-                          lambda i: c.substr((i * step + 1).cast("int"), F.lit(size)))
-    return F.when(F.length(c) > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(t: Column) -> Column:
+        last = F.greatest(F.ceil((F.length(t) - size) / F.lit(step)), F.lit(0)).cast("bigint")
+        cut = F.transform(F.sequence(F.lit(0).cast("bigint"), last),
+                          lambda i: t.substr((i * step + 1).cast("int"), F.lit(size)))
+        return F.when(F.length(t) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    return let(c, windows)
 
 
 def parse_json_array(c: Column, schema: str) -> Column:

@@ -6,13 +6,15 @@ column table, which has one row per column of the catalog.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from lectern.functions import text as X
 from lectern.operators.documents import SENSITIVE_COLUMNS
+from lectern.sources.tables import widen
 
 # Tables to leave out, type classes and name patterns.
 SKIP_TABLES = (
@@ -32,7 +34,6 @@ VARCHAR_CHARS = 255
 
 CATALOG_SCHEMA = ("table_name string, ordinal int, column_name string, base_type string, nullable boolean, "
                   "declared_key string")
-STATISTICS_SCHEMA = "table_name, ordinal, n_rows, n_nulls, n_distinct, avg_length, max_length"
 
 
 def base_type(dtype: T.DataType) -> str:
@@ -55,43 +56,41 @@ def skipped(table: Column) -> Column:
 def declared_catalog(spark: SparkSession, frames: Mapping[str, DataFrame],
                      keys: Mapping[tuple[str, str], str] | None = None) -> DataFrame:
     """One row per column as declared; sensitive columns and skipped tables left out."""
-    rows = []
-    for name, df in frames.items():
-        for i, f in enumerate(df.schema.fields):
-            if f.name.lower() not in SENSITIVE_COLUMNS:
-                rows.append((name, i, f.name, base_type(f.dataType), f.nullable, (keys or {}).get((name, f.name), "")))
-    return spark.createDataFrame(rows, CATALOG_SCHEMA).where(~skipped(F.col("table_name")))
-
-
-def statistics(df: DataFrame, table: str) -> DataFrame:
-    """Rows, NULLs, approximate distinct values and text lengths per column, in one pass."""
-    measures = [F.count("*").alias("n")]
-    entries = []
-    for i, f in enumerate(df.schema.fields):
-        c = F.col(f"`{f.name}`")
-        length = F.length(c) if isinstance(f.dataType, T.StringType) else F.lit(None).cast("int")
-        measures += [F.count(c).alias(f"v{i}"), F.approx_count_distinct(c).alias(f"d{i}"),
-                     F.avg(length).alias(f"a{i}"), F.max(length).alias(f"m{i}")]
-        entries.append(F.struct(
-            F.lit(i).alias("ordinal"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"v{i}")).alias("n_nulls"),
-            F.col(f"d{i}").alias("n_distinct"), F.col(f"a{i}").alias("avg_length"), F.col(f"m{i}").alias("max_length")))
-    return df.agg(*measures).select(F.lit(table).alias("table_name"), F.explode(F.array(*entries)).alias("s")).select(
-        "table_name", "s.*")
-
-
-def exact_distinct(df: DataFrame, table: str, columns: list[str] | None = None) -> DataFrame:
-    """Exact distinct values per column. Values meet as digests, counted before the shuffle."""
-    wanted = columns if columns is not None else df.columns
-    values = []
+    rows = [
+        (name, i, f.name, base_type(f.dataType), f.nullable, (keys or {}).get((name, f.name), ""))
+        for name, df in frames.items() for i, f in enumerate(df.schema.fields)
+        if f.name.lower() not in SENSITIVE_COLUMNS
+    ]
+    columns = pd.DataFrame(rows, columns=[c.split()[0] for c in CATALOG_SCHEMA.split(", ")])
+    return spark.createDataFrame(columns, CATALOG_SCHEMA).where(~skipped(F.col("table_name")))
+
+
+def _digest(name: str, dtype: T.DataType) -> str:
+    """What stands for a value in an exact count: long and nested values meet as digests."""
+    if isinstance(dtype, T.StringType):
+        return f"if(length({name}) > 32, md5({name}), {name})"
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+        return f"md5(to_json({name}))"
+    return name
+
+
+def statistics(df: DataFrame, table: str, exact: Collection[str] = ()) -> DataFrame:
+    """Rows, NULLs, distinct values and text lengths per column, in one pass.
+
+    Distinct values are approximate but for the columns in ``exact``; their
+    values are made distinct in each task before the shuffle.
+    """
+    measures, entries = ["count(*) AS n"], []
     for i, f in enumerate(df.schema.fields):
-        if f.name in wanted:
-            value = X.as_text(F.col(f"`{f.name}`"), f.dataType)
-            short = F.when(F.length(value) > 32, F.md5(value)).otherwise(value)
-            values.append(F.struct(F.lit(i).alias("ordinal"), short.alias("value")))
-    long = df.select(F.explode(F.array(*values)).alias("x")).select("x.*")
-    return (long.groupBy("ordinal", "value").agg(F.lit(1).alias("one"))
-            .groupBy("ordinal").agg(F.count("value").alias("n_distinct"))
-            .select(F.lit(table).alias("table_name"), "ordinal", "n_distinct"))
+        name = "`" + f.name.replace("`", "``") + "`"
+        length = f"length({name})" if isinstance(f.dataType, T.StringType) else "CAST(NULL AS INT)"
+        distinct = (f"count(DISTINCT {_digest(name, f.dataType)})" if f.name in exact
+                    else f"approx_count_distinct({name})")
+        measures += [f"count({name}) AS v{i}", f"{distinct} AS d{i}", f"avg({length}) AS a{i}", f"max({length}) AS m{i}"]
+        entries.append(f"named_struct('ordinal', {i}, 'n_rows', n, 'n_nulls', n - v{i}, 'n_distinct', d{i}, "
+                       f"'avg_length', a{i}, 'max_length', m{i})")
+    rows = df.selectExpr(*measures).selectExpr(f"inline(array({', '.join(entries)}))")
+    return rows.select(F.lit(table).alias("table_name"), "*")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -100,11 +99,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def profile_statistics(frames: Mapping[str, DataFrame], exact: bool = False) -> DataFrame:
     """Statistics of all columns of all tables."""
-    rough = _union([statistics(df, name) for name, df in frames.items()])
-    if not exact:
-        return rough
-    counted = _union([exact_distinct(df, name) for name, df in frames.items()])
-    return rough.drop("n_distinct").join(counted, ["table_name", "ordinal"])
+    return _union([statistics(widen(df), name, df.columns if exact else ()) for name, df in frames.items()])
 
 
 def catalog(spark: SparkSession, frames: Mapping[str, DataFrame],
@@ -119,13 +114,11 @@ def catalog(spark: SparkSession, frames: Mapping[str, DataFrame],
     declared = declared_catalog(spark, frames, keys)
     kept = {r["table_name"] for r in declared.select("table_name").distinct().collect()}
     used = {name: df for name, df in frames.items() if name in kept}
-    stats = spark.createDataFrame(profile_statistics(used).collect(),
-                                  "table_name string, ordinal int, n_rows bigint, n_nulls bigint, n_distinct bigint, "
-                                  "avg_length double, max_length int")
+    stats = spark.createDataFrame(profile_statistics(used).toArrow())
     columns = declared.join(stats, ["table_name", "ordinal"])
     long = (F.col("base_type") == "varchar") & (F.col("max_length") > VARCHAR_CHARS)
     columns = columns.withColumn("data_type", F.when(long, "text").otherwise(F.col("base_type")))
-    unique = spark.createDataFrame(exact_keys(used, columns).collect(), "table_name string, key_ordinal int")
+    unique = spark.createDataFrame(exact_keys(used, columns).toArrow())
     with_key = columns.join(unique, "table_name", "left")
     declared_pk = F.max(F.col("declared_key") == "PRI").over(Window.partitionBy("table_name"))
     measured = ~declared_pk & (F.col("ordinal") == F.col("key_ordinal"))
@@ -133,7 +126,7 @@ def catalog(spark: SparkSession, frames: Mapping[str, DataFrame],
         "table_name", "ordinal", "column_name", "data_type", "nullable",
         F.when(measured, "PRI").otherwise(F.col("declared_key")).alias("column_key"),
         "n_rows", "n_nulls", "n_distinct", "avg_length")
-    return spark.createDataFrame(done.collect(), done.schema)
+    return spark.createDataFrame(done.toArrow())
 
 
 def exact_keys(frames: Mapping[str, DataFrame], columns: DataFrame) -> DataFrame:
@@ -147,9 +140,12 @@ def exact_keys(frames: Mapping[str, DataFrame], columns: DataFrame) -> DataFrame
     spark = columns.sparkSession
     if not candidates:
         return spark.createDataFrame([], "table_name string, key_ordinal int")
-    counted = _union([exact_distinct(frames[t], t, names) for t, names in candidates.items()])
-    unique = counted.withColumnRenamed("n_distinct", "exact").join(
-        columns.select("table_name", "ordinal", "n_rows"), ["table_name", "ordinal"])
+    counted = _union([
+        statistics(widen(frames[t].select(*names)), t, names).select("table_name", F.col("ordinal").alias("place"),
+                                                                     F.col("n_distinct").alias("exact"))
+        .withColumn("column_name", F.element_at(F.array(*map(F.lit, names)), F.col("place") + 1))
+        for t, names in candidates.items()])
+    unique = counted.join(columns.select("table_name", "column_name", "ordinal", "n_rows"), ["table_name", "column_name"])
     return unique.where(F.col("exact") == F.col("n_rows")).groupBy("table_name").agg(F.min("ordinal").alias("key_ordinal"))
 
 

@@ -13,9 +13,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 MAX_QUERIES = 4096
 CELL_ROWS = 20_000
@@ -90,21 +91,17 @@ def _grid(vectors: DataFrame, queries: DataFrame, n_queries: int, k: int, decima
     right = (queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
              .withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint")))))
 
-    def one_cell(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        v, q = v[v["vec"].notna()], q[q["qvec"].notna()]
-        best = _Best(len(q), k)
-        if len(v) and len(q):
-            matrix = np.stack(q["qvec"].to_list()).astype(np.float64)
-            for start in range(0, len(v), _BLOCK):
-                part = v.iloc[start:start + _BLOCK]
-                scores = matrix @ np.stack(part["vec"].to_list()).astype(np.float64).T
-                best.add(np.round(scores, decimals) + 0.0, part["doc_id"].to_numpy())
-            a, b, c = best.rows(q["query_id"].to_numpy())
-            return pd.DataFrame({"query_id": a, "doc_id": b, "score": c})
-        return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+    schema = to_arrow_schema(out)
+
+    def one_cell(v: pa.Table, q: pa.Table) -> pa.Table:
+        q = q.filter(pc.is_valid(q["qvec"]))
+        if v.num_rows == 0 or q.num_rows == 0:
+            return schema.empty_table()
+        scan = _scan(q["query_id"].to_numpy(), _matrix(q["qvec"].combine_chunks()), k, decimals, schema)
+        return pa.Table.from_batches(scan(v.select(["doc_id", "vec"]).to_batches()), schema)
 
     return (left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell"))
-            .applyInPandas(one_cell, out))
+            .applyInArrow(one_cell, out))
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
@@ -138,8 +135,6 @@ def _topk(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | Non
         return pool.sparkSession.createDataFrame([], out).select(
             "query_id", F.lit(0).alias("rank"), "doc_id", "score"), 0
     else:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         ids = head.column(0).to_numpy(zero_copy_only=False)
         matrix = _matrix(head.column(1).combine_chunks())
         candidates = pool.mapInArrow(_scan(ids, matrix, k, decimals, to_arrow_schema(out)), out)

@@ -14,14 +14,16 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.config import TableConfig
+from lectern.functions.text import UPLOAD_PREFIXES
 from lectern.functions.vectors import embed_hashed
 from lectern.operators import chunks as C
 from lectern.operators.documents import build_documents, drop_sensitive
-from lectern.operators.joins import stale_documents
+from lectern.operators.joins import CHUNK_MARK, stale_documents
 from lectern.operators.merge import top_per_group
 from lectern.operators.predicates import scope
+from lectern.operators.skew import skewed_join
 from lectern.sources.collection import COLUMNS, Collection
-from lectern.sources.files import Extractors, extract_refs, file_refs
+from lectern.sources.files import Extractors, extract_files, file_refs, place_refs
 from lectern.sources.ledger import Ledger
 from lectern.sources.tables import Source, fan_in, scan_changed
 
@@ -129,27 +131,29 @@ class Sync:
 
 
 def file_chunk_documents(refs: DataFrame, files: DataFrame, cfg: TableConfig, extractors: Extractors | None = None,
-                         recursive: bool = True, embed: Embed = embed_hashed, prefixes: Sequence[str] | None = None) -> DataFrame:
+                         recursive: bool = True, embed: Embed = embed_hashed,
+                         prefixes: Sequence[str] = UPLOAD_PREFIXES) -> DataFrame:
     """Chunks of the files a table refers to, as documents ``{parent}.chunk_{i}``.
 
-    References of a second file column carry its name in their key.
+    A file is extracted, cut and embedded once, whatever the number of rows
+    that name it. References of a second file column carry its name in their key.
     """
-    options = {} if prefixes is None else {"prefixes": prefixes}
-    texts = extract_refs(refs, files, extractors, **options).where(F.col("text").isNotNull())
-    keyed = texts.withColumn("doc_id", F.when(F.col("path_no") == 0, F.col("parent_id")).otherwise(
-        F.concat_ws(".", "parent_id", "path_col")))
-    cut = C.chunk_documents(keyed, recursive=recursive)
+    placed = place_refs(refs, files, prefixes)
+    texts = extract_files(placed, files, extractors).where(F.col("text").isNotNull())
+    pieces = C.chunk_documents(texts, parent="resolved_path", recursive=recursive)
+    pieces = pieces.select("resolved_path", "extension", "chunk_index", "total_chunks", F.col("chunk_text").alias("text"))
+    cut = skewed_join(placed, embed_documents(pieces, embed), ["resolved_path", "extension"])
+    parent = F.when(F.col("path_no") == 0, F.col("parent_id")).otherwise(F.concat_ws(".", "parent_id", "path_col"))
     meta = F.create_map(
         F.lit("source_db"), F.lit(cfg.db), F.lit("source_table"), F.lit(cfg.table), F.lit("doc_label"), F.lit(cfg.label),
         F.lit("pk_value"), F.col("row_id"), F.lit("file_path"), F.col("path"), F.lit("file_type"), F.col("file_type"),
         F.lit("chunk_index"), F.col("chunk_index").cast("string"),
         F.lit("total_chunks"), F.col("total_chunks").cast("string"))
-    docs = cut.select(
-        F.col("chunk_id").alias("doc_id"), F.col("parent_id"), "chunk_index", "total_chunks",
+    return cut.select(
+        F.concat(parent, F.lit(CHUNK_MARK), "chunk_index").alias("doc_id"), "parent_id", "chunk_index", "total_chunks",
         F.lit(cfg.db).alias("source_db"), F.lit(cfg.table).alias("source_table"), F.lit(cfg.label).alias("doc_label"),
-        F.col("row_id").alias("pk_value"), F.col("chunk_text").alias("text"), meta.alias("metadata"),
-        F.lit(None).cast("timestamp_ntz").alias("version"))
-    return embed_documents(docs, embed)
+        F.col("row_id").alias("pk_value"), "text", meta.alias("metadata"),
+        F.lit(None).cast("timestamp_ntz").alias("version"), "embedding")
 
 
 def table_file_chunks(df: DataFrame, files: DataFrame, cfg: TableConfig, **options) -> DataFrame:

@@ -9,6 +9,7 @@ from lectern.operators import answers as A, chunks as C, documents as D, joins a
 from lectern.plans import answering as P
 from lectern.queries import testbed as B
 from lectern.queries.registry import query, sql_generic, sql_hits, sql_tokens, sql_vectors, table
+from lectern.session import materialise
 from lectern.sources.tables import widen
 
 # ---- vectors -----------------------------------------------------------------
@@ -287,13 +288,15 @@ UNION ALL SELECT query_id, rank, doc_id, relevant, rewritten FROM g2 WHERE relev
 
 @query("rag_retry", _SQL_RETRY)
 def rag_retry(spark, sf):
-    kept = P.retrieve_graded(collection(spark, sf), questions(spark, sf), 5, RETRY_AT)
+    stored = materialise(collection(spark, sf), "collection")
+    kept = P.retrieve_graded(stored, questions(spark, sf), 5, RETRY_AT)
     return kept.select("query_id", "rank", "doc_id", "relevant", "rewritten")
 
 
 @query("rag_batch")
 def rag_batch(spark, sf):
-    rows = P.answer_questions(collection_with_chunks(spark, sf), questions(spark, sf), 5, grading=True, threshold=0.8)
+    stored = materialise(collection_with_chunks(spark, sf), "collection")
+    rows = P.answer_questions(stored, questions(spark, sf), 5, grading=True, threshold=0.8)
     shown = F.transform("sources", lambda s: F.concat(s["rank"], F.lit(":"), s["doc_id"]))
     return rows.select("query_id", "answer", "has_hits", "grounded", "rewritten", "n_sources",
                        F.array_join(shown, ",").alias("sources"))

@@ -15,6 +15,7 @@ from lectern.functions import text as X
 from lectern.operators import documents as D
 from lectern.operators.joins import resolve_paths
 from lectern.operators.skew import skewed_join
+from lectern.session import materialise
 
 
 def file_refs(df: DataFrame, cfg: TableConfig) -> DataFrame:
@@ -122,7 +123,7 @@ class Extractors:
         else:
             out = out.withColumn("_python", F.lit(None).cast("struct<text:string,error:string>"))
         stripped = X.strip(F.coalesce("_native", "_python.text"))
-        return (out.withColumn("text", F.when(stripped != "", stripped)).withColumn("error", F.col("_python.error"))
+        return (out.withColumn("text", X.let(stripped, lambda t: F.when(t != "", t))).withColumn("error", F.col("_python.error"))
                 .drop("_native", "_python"))
 
 
@@ -135,18 +136,25 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", "content")
 
 
-def extract_refs(refs: DataFrame, files: DataFrame, extractors: Extractors | None = None,
-                 prefixes: Sequence[str] = X.UPLOAD_PREFIXES) -> DataFrame:
-    """File references with ``resolved_path``, ``extension``, ``text`` and ``error``.
-
-    A file named by many rows is read and extracted once.
-    """
+def place_refs(refs: DataFrame, files: DataFrame, prefixes: Sequence[str] = X.UPLOAD_PREFIXES) -> DataFrame:
+    """File references with ``resolved_path`` and ``extension``, written once for the steps that follow."""
     placed = resolve_paths(refs, files.select("path"), prefixes=prefixes)
     typed = placed.withColumn("extension", X.file_extension(F.col("resolved_path"), F.col("file_type")))
-    wanted = typed.where(F.col("resolved_path").isNotNull()).select("resolved_path", "extension").distinct()
-    read = wanted.join(files.select(F.col("path").alias("resolved_path"), "content"), "resolved_path")
-    done = (extractors or Extractors()).extract(read).drop("content")
-    return skewed_join(typed, done, ["resolved_path", "extension"], "left")
+    return materialise(typed, "placed")
+
+
+def extract_files(placed: DataFrame, files: DataFrame, extractors: Extractors | None = None) -> DataFrame:
+    """``(resolved_path, extension, text, error)``; a file named by many rows is read once."""
+    wanted = placed.where(F.col("resolved_path").isNotNull()).select("resolved_path", "extension").distinct()
+    read = files.select(F.col("path").alias("resolved_path"), "content").join(wanted, "resolved_path")
+    return (extractors or Extractors()).extract(read).drop("content")
+
+
+def extract_refs(refs: DataFrame, files: DataFrame, extractors: Extractors | None = None,
+                 prefixes: Sequence[str] = X.UPLOAD_PREFIXES) -> DataFrame:
+    """File references with ``resolved_path``, ``extension``, ``text`` and ``error``."""
+    placed = place_refs(refs, files, prefixes)
+    return skewed_join(placed, extract_files(placed, files, extractors), ["resolved_path", "extension"], "left")
 
 
 def file_results(extracted: DataFrame) -> DataFrame:

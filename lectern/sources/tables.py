@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lectern.config import TableConfig
 from lectern.operators.documents import build_documents, drop_sensitive
@@ -42,14 +42,17 @@ class Jdbc:
 Source = Parquet | Jdbc
 
 
-def widen(df: DataFrame, key: str) -> DataFrame:
+def widen(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan with fewer splits than cores before work that costs CPU per row.
 
     Few splits mean few bytes, so the exchange is small; a large table has
-    more splits than cores and is left alone.
+    more splits than cores and is left alone. Without keys all columns are hashed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return df.repartition(cores, *(keys or hashable))
 
 
 def scan_changed(df: DataFrame, date_column: str, since=None) -> DataFrame:
