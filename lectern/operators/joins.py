@@ -87,19 +87,26 @@ def resolve_paths(refs: DataFrame, listing: DataFrame, path: str = "path",
     distinct = refs.select(path).where(F.col(path).isNotNull()).distinct()
     places = distinct.select(path, F.explode(X.path_candidates(F.col(path), prefixes)).alias("c")).select(path, "c.*")
     files = listing.select(F.col("path").alias("candidate")).distinct()
-    found = places.join(files, "candidate").groupBy(path).agg(F.min_by("candidate", "prio").alias("resolved_path"))
+    found = skewed_join(places, files, ["candidate"]).groupBy(path).agg(F.min_by("candidate", "prio").alias("resolved_path"))
     return skewed_join(refs, found, [path], "left")
 
 
-def file_path_for_doc(ids: DataFrame, collection: DataFrame, file_path: Column) -> DataFrame:
-    """File of each document: its own, else its first chunk's, else its base record's."""
+def file_path_for_doc(ids: DataFrame, collection: DataFrame, file_path: Column, small: bool = False) -> DataFrame:
+    """File of each document: its own, else its first chunk's, else its base record's.
+
+    ``small`` says that ``ids`` is of a proven small size; the collection is
+    then cut down to the rows asked for before anything is shuffled.
+    """
+    named = (ids.withColumn("chunk_id", first_chunk_id(F.col("doc_id")))
+             .withColumn("base_id", F.when(is_chunk(F.col("doc_id")),
+                                           F.split_part("doc_id", F.lit(CHUNK_MARK), F.lit(1)))))
     files = collection.select("doc_id", file_path.alias("file_path")).where(F.coalesce("file_path", F.lit("")) != "")
+    if small:
+        asked = named.select(F.explode(F.array("doc_id", "chunk_id", "base_id")).alias("doc_id"))
+        files = files.join(F.broadcast(asked.distinct()), "doc_id", "left_semi")
     own = files.withColumnRenamed("file_path", "own_path")
     chunk = files.select(F.col("doc_id").alias("chunk_id"), F.col("file_path").alias("chunk_path"))
     base = files.select(F.col("doc_id").alias("base_id"), F.col("file_path").alias("base_path"))
-    named = (ids.withColumn("chunk_id", first_chunk_id(F.col("doc_id")))
-             .withColumn("base_id", F.when(is_chunk(F.col("doc_id")),
-                                           F.split_part("doc_id", F.lit(CHUNK_MARK), F.lit(1)))))
     return (named.join(own, "doc_id", "left").join(chunk, "chunk_id", "left").join(base, "base_id", "left")
             .withColumn("file_path", F.coalesce("own_path", "chunk_path", "base_path"))
             .drop("chunk_id", "base_id", "own_path", "chunk_path", "base_path"))

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.operators.skew import skewed_join
+from lectern.session import materialise
 
 SMALL_KEYS = 1_000_000
 
@@ -26,6 +27,24 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column |
     return out if rank else out.drop(name)
 
 
+def one_per_key(docs: DataFrame, key: str = "doc_id", version: str = "version", then: str = "text",
+                small_keys: int = SMALL_KEYS) -> DataFrame:
+    """Last write per key within one scan.
+
+    Keys are counted first, on the key column alone. Rows whose key occurs
+    once, normally all of them, then pass without a shuffle of their texts;
+    only with very many repeated keys do all rows meet by key.
+    """
+    order = [F.col(version).desc_nulls_last(), F.desc(then)]
+    counted = docs.groupBy(key).agg(F.count("*").alias("_n"))
+    repeated = materialise(counted.where(F.col("_n") > 1).select(key), "repeated")
+    if repeated.limit(small_keys + 1).count() > small_keys:
+        return top_per_group(docs, [key], order)
+    single = docs.join(F.broadcast(repeated), key, "left_anti")
+    several = docs.join(F.broadcast(repeated), key, "left_semi")
+    return single.unionByName(top_per_group(several, [key], order))
+
+
 def union_sources(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -96,7 +115,7 @@ def difference(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Dat
 def overlaps(df: DataFrame, group: Sequence[str], item: str, items: DataFrame) -> DataFrame:
     """Per group: does its set of items meet the given one?"""
     known = items.select(item).distinct().withColumn("_known", F.lit(True))
-    return (df.select(*group, item).distinct().join(known, item, "left")
+    return (skewed_join(df.select(*group, item).distinct(), known, [item], "left")
             .groupBy(*group).agg(F.coalesce(F.bool_or("_known"), F.lit(False)).alias("overlaps")))
 
 

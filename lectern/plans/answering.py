@@ -23,6 +23,7 @@ from lectern.session import materialise
 DEFAULT_TOP_K = 10
 REWRITE_TERMS = 8
 SMALL_TERMS = 200_000
+SMALL_HITS = 100_000
 HIT_COLUMNS = ("doc_label", "source_db", "source_table", "text")
 
 
@@ -86,7 +87,8 @@ def answer_questions(collection: DataFrame, questions: DataFrame, k: int = DEFAU
     else:
         hits = ask(collection, questions, k, models, where).withColumn("rewritten", F.lit(False))
     if enrich:
-        added = enrich_first_chunk(hits, collection, HIT_COLUMNS)
+        hits = materialise(hits, "found")
+        added = enrich_first_chunk(hits, collection, HIT_COLUMNS, small=hits.count() <= SMALL_HITS)
         named = hits.select("query_id", F.col("question").alias("_q"), F.col("rewritten").alias("_r")).distinct()
         hits = (added.join(named, "query_id").withColumn("question", F.coalesce("question", "_q"))
                 .withColumn("rewritten", F.coalesce("rewritten", "_r")).withColumn("rank", F.col("position"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,13 +20,16 @@ from lectern.functions.vectors import embed_hashed
 from lectern.operators import chunks as C
 from lectern.operators.documents import build_documents, drop_sensitive
 from lectern.operators.joins import CHUNK_MARK, stale_documents
-from lectern.operators.merge import top_per_group
+from lectern.operators.merge import one_per_key
 from lectern.operators.predicates import scope
 from lectern.operators.skew import skewed_join
-from lectern.sources.collection import COLUMNS, Collection
+from lectern.sources.collection import COLUMNS, Collection, Snapshot
 from lectern.sources.files import Extractors, extract_files, file_refs, place_refs
 from lectern.sources.ledger import Ledger
-from lectern.sources.tables import Source, fan_in, scan_changed
+from lectern.sources.tables import Source, scan_changed
+
+# Tables whose jobs run side by side in a full build.
+TABLES_AT_ONCE = 3
 
 Embed = Callable[[Column], Column]
 Rows = Callable[[DataFrame, TableConfig], DataFrame]
@@ -39,11 +43,6 @@ def embed_documents(docs: DataFrame, embed: Embed = embed_hashed) -> DataFrame:
     return docs.withColumn("embedding", embed(F.col("text")))
 
 
-def one_per_key(docs: DataFrame) -> DataFrame:
-    """Last write per document id within one scan."""
-    return top_per_group(docs, ["doc_id"], [F.col("version").desc_nulls_last(), F.desc("text")])
-
-
 def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
@@ -69,28 +68,35 @@ class Sync:
     def _documents(self, cfg: TableConfig, rows: Rows, since=None) -> DataFrame:
         table = rows(drop_sensitive(self.source.read(self.spark, cfg.table)), cfg)
         if since is not None:
-            table = scan_changed(table, cfg.date_column, since)
+            table = scan_changed(table, cfg.date_column, since, ordered=False)
         return build_documents(table, cfg)
 
+    def _index_table(self, part: int, rows: Rows, snapshot: Snapshot, before: DataFrame) -> tuple[str | None, float]:
+        """Write one table to a snapshot; its documents so far when it cannot be read."""
+        cfg, start, error = self.configs[part], time.perf_counter(), None
+        try:
+            snapshot.add(embed_documents(one_per_key(self._documents(cfg, rows)), self.embed), part)
+        except Exception as exc:  # one failing table must not stop the others
+            error = str(exc).split("\n")[0]
+            snapshot.add(before.where(scope(cfg.db, cfg.table)), part)
+        return error, round((time.perf_counter() - start) * 1000, 2)
+
     def build(self, rows: Rows = all_rows, mode: str = "full") -> DataFrame:
         """Index all tables into a new snapshot. Rows gone from a table are gone from the snapshot;
         the documents of a table that cannot be read stay as they are."""
-        start = time.perf_counter()
-        docs, errors = fan_in(self.spark, self.source, self.configs, rows)
-        fresh = None if docs is None else embed_documents(one_per_key(docs), self.embed)
-        if errors:
-            kept = self.collection.read().where(F.concat_ws(".", "source_db", "source_table").isin(list(errors)))
-            fresh = kept if fresh is None else fresh.select(*COLUMNS).unionByName(kept.select(*COLUMNS))
-        self.collection.write_snapshot(fresh)
+        before, snapshot = self.collection.read(), self.collection.new_snapshot()
+        with ThreadPoolExecutor(TABLES_AT_ONCE) as tables:
+            runs = list(tables.map(lambda part: self._index_table(part, rows, snapshot, before), range(len(self.configs))))
+        snapshot.finish()
         written = self.collection.read()
         found = written.groupBy(F.concat_ws(".", "source_db", "source_table").alias("k")).agg(
             F.count("*").alias("n"), F.max("version").alias("mark"))
         stats = {r["k"]: (r["n"], r["mark"]) for r in found.collect()}
-        took = round((time.perf_counter() - start) * 1000, 2)
-        self._record(mode, [
-            (c.key, None if c.key in errors else stats.get(c.key, (0, None))[1],
-             0 if c.key in errors else stats.get(c.key, (0, None))[0], errors.get(c.key), took)
-            for c in self.configs])
+        results = []
+        for cfg, (error, took) in zip(self.configs, runs):
+            n, mark = (0, None) if error else stats.get(cfg.key, (0, None))
+            results.append((cfg.key, mark, n, error, took))
+        self._record(mode, results)
         return written
 
     def incremental(self, rows: Rows = all_rows) -> DataFrame:
@@ -102,7 +108,7 @@ class Sync:
             mark, records, error = None, 0, None
             try:
                 docs = self._documents(cfg, rows, marks.get(cfg.key))
-                batch = self.collection.append_changes(embed_documents(docs, self.embed))
+                batch = self.collection.append_changes(docs, embed=self.embed)
                 written = self.collection.changes(batch - 1).where(F.col("batch") == batch)
                 records, mark = written.agg(F.count("*"), F.max("version")).first()
             except Exception as exc:  # one failing table must not stop the others

@@ -244,8 +244,8 @@ FROM (SELECT query_id, rank, doc_id, score, false AS added FROM h UNION ALL SELE
 def enrich_first_chunk(spark, sf):
     parts = collection_with_chunks(spark, sf)
     asked = questions(spark, sf).withColumn("embedding", V.embed_hashed(F.col("question")))
-    hits = S.topk(parts, asked, 5)
-    more = J.enrich_first_chunk(hits, parts, ())
+    hits = materialise(S.topk(parts, asked, 5), "hits")
+    more = J.enrich_first_chunk(hits, parts, (), small=hits.count() <= P.SMALL_HITS)
     return more.select("query_id", "position", "doc_id", "score", "added")
 
 
@@ -255,7 +255,9 @@ def rag_sources(spark, sf):
     docs = collection(spark, sf)
     hits = A.rerank(_hits(spark, sf, 5))
     path = F.when(F.col("metadata")["lang"] == "en", F.concat(F.lit("/data/"), F.col("pk_value"), F.lit(".txt")))
-    paths = J.file_path_for_doc(hits.select("doc_id").distinct(), docs, path)
+    hits = materialise(hits, "hits")
+    few = hits.count() <= P.SMALL_HITS
+    paths = J.file_path_for_doc(hits.select("doc_id").distinct(), docs, path, small=few)
     one = A.source_list(hits, paths).select("query_id", F.explode("sources").alias("s"))
     return one.select("query_id", "s.rank", "s.doc_id", F.round("s.score", 4).alias("score"), "s.rerank_score",
                       F.md5("s.snippet").alias("snippet_md5"), "s.file_link")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import chunks as C, documents as D, rollups as R
-from lectern.plans.sync import Sync, embed_documents, file_chunk_documents, one_per_key
+from lectern.operators.merge import one_per_key
+from lectern.plans.sync import Sync, embed_documents, file_chunk_documents
 from lectern.queries import testbed as B
 from lectern.queries.registry import query, sql_generic, sql_html, table
 from lectern.queries.rendering import SQL_FAN_IN, _sql_documents

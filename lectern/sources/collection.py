@@ -1,16 +1,18 @@
 """A document collection on disk: complete snapshots and a log of changes.
 
-``snapshots/v=<n>-<batch>`` holds all documents after change batch ``<batch>``,
-partitioned by database and table. ``changes/batch=<n>`` holds the rows of one
+``snapshots/v=<n>_<batch>`` holds all documents after change batch ``<batch>``,
+partitioned by database and table within the parts it was written in. ``changes/batch=<n>`` holds the rows of one
 batch. A folder counts only with its ``_SUCCESS`` mark, so a reader never sees
 half a write, and writing a batch again replaces it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
 
-from lectern.operators.merge import apply_changes, top_per_group
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from lectern.operators.merge import apply_changes, one_per_key
 
 DOCUMENT_SCHEMA = ("doc_id string, doc_label string, pk_value string, text string, metadata map<string,string>, "
                    "version timestamp_ntz, embedding array<float>, source_db string, source_table string")
@@ -18,6 +20,25 @@ COLUMNS = [part.split()[0] for part in DOCUMENT_SCHEMA.replace("map<string,strin
 NO_BATCH = -1
 
 
+class Snapshot:
+    """A snapshot being written part by part; readers see it once it is finished.
+
+    Every part has a folder of its own, so that parts may be written side by side.
+    """
+
+    def __init__(self, collection: Collection, path: str):
+        self.collection = collection
+        self.path = path
+
+    def add(self, documents: DataFrame, part: int = 0) -> None:
+        (documents.select(*COLUMNS).write.mode("overwrite").partitionBy("source_db", "source_table")
+         .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{self.path}/part={part}"))
+
+    def finish(self) -> str:
+        self.collection._mark(self.path)
+        return self.path
+
+
 class Collection:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -44,23 +65,35 @@ class Collection:
         upto = self._snapshots()[-1][1] if self._snapshots() else NO_BATCH
         return max([upto, *self.batches()])
 
-    def write_snapshot(self, documents: DataFrame) -> str:
-        """A new snapshot that stands for everything up to the last batch."""
+    def _mark(self, path: str) -> None:
+        """Declare a folder finished."""
+        jvm = self.spark._jvm
+        mark = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+        mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark, True).close()
+
+    def new_snapshot(self) -> Snapshot:
+        """An unfinished snapshot that stands for everything up to the last batch."""
         versions = self._snapshots()
         number = versions[-1][0] + 1 if versions else 0
-        path = f"{self.root}/snapshots/v={number}_{self.last_batch()}"
-        (documents.select(*COLUMNS).write.mode("overwrite")
-         .partitionBy("source_db", "source_table").parquet(path))
-        return path
+        return Snapshot(self, f"{self.root}/snapshots/v={number}_{self.last_batch()}")
+
+    def write_snapshot(self, documents: DataFrame) -> str:
+        """All documents at once as a new snapshot."""
+        snapshot = self.new_snapshot()
+        snapshot.add(documents)
+        return snapshot.finish()
 
-    def append_changes(self, documents: DataFrame, batch: int | None = None) -> int:
+    def append_changes(self, documents: DataFrame, batch: int | None = None,
+                       embed: Callable[[Column], Column] | None = None) -> int:
         """One batch of changed documents; ``deleted`` marks removed ones. Idempotent per batch number.
 
-        The rows are reduced to one per key first.
+        The rows are reduced to one per key, then embedded when ``embed`` is given.
         """
         number = self.last_batch() + 1 if batch is None else batch
         rows = documents if "deleted" in documents.columns else documents.withColumn("deleted", F.lit(False))
-        newest = top_per_group(rows, ["doc_id"], [F.col("version").desc_nulls_last(), F.desc("text")])
+        newest = one_per_key(rows)
+        if embed:
+            newest = newest.withColumn("embedding", embed(F.col("text")))
         newest.select(*COLUMNS, "deleted").write.mode("overwrite").parquet(f"{self.root}/changes/batch={number}")
         return number
 

@@ -55,10 +55,10 @@ def widen(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *(keys or hashable))
 
 
-def scan_changed(df: DataFrame, date_column: str, since=None) -> DataFrame:
+def scan_changed(df: DataFrame, date_column: str, since=None, ordered: bool = True) -> DataFrame:
     """Rows at or after ``since`` by date; NULL ``since`` reads all."""
     rows = df if since is None else df.where(F.col(date_column) >= F.lit(since).cast(df.schema[date_column].dataType))
-    return rows.orderBy(date_column)
+    return rows.orderBy(date_column) if ordered else rows
 
 
 def scan_first(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lectern.config import TableConfig
 from lectern.functions.vectors import embed_hashed
 from lectern.operators.documents import build_documents, drop_sensitive
-from lectern.plans.sync import Embed, embed_documents
+from lectern.plans.sync import Embed
 from lectern.sources.collection import Collection
 
 
@@ -23,7 +23,7 @@ def stream_changes(rows: DataFrame, cfg: TableConfig, collection: Collection, ch
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         docs = build_documents(drop_sensitive(batch), cfg)
-        collection.append_changes(embed_documents(docs, embed), first_batch + batch_id)
+        collection.append_changes(docs, first_batch + batch_id, embed)
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
