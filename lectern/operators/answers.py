@@ -15,6 +15,7 @@ CONTEXT_CHARS = 1500
 GROUND_CHARS = 1000
 GROUND_DOCS = 5
 SNIPPET_CHARS = 400
+SENTENCE = r"[^\n]+?(?:[.!?]+[ \t]+|\n|\z)"
 PART_SEPARATOR = "\n\n---\n\n"
 NO_HITS = "No relevant documents found for your query."
 NO_MODEL = ("The LLM service is currently unavailable. "
@@ -78,7 +79,7 @@ def context_block(hits: DataFrame, chars: int = CONTEXT_CHARS) -> DataFrame:
 def best_sentence(question: Column, text: Column) -> Column:
     """The sentence that covers most question terms, the first of them on a tie."""
     def pick(asked: Column) -> Column:
-        sentences = F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.length(F.trim(s)) > 0)
+        sentences = F.filter(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.length(X.strip(s)) > 0)
         scored = F.transform(sentences, lambda s, i: F.struct(
             F.size(F.array_intersect(asked, X.tokens(s))).alias("found"), (-i).alias("place"), X.strip(s).alias("s")))
         return F.array_max(scored)["s"]

@@ -149,6 +149,30 @@ def exact_keys(frames: Mapping[str, DataFrame], columns: DataFrame) -> DataFrame
     return unique.where(F.col("exact") == F.col("n_rows")).groupBy("table_name").agg(F.min("ordinal").alias("key_ordinal"))
 
 
+# ---- proposals of a model ----------------------------------------------------
+
+PROPOSAL_SCHEMA = ("array<struct<table:string,label:string,description:string,pk_column:string,text_columns:array<string>,"
+                   "metadata_columns:array<string>,date_column:string,file_columns:array<array<string>>>>")
+
+
+def proposed_configs(answers: DataFrame, answer: str, db: str) -> DataFrame:
+    """Configurations in the JSON array of each model answer; items without a table are skipped."""
+    items = answers.select(
+        *[c for c in answers.columns if c != answer],
+        F.posexplode(X.parse_json_array(F.col(answer), PROPOSAL_SCHEMA)).alias("position", "item"))
+    none = F.array().cast("array<string>")
+    pairs = F.transform(
+        F.filter("item.file_columns", lambda f: F.size(f) > 0),
+        lambda f: F.struct(F.get(f, 0).alias("path_col"), F.coalesce(F.get(f, 1), F.lit("")).alias("type_col")))
+    kept = [c for c in items.columns if c != "item"]
+    return items.where(F.col("item.table").isNotNull()).select(
+        *kept, F.lit(db).alias("db"), F.col("item.table").alias("table_name"),
+        F.coalesce("item.label", "item.table").alias("label"), F.coalesce("item.description", F.lit("")).alias("description"),
+        "item.pk_column", F.coalesce("item.text_columns", none).alias("text_columns"),
+        F.coalesce("item.metadata_columns", none).alias("metadata_columns"), "item.date_column",
+        F.coalesce(pairs, F.array().cast("array<struct<path_col:string,type_col:string>>")).alias("file_columns"))
+
+
 # ---- roles -------------------------------------------------------------------
 
 

@@ -69,8 +69,12 @@ def _scan(query_ids: np.ndarray, query_matrix: np.ndarray, k: int, decimals: int
                     part = part.filter(part.column(1).is_valid())
                     if part.num_rows == 0:
                         continue
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                scores = np.round(query_matrix @ _matrix(part.column(1)).T, decimals)
+                matrix = _matrix(part.column(1))
+                alive = matrix.any(axis=1)
+                if not alive.any():
+                    continue
+                ids = part.column(0).to_numpy(zero_copy_only=False)[alive]
+                scores = np.round(query_matrix @ matrix[alive].T, decimals)
                 best.add(scores + 0.0, ids)
         q, i, s = best.rows(query_ids)
         if len(q):
@@ -109,7 +113,8 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame
 
     ``where`` applies before the search, so a selective condition still fills
     its k rows. Scores are rounded to ``decimals`` before ranking and ties go
-    by ``doc_id``, which makes the result independent of partitioning.
+    by ``doc_id``, which makes the result independent of partitioning. NULL and
+    zero vectors, the mark of a failed embedding, are no hits.
     """
     return _topk(vectors, queries, k, **options)[0]
 

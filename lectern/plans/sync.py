@@ -26,7 +26,7 @@ from lectern.operators.skew import skewed_join
 from lectern.sources.collection import COLUMNS, Collection, Snapshot
 from lectern.sources.files import Extractors, extract_files, file_refs, place_refs
 from lectern.sources.ledger import Ledger
-from lectern.sources.tables import Source, scan_changed
+from lectern.sources.tables import Source, scan_changed, widen
 
 # Tables whose jobs run side by side in a full build.
 TABLES_AT_ONCE = 3
@@ -69,7 +69,7 @@ class Sync:
         table = rows(drop_sensitive(self.source.read(self.spark, cfg.table)), cfg)
         if since is not None:
             table = scan_changed(table, cfg.date_column, since, ordered=False)
-        return build_documents(table, cfg)
+        return build_documents(widen(table, *([cfg.pk_column] if cfg.pk_column else [])), cfg)
 
     def _index_table(self, part: int, rows: Rows, snapshot: Snapshot, before: DataFrame) -> tuple[str | None, float]:
         """Write one table to a snapshot; its documents so far when it cannot be read."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions import text as X
-from lectern.operators import chunks as C, documents as D, joins as J, merge as M, rollups as R
+from lectern.operators import chunks as C, documents as D, joins as J, merge as M, profile as P, rollups as R
 from lectern.queries import testbed as B
 from lectern.queries.registry import query, sql_html, table
 from lectern.queries.rendering import SQL_FAN_IN
@@ -75,7 +75,7 @@ def resolve_paths(spark, sf):
     fourth = F.col("page_id") % 4
     moved = F.concat(F.lit(X.UPLOAD_PREFIXES[2]), X.basename(F.col("url")))
     listing = p.where(F.col("page_id") % 10 != 9).select(F.when(fourth == 3, moved).otherwise(F.col("url")).alias("path"))
-    refs = p.select("page_id", F.when(fourth == 1, F.base64(F.encode("url", "UTF-8")))
+    refs = p.select("page_id", F.when(fourth == 1, B.base64_of(F.col("url")))
                     .when(fourth == 2, F.url_encode("url")).otherwise(F.col("url")).alias("path"))
     return J.resolve_paths(refs, listing).select("page_id", "path", "resolved_path")
 
@@ -317,19 +317,18 @@ def chunk_recursive(spark, sf):
 
 
 @query("parse_json_array", """
-SELECT p_partkey, 0 AS pos, 'part_' || p_partkey AS name, 'part_' || p_partkey AS label, '' AS description, 2 AS n_text FROM part WHERE p_partkey % 5 <> 4
-UNION ALL SELECT p_partkey, 2, p_brand, p_name, p_type, 0 FROM part WHERE p_partkey % 5 <> 4""")
+SELECT p_partkey, 0 AS position, 'stand_in' AS db, 'part_' || p_partkey AS table_name, 'part_' || p_partkey AS label, '' AS description,
+  'id' AS pk_column, 'a,b' AS text_columns, 'f:t,g:' AS file_columns FROM part WHERE p_name NOT LIKE '%ring%'
+UNION ALL SELECT p_partkey, 2, 'stand_in', p_brand, p_name, p_type, NULL, '', '' FROM part WHERE p_name NOT LIKE '%ring%'""")
 def parse_json_array(spark, sf):
-    first = F.format_string('{"table": "part_%d", "text_columns": ["a", "b"]}', "p_partkey")
-    second = F.format_string('{"label": "no table"}')
+    first = F.format_string(
+        '{"table": "part_%d", "pk_column": "id", "text_columns": ["a", "b"], "file_columns": [["f", "t"], [], ["g"]]}', "p_partkey")
+    second = F.lit('{"label": "no table"}')
     third = F.format_string('{"table": "%s", "label": "%s", "description": "%s"}', "p_brand", "p_name", "p_type")
     body = F.concat(F.lit("Here:\n```json\n["), F.concat_ws(",\n", first, second, third), F.lit("]\n```\nDone."))
     answers = table(spark, sf, "part").select(
-        "p_partkey", F.when(F.col("p_partkey") % 5 == 4, "I cannot help.").otherwise(body).alias("answer"))
-    shape = "array<struct<table:string,label:string,description:string,text_columns:array<string>>>"
-    items = answers.select("p_partkey", F.posexplode(X.parse_json_array(F.col("answer"), shape)).alias("pos", "item"))
-    good = items.where(F.col("item.table").isNotNull())
-    return good.select("p_partkey", "pos", F.col("item.table").alias("name"),
-                       F.coalesce("item.label", "item.table").alias("label"),
-                       F.coalesce("item.description", F.lit("")).alias("description"),
-                       F.coalesce(F.size("item.text_columns"), F.lit(0)).alias("n_text"))
+        "p_partkey", F.when(F.col("p_name").like("%ring%"), "I cannot help.").otherwise(body).alias("answer"))
+    found = P.proposed_configs(answers, "answer", "stand_in")
+    pairs = F.transform("file_columns", lambda f: F.concat(f["path_col"], F.lit(":"), f["type_col"]))
+    return found.select("p_partkey", "position", "db", "table_name", "label", "description", "pk_column",
+                        F.array_join("text_columns", ",").alias("text_columns"), F.array_join(pairs, ",").alias("file_columns"))

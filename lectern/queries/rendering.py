@@ -234,7 +234,7 @@ UNION ALL SELECT page_id, 2, url_decode(bare) FROM q WHERE url_decode(bare) <> b
 def path_candidates(spark, sf):
     third = F.col("page_id") % 3
     p = table(spark, sf, "pages").withColumn("raw", F.when(third == 0, F.concat(F.lit(" "), "url", F.lit(" ")))
-        .when(third == 1, F.base64(F.encode("url", "UTF-8"))).otherwise(F.url_encode("url")))
+        .when(third == 1, B.base64_of(F.col("url"))).otherwise(F.url_encode("url")))
     return p.select("page_id", F.explode(X.path_candidates(F.col("raw"))).alias("c")).select("page_id", "c.*")
 
 

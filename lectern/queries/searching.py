@@ -207,7 +207,14 @@ def context_block(spark, sf):
     return A.context_block(_hits(spark, sf, 5)).select("query_id", F.md5("context").alias("context_md5"), "n_docs")
 
 
-@query("answer_extractive")
+_SQL_SENTENCES = f"""s AS (SELECT query_id, rank, question, unnest(regexp_extract_all(substr(text, 1, 1500), '{A.SENTENCE}')) AS text,
+  generate_subscripts(regexp_extract_all(substr(text, 1, 1500), '{A.SENTENCE}'), 1) AS i FROM h),
+b AS (SELECT query_id, rank, trim(text, '{X.WHITESPACE}') AS text, row_number() OVER (PARTITION BY query_id, rank
+  ORDER BY len(list_intersect(list_distinct({sql_tokens('question')}), {sql_tokens('text')})) DESC, i) AS rn FROM s WHERE trim(text, '{X.WHITESPACE}') <> '')"""
+
+
+@query("answer_extractive", f"""{_sql_search(5)}, {_SQL_SENTENCES}
+SELECT query_id, string_agg(text || ' [' || rank || ']', ' ' ORDER BY rank) AS answer FROM b WHERE rn = 1 GROUP BY 1""")
 def answer_extractive(spark, sf):
     return A.extractive_answer(_hits(spark, sf, 5))
 

@@ -157,7 +157,7 @@ def _page_files(spark, sf):
     S.write_files(pages, root, "name", "content").agg(F.sum("length")).collect()
     full = F.concat(F.lit(f"{root}/"), "name")
     kind = F.col("page_id") % 5
-    raw = (F.when(kind == 0, F.base64(F.encode(full, "UTF-8"))).when(kind == 1, F.concat(F.lit("/old/place/"), "name"))
+    raw = (F.when(kind == 0, B.base64_of(full)).when(kind == 1, F.concat(F.lit("/old/place/"), "name"))
            .when(kind == 2, F.concat(F.lit("  "), full)).when(kind == 3, F.url_encode(full)).otherwise(full))
     refs = pages.select(
         F.lit("corpus.pages").alias("table_key"), F.col("page_id").cast("string").alias("row_id"),

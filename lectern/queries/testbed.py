@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, functions as F
+
 from lectern.config import Code, Flag, Joined, Name, TableConfig, Template
 
+
+def base64_of(c: Column) -> Column:
+    """Base64 of a text on one line."""
+    return F.replace(F.base64(F.encode(c, "UTF-8")), F.lit("\r\n"), F.lit(""))
+
+
 CUSTOMER = TableConfig("shop", "customer", ("c_name", "c_mktsegment"), ("c_nationkey", "c_acctbal", "c_mktsegment"),
                        "c_custkey", "Customer")
 SUPPLIER = TableConfig("shop", "supplier", ("s_name",), ("s_nationkey", "s_acctbal"), "s_suppkey", "Supplier")
