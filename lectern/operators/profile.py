@@ -151,15 +151,16 @@ def exact_keys(frames: Mapping[str, DataFrame], columns: DataFrame) -> DataFrame
 
 # ---- proposals of a model ----------------------------------------------------
 
-PROPOSAL_SCHEMA = ("array<struct<table:string,label:string,description:string,pk_column:string,text_columns:array<string>,"
-                   "metadata_columns:array<string>,date_column:string,file_columns:array<array<string>>>>")
+PROPOSAL_SCHEMA = ("table string, label string, description string, pk_column string, text_columns array<string>, "
+                   "metadata_columns array<string>, date_column string, file_columns array<array<string>>")
 
 
 def proposed_configs(answers: DataFrame, answer: str, db: str) -> DataFrame:
-    """Configurations in the JSON array of each model answer; items without a table are skipped."""
-    items = answers.select(
+    """Configurations in the JSON array of each model answer; malformed items and items without a table are skipped."""
+    raw = answers.select(
         *[c for c in answers.columns if c != answer],
-        F.posexplode(X.parse_json_array(F.col(answer), PROPOSAL_SCHEMA)).alias("position", "item"))
+        F.posexplode(X.parse_json_array(F.col(answer), "array<string>")).alias("position", "raw"))
+    items = raw.withColumn("item", F.from_json("raw", PROPOSAL_SCHEMA)).drop("raw")
     none = F.array().cast("array<string>")
     pairs = F.transform(
         F.filter("item.file_columns", lambda f: F.size(f) > 0),

@@ -24,7 +24,11 @@ def skewed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     counted = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_copy)
     hot = counted.orderBy(F.desc("_n")).limit(hot_keys).select(
         *keys, F.ceil(F.col("_n") / F.lit(rows_per_copy)).cast("bigint").alias("_copies"))
-    spread = F.pmod(F.xxhash64(*left.columns), F.coalesce("_copies", F.lit(1).cast("bigint")))
+    # The input partition takes part, so that equal rows spread as well. It is
+    # the same when a task runs again; maps cannot be hashed.
+    plain = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    place = F.xxhash64(*plain, F.spark_partition_id())
+    spread = F.pmod(place, F.coalesce("_copies", F.lit(1).cast("bigint")))
     many = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_copies")
     copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_copies", F.lit(1).cast("bigint")) - 1)
     few = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_copies")

@@ -302,10 +302,42 @@ def rag_retry(spark, sf):
     return kept.select("query_id", "rank", "doc_id", "relevant", "rewritten")
 
 
-@query("rag_batch")
+_SQL_BATCH = f"""WITH {_SQL_DOCS}, {_SQL_PARTS}, texts AS (SELECT doc_id, text FROM d UNION ALL SELECT doc_id, text FROM p),
+av AS (SELECT * FROM dv UNION ALL {sql_vectors('p', 'doc_id', 'text')}),
+h AS (SELECT * FROM ({sql_hits('av', 'qv', 5)}) JOIN texts USING (doc_id) JOIN q USING (query_id)),
+g AS (SELECT *, {_SQL_COVER % 1500} >= 0.8 AS relevant FROM h),
+failing AS (SELECT * FROM q WHERE query_id NOT IN (SELECT query_id FROM g WHERE relevant)),
+t AS (SELECT query_id, unnest(list_distinct({sql_tokens('question')})) AS term FROM failing),
+f AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({sql_tokens('text')})) AS term FROM texts) WHERE term IN (SELECT term FROM t) GROUP BY 1),
+w AS (SELECT query_id, string_agg(term, ' ' ORDER BY place) AS new_question FROM (SELECT query_id, term, row_number() OVER
+  (PARTITION BY query_id ORDER BY df, term) AS place FROM t JOIN f USING (term)) WHERE place <= 8 GROUP BY 1),
+q2 AS (SELECT query_id, coalesce(new_question, question) AS question, new_question IS NOT NULL AS rewritten FROM failing LEFT JOIN w USING (query_id)),
+qv2 AS ({sql_vectors('q2', 'query_id', 'question')}),
+h2 AS (SELECT * FROM ({sql_hits('av', 'qv2', 5)}) JOIN texts USING (doc_id) JOIN q2 USING (query_id)),
+g2 AS (SELECT *, {_SQL_COVER % 1500} >= 0.8 AS relevant FROM h2),
+work AS (SELECT query_id, rank, doc_id, text, question, false AS rewritten FROM g WHERE relevant UNION ALL
+  SELECT query_id, rank, doc_id, text, question, rewritten FROM g2 WHERE relevant OR query_id NOT IN (SELECT query_id FROM g2 WHERE relevant)),
+more AS (SELECT k.query_id, k.rank, p.doc_id, p.text, k.question, k.rewritten FROM work k JOIN p ON p.doc_id = k.doc_id || '.chunk_0'
+  WHERE NOT contains(k.doc_id, '.chunk_') AND (k.query_id, p.doc_id) NOT IN (SELECT query_id, doc_id FROM work)),
+e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, added) AS old_rank FROM (
+  SELECT *, false AS added FROM work UNION ALL SELECT *, true FROM more)),
+r AS (SELECT query_id, old_rank, doc_id, text, question, rewritten, round({_SQL_COVER % 2000}, 4) AS rerank_score FROM e),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old_rank)::INT AS rank FROM r),
+{_SQL_SENTENCES.replace("FROM h)", "FROM rr)")},
+a AS (SELECT query_id, string_agg(text || ' [' || rank || ']', ' ' ORDER BY rank) AS answer FROM b WHERE rn = 1 GROUP BY 1),
+heads AS (SELECT query_id, string_agg(substr(text, 1, 1000), chr(10) || chr(10) ORDER BY rank) AS text FROM rr WHERE rank <= 5 GROUP BY 1),
+c AS (SELECT query_id, question AS answer, round({_SQL_COVER % 1000000}, 4) >= 0.8 AS grounded FROM (
+  SELECT query_id, answer AS question, text FROM a JOIN heads USING (query_id))),
+o AS (SELECT query_id, bool_or(rewritten) AS rewritten, count(*) AS n_sources, string_agg(rank || ':' || doc_id, ',' ORDER BY rank) AS sources FROM rr GROUP BY 1)
+SELECT q.query_id, coalesce(answer, '{A.NO_HITS}') AS answer, o.query_id IS NOT NULL AS has_hits, grounded,
+  coalesce(rewritten, false) AS rewritten, coalesce(n_sources, 0) AS n_sources, coalesce(sources, '') AS sources
+FROM q LEFT JOIN c USING (query_id) LEFT JOIN o ON o.query_id = q.query_id"""
+
+
+@query("rag_batch", _SQL_BATCH)
 def rag_batch(spark, sf):
     stored = materialise(collection_with_chunks(spark, sf), "collection")
     rows = P.answer_questions(stored, questions(spark, sf), 5, grading=True, threshold=0.8)
     shown = F.transform("sources", lambda s: F.concat(s["rank"], F.lit(":"), s["doc_id"]))
     return rows.select("query_id", "answer", "has_hits", "grounded", "rewritten", "n_sources",
-                       F.array_join(shown, ",").alias("sources"))
+                       F.coalesce(F.array_join(shown, ","), F.lit("")).alias("sources"))

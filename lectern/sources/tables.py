@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.config import TableConfig
 from lectern.operators.documents import build_documents, drop_sensitive
@@ -51,7 +51,7 @@ def widen(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     return df.repartition(cores, *(keys or hashable))
 
 

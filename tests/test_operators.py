@@ -74,6 +74,12 @@ def test_topk_is_exact(spark, vectors, options):
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
 
 
+def test_failed_embeddings_are_no_hits(spark):
+    d = spark.createDataFrame([("zero", [0.0, 0.0]), ("far", [-1.0, 0.0]), ("null", None)], "doc_id string, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
+    assert [tuple(r) for r in S.topk(d, q, 5).collect()] == [(1, 1, "far", -1.0)]
+
+
 def test_topk_edge_cases(spark, vectors):
     docs, queries = vectors
     d = spark.createDataFrame(docs, "doc_id string, embedding array<float>")
@@ -103,6 +109,33 @@ def test_skewed_join_equals_join(spark, how):
     assert sorted(map(tuple, salted.collect()), key=str) == plain
 
 
+def test_skewed_join_of_equal_rows_and_maps(spark):
+    left = spark.range(900).select(F.lit(1).alias("k"), F.create_map(F.lit("a"), F.lit("b")).alias("m"))
+    right = spark.createDataFrame([(1, "x")], "k int, v string")
+    out = skewed_join(left, right, ["k"], rows_per_copy=100)
+    assert out.count() == 900
+    bare = skewed_join(left.select("k"), right, ["k"], "left_semi", rows_per_copy=100)
+    assert bare.count() == 900
+
+
+def test_one_per_key_both_ways(spark):
+    from datetime import datetime as dt
+
+    rows = [(f"d{i}", dt(2024, 1, 1), "t") for i in range(30)] + [("d1", dt(2024, 1, 2), "new"), ("d2", dt(2024, 1, 1), "u")]
+    df = spark.createDataFrame(rows, "doc_id string, version timestamp_ntz, text string")
+    for bound in (0, 100):
+        got = {r["doc_id"]: r["text"] for r in M.one_per_key(df, small_keys=bound).collect()}
+        assert len(got) == 30 and got["d1"] == "new" and got["d2"] == "u"
+
+
+def test_proposals_skip_malformed_items(spark):
+    answers = spark.createDataFrame([(1, '```json\n[{"table": "t", "file_columns": [["p", "k"], [], ["q"]]}, {"label": "x"}, 7]\n```'), (2, "no")],
+                                    "id int, answer string")
+    (row,) = P.proposed_configs(answers, "answer", "db").collect()
+    assert (row["id"], row["table_name"], row["label"], row["description"], row["text_columns"]) == (1, "t", "t", "", [])
+    assert [tuple(f) for f in row["file_columns"]] == [("p", "k"), ("q", "")]
+
+
 def test_upsert_is_idempotent(spark):
     schema = "doc_id string, version timestamp_ntz, text string"
     from datetime import datetime as dt
