@@ -15,11 +15,11 @@ CHUNK_MARK = ".chunk_"
 def active_children(child: DataFrame, parent: DataFrame, on: Sequence[str], child_selected: Column,
                     parent_active: Column) -> DataFrame:
     """Selected children of active parents."""
-    return skewed_join(child.where(child_selected), parent.where(parent_active), on)
+    return skewed_join(child.where(child_selected), parent.where(parent_active), on, cheap=True)
 
 
 def deselect(df: DataFrame, exclusions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return skewed_join(df, exclusions.select(*keys).distinct(), keys, "left_anti")
+    return skewed_join(df, exclusions.select(*keys).distinct(), keys, "left_anti", cheap=True)
 
 
 def stale_documents(collection: DataFrame, source: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -87,7 +87,7 @@ def resolve_paths(refs: DataFrame, listing: DataFrame, path: str = "path",
     distinct = refs.select(path).where(F.col(path).isNotNull()).distinct()
     places = distinct.select(path, F.explode(X.path_candidates(F.col(path), prefixes)).alias("c")).select(path, "c.*")
     files = listing.select(F.col("path").alias("candidate")).distinct()
-    found = skewed_join(places, files, ["candidate"]).groupBy(path).agg(F.min_by("candidate", "prio").alias("resolved_path"))
+    found = skewed_join(places, files, ["candidate"], cheap=True).groupBy(path).agg(F.min_by("candidate", "prio").alias("resolved_path"))
     return skewed_join(refs, found, [path], "left")
 
 

@@ -115,7 +115,7 @@ def difference(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Dat
 def overlaps(df: DataFrame, group: Sequence[str], item: str, items: DataFrame) -> DataFrame:
     """Per group: does its set of items meet the given one?"""
     known = items.select(item).distinct().withColumn("_known", F.lit(True))
-    return (skewed_join(df.select(*group, item).distinct(), known, [item], "left")
+    return (skewed_join(df.select(*group, item).distinct(), known, [item], "left", cheap=True)
             .groupBy(*group).agg(F.coalesce(F.bool_or("_known"), F.lit(False)).alias("overlaps")))
 
 

@@ -3,33 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ROWS_PER_COPY = 1_000_000
 HOT_KEYS = 1000
+SMALL_ROWS = 100_000
+SMALL_BYTES = 64 << 20
 
 
-def skewed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", *,
+def _row_bytes(schema: T.StructType) -> Column:
+    sizes = []
+    for f in schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint"))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)).cast("bigint"))
+    return reduce(Column.__add__, sizes, F.lit(16 * len(schema.fields)).cast("bigint"))
+
+
+def fits_broadcast(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
+    """Is the table within both bounds? Reads row sizes only, and stops past the row bound."""
+    sizes = df.select(_row_bytes(df.schema).alias("b")).limit(rows + 1).toArrow().column(0)
+    return len(sizes) <= rows and (pc.sum(sizes).as_py() or 0) <= size
+
+
+def skewed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", *, cheap: bool = False,
                 rows_per_copy: int = ROWS_PER_COPY, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Join of many left rows to a right side with few rows per key.
 
-    Keys with more than ``rows_per_copy`` left rows are spread over several
-    tasks and their right rows copied to each. Only the ``hot_keys`` largest
-    are looked at, so the broadcast list is bounded; any key after them holds
-    less than a thousandth of the rows. ``how`` is inner, left, left_semi or
-    left_anti.
+    A right side that is ``cheap`` to read is measured first, and broadcast when
+    it is small. Otherwise keys with more than ``rows_per_copy`` left rows are
+    spread over several tasks by input partition, with their right rows copied
+    to each. Only the ``hot_keys`` largest are looked at, so the broadcast list
+    is bounded; any key after them holds less than a thousandth of the rows.
+    ``how`` is inner, left, left_semi or left_anti.
     """
     keys = list(keys)
+    if cheap and fits_broadcast(right):
+        return left.join(F.broadcast(right), keys, how)
+    one = F.lit(1).cast("bigint")
     counted = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_copy)
     hot = counted.orderBy(F.desc("_n")).limit(hot_keys).select(
         *keys, F.ceil(F.col("_n") / F.lit(rows_per_copy)).cast("bigint").alias("_copies"))
-    # The input partition takes part, so that equal rows spread as well. It is
-    # the same when a task runs again; maps cannot be hashed.
-    plain = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
-    place = F.xxhash64(*plain, F.spark_partition_id())
-    spread = F.pmod(place, F.coalesce("_copies", F.lit(1).cast("bigint")))
-    many = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_copies")
-    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_copies", F.lit(1).cast("bigint")) - 1)
+    # The partition number needs no column of the row, and is the same when a task runs again.
+    many = (left.withColumn("_part", F.spark_partition_id().cast("bigint")).join(F.broadcast(hot), keys, "left")
+            .withColumn("_salt", F.pmod("_part", F.coalesce("_copies", one))).drop("_copies", "_part"))
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_copies", one) - 1)
     few = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_copies")
     return many.join(few, [*keys, "_salt"], how).drop("_salt")

@@ -118,6 +118,18 @@ def test_skewed_join_of_equal_rows_and_maps(spark):
     assert bare.count() == 900
 
 
+def test_small_sides_are_measured(spark):
+    from lectern.operators.skew import fits_broadcast
+
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    assert fits_broadcast(df) and not fits_broadcast(df, rows=99) and not fits_broadcast(df, size=100_000)
+    left = spark.range(200).withColumn("v", F.lit(1))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        small = skewed_join(left, df, ["id"], how, cheap=True)
+        assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+        assert small.count() == left.join(df, "id", how).count()
+
+
 def test_one_per_key_both_ways(spark):
     from datetime import datetime as dt
 
