@@ -130,16 +130,16 @@ def _topk(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | Non
     out = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType),
                         T.StructField("doc_id", pool.schema["doc_id"].dataType),
                         T.StructField("score", T.DoubleType())])
-    head = asked.limit(max_queries + 1).toArrow()
-    head = head.filter(head.column(1).is_valid()) if head.num_rows <= max_queries else head
-    bound: int | None = head.num_rows * k
-    if head.num_rows > max_queries:
-        bound = None
+    few = len(asked.select("query_id").limit(max_queries + 1).collect())
+    bound = few * k if few <= max_queries else None
+    if bound is None:
         candidates = _grid(pool, asked, asked.count(), k, decimals, out, max_queries, cell_rows)
-    elif head.num_rows == 0:
-        return pool.sparkSession.createDataFrame([], out).select(
-            "query_id", F.lit(0).alias("rank"), "doc_id", "score"), 0
     else:
+        head = asked.toArrow()
+        head = head.filter(pc.is_valid(head.column(1)))
+        if head.num_rows == 0:
+            return pool.sparkSession.createDataFrame([], out).select(
+                "query_id", F.lit(0).alias("rank"), "doc_id", "score"), 0
         ids = head.column(0).to_numpy(zero_copy_only=False)
         matrix = _matrix(head.column(1).combine_chunks())
         candidates = pool.mapInArrow(_scan(ids, matrix, k, decimals, to_arrow_schema(out)), out)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ROWS_PER_COPY = 1_000_000
@@ -27,8 +26,8 @@ def _row_bytes(schema: T.StructType) -> Column:
 
 def fits_broadcast(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
     """Is the table within both bounds? Reads row sizes only, and stops past the row bound."""
-    sizes = df.select(_row_bytes(df.schema).alias("b")).limit(rows + 1).toArrow().column(0)
-    return len(sizes) <= rows and (pc.sum(sizes).as_py() or 0) <= size
+    sizes = df.select(_row_bytes(df.schema).alias("b")).limit(rows + 1).collect()
+    return len(sizes) <= rows and sum(r["b"] for r in sizes) <= size
 
 
 def skewed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", *, cheap: bool = False,

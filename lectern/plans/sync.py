@@ -20,7 +20,7 @@ from lectern.functions.vectors import embed_hashed
 from lectern.operators import chunks as C
 from lectern.operators.documents import build_documents, drop_sensitive
 from lectern.operators.joins import CHUNK_MARK, stale_documents
-from lectern.operators.merge import one_per_key
+from lectern.operators.merge import one_per_key, top_per_group
 from lectern.operators.predicates import scope
 from lectern.operators.skew import skewed_join
 from lectern.sources.collection import COLUMNS, Collection, Snapshot
@@ -129,7 +129,7 @@ class Sync:
         gone = stale_documents(before, docs).withColumn("deleted", F.lit(True))
         batch = docs.withColumn("deleted", F.lit(False)).select(*COLUMNS, "deleted").unionByName(
             gone.select(*COLUMNS, "deleted"))
-        number = self.collection.append_changes(batch)
+        number = self.collection.append_changes(batch, unique=True)
         written = self.collection.changes(number - 1).where((F.col("batch") == number) & ~F.col("deleted"))
         records, mark = written.agg(F.count("*"), F.max("version")).first()
         self._record("reindex", [(cfg.key, mark, records, None, round((time.perf_counter() - start) * 1000, 2))])
@@ -142,9 +142,11 @@ def file_chunk_documents(refs: DataFrame, files: DataFrame, cfg: TableConfig, ex
     """Chunks of the files a table refers to, as documents ``{parent}.chunk_{i}``.
 
     A file is extracted, cut and embedded once, whatever the number of rows
-    that name it. References of a second file column carry its name in their key.
+    that name it. References of a second file column carry its name in their
+    key; rows that share a key share one reference, so every id occurs once.
     """
-    placed = place_refs(refs, files, prefixes)
+    single = top_per_group(refs, ["parent_id", "path_no"], ["path", "file_type"])
+    placed = place_refs(single, files, prefixes)
     texts = extract_files(placed, files, extractors).where(F.col("text").isNotNull())
     pieces = C.chunk_documents(texts, parent="resolved_path", recursive=recursive)
     pieces = pieces.select("resolved_path", "extension", "chunk_index", "total_chunks", F.col("chunk_text").alias("text"))

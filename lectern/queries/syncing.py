@@ -240,7 +240,7 @@ def file_chunks(spark, sf):
     refs, files, prefixes = _page_files(spark, sf)
     docs = file_chunk_documents(refs, files, B.PAGES, recursive=False, prefixes=prefixes)
     store = Collection(spark, scratch_path(spark, "chunks"))
-    store.append_changes(docs)
+    store.append_changes(docs, unique=True)
     meta = F.col("metadata")
     return store.read().select("doc_id", meta["chunk_index"].cast("int").alias("chunk_index"),
                                meta["total_chunks"].cast("int").alias("total_chunks"), F.md5("text").alias("text_md5"))

@@ -84,14 +84,15 @@ class Collection:
         return snapshot.finish()
 
     def append_changes(self, documents: DataFrame, batch: int | None = None,
-                       embed: Callable[[Column], Column] | None = None) -> int:
+                       embed: Callable[[Column], Column] | None = None, unique: bool = False) -> int:
         """One batch of changed documents; ``deleted`` marks removed ones. Idempotent per batch number.
 
-        The rows are reduced to one per key, then embedded when ``embed`` is given.
+        The rows are reduced to one per key unless they are ``unique`` already,
+        then embedded when ``embed`` is given.
         """
         number = self.last_batch() + 1 if batch is None else batch
         rows = documents if "deleted" in documents.columns else documents.withColumn("deleted", F.lit(False))
-        newest = one_per_key(rows)
+        newest = rows if unique else one_per_key(rows)
         if embed:
             newest = newest.withColumn("embedding", embed(F.col("text")))
         newest.select(*COLUMNS, "deleted").write.mode("overwrite").parquet(f"{self.root}/changes/batch={number}")
