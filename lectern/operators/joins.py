@@ -86,8 +86,8 @@ def resolve_paths(refs: DataFrame, listing: DataFrame, path: str = "path",
     """
     distinct = refs.select(path).where(F.col(path).isNotNull()).distinct()
     places = distinct.select(path, F.explode(X.path_candidates(F.col(path), prefixes)).alias("c")).select(path, "c.*")
-    files = listing.select(F.col("path").alias("candidate")).distinct()
-    found = skewed_join(places, files, ["candidate"], cheap=True).groupBy(path).agg(F.min_by("candidate", "prio").alias("resolved_path"))
+    files = listing.select(F.col("path").alias("candidate"))
+    found = skewed_join(places, files, ["candidate"], "left_semi", cheap=True).groupBy(path).agg(F.min_by("candidate", "prio").alias("resolved_path"))
     return skewed_join(refs, found, [path], "left")
 
 
