@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import huffman, packing
+from lectern.llm import huffman, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,8 @@ def op1_huffman_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_bin_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0, capacity=2048)
+
+
+@query
+def op2_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.groups(table(spark, sf, "documents"), shingle=3, distance=2).drop("fp")
