@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import huffman, packing, simhash
+from lectern.llm import huffman, langid, packing, simhash, toxicity
+from lectern.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +38,17 @@ def op7_bin_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(table(spark, sf, "documents"), shingle=3, distance=2).drop("fp")
+
+
+@query
+def op6_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    return langid.predict(docs, model).withColumn("held_out", held_out())
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    return toxicity.predict(docs, model).withColumn("held_out", held_out())
