@@ -5,15 +5,32 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import packing
+from lectern.llm import langid, packing, simhash, toxicity
 from lectern.llm.common import stored
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the models know; the models learn from the stage's own input."""
+    return docs.where(langid.accepted(docs, langid.train(docs)))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold; the model learns from the labelled ones among them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return docs.where(toxicity.clean(docs, toxicity.train(docs, labels)))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one whose id is lowest."""
+    return simhash.keep_one(docs, shingle=3, distance=2)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0, capacity=2048)
 
 
-STAGES = [("pack", pack)]
+STAGES = [("language", language), ("toxicity", clean), ("near_duplicates", distinct), ("packing", pack)]
 #: Tokenizers, learned models and packing are beyond SQL; tests compare the rows with plain versions.
 ORACLE_SQL = None
 
