@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import huffman, langid, packing, simhash, toxicity
+from lectern.llm import bpe, huffman, langid, packing, simhash, toxicity
 from lectern.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,9 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = toxicity.train(docs, table(spark, sf, "labels"))
     return toxicity.predict(docs, model).withColumn("held_out", held_out())
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
