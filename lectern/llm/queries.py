@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, huffman, langid, packing, simhash, toxicity
+from lectern.llm import bpe, huffman, langid, packing, simhash, sketch, toxicity
 from lectern.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                           public_tokenizers.PATTERN)
+
+
+@query
+def op5_iblt_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return sketch.fingerprint_edits(table(spark, sf, "documents"))
