@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, chat, huffman, langid, packing, simhash, sketch, toxicity, urls
+from lectern.llm import bpe, chat, huffman, langid, packing, simhash, sketch, toxicity, urls, vecgraph
 from lectern.llm.common import held_out, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
                                   "conv_id long, turn long, role string, text string")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(stored(chat.format_turns(rows), "turns"))
+
+
+@query
+def op4_vector_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return vecgraph.link_counts(table(spark, sf, "embeddings"), threshold=0.93)
