@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -84,40 +83,41 @@ class Model:
 
 
 def _bags(batches):
-    """(label, words of each sentence): the distinct words of a batch as text, sentences as places in them."""
+    """(label, sizes, places): the label, the number of different words of each sentence, and three feature places for each
+    word, ``DIMENSIONS`` where a word has fewer; numbers as little-endian 32-bit integers."""
     for (labels,), texts in grouped(batches):
+        rows = []
         for label, text in zip(labels, texts, strict=True):
-            words = [list(dict.fromkeys(text[a:z].split())) for a, z in sentences(text)]
-            yield pa.RecordBatch.from_pylist([{"label": label, "sizes": [len(w) for w in words],
-                                               "words": [x for w in words for x in w]}],
-                                             schema=pa.schema([("label", pa.int32()), ("sizes", pa.list_(pa.int32())),
-                                                               ("words", pa.list_(pa.string()))]))
+            words = [[f for w in dict.fromkeys(text[a:z].split()) if (f := features(w))] for a, z in sentences(text)]
+            places = [(*f, *[DIMENSIONS] * (3 - len(f))) for s in words for f in s]
+            rows.append({"label": label, "sizes": np.array([len(s) for s in words], "<i4").tobytes(),
+                         "places": np.array(places, "<i4").tobytes()})
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("label", pa.int32()), ("sizes", pa.binary()), ("places", pa.binary())]))
 
 
-def fit(bags: list[tuple[int, np.ndarray, list[str]]], epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY,
+def fit(bags: list[tuple[int, bytes, bytes]], epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY,
         least: int = LEAST_DOCUMENTS) -> Model:
     """Weights that make the noisy-or of the sentences agree with the labels (full-batch Adam).
 
     Features of fewer than ``least`` documents get none: they would only tell these documents apart.
     """
-    bags = [b for b in bags if len(b[1])]
+    bags = [b for b in bags if b[1]]
     labels = np.array([b[0] for b in bags])
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), -60.0)
-    vocabulary: dict[str, int] = {}
-    word = np.array([vocabulary.setdefault(w, len(vocabulary)) for b in bags for w in b[2]], np.int64)
-    owned = [features(w) for w in vocabulary]
-    place = np.array([f for fs in owned for f in fs], np.int64)
-    of_word = np.repeat(np.arange(len(owned)), [len(fs) for fs in owned])
-    words = np.cumsum([0, *(len(b[2]) for b in bags)])
-    spread = Counter(f for a, z in zip(words[:-1], words[1:], strict=True)
-                     for f in {f for i in set(word[a:z].tolist()) for f in owned[i]})
-    common = np.array([spread[f] >= least for f in place.tolist()], bool)
-    used, place = np.unique(place[common], return_inverse=True)
-    of_word = of_word[common]
-    per_sentence = np.concatenate([b[1] for b in bags]).astype(np.int64)
+    sizes = [np.frombuffer(b[1], "<i4") for b in bags]
+    per_sentence = np.concatenate(sizes).astype(np.int64)
     sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
-    doc = np.repeat(np.arange(len(bags)), [len(b[1]) for b in bags])
+    doc = np.repeat(np.arange(len(bags)), [len(s) for s in sizes])
+    places = np.concatenate([np.frombuffer(b[2], "<i4").reshape(-1, 3) for b in bags]).astype(np.int64)
+    key = (places[:, 0] * (DIMENSIONS + 1) + places[:, 1]) * (DIMENSIONS + 1) + places[:, 2]
+    _, first, word = np.unique(key, return_index=True, return_inverse=True)
+    owned = places[first]
+    once = np.unique(word + len(owned) * doc[sentence])
+    # In how many documents each feature is; a feature twice in a document, by two words, counts twice.
+    spread = np.bincount(owned[once % len(owned)].ravel(), minlength=DIMENSIONS + 1)
+    of_word, column = np.nonzero((owned < DIMENSIONS) & (spread[owned] >= least))
+    used, place = np.unique(owned[of_word, column], return_inverse=True)
     weight = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean())
     w, bias = np.zeros(len(used)), -4.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -154,9 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).join(
         F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("text").alias("text"))
     found = rows.select("_label", "text", "_id").select(F.col("_label").alias("label"), "text").mapInArrow(
-        _bags, "label int, sizes array<int>, words array<string>").collect()
-    bags = sorted(((r["label"], np.array(r["sizes"], np.int32), r["words"]) for r in found), key=lambda b: (b[0], b[2]))
-    return fit(bags)
+        _bags, "label int, sizes binary, places binary").collect()
+    return fit(sorted((r["label"], bytes(r["sizes"]), bytes(r["places"])) for r in found))
 
 
 def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
