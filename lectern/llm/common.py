@@ -41,6 +41,14 @@ def grouped(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = GROUP
             yield [c[first:] for c in others], texts[first:]
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def training_rows(key="doc_id"):
     """True for rows that may be learned from: crc32 of the id as text leaves no remainder 1 by three."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1

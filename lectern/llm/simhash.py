@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.common import grouped, stored
+from lectern.llm.common import free, grouped, stored
 from lectern.llm.components import Forest, components
 
 SEED = 42
@@ -136,10 +136,11 @@ def groups(docs: DataFrame, shingle: int = 3, distance: int = 2, text: str = "te
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents whose id names their group, one row each; all columns stay."""
     found = groups(docs, shingle, distance, text, key)
-    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
-        F.count("*").alias("_rows")), "kept").withColumnRenamed("doc_id", "_kept_id")
-    rows = docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("_kept_id")))
-    once = rows.where("_rows = 1")
+    id_, rows_, text_ = (free(docs, n) for n in ("kept_id", "kept_rows", "text_hash"))
+    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(id_)).agg(
+        F.count("*").alias(rows_)), "kept")
+    rows = docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col(id_)))
+    once = rows.where(F.col(rows_) == 1)
     # Rows that share an id: one of each text. Only these are shuffled by their text's hash.
-    again = rows.where("_rows > 1").withColumn("_text", F.xxhash64(text)).dropDuplicates(["_kept_id", "_text"]).drop("_text")
+    again = rows.where(F.col(rows_) > 1).withColumn(text_, F.xxhash64(text)).dropDuplicates([id_, text_]).drop(text_)
     return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
