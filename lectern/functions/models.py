@@ -1,7 +1,8 @@
 """Slots for user models: vectorised functions set up once per task.
 
 Each slot takes a factory that builds the model inside the task, so that
-nothing heavy is shipped with the plan. The defaults elsewhere in the package
+nothing heavy is shipped with the plan. The calls are marked as not
+deterministic, so that the optimizer never copies them. The defaults elsewhere in the package
 are deterministic SQL expressions and need no slot.
 """
 
@@ -55,7 +56,7 @@ def embed_with(factory: Callable[[], Embedder], text: Column, dim: int, batch_si
                 "embed_ok": [bool(o) for p in parts for o in p[1]],
             })
 
-    return embed(text)
+    return embed.asNondeterministic()(text)
 
 
 def score_with(factory: Callable[[], PairScorer], question: Column, text: Column) -> Column:
@@ -69,10 +70,9 @@ def score_with(factory: Callable[[], PairScorer], question: Column, text: Column
             if out is None:
                 single = [_tried(lambda a=a, b=b: float(model([a], [b])[0]), 1) for a, b in zip(q, t)]
                 out = [np.nan if s is None else s for s in single]
-            yield pd.Series(out, dtype="float64")
+            yield pd.Series(pd.array(out, "Float64")).where(~pd.isna(pd.Series(out, dtype="float64")), pd.NA)
 
-    value = score(question, text)
-    return F.when(~F.isnan(value), value)
+    return score.asNondeterministic()(question, text)
 
 
 def generate_with(factory: Callable[[], Generator], question: Column, context: Column) -> Column:
@@ -87,4 +87,4 @@ def generate_with(factory: Callable[[], Generator], question: Column, context: C
                 out = [_tried(lambda a=a, b=b: model([a], [b])[0], 1) for a, b in zip(q, c)]
             yield pd.Series(out, dtype="object")
 
-    return generate(question, context)
+    return generate.asNondeterministic()(question, context)

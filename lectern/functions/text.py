@@ -30,15 +30,23 @@ def strip(c: Column) -> Column:
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:
-    """The text of a value. Doubles never turn to scientific notation below 1e16."""
+    """The text of a value. Doubles are plain from 1e-4 to below 1e16, else scientific with a two-digit exponent."""
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
     if isinstance(dtype, T.BooleanType):
         return F.when(c, "True").when(~c, "False")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        plain = F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"(\.\d+?)0+$", "$1")
-        big = (F.abs(c) >= 1e7) & (F.abs(c) < 1e16)
-        return F.when(big, plain).otherwise(c.cast("string"))
+        def plain(kind: str) -> Column:
+            return F.regexp_replace(c.cast(kind).cast("string"), r"(\.\d+?)0+$", "$1")
+
+        size = F.abs(c)
+        short = F.regexp_replace(c.cast("string"), r"\.0E", "E")
+        padded = F.regexp_replace(F.regexp_replace(short, r"E-(\d)$", "E-0$1"), r"E(\d)$", "E0$1")
+        power = F.replace(padded, F.lit("E"), F.when(size < 1, "e").otherwise("e+"))
+        return (F.when((size >= 1e7) & (size < 1e16), plain("decimal(38,10)"))
+                .when((size >= 1e-4) & (size < 1e-3), plain("decimal(38,25)"))
+                .when(((size > 0) & (size < 1e-4)) | ((size >= 1e16) & (size < float("inf"))), power)
+                .otherwise(c.cast("string")))
     return c.cast("string")
 
 

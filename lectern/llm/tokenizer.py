@@ -2,81 +2,161 @@
 
 A text is cut only at single blanks between two other characters. The tokenizers
 used here split at such a blank whatever stands around it, so the ids of the
-parts, joined, are the ids of the whole text.
+parts, joined, are the ids of the whole text. New parts are encoded many at a
+time; their ids are told apart by token lengths in byte-level vocabularies, by
+word ends where the vocabulary marks these, else by a mark between the parts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
 MARK = "\x01"
-_UNSAFE = re.compile(r"\s\s|^\s|\s\Z")
+#: Parts encoded in one call.
+TOGETHER = 512
+CACHE = 700_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def odd(part: str) -> bool:
+    """Parts that blanks alone don't set apart: empty, or with white space at an end."""
+    return not part or part[0].isspace() or part[-1].isspace()
 
 
 def parts(text: str) -> list[str]:
-    """The text cut at single blanks; the blanks themselves are left out."""
-    return _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+    """The text cut at its single blanks; these are left out."""
+    cut = text.split(" ")
+    return _CUT.split(text) if any(map(odd, cut)) else cut
 
 
 class ChunkEncoder:
     """Ids as little-endian bytes, two or four bytes per id by the size of the vocabulary."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size(True) <= 1 << 16 else "<u4")
         self.cache_size = cache_size
         self.heads: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.rest: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
         self.mark = self.model.encode(f" {MARK}", add_special_tokens=False).ids
+        suffix = said["model"].get("end_of_word_suffix")
+        self.ends = self.lengths = None
+        vocab = said["model"]["vocab"]
+        if suffix:
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        elif said["normalizer"] is None and said["pre_tokenizer"]["type"] == "ByteLevel":
+            self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+            for t, i in vocab.items():
+                self.lengths[i] = len(t)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         done = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in done]
 
+    def _words(self, part: str) -> int:
+        """Of how many words with an end mark the part is sure to consist; 0 if that takes more than a glance."""
+        if max(part) < "İ":
+            if part.isalpha():
+                return 1
+            if part[-1] in ".,!?;:" and part[:-1].isalpha():
+                return 2
+        return 0
+
+    def _split(self, group: list[str], text: str, ends) -> None:
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        raw, w = ids.tobytes(), self.dtype.itemsize
+        first = 0
+        for c, (end, after) in zip(group, ends(ids), strict=True):
+            self.rest[c] = raw[first * w : end * w]
+            first = after
+
     def _learn(self, new: Iterable[str]) -> None:
-        odd, even = [], []
+        sure, marked, alone = [], [], []
+        counts = []
         for c in new:
-            (odd if not c or MARK in c or c[0].isspace() or c[-1].isspace() else even).append(c)
-        self.rest.update(zip(odd, self._plain([f" {c}" for c in odd]), strict=True))
-        for at in range(0, len(even), 512):
-            group = even[at : at + 512]
-            text = "".join(f" {c} {MARK}" for c in group)
-            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(ids == self.mark[-1])
-            cut = len(self.mark) - 1
-            raw, w = ids.tobytes(), self.dtype.itemsize
-            first = 0
-            for c, end in zip(group, ends.tolist(), strict=True):
-                self.rest[c] = raw[first * w : (end - cut) * w]
-                first = end + 1
+            if odd(c):
+                self.rest[c] = None
+            elif self.lengths is not None:
+                sure.append(c)
+                counts.append(len(c.encode()) + 1)
+            elif self.ends is not None and (n := self._words(c)):
+                sure.append(c)
+                counts.append(n)
+            else:
+                (alone if MARK in c else marked).append(c)
+        self.rest.update(zip(alone, self._plain([f" {c}" for c in alone]), strict=True))
+        for at in range(0, len(marked), TOGETHER):
+            group = marked[at : at + TOGETHER]
+            cut = len(self.mark)
+            self._split(group, "".join(f" {c} {MARK}" for c in group), lambda ids, cut=cut: [
+                (e + 1 - cut, e + 1) for e in np.flatnonzero(ids == self.mark[-1]).tolist()])
+        weight = self.lengths if self.lengths is not None else self.ends
+        for at in range(0, len(sure), TOGETHER):
+            group = sure[at : at + TOGETHER]
+            goal = np.cumsum(counts[at : at + TOGETHER])
+            self._split(group, " " + " ".join(group), lambda ids, goal=goal: [
+                (e, e) for e in (np.searchsorted(np.cumsum(weight[ids]), goal) + 1).tolist()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [parts(t) for t in texts]
-        if len(self.rest) > self.cache_size or len(self.heads) > self.cache_size:
-            self.heads, self.rest = {}, {}
-        seen: set[str] = set()
-        for c in cut:
-            seen.update(c[1:])
-        self._learn(sorted(seen.difference(self.rest)))
-        heads = sorted({c[0] for c in cut}.difference(self.heads))
-        self.heads.update(zip(heads, self._plain(heads), strict=True))
-        get = self.rest.__getitem__
-        return [self.heads[c[0]] + b"".join(map(get, c[1:])) for c in cut]
-
-
-def encoder(path: str, cache_size: int = 400_000) -> ChunkEncoder:
+        cut = [t.split(" ") for t in texts]
+        if len(self.rest) > self.cache_size:
+            self.before, self.rest = self.rest, {}
+        if len(self.heads) > self.cache_size:
+            self.heads = {}
+        heads = {c[0] for c in cut}
+        get = self.rest.get
+        found = [list(map(get, c)) for c in cut]
+        gaps = {}
+        for i, f in enumerate(found):
+            if None in f:
+                gaps[i] = [p for p in compress(range(len(f)), map(is_, f, repeat(None))) if p]
+        missing = {cut[i][p] for i, gap in gaps.items() for p in gap}
+        old = {c: self.before[c] for c in missing if c in self.before}
+        self.rest.update(old)
+        self._learn(sorted(missing.difference(old)))
+        for i, gap in gaps.items():
+            for p in gap:
+                found[i][p] = get(cut[i][p])
+            if None in found[i][1:]:
+                # White space other than single blanks: cut only where it is safe, and look up the parts in between.
+                cut[i] = _CUT.split(texts[i])
+                heads.add(cut[i][0])
+                found[i] = [b"", *self._spaced(cut[i][1:])]
+        new = sorted(heads.difference(self.heads))
+        self.heads.update(zip(new, self._plain(new), strict=True))
+        out = []
+        for c, f in zip(cut, found, strict=True):
+            f[0] = self.heads[c[0]]
+            out.append(b"".join(f))
+        return out
+
+    def _spaced(self, cut: list[str]) -> list[bytes]:
+        """Parts that may hold or end in white space."""
+        new = sorted({c for c in cut if self.rest.get(c) is None})
+        self._learn([c for c in new if not odd(c)])
+        ends = [c for c in new if odd(c)]
+        own = dict(zip(ends, self._plain([f" {c}" for c in ends]), strict=True))
+        return [self.rest.get(c) or own.get(c, b"") for c in cut]
+
+
+def encoder(path: str) -> ChunkEncoder:
     """One encoder per worker process and file."""
-    key = (path, cache_size)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, cache_size)
-    return _ENCODERS[key]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]

@@ -8,12 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions import text as X
 
-# How much of a text each step reads, and the fixed answers.
-GRADE_CHARS = 1500
-RERANK_CHARS = 2000
-CONTEXT_CHARS = 1500
-GROUND_CHARS = 1000
-GROUND_DOCS = 5
+# The length of a snippet, and the fixed answers.
 SNIPPET_CHARS = 400
 SENTENCE = r"[^\n]+?(?:[.!?]+[ \t]+|\n|\z)"
 PART_SEPARATOR = "\n\n---\n\n"
@@ -26,6 +21,11 @@ FAILED_ANSWER = "Failed to generate an answer. Please review the source document
 PairFunction = Callable[[Column, Column], Column]
 
 
+def head(text: Column, chars: int | None) -> Column:
+    """The whole text, or its first ``chars`` characters for a model that takes no more."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
 def coverage(question: Column, text: Column) -> Column:
     """Share of the distinct question terms that occur in the text."""
     def share(asked: Column) -> Column:
@@ -35,16 +35,17 @@ def coverage(question: Column, text: Column) -> Column:
     return X.let(X.terms(question), share)
 
 
-def grade(hits: DataFrame, threshold: float = 0.5, grader: PairFunction | None = None) -> DataFrame:
+def grade(hits: DataFrame, threshold: float = 0.5, grader: PairFunction | None = None,
+          chars: int | None = None) -> DataFrame:
     """Adds ``relevant``. A grader that fails (NULL) keeps the document."""
-    head = F.substring("text", 1, GRADE_CHARS)
-    verdict = grader(F.col("question"), head) if grader else coverage(F.col("question"), head) >= threshold
+    text = head(F.col("text"), chars)
+    verdict = grader(F.col("question"), text) if grader else coverage(F.col("question"), text) >= threshold
     return hits.withColumn("relevant", F.coalesce(verdict, F.lit(True)))
 
 
-def pair_score(hits: DataFrame, scorer: PairFunction | None = None) -> DataFrame:
+def pair_score(hits: DataFrame, scorer: PairFunction | None = None, chars: int | None = None) -> DataFrame:
     """Adds ``rerank_score``. A scorer that fails (NULL) falls back to ten times the search score."""
-    score = (scorer or coverage)(F.col("question"), F.substring("text", 1, RERANK_CHARS))
+    score = (scorer or coverage)(F.col("question"), head(F.col("text"), chars))
     return hits.withColumn("rerank_score", F.round(F.coalesce(score, F.col("score") * 10), 4))
 
 
@@ -53,24 +54,25 @@ def rank_hits(hits: DataFrame, score: str = "score", then: str = "doc_id") -> Da
     return hits.withColumn("rank", F.row_number().over(order))
 
 
-def rerank(hits: DataFrame, top_n: int | None = None, scorer: PairFunction | None = None) -> DataFrame:
+def rerank(hits: DataFrame, top_n: int | None = None, scorer: PairFunction | None = None,
+           chars: int | None = None) -> DataFrame:
     """New order by ``rerank_score``; equal scores keep their old order."""
-    scored = pair_score(hits, scorer).withColumnRenamed("rank", "old_rank")
+    scored = pair_score(hits, scorer, chars).withColumnRenamed("rank", "old_rank")
     ranked = rank_hits(scored, "rerank_score", "old_rank")
     return ranked if top_n is None else ranked.where(F.col("rank") <= top_n)
 
 
-def context_part(chars: int = CONTEXT_CHARS) -> Column:
+def context_part(chars: int | None = None) -> Column:
     header = F.concat(F.lit("["), F.col("rank"), F.lit("] "), F.col("doc_label"), F.lit(" ("), F.col("source_db"),
                       F.lit("."), F.col("source_table"), F.lit(")"))
-    return F.concat(header, F.lit("\n"), F.substring("text", 1, chars))
+    return F.concat(header, F.lit("\n"), head(F.col("text"), chars))
 
 
 def _in_rank_order(part: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda e: e["part"])
 
 
-def context_block(hits: DataFrame, chars: int = CONTEXT_CHARS) -> DataFrame:
+def context_block(hits: DataFrame, chars: int | None = None) -> DataFrame:
     """One text per question: its hits in rank order under numbered headers."""
     joined = F.array_join(_in_rank_order(context_part(chars)), PART_SEPARATOR)
     return hits.groupBy("query_id").agg(joined.alias("context"), F.count("*").alias("n_docs"))
@@ -87,9 +89,9 @@ def best_sentence(question: Column, text: Column) -> Column:
     return X.let(X.terms(question), pick)
 
 
-def extractive_answer(hits: DataFrame) -> DataFrame:
+def extractive_answer(hits: DataFrame, chars: int | None = None) -> DataFrame:
     """Default generator: the best sentence of every source with its number."""
-    sentence = best_sentence(F.col("question"), F.substring("text", 1, CONTEXT_CHARS))
+    sentence = best_sentence(F.col("question"), head(F.col("text"), chars))
     cited = hits.withColumn("cited", F.concat(sentence, F.lit(" ["), F.col("rank"), F.lit("]")))
     return cited.groupBy("query_id").agg(F.array_join(_in_rank_order(F.col("cited")), " ").alias("answer"))
 
@@ -103,11 +105,14 @@ def generate(questions: DataFrame, contexts: DataFrame, generator: PairFunction)
 
 
 def groundedness(answers: DataFrame, hits: DataFrame, threshold: float = 0.5,
-                 checker: PairFunction | None = None) -> DataFrame:
-    """Share of answer terms found in the heads of the first sources, and whether that is enough."""
-    heads = hits.where(F.col("rank") <= GROUND_DOCS)
-    sources = heads.groupBy("query_id").agg(
-        F.array_join(_in_rank_order(F.substring("text", 1, GROUND_CHARS)), "\n\n").alias("sources"))
+                 checker: PairFunction | None = None, chars: int | None = None, docs: int | None = None) -> DataFrame:
+    """Share of answer terms found in the sources, and whether that is enough.
+
+    A checker that takes no more can be given the heads (``chars``) of the first ``docs`` sources.
+    """
+    used = hits if docs is None else hits.where(F.col("rank") <= docs)
+    sources = used.groupBy("query_id").agg(
+        F.array_join(_in_rank_order(head(F.col("text"), chars)), "\n\n").alias("sources"))
     both = answers.join(sources, "query_id", "left")
     if checker:
         return both.withColumn("grounded", F.coalesce(checker(F.col("answer"), F.col("sources")), F.lit(True))).drop("sources")

@@ -64,7 +64,7 @@ def chunk_recursive(c: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_text(t, size, overlap) if t else [])
 
-    return split(c)
+    return split.asNondeterministic()(c)  # keeps the optimizer from copying the call
 
 
 def explode_chunks(df: DataFrame, chunks: Column, parent: str = "doc_id") -> DataFrame:
@@ -73,7 +73,9 @@ def explode_chunks(df: DataFrame, chunks: Column, parent: str = "doc_id") -> Dat
     The total is the size of the row's own array: no shuffle.
     """
     cut = df.withColumn("_chunks", chunks).withColumn("total_chunks", F.size("_chunks"))
-    return (cut.select("*", F.posexplode("_chunks").alias("chunk_index", "chunk_text")).drop("_chunks")
+    # An inner posexplode makes the optimizer test the array's size first, in a copy of the whole expression.
+    return (cut.select("*", F.posexplode_outer("_chunks").alias("chunk_index", "chunk_text")).drop("_chunks")
+            .where(F.col("chunk_index").isNotNull())
             .withColumn("chunk_id", F.concat(F.col(parent).cast("string"), F.lit(CHUNK_MARK), F.col("chunk_index"))))
 
 

@@ -28,7 +28,7 @@ def stale_documents(collection: DataFrame, source: DataFrame, key: str = "doc_id
 
 
 def overlay(base: DataFrame, patch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Non-empty patch values win; rows of either side stay."""
+    """Non-empty patch values win; rows of either side stay, those of the patch alone as they are."""
     def filled(c: Column, dtype: T.DataType) -> Column:
         if isinstance(dtype, T.StringType):
             return F.when(c != "", c)
@@ -43,8 +43,8 @@ def overlay(base: DataFrame, patch: DataFrame, keys: Sequence[str]) -> DataFrame
         if f.name in keys:
             continue
         own = F.col(f"b.{f.name}")
-        columns.append(F.coalesce(filled(F.col(f"p.{f.name}"), f.dataType), own).alias(f.name)
-                       if f.name in patch.columns else own.alias(f.name))
+        new = F.col(f"p.{f.name}") if f.name in patch.columns else None
+        columns.append((own if new is None else F.coalesce(filled(new, f.dataType), own, new)).alias(f.name))
     return joined.select(*columns)
 
 

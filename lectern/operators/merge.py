@@ -51,9 +51,9 @@ def union_sources(*frames: DataFrame) -> DataFrame:
 
 def upsert_latest(current: DataFrame, *deltas: DataFrame, key: str = "doc_id", version: str = "version",
                   position: str | None = None) -> DataFrame:
-    """Last write per key. A delta wins over an equal version before it."""
+    """Last write per key. A later delta wins whatever its version, which orders the rows within one delta only."""
     frames = [f.withColumn("_batch", F.lit(i)) for i, f in enumerate((current, *deltas))]
-    order = [F.col(version).desc_nulls_last(), F.desc("_batch")]
+    order = [F.desc("_batch"), F.col(version).desc_nulls_last()]
     if position:
         order.append(F.desc(position))
     return top_per_group(union_sources(*frames), [key], order).drop("_batch")
@@ -69,7 +69,7 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str = "doc_id",
                   small_keys: int = SMALL_KEYS) -> DataFrame:
     """A collection with one row per key after a log of ``(..., version, batch, deleted)``.
 
-    The newest version wins, the later batch among equal versions. Only rows
+    The later batch wins, the newest version within a batch. Only rows
     whose key occurs in the log are compared and shuffled; where the log has
     few keys, they go to the collection, so that its other rows are only scanned.
     """
@@ -80,7 +80,7 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str = "doc_id",
     touched = current.join(keys, key, "left_semi")
     rows = (touched.withColumn("batch", F.lit(-1).cast("bigint")).withColumn("deleted", F.lit(False))
             .unionByName(changes))
-    newest = top_per_group(rows, [key], [F.col("version").desc_nulls_last(), F.desc("batch")])
+    newest = top_per_group(rows, [key], [F.desc("batch"), F.col("version").desc_nulls_last()])
     return untouched.unionByName(newest.where("NOT deleted").drop("batch", "deleted"))
 
 

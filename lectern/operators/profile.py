@@ -31,6 +31,8 @@ FILE_PATTERNS = ("_file", "_path", "file_", "attachment", "document", "upload",
                  "drawing_file")
 TYPE_SUFFIXES = ("_type", "_mime", "_ext", "_extension")
 VARCHAR_CHARS = 255
+#: The approximate counts err by a few hundredths; half is far below what they can make of a true key.
+KEY_SHARE = 0.5
 
 CATALOG_SCHEMA = ("table_name string, ordinal int, column_name string, base_type string, nullable boolean, "
                   "declared_key string")
@@ -103,12 +105,13 @@ def profile_statistics(frames: Mapping[str, DataFrame], exact: bool = False) ->
 
 
 def catalog(spark: SparkSession, frames: Mapping[str, DataFrame],
-            keys: Mapping[tuple[str, str], str] | None = None) -> DataFrame:
-    """Declared columns with measured statistics. Long texts get the type ``text``.
+            keys: Mapping[tuple[str, str], str] | None = None, *, long_chars: int = VARCHAR_CHARS,
+            key_share: float = KEY_SHARE) -> DataFrame:
+    """Declared columns with measured statistics. Columns with a text of over ``long_chars`` get the type ``text``.
 
     A table without a declared key gets the first column whose values are
-    measured unique and never NULL. The approximate counts pick the candidates;
-    only those are counted exactly. The measuring runs here; what is kept are
+    measured unique and never NULL. Columns whose approximate count of distinct
+    values is at least ``key_share`` of the rows are counted exactly. The measuring runs here; what is kept are
     one row per column and one per table.
     """
     declared = declared_catalog(spark, frames, keys)
@@ -116,9 +119,9 @@ def catalog(spark: SparkSession, frames: Mapping[str, DataFrame],
     used = {name: df for name, df in frames.items() if name in kept}
     stats = spark.createDataFrame(profile_statistics(used).toArrow())
     columns = declared.join(stats, ["table_name", "ordinal"])
-    long = (F.col("base_type") == "varchar") & (F.col("max_length") > VARCHAR_CHARS)
+    long = (F.col("base_type") == "varchar") & (F.col("max_length") > long_chars)
     columns = columns.withColumn("data_type", F.when(long, "text").otherwise(F.col("base_type")))
-    unique = spark.createDataFrame(exact_keys(used, columns).toArrow())
+    unique = spark.createDataFrame(exact_keys(used, columns, key_share).toArrow())
     with_key = columns.join(unique, "table_name", "left")
     declared_pk = F.max(F.col("declared_key") == "PRI").over(Window.partitionBy("table_name"))
     measured = ~declared_pk & (F.col("ordinal") == F.col("key_ordinal"))
@@ -129,9 +132,9 @@ def catalog(spark: SparkSession, frames: Mapping[str, DataFrame],
     return spark.createDataFrame(done.toArrow())
 
 
-def exact_keys(frames: Mapping[str, DataFrame], columns: DataFrame) -> DataFrame:
+def exact_keys(frames: Mapping[str, DataFrame], columns: DataFrame, key_share: float = KEY_SHARE) -> DataFrame:
     """``(table_name, key_ordinal)``: first column with as many exact distinct values as rows."""
-    close = (F.col("n_rows") > 0) & (F.col("n_nulls") == 0) & (F.col("n_distinct") >= 0.8 * F.col("n_rows"))
+    close = (F.col("n_rows") > 0) & (F.col("n_nulls") == 0) & (F.col("n_distinct") >= key_share * F.col("n_rows"))
     possible = F.col("data_type").isin("int", "bigint", "smallint", "varchar", "char")
     rows = columns.where(close & possible).select("table_name", "column_name").collect()
     candidates: dict[str, list[str]] = {}

@@ -20,7 +20,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 MAX_QUERIES = 4096
 CELL_ROWS = 20_000
-RANK_DECIMALS = 6
+#: Equal vectors may differ in the last bits of their sums; this is far above that and far below any real difference.
+RANK_DECIMALS = 12
+SHOWN_DECIMALS = 6
 _BLOCK = 2048
 
 
@@ -112,8 +114,9 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame
     """``(query_id, rank, doc_id, score)`` of the k best vectors per query.
 
     ``where`` applies before the search, so a selective condition still fills
-    its k rows. Scores are rounded to ``decimals`` before ranking and ties go
-    by ``doc_id``, which makes the result independent of partitioning. NULL and
+    its k rows. Hits are ranked by their scores to twelve places, so that equal
+    vectors tie whatever the order of their sums, and ties go by ``doc_id``; the
+    score shown is rounded afterwards. The result is independent of partitioning. NULL and
     zero vectors, the mark of a failed embedding, are no hits.
     """
     return _topk(vectors, queries, k, **options)[0]
@@ -145,7 +148,7 @@ def _topk(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | Non
         candidates = pool.mapInArrow(_scan(ids, matrix, k, decimals, to_arrow_schema(out)), out)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "doc_id", "score"), bound
+    return ranked.select("query_id", "rank", "doc_id", F.round("score", SHOWN_DECIMALS).alias("score")), bound
 
 
 def attach(hits: DataFrame, collection: DataFrame, columns: list[str],

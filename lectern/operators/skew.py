@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lectern.session import materialise
+
 ROWS_PER_COPY = 1_000_000
-HOT_KEYS = 1000
 SMALL_ROWS = 100_000
 SMALL_BYTES = 64 << 20
 
@@ -31,26 +32,35 @@ def fits_broadcast(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTE
 
 
 def skewed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", *, cheap: bool = False,
-                rows_per_copy: int = ROWS_PER_COPY, hot_keys: int = HOT_KEYS) -> DataFrame:
+                rows_per_copy: int = ROWS_PER_COPY) -> DataFrame:
     """Join of many left rows to a right side with few rows per key.
 
     A right side that is ``cheap`` to read is measured first, and broadcast when
-    it is small. Otherwise keys with more than ``rows_per_copy`` left rows are
-    spread over several tasks by input partition, with their right rows copied
-    to each. Only the ``hot_keys`` largest are looked at, so the broadcast list
-    is bounded; any key after them holds less than a thousandth of the rows.
+    it is small. Otherwise every key with more than ``rows_per_copy`` left rows
+    is spread over several tasks by input partition, with its right rows copied
+    to each. There are at most rows / ``rows_per_copy`` such keys; where their
+    list is too long to broadcast all the same, the bound is raised until it is
+    not. Rows with a NULL key meet nothing and do not enter the join.
     ``how`` is inner, left, left_semi or left_anti.
     """
     keys = list(keys)
     if cheap and fits_broadcast(right):
         return left.join(F.broadcast(right), keys, how)
     one = F.lit(1).cast("bigint")
-    counted = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_copy)
-    hot = counted.orderBy(F.desc("_n")).limit(hot_keys).select(
-        *keys, F.ceil(F.col("_n") / F.lit(rows_per_copy)).cast("bigint").alias("_copies"))
+    unknown = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    known = left.where(~unknown)
+    counted = materialise(known.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_copy), "hot")
+    bound = rows_per_copy
+    while not fits_broadcast(counted.where(F.col("_n") > bound)):
+        bound *= 2
+    hot = counted.where(F.col("_n") > bound).select(
+        *keys, F.ceil(F.col("_n") / F.lit(bound)).cast("bigint").alias("_copies"))
     # The partition number needs no column of the row, and is the same when a task runs again.
-    many = (left.withColumn("_part", F.spark_partition_id().cast("bigint")).join(F.broadcast(hot), keys, "left")
+    many = (known.withColumn("_part", F.spark_partition_id().cast("bigint")).join(F.broadcast(hot), keys, "left")
             .withColumn("_salt", F.pmod("_part", F.coalesce("_copies", one))).drop("_copies", "_part"))
     copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_copies", one) - 1)
     few = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_copies")
-    return many.join(few, [*keys, "_salt"], how).drop("_salt")
+    met = many.join(few, [*keys, "_salt"], how).drop("_salt")
+    if how not in ("left", "left_anti"):
+        return met
+    return met.unionByName(left.where(unknown), allowMissingColumns=True)

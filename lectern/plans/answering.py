@@ -1,7 +1,7 @@
 """Batch question answering over a table of questions.
 
-Retrieve, add first file chunks, grade, retry once with a rewritten question
-where nothing was relevant, rerank, answer, check the answer, list the sources.
+Retrieve, add first file chunks, grade; where nothing was relevant do all that
+once more with a rewritten question; then rerank, answer, check the answer, list the sources.
 Each stage adds columns or rows; no stage loops over questions.
 """
 
@@ -35,6 +35,12 @@ class Models:
     scorer: A.PairFunction | None = None
     generator: A.PairFunction | None = None
     checker: A.PairFunction | None = None
+    # Characters of a document that a model takes, and sources that the checker takes; all of them by default.
+    grader_chars: int | None = None
+    scorer_chars: int | None = None
+    generator_chars: int | None = None
+    checker_chars: int | None = None
+    checker_docs: int | None = None
 
 
 def ask(collection: DataFrame, questions: DataFrame, k: int, models: Models = Models(),
@@ -60,18 +66,34 @@ def rewrite_rarest(questions: DataFrame, collection: DataFrame, terms: int = REW
         F.col("new_question").isNotNull().alias("rewritten"))
 
 
+def retrieve(collection: DataFrame, questions: DataFrame, k: int, models: Models = Models(),
+             where: Column | None = None, enrich: bool = False) -> DataFrame:
+    """Hits, with the first chunks of the records among them if asked for."""
+    hits = ask(collection, questions, k, models, where)
+    if not enrich:
+        return hits
+    hits = materialise(hits, "found")
+    added = enrich_first_chunk(hits, collection, HIT_COLUMNS, small=hits.count() <= SMALL_HITS)
+    named = questions.select("query_id", F.col("question").alias("_q"))
+    return (added.join(named, "query_id").withColumn("question", F.col("_q")).withColumn("rank", F.col("position"))
+            .drop("_q", "position", "added"))
+
+
 def retrieve_graded(collection: DataFrame, questions: DataFrame, k: int, threshold: float,
-                    models: Models = Models(), where: Column | None = None) -> DataFrame:
+                    models: Models = Models(), where: Column | None = None, enrich: bool = False) -> DataFrame:
     """Hits worth answering from: the relevant ones, after one retry for questions without any.
 
-    When the retry finds nothing relevant either, its ungraded hits stay.
+    Chunks are added before grading, in the retry too. When the retry finds
+    nothing relevant either, its ungraded hits stay.
     """
-    first = materialise(A.grade(ask(collection, questions, k, models, where), threshold, models.grader), "graded")
+    def graded(asked: DataFrame) -> DataFrame:
+        return A.grade(retrieve(collection, asked, k, models, where, enrich), threshold, models.grader, models.grader_chars)
+
+    first = materialise(graded(questions), "graded")
     good = first.where("relevant")
     failing = questions.join(good.select("query_id").distinct(), "query_id", "left_anti")
     changed = materialise(rewrite_rarest(failing, collection), "rewritten")
-    again = ask(collection, changed, k, models, where).join(changed.select("query_id", "rewritten"), "query_id")
-    second = materialise(A.grade(again, threshold, models.grader), "regraded")
+    second = materialise(graded(changed).join(changed.select("query_id", "rewritten"), "query_id"), "regraded")
     found = second.where("relevant").select("query_id").distinct().withColumn("_found", F.lit(True))
     kept = second.join(found, "query_id", "left").where(F.col("relevant") | F.col("_found").isNull()).drop("_found")
     return good.withColumn("rewritten", F.lit(False)).unionByName(kept)
@@ -83,30 +105,24 @@ def answer_questions(collection: DataFrame, questions: DataFrame, k: int = DEFAU
                      where: Column | None = None) -> DataFrame:
     """One row per question with answer, flags and sources."""
     if grading:
-        hits = retrieve_graded(collection, questions, k, threshold, models, where)
+        hits = retrieve_graded(collection, questions, k, threshold, models, where, enrich)
     else:
-        hits = ask(collection, questions, k, models, where).withColumn("rewritten", F.lit(False))
-    if enrich:
-        hits = materialise(hits, "found")
-        added = enrich_first_chunk(hits, collection, HIT_COLUMNS, small=hits.count() <= SMALL_HITS)
-        named = hits.select("query_id", F.col("question").alias("_q"), F.col("rewritten").alias("_r")).distinct()
-        hits = (added.join(named, "query_id").withColumn("question", F.coalesce("question", "_q"))
-                .withColumn("rewritten", F.coalesce("rewritten", "_r")).withColumn("rank", F.col("position"))
-                .drop("_q", "_r", "position", "added"))
-    hits = A.rerank(hits, scorer=models.scorer) if reranking else hits.withColumn("rerank_score", F.lit(None).cast("double"))
+        hits = retrieve(collection, questions, k, models, where, enrich).withColumn("rewritten", F.lit(False))
+    hits = A.rerank(hits, scorer=models.scorer, chars=models.scorer_chars) if reranking else hits.withColumn("rerank_score", F.lit(None).cast("double"))
     hits = materialise(hits, "hits")
     asked = hits.select("query_id", "question").distinct()
 
     def write() -> DataFrame:
         if models.generator:
-            return A.generate(asked, A.context_block(hits), models.generator)
-        return A.extractive_answer(hits)
+            return A.generate(asked, A.context_block(hits, models.generator_chars), models.generator)
+        return A.extractive_answer(hits, models.generator_chars)
 
-    checked = materialise(A.groundedness(write(), hits, threshold, models.checker), "answers")
+    checked = materialise(A.groundedness(
+        write(), hits, threshold, models.checker, models.checker_chars, models.checker_docs), "answers")
     if models.generator:
         # One regeneration for answers the check did not accept; it is not checked again.
         again = asked.join(checked.where("NOT grounded").select("query_id"), "query_id", "left_semi")
-        new = A.generate(again, A.context_block(hits), models.generator).withColumnRenamed("answer", "_new")
+        new = A.generate(again, A.context_block(hits, models.generator_chars), models.generator).withColumnRenamed("answer", "_new")
         checked = (checked.join(new, "query_id", "left").withColumn("answer", F.coalesce("_new", "answer")).drop("_new"))
     flags = hits.groupBy("query_id").agg(F.bool_or("rewritten").alias("rewritten"), F.count("*").alias("n_sources"),
                                          F.max("question").alias("final_question"))

@@ -47,8 +47,8 @@ def stale_docs_anti(spark, sf):
 WITH base AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal, c_name || ',base' AS tags FROM customer),
 patch AS (SELECT c_custkey, '' AS c_name, 'VIP' AS c_mktsegment, NULL::DOUBLE AS c_acctbal, NULL AS tags FROM customer WHERE c_acctbal > 5000
   UNION ALL SELECT c_custkey + 100000000, c_name, '', c_acctbal, c_mktsegment || ',new' FROM customer WHERE c_acctbal < 0)
-SELECT coalesce(b.c_custkey, p.c_custkey) AS c_custkey, coalesce(nullif(p.c_name, ''), b.c_name) AS c_name,
-  coalesce(nullif(p.c_mktsegment, ''), b.c_mktsegment) AS c_mktsegment, coalesce(p.c_acctbal, b.c_acctbal) AS c_acctbal,
+SELECT coalesce(b.c_custkey, p.c_custkey) AS c_custkey, coalesce(nullif(p.c_name, ''), b.c_name, p.c_name) AS c_name,
+  coalesce(nullif(p.c_mktsegment, ''), b.c_mktsegment, p.c_mktsegment) AS c_mktsegment, coalesce(p.c_acctbal, b.c_acctbal) AS c_acctbal,
   coalesce(p.tags, b.tags) AS tags FROM base b FULL JOIN patch p ON b.c_custkey = p.c_custkey""")
 def overlay_merge(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
@@ -107,8 +107,9 @@ def file_path_for_doc(spark, sf):
 WITH cur AS (SELECT 'shop.orders.' || o_orderkey AS doc_id, o_orderdate AS version, o_orderstatus AS text FROM orders),
 delta AS (SELECT doc_id, version + INTERVAL 1 DAY AS version, text || '-new' AS text, 1 AS b, 0 AS pos FROM cur WHERE text = 'O'
   UNION ALL SELECT doc_id, version + INTERVAL 1 DAY, text || '-newer', 1, 1 FROM cur WHERE text = 'O' AND version >= '2000-01-01'
-  UNION ALL SELECT doc_id, version - INTERVAL 1 DAY, text || '-old', 1, 0 FROM cur WHERE text = 'F')
-SELECT doc_id, version, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY version DESC, b DESC, pos DESC) AS rn
+  UNION ALL SELECT doc_id, version - INTERVAL 1 DAY, text || '-old', 1, 0 FROM cur WHERE text = 'F'
+  UNION ALL SELECT doc_id, NULL, text || '-undated', 1, 0 FROM cur WHERE text = 'P')
+SELECT doc_id, version, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b DESC, version DESC NULLS LAST, pos DESC) AS rn
   FROM (SELECT *, 0 AS b, 0 AS pos FROM cur UNION ALL SELECT * FROM delta)) WHERE rn = 1""")
 def upsert_latest(spark, sf):
     cur = table(spark, sf, "orders").select(
@@ -122,6 +123,8 @@ def upsert_latest(spark, sf):
         .withColumn("text", F.concat("text", F.lit("-newer"))).withColumn("pos", F.lit(1)),
         cur.where("text = 'F'").withColumn("version", F.col("version") - day)
         .withColumn("text", F.concat("text", F.lit("-old"))),
+        cur.where("text = 'P'").withColumn("version", F.lit(None).cast("timestamp_ntz"))
+        .withColumn("text", F.concat("text", F.lit("-undated"))),
     ])
     return M.upsert_latest(cur, delta, position="pos").select("doc_id", "version", "text")
 

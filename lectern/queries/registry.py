@@ -76,8 +76,8 @@ def sql_vectors(source: str, key: str, text: str, dim: int = 256) -> str:
 def sql_hits(docs: str, questions: str, k: int) -> str:
     """Rows ``(query_id, rank, doc_id, score)`` from two vector tables."""
     return (
-        "SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id "
+        "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id "
         "ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT q.id AS query_id, d.id AS doc_id, "
-        f"round(sum(d.w * q.w), 6) AS score FROM {docs} d JOIN {questions} q USING (bucket) "
+        f"round(sum(d.w * q.w), 12) AS score FROM {docs} d JOIN {questions} q USING (bucket) "
         f"GROUP BY 1, 2)) WHERE rank <= {k}"
     )

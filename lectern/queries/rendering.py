@@ -63,11 +63,15 @@ def scan_fanin_documents(spark, sf):
 
 
 @query("text_clean", f"SELECT doc_id, md5({sql_clean('text')}) AS cleaned, "
-       f"md5({sql_clean('replace(text, lang, chr(9))')}) AS cleaned_tabs FROM documents")
+       f"md5({sql_clean('replace(text, lang, chr(9))')}) AS cleaned_tabs, {sql_clean('n_chars / 1e8')} AS small, "
+       f"{sql_clean('n_chars * 1e15')} AS large FROM documents")
 def text_clean(spark, sf):
     d = table(spark, sf, "documents")
+    double = T.DoubleType()
     return d.select("doc_id", F.md5(X.clean(F.col("text"))).alias("cleaned"),
-                    F.md5(X.clean(F.replace("text", "lang", F.lit("\t")))).alias("cleaned_tabs"))
+                    F.md5(X.clean(F.replace("text", "lang", F.lit("\t")))).alias("cleaned_tabs"),
+                    X.clean(F.col("n_chars") / F.lit(1e8), double).alias("small"),
+                    X.clean(F.col("n_chars") * F.lit(1e15), double).alias("large"))
 
 
 @query("text_join_nonblank",
@@ -166,11 +170,11 @@ def doc_id(spark, sf):
 
 
 @query("doc_metadata", """
-SELECT 'shop.customer.' || c_custkey AS doc_id, concat_ws(';', 'c_acctbal=' || CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END,
+SELECT 'shop.customer.' || c_custkey AS doc_id, concat_ws(';', 'c_acctbal=' || CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal / 1e8 END,
   'c_mktsegment=' || c_mktsegment, 'c_nationkey=' || c_nationkey, 'doc_label=Customer', 'pk_value=' || c_custkey,
   'source_db=shop', 'source_table=customer') AS meta FROM customer""")
 def doc_metadata(spark, sf):
-    c = table(spark, sf, "customer").withColumn("c_acctbal", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
+    c = table(spark, sf, "customer").withColumn("c_acctbal", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / F.lit(1e8)))
     docs = D.build_documents(c, B.CUSTOMER)
     entries = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return docs.select("doc_id", F.array_join(entries, ";").alias("meta"))

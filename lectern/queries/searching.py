@@ -40,9 +40,9 @@ _SQL_QUERIES = """q AS (SELECT label AS query_id, list(x ORDER BY pos)::DOUBLE[]
 
 
 def _sql_knn(k, where="true"):
-    return (f"SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY "
+    return (f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY "
             f"score DESC, doc_id)::INT AS rank FROM (SELECT query_id, vec_id AS doc_id, "
-            f"round(list_inner_product(embedding::DOUBLE[], qvec), 6) AS score FROM embeddings, q WHERE {where})) "
+            f"round(list_inner_product(embedding::DOUBLE[], qvec), 12) AS score FROM embeddings, q WHERE {where})) "
             f"WHERE rank <= {k}")
 
 
@@ -119,7 +119,7 @@ _SQL_EMBEDDED = f"SELECT id AS doc_id, bucket::INT AS bucket, round(w, 5) AS w F
 
 
 def _buckets(df):
-    long = df.select("doc_id", F.posexplode("embedding").alias("bucket", "w")).where(F.col("w") > 0)
+    long = df.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "w")).where(F.col("w") > 0)
     return long.withColumn("w", F.round(F.col("w").cast("double"), 5))
 
 
@@ -170,29 +170,29 @@ def hit_projection(spark, sf):
     return D.project_hits(_hits(spark, sf, 5))
 
 
-_SQL_COVER = (f"(len(list_intersect(list_distinct({sql_tokens('question')}), {sql_tokens('substr(text, 1, %d)')}))::DOUBLE "
+_SQL_COVER = (f"(len(list_intersect(list_distinct({sql_tokens('question')}), {sql_tokens('text')}))::DOUBLE "
               f"/ len(list_distinct({sql_tokens('question')})))")
 
 
-@query("rank_hits", f"""{_sql_search(10)}, s AS (SELECT query_id, doc_id, round({_SQL_COVER % 1500}, 4) AS share FROM h)
+@query("rank_hits", f"""{_sql_search(10)}, s AS (SELECT query_id, doc_id, round({_SQL_COVER}, 4) AS share FROM h)
 SELECT query_id, doc_id, share, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, doc_id)::INT AS rank FROM s""")
 def rank_hits(spark, sf):
-    share = A.coverage(F.col("question"), F.substring("text", 1, A.GRADE_CHARS))
+    share = A.coverage(F.col("question"), F.col("text"))
     scored = _hits(spark, sf, 10).withColumn("share", F.round(share, 4)).drop("rank")
     return A.rank_hits(scored, "share").select("query_id", "doc_id", "share", "rank")
 
 
-@query("grade_documents", f"{_sql_search(10)} SELECT query_id, doc_id, {_SQL_COVER % 1500} >= 0.8 AS relevant FROM h")
+@query("grade_documents", f"{_sql_search(10)} SELECT query_id, doc_id, {_SQL_COVER} >= 0.8 AS relevant FROM h")
 def grade_documents(spark, sf):
     return A.grade(_hits(spark, sf, 10), 0.8).select("query_id", "doc_id", "relevant")
 
 
-@query("pair_score", f"{_sql_search(10)} SELECT query_id, doc_id, round({_SQL_COVER % 2000}, 4) AS rerank_score FROM h")
+@query("pair_score", f"{_sql_search(10)} SELECT query_id, doc_id, round({_SQL_COVER}, 4) AS rerank_score FROM h")
 def pair_score(spark, sf):
     return A.pair_score(_hits(spark, sf, 10)).select("query_id", "doc_id", "rerank_score")
 
 
-_SQL_RERANKED = f"""r AS (SELECT query_id, doc_id, question, text, lang, score, rank AS old_rank, round({_SQL_COVER % 2000}, 4) AS rerank_score FROM h),
+_SQL_RERANKED = f"""r AS (SELECT query_id, doc_id, question, text, lang, score, rank AS old_rank, round({_SQL_COVER}, 4) AS rerank_score FROM h),
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old_rank)::INT AS rank FROM r)"""
 
 
@@ -202,13 +202,13 @@ def rerank_topn(spark, sf):
 
 
 @query("context_block", f"""{_sql_search(5)} SELECT query_id, md5(string_agg('[' || rank || '] Document (corpus.documents)' || chr(10) ||
-  substr(text, 1, 1500), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_md5, count(*) AS n_docs FROM h GROUP BY 1""")
+  text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_md5, count(*) AS n_docs FROM h GROUP BY 1""")
 def context_block(spark, sf):
     return A.context_block(_hits(spark, sf, 5)).select("query_id", F.md5("context").alias("context_md5"), "n_docs")
 
 
-_SQL_SENTENCES = f"""s AS (SELECT query_id, rank, question, unnest(regexp_extract_all(substr(text, 1, 1500), '{A.SENTENCE}')) AS text,
-  generate_subscripts(regexp_extract_all(substr(text, 1, 1500), '{A.SENTENCE}'), 1) AS i FROM h),
+_SQL_SENTENCES = f"""s AS (SELECT query_id, rank, question, unnest(regexp_extract_all(text, '{A.SENTENCE}')) AS text,
+  generate_subscripts(regexp_extract_all(text, '{A.SENTENCE}'), 1) AS i FROM h),
 b AS (SELECT query_id, rank, trim(text, '{X.WHITESPACE}') AS text, row_number() OVER (PARTITION BY query_id, rank
   ORDER BY len(list_intersect(list_distinct({sql_tokens('question')}), {sql_tokens('text')})) DESC, i) AS rn FROM s WHERE trim(text, '{X.WHITESPACE}') <> '')"""
 
@@ -219,8 +219,8 @@ def answer_extractive(spark, sf):
     return A.extractive_answer(_hits(spark, sf, 5))
 
 
-@query("groundedness", f"""{_sql_search(10)}, s AS (SELECT query_id, question, string_agg(substr(text, 1, 1000), chr(10) || chr(10) ORDER BY rank) AS text
-  FROM h WHERE rank <= 5 GROUP BY 1, 2), g AS (SELECT query_id, round({_SQL_COVER % 1000000}, 4) AS groundedness FROM s)
+@query("groundedness", f"""{_sql_search(10)}, s AS (SELECT query_id, question, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS text
+  FROM h GROUP BY 1, 2), g AS (SELECT query_id, round({_SQL_COVER}, 4) AS groundedness FROM s)
 SELECT query_id, groundedness, groundedness >= 0.8 AS grounded FROM g""")
 def groundedness(spark, sf):
     hits = _hits(spark, sf, 10)
@@ -282,7 +282,7 @@ def rag_fallback(spark, sf):
 
 RETRY_AT = 0.9
 
-_SQL_RETRY = f"""{_sql_search(5)}, g AS (SELECT query_id, rank, doc_id, {_SQL_COVER % 1500} >= {RETRY_AT} AS relevant FROM h),
+_SQL_RETRY = f"""{_sql_search(5)}, g AS (SELECT query_id, rank, doc_id, {_SQL_COVER} >= {RETRY_AT} AS relevant FROM h),
 failing AS (SELECT * FROM q WHERE query_id NOT IN (SELECT query_id FROM g WHERE relevant)),
 t AS (SELECT query_id, unnest(list_distinct({sql_tokens('question')})) AS term FROM failing),
 f AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({sql_tokens('text')})) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY 1),
@@ -290,7 +290,7 @@ w AS (SELECT query_id, string_agg(term, ' ' ORDER BY place) AS new_question FROM
   (PARTITION BY query_id ORDER BY df, term) AS place FROM t JOIN f USING (term)) WHERE place <= 8 GROUP BY 1),
 q2 AS (SELECT query_id, coalesce(new_question, question) AS question, new_question IS NOT NULL AS rewritten FROM failing LEFT JOIN w USING (query_id)),
 qv2 AS ({sql_vectors('q2', 'query_id', 'question')}), hits2 AS ({sql_hits('dv', 'qv2', 5)}),
-g2 AS (SELECT query_id, rank, doc_id, rewritten, {_SQL_COVER % 1500} >= {RETRY_AT} AS relevant FROM hits2 JOIN d USING (doc_id) JOIN q2 USING (query_id))
+g2 AS (SELECT query_id, rank, doc_id, rewritten, {_SQL_COVER} >= {RETRY_AT} AS relevant FROM hits2 JOIN d USING (doc_id) JOIN q2 USING (query_id))
 SELECT query_id, rank, doc_id, relevant, false AS rewritten FROM g WHERE relevant
 UNION ALL SELECT query_id, rank, doc_id, relevant, rewritten FROM g2 WHERE relevant OR query_id NOT IN (SELECT query_id FROM g2 WHERE relevant)"""
 
@@ -302,10 +302,17 @@ def rag_retry(spark, sf):
     return kept.select("query_id", "rank", "doc_id", "relevant", "rewritten")
 
 
+def _sql_with_chunks(hits):
+    """Hits and the first chunks of records among them, in one order."""
+    return f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, added)::INT AS rank, doc_id, text, question FROM (
+  SELECT *, false AS added FROM {hits} UNION ALL SELECT k.query_id, k.rank, p.doc_id, p.text, k.question, true FROM {hits} k
+  JOIN p ON p.doc_id = k.doc_id || '.chunk_0' WHERE NOT contains(k.doc_id, '.chunk_') AND (k.query_id, p.doc_id) NOT IN (SELECT query_id, doc_id FROM {hits}))"""
+
+
 _SQL_BATCH = f"""WITH {_SQL_DOCS}, {_SQL_PARTS}, texts AS (SELECT doc_id, text FROM d UNION ALL SELECT doc_id, text FROM p),
 av AS (SELECT * FROM dv UNION ALL {sql_vectors('p', 'doc_id', 'text')}),
-h AS (SELECT * FROM ({sql_hits('av', 'qv', 5)}) JOIN texts USING (doc_id) JOIN q USING (query_id)),
-g AS (SELECT *, {_SQL_COVER % 1500} >= 0.8 AS relevant FROM h),
+h AS (SELECT query_id, rank, doc_id, text, question FROM ({sql_hits('av', 'qv', 5)}) JOIN texts USING (doc_id) JOIN q USING (query_id)),
+e AS ({_sql_with_chunks('h')}), g AS (SELECT *, {_SQL_COVER} >= 0.8 AS relevant FROM e),
 failing AS (SELECT * FROM q WHERE query_id NOT IN (SELECT query_id FROM g WHERE relevant)),
 t AS (SELECT query_id, unnest(list_distinct({sql_tokens('question')})) AS term FROM failing),
 f AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({sql_tokens('text')})) AS term FROM texts) WHERE term IN (SELECT term FROM t) GROUP BY 1),
@@ -313,20 +320,16 @@ w AS (SELECT query_id, string_agg(term, ' ' ORDER BY place) AS new_question FROM
   (PARTITION BY query_id ORDER BY df, term) AS place FROM t JOIN f USING (term)) WHERE place <= 8 GROUP BY 1),
 q2 AS (SELECT query_id, coalesce(new_question, question) AS question, new_question IS NOT NULL AS rewritten FROM failing LEFT JOIN w USING (query_id)),
 qv2 AS ({sql_vectors('q2', 'query_id', 'question')}),
-h2 AS (SELECT * FROM ({sql_hits('av', 'qv2', 5)}) JOIN texts USING (doc_id) JOIN q2 USING (query_id)),
-g2 AS (SELECT *, {_SQL_COVER % 1500} >= 0.8 AS relevant FROM h2),
-work AS (SELECT query_id, rank, doc_id, text, question, false AS rewritten FROM g WHERE relevant UNION ALL
+h2 AS (SELECT query_id, rank, doc_id, text, question FROM ({sql_hits('av', 'qv2', 5)}) JOIN texts USING (doc_id) JOIN q2 USING (query_id)),
+e2 AS ({_sql_with_chunks('h2')}), g2 AS (SELECT *, {_SQL_COVER} >= 0.8 AS relevant FROM e2 JOIN (SELECT query_id, rewritten FROM q2) USING (query_id)),
+work AS (SELECT query_id, rank AS old_rank, doc_id, text, question, false AS rewritten FROM g WHERE relevant UNION ALL
   SELECT query_id, rank, doc_id, text, question, rewritten FROM g2 WHERE relevant OR query_id NOT IN (SELECT query_id FROM g2 WHERE relevant)),
-more AS (SELECT k.query_id, k.rank, p.doc_id, p.text, k.question, k.rewritten FROM work k JOIN p ON p.doc_id = k.doc_id || '.chunk_0'
-  WHERE NOT contains(k.doc_id, '.chunk_') AND (k.query_id, p.doc_id) NOT IN (SELECT query_id, doc_id FROM work)),
-e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, added) AS old_rank FROM (
-  SELECT *, false AS added FROM work UNION ALL SELECT *, true FROM more)),
-r AS (SELECT query_id, old_rank, doc_id, text, question, rewritten, round({_SQL_COVER % 2000}, 4) AS rerank_score FROM e),
+r AS (SELECT query_id, old_rank, doc_id, text, question, rewritten, round({_SQL_COVER}, 4) AS rerank_score FROM work),
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old_rank)::INT AS rank FROM r),
 {_SQL_SENTENCES.replace("FROM h)", "FROM rr)")},
 a AS (SELECT query_id, string_agg(text || ' [' || rank || ']', ' ' ORDER BY rank) AS answer FROM b WHERE rn = 1 GROUP BY 1),
-heads AS (SELECT query_id, string_agg(substr(text, 1, 1000), chr(10) || chr(10) ORDER BY rank) AS text FROM rr WHERE rank <= 5 GROUP BY 1),
-c AS (SELECT query_id, question AS answer, round({_SQL_COVER % 1000000}, 4) >= 0.8 AS grounded FROM (
+heads AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS text FROM rr GROUP BY 1),
+c AS (SELECT query_id, question AS answer, round({_SQL_COVER}, 4) >= 0.8 AS grounded FROM (
   SELECT query_id, answer AS question, text FROM a JOIN heads USING (query_id))),
 o AS (SELECT query_id, bool_or(rewritten) AS rewritten, count(*) AS n_sources, string_agg(rank || ':' || doc_id, ',' ORDER BY rank) AS sources FROM rr GROUP BY 1)
 SELECT q.query_id, coalesce(answer, '{A.NO_HITS}') AS answer, o.query_id IS NOT NULL AS has_hits, grounded,

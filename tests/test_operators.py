@@ -102,10 +102,10 @@ def test_postfilter_finds_less_than_prefilter(spark, vectors):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_skewed_join_equals_join(spark, how):
-    left = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id") % 40).alias("k"), "id")
+    left = spark.range(3000).select(F.when(F.col("id") < 1000, 7).when(F.col("id") > 1500, F.col("id") % 40).alias("k"), "id")
     right = spark.createDataFrame([(i, f"v{j}") for i in range(30) for j in range(i % 3)], "k bigint, v string")
     plain = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
-    salted = skewed_join(left, right, ["k"], how, rows_per_copy=50, hot_keys=5)
+    salted = skewed_join(left, right, ["k"], how, rows_per_copy=50)
     assert sorted(map(tuple, salted.collect()), key=str) == plain
 
 
@@ -148,6 +148,46 @@ def test_proposals_skip_malformed_items(spark):
     assert [tuple(f) for f in row["file_columns"]] == [("p", "k"), ("q", "")]
 
 
+def test_skewed_join_spreads_null_and_hot_keys(spark):
+    """With 90 % NULL keys, and with thousands of hot keys, no partition of the joined rows is far above the mean."""
+    right = spark.range(6000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    rows = spark.range(0, 200_000, numPartitions=16)
+    empty = rows.select(F.when(F.col("id") % 10 == 0, F.col("id") % 6000).alias("k"), "id")
+    many = rows.select((F.col("id") % 5000).alias("k"), "id")
+    for left in (empty, many):
+        sizes = [r[1] for r in skewed_join(left, right, ["k"], "left", rows_per_copy=20).groupBy(
+            F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 200_000 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_answers_after_the_head_of_a_text(spark):
+    from lectern.operators import answers as A
+
+    text = "nothing here. " * 400 + "The velocity of zebras is high."
+    hits = spark.createDataFrame([(1, 1, "d", "velocity zebras", text, 0.5)],
+                                 "query_id int, rank int, doc_id string, question string, text string, score double")
+    assert A.grade(hits, 0.9).first()["relevant"] and not A.grade(hits, 0.9, chars=1500).first()["relevant"]
+    assert A.extractive_answer(hits).first()["answer"] == "The velocity of zebras is high. [1]"
+
+
+def test_models_are_called_once(spark, tmp_path):
+    """A filter on the outcome does not make the optimizer call the model again."""
+    from lectern.functions import models as U
+
+    log = str(tmp_path / "calls")
+
+    def factory():
+        def model(texts):
+            with open(log, "a") as f:
+                f.write("".join("x\n" for _ in texts))
+            return [[1.0, 2.0]] * len(texts)
+        return model
+
+    df = spark.range(10).select("id", U.embed_with(factory, F.col("id").cast("string"), 2).alias("m"))
+    assert df.where("m.embed_ok").select("id", "m.embedding").where(F.size("embedding") > 0).count() == 10
+    assert len(open(log).read().split()) == 10
+
+
 def test_upsert_is_idempotent(spark):
     schema = "doc_id string, version timestamp_ntz, text string"
     from datetime import datetime as dt
@@ -156,7 +196,7 @@ def test_upsert_is_idempotent(spark):
     delta = spark.createDataFrame([("a", dt(2024, 1, 1), "new"), ("c", dt(2024, 1, 2), "c"), ("b", dt(2023, 1, 1), "late")], schema)
     once = M.upsert_latest(cur, delta)
     twice = M.upsert_latest(once, delta)
-    want = [("a", "new"), ("b", "b"), ("c", "c")]
+    want = [("a", "new"), ("b", "late"), ("c", "c")]
     for df in (once, twice):
         assert sorted((r["doc_id"], r["text"]) for r in df.collect()) == want
 
@@ -167,11 +207,13 @@ def test_apply_changes_both_ways(spark):
     cur = spark.createDataFrame([(f"d{i}", dt(2024, 1, 1), "old") for i in range(50)], "doc_id string, version timestamp_ntz, text string")
     log = spark.createDataFrame(
         [("d1", dt(2024, 1, 2), "new", 0, False), ("d1", dt(2024, 1, 2), "newer", 1, False), ("d2", dt(2024, 1, 1), "gone", 0, True),
-         ("d3", dt(2023, 1, 1), "late", 1, False), ("x", dt(2024, 1, 1), "x", 0, False)],
+         ("d3", dt(2023, 1, 1), "late", 1, False), ("x", dt(2024, 1, 1), "x", 0, False),
+         ("d4", None, "undated", 1, False), ("d5", dt(2024, 1, 5), "first", 2, False), ("d5", dt(2024, 1, 3), "earlier", 2, False)],
         "doc_id string, version timestamp_ntz, text string, batch bigint, deleted boolean")
     for bound in (0, 100):
         got = {r["doc_id"]: r["text"] for r in M.apply_changes(cur, log, small_keys=bound).collect()}
-        assert got["d1"] == "newer" and "d2" not in got and got["d3"] == "old" and got["x"] == "x" and len(got) == 50
+        assert got["d1"] == "newer" and "d2" not in got and got["d3"] == "late" and got["x"] == "x" and len(got) == 50
+        assert got["d4"] == "undated" and got["d5"] == "first"
 
 
 def test_physical_dedup_keeps_unknown(spark):
@@ -182,7 +224,7 @@ def test_physical_dedup_keeps_unknown(spark):
 def test_overlay(spark):
     base = spark.createDataFrame([(1, "a", ["x"]), (2, "b", ["y"])], "k int, v string, l array<string>")
     patch = spark.createDataFrame([(1, "", []), (2, "B", ["z"]), (3, "c", [])], "k int, v string, l array<string>")
-    assert sorted(tuple(r) for r in J.overlay(base, patch, ["k"]).collect()) == [(1, "a", ["x"]), (2, "B", ["z"]), (3, "c", None)]
+    assert sorted(tuple(r) for r in J.overlay(base, patch, ["k"]).collect()) == [(1, "a", ["x"]), (2, "B", ["z"]), (3, "c", [])]
 
 
 def test_resolve_paths_takes_the_first_place(spark):

@@ -21,6 +21,8 @@ def test_clean_strips_all_white_space(spark):
 
 
 def test_clean_renders_numbers_and_nested_values(spark):
+    doubles = [0.001, 0.0001, 0.00012345678901234567, 0.00001, -1.5e-7, 2.5e-10, 1e-300, 1e16, 1.25e17, 1e100, -0.0005]
+    assert values(spark, doubles, X.clean(F.col("v"), T.DoubleType()), "v double") == [str(d) for d in doubles]
     assert values(spark, [1.5, 100000000.0, 123456789.25, 0.0, None], X.clean(F.col("v"), T.DoubleType()), "v double") == [
         "1.5", "100000000.0", "123456789.25", "0.0", ""]
     assert values(spark, [True, False], X.clean(F.col("v"), T.BooleanType()), "v boolean") == ["True", "False"]
