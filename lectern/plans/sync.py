@@ -1,7 +1,9 @@
 """Keeping a collection current: full builds, incremental syncs, rescans, files.
 
 Loops run over configured tables only, never over rows. A table that fails
-leaves an error row in the ledger and keeps its watermark.
+leaves an error row in the ledger and keeps its watermark. Where a sync is given
+files, the chunks of the files that a row refers to are written with the row's
+document and go with it; without files, stored chunks stay as long as their row does.
 """
 
 from __future__ import annotations
@@ -10,26 +12,30 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.config import TableConfig
 from lectern.functions.text import UPLOAD_PREFIXES
 from lectern.functions.vectors import embed_hashed
 from lectern.operators import chunks as C
 from lectern.operators.documents import build_documents, drop_sensitive
-from lectern.operators.joins import CHUNK_MARK, stale_documents
+from lectern.operators.joins import CHUNK_MARK, is_chunk, stale_documents
 from lectern.operators.merge import one_per_key, top_per_group
 from lectern.operators.predicates import scope
 from lectern.operators.skew import skewed_join
-from lectern.sources.collection import COLUMNS, Collection, Snapshot
-from lectern.sources.files import Extractors, extract_files, file_refs, place_refs
+from lectern.session import materialise
+from lectern.sources.collection import COLUMNS, COMPACT_AFTER, Collection, Snapshot
+from lectern.sources.files import Extractors, file_documents, file_refs, place_refs
 from lectern.sources.ledger import Ledger
 from lectern.sources.tables import Source, scan_changed, widen
 
 # Tables whose jobs run side by side in a full build.
 TABLES_AT_ONCE = 3
+NEVER = 1 << 62
 
 Embed = Callable[[Column], Column]
 Rows = Callable[[DataFrame, TableConfig], DataFrame]
@@ -47,17 +53,33 @@ def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
+@dataclass(frozen=True)
+class Files:
+    """Where the files of file columns are and how they become chunks."""
+    listing: Callable[[], DataFrame]
+    extractors: Extractors | None = None
+    recursive: bool = True
+    prefixes: Sequence[str] = UPLOAD_PREFIXES
+
+
+def record_id(docs: DataFrame) -> Column:
+    """The record that a document belongs to: a chunk's parent, else the document itself."""
+    parent = F.concat_ws(".", "source_db", "source_table", "pk_value")
+    return F.when(is_chunk(F.col("doc_id")), parent).otherwise(F.col("doc_id"))
+
+
 class Sync:
     """The sync runs of one collection."""
 
     def __init__(self, source: Source, configs: Sequence[TableConfig], collection: Collection,
-                 embed: Embed = embed_hashed):
+                 embed: Embed = embed_hashed, files: Files | None = None):
         self.source = source
         self.configs = list(configs)
         self.collection = collection
         self.spark = collection.spark
         self.ledger = Ledger(self.spark, collection.root)
         self.embed = embed
+        self.files = files
 
     def _record(self, mode: str, results: list[tuple[str, datetime | None, int, str | None, float]]) -> None:
         run = uuid.uuid4().hex
@@ -65,32 +87,58 @@ class Sync:
             (run, _now(), key, mode, mark, records, "error" if error else "success", error, took)
             for key, mark, records, error, took in results])
 
-    def _documents(self, cfg: TableConfig, rows: Rows, since=None) -> DataFrame:
+    def _rows(self, cfg: TableConfig, rows: Rows, since=None) -> DataFrame:
         table = rows(drop_sensitive(self.source.read(self.spark, cfg.table)), cfg)
-        if since is not None:
-            table = scan_changed(table, cfg.date_column, since, ordered=False)
-        return build_documents(widen(table, *([cfg.pk_column] if cfg.pk_column else [])), cfg)
+        return table if since is None else scan_changed(table, cfg.date_column, since, ordered=False)
+
+    def _documents(self, cfg: TableConfig, table: DataFrame) -> DataFrame:
+        docs = build_documents(widen(table, *([cfg.pk_column] if cfg.pk_column else [])), cfg)
+        return embed_documents(one_per_key(docs), self.embed).select(*COLUMNS)
+
+    def _chunks(self, cfg: TableConfig, table: DataFrame) -> DataFrame | None:
+        """Chunks of the files that the rows refer to."""
+        if self.files is None or not cfg.file_columns:
+            return None
+        f = self.files
+        return table_file_chunks(table, f.listing(), cfg, extractors=f.extractors, recursive=f.recursive, embed=self.embed,
+                                 prefixes=f.prefixes).select(*COLUMNS)
+
+    def _kept_chunks(self, cfg: TableConfig, docs: DataFrame, before: DataFrame) -> DataFrame:
+        """Stored chunks of a table whose records are still there."""
+        chunks = before.where(scope(cfg.db, cfg.table)).where(is_chunk(F.col("doc_id")))
+        return (chunks.withColumn("_record", record_id(chunks))
+                .join(docs.select(F.col("doc_id").alias("_record")), "_record", "left_semi").select(*COLUMNS))
+
+    def _whole(self, cfg: TableConfig, rows: Rows, before: DataFrame) -> DataFrame:
+        """Every document that a table has now, with its chunks."""
+        table = self._rows(cfg, rows)
+        docs = materialise(self._documents(cfg, table), "documents")
+        chunks = self._chunks(cfg, table)
+        return docs.unionByName(self._kept_chunks(cfg, docs, before) if chunks is None else chunks)
 
     def _index_table(self, part: int, rows: Rows, snapshot: Snapshot, before: DataFrame) -> tuple[str | None, float]:
         """Write one table to a snapshot; its documents so far when it cannot be read."""
         cfg, start, error = self.configs[part], time.perf_counter(), None
         try:
-            snapshot.add(embed_documents(one_per_key(self._documents(cfg, rows)), self.embed), part)
+            snapshot.add(self._whole(cfg, rows, before), part)
         except Exception as exc:  # one failing table must not stop the others
             error = str(exc).split("\n")[0]
             snapshot.add(before.where(scope(cfg.db, cfg.table)), part)
         return error, round((time.perf_counter() - start) * 1000, 2)
 
     def build(self, rows: Rows = all_rows, mode: str = "full") -> DataFrame:
-        """Index all tables into a new snapshot. Rows gone from a table are gone from the snapshot;
-        the documents of a table that cannot be read stay as they are."""
-        before, snapshot = self.collection.read(), self.collection.new_snapshot()
+        """Index all configured tables into a new snapshot. Rows gone from a table are gone from the snapshot;
+        the documents of a table that cannot be read, and those of tables not configured, stay as they are."""
+        upto = self.collection.last_batch()
+        before, snapshot = self.collection.read(upto), self.collection.new_snapshot(upto)
         with ThreadPoolExecutor(TABLES_AT_ONCE) as tables:
             runs = list(tables.map(lambda part: self._index_table(part, rows, snapshot, before), range(len(self.configs))))
+        own = reduce(Column.__or__, [scope(cfg.db, cfg.table) for cfg in self.configs], F.lit(False))
+        snapshot.add(before.where(~own), len(self.configs))
         snapshot.finish()
         written = self.collection.read()
         found = written.groupBy(F.concat_ws(".", "source_db", "source_table").alias("k")).agg(
-            F.count("*").alias("n"), F.max("version").alias("mark"))
+            F.count_if(~is_chunk(F.col("doc_id"))).alias("n"), F.max("version").alias("mark"))
         stats = {r["k"]: (r["n"], r["mark"]) for r in found.collect()}
         results = []
         for cfg, (error, took) in zip(self.configs, runs):
@@ -99,6 +147,26 @@ class Sync:
         self._record(mode, results)
         return written
 
+    def _changes(self, cfg: TableConfig, table: DataFrame) -> DataFrame:
+        """Documents and chunks of changed rows, and removal marks for chunks these rows no longer have."""
+        docs = self._documents(cfg, table)
+        chunks = self._chunks(cfg, table)
+        if chunks is None:
+            return docs.withColumn("deleted", F.lit(False))
+        new = materialise(docs.unionByName(chunks), "changes")
+        stored = self.collection.read().where(scope(cfg.db, cfg.table)).where(is_chunk(F.col("doc_id")))
+        changed = new.where(~is_chunk(F.col("doc_id"))).select(F.col("doc_id").alias("_record"))
+        old = stored.withColumn("_record", record_id(stored)).join(changed, "_record", "left_semi").select(*COLUMNS)
+        gone = stale_documents(old, new)
+        return new.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
+
+    def _append(self, batch: DataFrame) -> tuple[int, datetime | None]:
+        """Records written and the highest date among them."""
+        number = self.collection.append_changes(batch, unique=True, compact_after=NEVER)
+        written = self.collection.changes(number - 1, number).where(~F.col("deleted") & ~is_chunk(F.col("doc_id")))
+        records, mark = written.agg(F.count("*"), F.max("version")).first()
+        return records, mark
+
     def incremental(self, rows: Rows = all_rows) -> DataFrame:
         """Changed rows of every table with a date column, from its watermark on (inclusive)."""
         marks = self.ledger.watermarks()
@@ -107,14 +175,13 @@ class Sync:
             start = time.perf_counter()
             mark, records, error = None, 0, None
             try:
-                docs = self._documents(cfg, rows, marks.get(cfg.key))
-                batch = self.collection.append_changes(docs, embed=self.embed)
-                written = self.collection.changes(batch - 1).where(F.col("batch") == batch)
-                records, mark = written.agg(F.count("*"), F.max("version")).first()
+                records, mark = self._append(self._changes(cfg, self._rows(cfg, rows, marks.get(cfg.key))))
             except Exception as exc:  # one failing table must not stop the others
                 error = str(exc).split("\n")[0]
             results.append((cfg.key, mark, records, error, round((time.perf_counter() - start) * 1000, 2)))
         self._record("incremental", results)
+        if len(self.collection.batches()) > COMPACT_AFTER:
+            self.collection.compact()
         return self.collection.read()
 
     def rescan(self, rows: Rows = all_rows) -> DataFrame:
@@ -122,16 +189,13 @@ class Sync:
         return self.build(rows, mode="rescan")
 
     def reindex(self, cfg: TableConfig, rows: Rows = all_rows) -> DataFrame:
-        """All rows of one table as one batch of changes, with a removal mark for documents gone from it."""
+        """All rows of one table, with their chunks, as one batch of changes; removal marks for documents gone from it."""
         start = time.perf_counter()
-        docs = embed_documents(one_per_key(self._documents(cfg, rows)), self.embed)
-        before = self.collection.read().where(scope(cfg.db, cfg.table))
-        gone = stale_documents(before, docs).withColumn("deleted", F.lit(True))
-        batch = docs.withColumn("deleted", F.lit(False)).select(*COLUMNS, "deleted").unionByName(
-            gone.select(*COLUMNS, "deleted"))
-        number = self.collection.append_changes(batch, unique=True)
-        written = self.collection.changes(number - 1).where((F.col("batch") == number) & ~F.col("deleted"))
-        records, mark = written.agg(F.count("*"), F.max("version")).first()
+        before = self.collection.read()
+        now = materialise(self._whole(cfg, rows, before), "reindexed")
+        gone = stale_documents(before.where(scope(cfg.db, cfg.table)), now).withColumn("deleted", F.lit(True))
+        batch = now.withColumn("deleted", F.lit(False)).unionByName(gone.select(*COLUMNS, "deleted"))
+        records, mark = self._append(batch)
         self._record("reindex", [(cfg.key, mark, records, None, round((time.perf_counter() - start) * 1000, 2))])
         return self.collection.read()
 
@@ -142,14 +206,17 @@ def file_chunk_documents(refs: DataFrame, files: DataFrame, cfg: TableConfig, ex
     """Chunks of the files a table refers to, as documents ``{parent}.chunk_{i}``.
 
     A file is extracted, cut and embedded once, whatever the number of rows
-    that name it. References of a second file column carry its name in their
+    that name it; a file of records (CSV) gives one text per record. References of a second file column carry its name in their
     key; rows that share a key share one reference, so every id occurs once.
     """
     single = top_per_group(refs, ["parent_id", "path_no"], ["path", "file_type"])
     placed = place_refs(single, files, prefixes)
-    texts = extract_files(placed, files, extractors).where(F.col("text").isNotNull())
-    pieces = C.chunk_documents(texts, parent="resolved_path", recursive=recursive)
-    pieces = pieces.select("resolved_path", "extension", "chunk_index", "total_chunks", F.col("chunk_text").alias("text"))
+    cut_up = C.chunk_documents(file_documents(placed, files, extractors), parent="resolved_path", recursive=recursive)
+    # Files of records have several texts, whose chunks are counted through.
+    group = Window.partitionBy("resolved_path", "extension")
+    place = F.row_number().over(group.orderBy("part", "chunk_index")) - 1
+    pieces = cut_up.select("resolved_path", "extension", place.alias("chunk_index"),
+                           F.count("*").over(group).cast("int").alias("total_chunks"), F.col("chunk_text").alias("text"))
     cut = skewed_join(placed, embed_documents(pieces, embed), ["resolved_path", "extension"])
     parent = F.when(F.col("path_no") == 0, F.col("parent_id")).otherwise(F.concat_ws(".", "parent_id", "path_col"))
     meta = F.create_map(

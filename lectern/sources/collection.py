@@ -1,14 +1,22 @@
-"""A document collection on disk: complete snapshots and a log of changes.
-
-``snapshots/v=<n>_<batch>`` holds all documents after change batch ``<batch>``,
-partitioned by database and table within the parts it was written in. ``changes/batch=<n>`` holds the rows of one
-batch. A folder counts only with its ``_SUCCESS`` mark, so a reader never sees
-half a write, and writing a batch again replaces it.
+"""A document collection on disk: snapshots and batches of changes, in the order of a commit log.
+
+Data goes to folders with names of their own, ``snapshots/<id>`` and
+``changes/<id>``. A folder counts once an entry of the log names it. Entries are
+``log/<number>``, written aside and moved into place; the move fails where the
+number is taken, and the writer tries the next one. So half-written folders,
+crashed builds and two writers at a time never mix, whatever the committer's
+own marks. The number is the only order: later batches win. A batch that a
+stream writes again after a failure is known by writer and epoch, not by
+its place. A snapshot entry says up to which number it stands for the log;
+later batches stay on top of it.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,6 +26,21 @@ DOCUMENT_SCHEMA = ("doc_id string, doc_label string, pk_value string, text strin
                    "version timestamp_ntz, embedding array<float>, source_db string, source_table string")
 COLUMNS = [part.split()[0] for part in DOCUMENT_SCHEMA.replace("map<string,string>", "map").split(", ")]
 NO_BATCH = -1
+#: Batches on top of a snapshot after which ``append_changes`` folds them into a new one.
+COMPACT_AFTER = 200
+#: Entries at the end of the log among which a repeated batch is looked for; a stream only repeats its last one.
+WRITER_ENTRIES = 1000
+
+
+@dataclass(frozen=True)
+class Entry:
+    """One line of the log."""
+    number: int
+    kind: str  # snapshot or changes
+    folder: str
+    upto: int = NO_BATCH  # of a snapshot: the last entry it contains
+    writer: str = ""
+    epoch: int = -1
 
 
 class Snapshot:
@@ -26,16 +49,20 @@ class Snapshot:
     Every part has a folder of its own, so that parts may be written side by side.
     """
 
-    def __init__(self, collection: Collection, path: str):
+    def __init__(self, collection: Collection, upto: int):
         self.collection = collection
-        self.path = path
+        self.upto = upto
+        self.folder = f"snapshots/{uuid.uuid4().hex}"
+
+    @property
+    def path(self) -> str:
+        return f"{self.collection.root}/{self.folder}"
 
     def add(self, documents: DataFrame, part: int = 0) -> None:
-        (documents.select(*COLUMNS).write.mode("overwrite").partitionBy("source_db", "source_table")
-         .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{self.path}/part={part}"))
+        documents.select(*COLUMNS).write.mode("overwrite").partitionBy("source_db", "source_table").parquet(f"{self.path}/part={part}")
 
     def finish(self) -> str:
-        self.collection._mark(self.path)
+        self.collection._commit("snapshot", self.folder, upto=self.upto)
         return self.path
 
 
@@ -44,84 +71,140 @@ class Collection:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _complete(self, folder: str) -> list[str]:
-        """Names of the finished folders below a folder."""
-        jvm = self.spark._jvm
-        base = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
-        fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    # ---- the log
+
+    def _fs(self, path: str):
+        """Hadoop's path and file system of a place below the root."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _entries(self, last: int | None = None, whole: bool = True) -> list[Entry]:
+        """The last entries in order; unless ``whole``, only those that the snapshots among them do not contain."""
+        base, fs = self._fs("log")
         if not fs.exists(base):
             return []
-        entries = [s.getPath() for s in fs.listStatus(base) if s.isDirectory()]
-        return [p.getName() for p in entries if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-
-    def _snapshots(self) -> list[tuple[int, int]]:
-        found = [n.removeprefix("v=").split("_") for n in self._complete("snapshots")]
-        return sorted((int(v), int(b)) for v, b in found)
+        names = sorted((s.getPath().getName() for s in fs.listStatus(base) if s.getPath().getName().isdigit()), reverse=True)
+        found: list[Entry] = []
+        floor = NO_BATCH
+        for name in names[:last]:
+            if not whole and int(name) <= floor:
+                break
+            stream = fs.open(self._fs(f"log/{name}")[0])
+            try:
+                entry = Entry(**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+            found.append(entry)
+            if entry.kind == "snapshot":
+                floor = max(floor, entry.upto)
+        return found[::-1]
+
+    def _log(self) -> list[Entry]:
+        """What a reader needs: the entries that no snapshot contains, and the snapshots among them."""
+        return self._entries(whole=False)
+
+    def _commit(self, kind: str, folder: str, **more) -> int:
+        """Add an entry under the next free number."""
+        jvm = self.spark._jvm
+        base, fs = self._fs("log")
+        fs.mkdirs(base)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(base.toUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        taken = [int(s.getPath().getName()) for s in fs.listStatus(base) if s.getPath().getName().isdigit()]
+        number = max(taken, default=NO_BATCH) + 1
+        while True:
+            aside, _ = self._fs(f"log/.{uuid.uuid4().hex}")
+            out = fs.create(aside, False)
+            out.write(bytearray(json.dumps(asdict(Entry(number, kind, folder, **more))).encode()))
+            out.close()
+            target, _ = self._fs(f"log/{number:012d}")
+            try:
+                context.rename(aside, target, none)
+                return number
+            except Exception:
+                fs.delete(aside, False)
+                if not fs.exists(target):
+                    raise
+                number += 1
+
+    def _latest(self) -> tuple[Entry | None, list[Entry]]:
+        """The snapshot that stands for most of the log, and the batches after it."""
+        log = self._log()
+        snapshots = [e for e in log if e.kind == "snapshot"]
+        best = max(snapshots, key=lambda e: (e.upto, e.number), default=None)
+        upto = best.upto if best else NO_BATCH
+        return best, [e for e in log if e.kind == "changes" and e.number > upto]
 
     def batches(self) -> list[int]:
-        return sorted(int(n.removeprefix("batch=")) for n in self._complete("changes"))
+        """Numbers of the batches on top of the last snapshot."""
+        return [e.number for e in self._latest()[1]]
 
     def last_batch(self) -> int:
-        upto = self._snapshots()[-1][1] if self._snapshots() else NO_BATCH
-        return max([upto, *self.batches()])
+        return max((e.number for e in self._entries(1)), default=NO_BATCH)
 
-    def _mark(self, path: str) -> None:
-        """Declare a folder finished."""
-        jvm = self.spark._jvm
-        mark = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-        mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark, True).close()
+    # ---- writing
 
-    def new_snapshot(self) -> Snapshot:
-        """An unfinished snapshot that stands for everything up to the last batch."""
-        versions = self._snapshots()
-        number = versions[-1][0] + 1 if versions else 0
-        return Snapshot(self, f"{self.root}/snapshots/v={number}_{self.last_batch()}")
+    def new_snapshot(self, upto: int | None = None) -> Snapshot:
+        """An unfinished snapshot that stands for everything up to an entry, by default the last one."""
+        return Snapshot(self, self.last_batch() if upto is None else upto)
 
-    def write_snapshot(self, documents: DataFrame) -> str:
+    def write_snapshot(self, documents: DataFrame, upto: int | None = None) -> str:
         """All documents at once as a new snapshot."""
-        snapshot = self.new_snapshot()
+        snapshot = self.new_snapshot(upto)
         snapshot.add(documents)
         return snapshot.finish()
 
-    def append_changes(self, documents: DataFrame, batch: int | None = None,
-                       embed: Callable[[Column], Column] | None = None, unique: bool = False) -> int:
-        """One batch of changed documents; ``deleted`` marks removed ones. Idempotent per batch number.
+    def append_changes(self, documents: DataFrame, embed: Callable[[Column], Column] | None = None, unique: bool = False,
+                       writer: str = "", epoch: int = -1, compact_after: int = COMPACT_AFTER) -> int:
+        """One batch of changed documents; ``deleted`` marks removed ones. Returns its number.
 
         The rows are reduced to one per key unless they are ``unique`` already,
-        then embedded when ``embed`` is given.
+        then embedded when ``embed`` is given. A batch whose ``writer`` and
+        ``epoch`` are in the log already is not written again.
         """
-        number = self.last_batch() + 1 if batch is None else batch
+        if writer:
+            done = [e.number for e in self._entries(WRITER_ENTRIES) if (e.writer, e.epoch) == (writer, epoch)]
+            if done:
+                return done[-1]
         rows = documents if "deleted" in documents.columns else documents.withColumn("deleted", F.lit(False))
         newest = rows if unique else one_per_key(rows)
         if embed:
             newest = newest.withColumn("embedding", embed(F.col("text")))
-        newest.select(*COLUMNS, "deleted").write.mode("overwrite").parquet(f"{self.root}/changes/batch={number}")
+        folder = f"changes/{uuid.uuid4().hex}"
+        newest.select(*COLUMNS, "deleted").write.parquet(f"{self.root}/{folder}")
+        number = self._commit("changes", folder, writer=writer, epoch=epoch)
+        if len(self.batches()) > compact_after:
+            self.compact()
         return number
 
-    def _snapshot(self) -> DataFrame:
-        versions = self._snapshots()
-        if not versions:
+    def compact(self) -> str:
+        """Fold the changes into a new snapshot. Batches committed meanwhile stay on top of it."""
+        upto = self.last_batch()
+        return self.write_snapshot(self.read(upto), upto)
+
+    # ---- reading
+
+    def _snapshot(self, entry: Entry | None) -> DataFrame:
+        if entry is None:
             return self.spark.createDataFrame([], DOCUMENT_SCHEMA)
-        number, batch = versions[-1]
-        return (self.spark.read.schema(DOCUMENT_SCHEMA)
-                .parquet(f"{self.root}/snapshots/v={number}_{batch}").select(*COLUMNS))
+        return self.spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{self.root}/{entry.folder}").select(*COLUMNS)
 
-    def changes(self, after: int = NO_BATCH) -> DataFrame | None:
-        numbers = [b for b in self.batches() if b > after]
-        if not numbers:
+    def changes(self, after: int = NO_BATCH, upto: int | None = None) -> DataFrame | None:
+        """Rows of the batches on top of the last snapshot, with their numbers as ``batch``."""
+        found = [e for e in self._latest()[1] if e.number > after and (upto is None or e.number <= upto)]
+        if not found:
             return None
-        paths = [f"{self.root}/changes/batch={b}" for b in numbers]
-        schema = f"{DOCUMENT_SCHEMA}, deleted boolean, batch bigint"
-        log = self.spark.read.schema(schema).option("basePath", f"{self.root}/changes").parquet(*paths)
+        schema = f"{DOCUMENT_SCHEMA}, deleted boolean"
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{e.folder}" for e in found])
+        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        numbers = {e.folder.rpartition("/")[2]: e.number for e in found}
+        table = self.spark.createDataFrame(list(numbers.items()), "_folder string, batch long")
+        log = rows.withColumn("_folder", folder).join(F.broadcast(table), "_folder")
         return log.select(*COLUMNS, "batch", "deleted")
 
-    def read(self) -> DataFrame:
+    def read(self, upto: int | None = None) -> DataFrame:
         """Current documents: the last snapshot with all later changes applied."""
-        versions = self._snapshots()
-        log = self.changes(versions[-1][1] if versions else NO_BATCH)
-        current = self._snapshot()
+        entry, _ = self._latest()
+        log = self.changes(upto=upto)
+        current = self._snapshot(entry)
         return current if log is None else apply_changes(current, log)
-
-    def compact(self) -> str:
-        """Fold the changes into a new snapshot."""
-        return self.write_snapshot(self.read())

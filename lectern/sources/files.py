@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Callable, Iterator, Sequence
+from itertools import zip_longest
 
 import pandas as pd
 import pyarrow as pa
@@ -46,15 +47,26 @@ def file_refs(df: DataFrame, cfg: TableConfig) -> DataFrame:
 # ---- extraction --------------------------------------------------------------
 
 
+def _csv_rows(content: bytes) -> Iterator[list[str]]:
+    """Rows of a comma-separated file; they end where the file is broken."""
+    rows = csv.reader(io.StringIO(content.decode("utf-8", "replace"), newline=None))
+    while True:
+        try:
+            yield next(rows)
+        except (StopIteration, csv.Error):
+            return
+
+
 def _csv_text(content: bytes) -> str:
-    """Cells joined by `` | ``, rows by a line break; always comma-separated."""
-    lines = []
-    try:
-        for row in csv.reader(io.StringIO(content.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))):
-            lines.append(" | ".join(row))
-    except csv.Error:  # keep the rows read so far
-        pass
-    return "\n".join(lines)
+    return "\n".join(map(" | ".join, _csv_rows(content)))
+
+
+def _csv_documents(content: bytes) -> list[str]:
+    """One text per row below the header: ``column: value`` lines. A value that is missing is empty."""
+    rows = _csv_rows(content)
+    header = next(rows, [])
+    return ["\n".join(f"{name}: {value}" for name, value in zip_longest(header, row[: len(header)], fillvalue=""))
+            for row in rows if row]
 
 
 def _plain_text(content: Column) -> Column:
@@ -70,15 +82,18 @@ class Extractors:
 
     ``native`` ones map a binary Column to a text Column. ``python`` ones map
     the bytes of one file to its text and run as an Arrow UDF on the files of
-    their extensions only; an error there is kept with the file.
+    their extensions only; an error there is kept with the file. ``records``
+    ones give several texts per file, for :meth:`documents`.
     """
 
     def __init__(self) -> None:
         self._native: dict[str, Callable[[Column], Column]] = {}
         self._python: dict[str, Callable[[bytes], str]] = {}
+        self._records: dict[str, Callable[[bytes], list[str]]] = {}
         self.register_native(("txt", "text", "log", "md", "rst"), _plain_text)
         self.register_native(("html", "htm"), _html_text)
         self.register_python(("csv", "tsv"), _csv_text)
+        self.register_records(("csv", "tsv"), _csv_documents)
 
     def register_native(self, extensions: Sequence[str], fn: Callable[[Column], Column]) -> None:
         for e in extensions:
@@ -88,6 +103,10 @@ class Extractors:
         for e in extensions:
             self._python[e.lower().lstrip(".")] = fn
 
+    def register_records(self, extensions: Sequence[str], fn: Callable[[bytes], list[str]]) -> None:
+        for e in extensions:
+            self._records[e.lower().lstrip(".")] = fn
+
     def supported(self) -> list[str]:
         return sorted({*self._native, *self._python})
 
@@ -126,6 +145,20 @@ class Extractors:
         return (out.withColumn("text", X.let(stripped, lambda t: F.when(t != "", t))).withColumn("error", F.col("_python.error"))
                 .drop("_native", "_python"))
 
+    def documents(self, df: DataFrame, content: str = "content", extension: str = "extension") -> DataFrame:
+        """Adds ``texts``: the texts of a file of records, else its one text; empty when there is none."""
+        functions = dict(self._records)
+
+        @F.pandas_udf("array<string>")
+        def split(contents: pd.Series, extensions: pd.Series) -> pd.Series:
+            return pd.Series([None if data is None else functions[e](data) for data, e in zip(contents, extensions)], dtype="object")
+
+        ext = F.col(extension)
+        many = ext.isin(list(functions))
+        single = self.extract(df, content, extension)
+        records = split.asNondeterministic()(F.when(many, F.col(content)), ext)
+        return single.withColumn("texts", F.filter(F.coalesce(records, F.array("text")), lambda t: X.strip(t) != ""))
+
 
 # ---- files -------------------------------------------------------------------
 
@@ -150,6 +183,15 @@ def extract_files(placed: DataFrame, files: DataFrame, extractors: Extractors |
     return (extractors or Extractors()).extract(read).drop("content")
 
 
+def file_documents(placed: DataFrame, files: DataFrame, extractors: Extractors | None = None) -> DataFrame:
+    """``(resolved_path, extension, part, text)``: the texts of each file; a file named by many rows is read once."""
+    wanted = placed.where(F.col("resolved_path").isNotNull()).select("resolved_path", "extension").distinct()
+    read = files.select(F.col("path").alias("resolved_path"), "content").join(wanted, "resolved_path")
+    texts = (extractors or Extractors()).documents(read).drop("content", "text")
+    return (texts.select("resolved_path", "extension", F.posexplode_outer("texts").alias("part", "text"))
+            .where(F.col("text").isNotNull()))
+
+
 def extract_refs(refs: DataFrame, files: DataFrame, extractors: Extractors | None = None,
                  prefixes: Sequence[str] = X.UPLOAD_PREFIXES) -> DataFrame:
     """File references with ``resolved_path``, ``extension``, ``text`` and ``error``."""
@@ -174,12 +216,19 @@ def write_files(df: DataFrame, root: str, name: str, content: str) -> DataFrame:
     """One file per row, ``(path, length)`` of the files written.
 
     Writes through the file system of the folder's URI from the tasks; a
-    repeated task writes the same file again.
+    repeated task writes the same file again. A path without a scheme belongs
+    to the session's default file system, as it does for ``scan_files``.
     """
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    target = str(place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri())
+    if target.startswith("file:/") and not target.startswith("file://"):
+        target = f"file://{target.removeprefix('file:')}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        system, base = fs.FileSystem.from_uri(target)
         system.create_dir(base, recursive=True)
         for batch in batches:
             paths, sizes = [], []

@@ -13,17 +13,18 @@ from lectern.sources.collection import Collection
 
 
 def stream_changes(rows: DataFrame, cfg: TableConfig, collection: Collection, checkpoint: str, *,
-                   first_batch: int = 0, every: str | None = None, embed: Embed = embed_hashed) -> StreamingQuery:
+                   every: str | None = None, embed: Embed = embed_hashed) -> StreamingQuery:
     """Upsert a stream of rows into a collection.
 
-    Each micro-batch becomes the change batch ``first_batch + batch id``; a
-    micro-batch that is run again after a failure replaces its own rows. The
-    state is the collection itself. ``every`` is a processing-time interval;
-    without it the stream ends when all available rows are read.
+    Each micro-batch becomes one batch of changes, after all that are committed
+    by then. A micro-batch that is run again after a failure is known by its
+    checkpoint and number, and not written twice. The state is the collection
+    itself. ``every`` is a processing-time interval; without it the stream ends
+    when all available rows are read.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         docs = build_documents(drop_sensitive(batch), cfg)
-        collection.append_changes(docs, first_batch + batch_id, embed)
+        collection.append_changes(docs, embed, writer=checkpoint, epoch=batch_id)
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)

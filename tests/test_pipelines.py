@@ -269,8 +269,10 @@ def test_a_batch_written_twice_counts_once(spark, tmp_path):
 
     docs = embed_documents(build_documents(spark.createDataFrame([(1, "a", 1.0, day(1)), (1, "z", 1.0, day(2))], SCHEMA), CFG))
     for _ in range(2):
-        store.append_changes(docs, 5)
-    assert store.batches() == [5]
+        store.append_changes(docs, writer="w", epoch=5)
+    assert len(store.batches()) == 1
+    store.append_changes(docs, writer="v", epoch=5)
+    assert len(store.batches()) == 2
     assert content(store.read()) == {"db.notes.1": "Note\nBody: z"}
 
 
@@ -297,4 +299,113 @@ def test_stream_restart_continues(spark, tmp_path):
     run()
     run()
     assert store.batches() == [0, 1]
-    assert content(store.read()) == {"db.notes.1": "Note\nBody: a2", "db.notes.2": "Note\nBody: b"}
+    assert content(store.read()) == {"db.notes.1": "Note\nBody: a2", "db.notes.2": "Note\nBody: late"}
+
+
+def _stream(spark, tmp_path, store, rows, name="s"):
+    from lectern.streaming.sync import stream_changes, stream_parquet
+
+    place = str(tmp_path / f"{name}-in")
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(place)
+    frames = stream_parquet(spark, place, spark.createDataFrame([], SCHEMA).schema)
+    stream_changes(frames, CFG, store, str(tmp_path / f"{name}-check")).awaitTermination()
+
+
+def test_streams_and_syncs_keep_each_others_changes(spark, tmp_path):
+    source = Tables({"notes": spark.createDataFrame([(1, "a", 1.0, day(1)), (2, "b", 1.0, day(1))], SCHEMA)})
+    sync = Sync(source, [CFG], Collection(spark, str(tmp_path / "c")))
+    sync.build()
+    source.frames["notes"] = spark.createDataFrame([(1, "a", 1.0, day(1)), (2, "b2", 1.0, day(2))], SCHEMA)
+    sync.incremental()
+    _stream(spark, tmp_path, sync.collection, [(3, "c", 1.0, day(3))])
+    want = {"db.notes.1": "Note\nBody: a", "db.notes.2": "Note\nBody: b2", "db.notes.3": "Note\nBody: c"}
+    assert content(sync.collection.read()) == want
+    sync.collection.compact()
+    _stream(spark, tmp_path, sync.collection, [(4, "d", 1.0, day(1))], "t")
+    assert content(sync.collection.read()) == {**want, "db.notes.4": "Note\nBody: d"}
+
+
+def test_build_of_some_tables_keeps_the_others(spark, tmp_path):
+    rows = [(1, "a", 1.0, day(1))]
+    source = Tables({"notes": spark.createDataFrame(rows, SCHEMA), "memos": spark.createDataFrame(rows, SCHEMA)})
+    memos = TableConfig("db", "memos", ("body",), ("n",), "id", "Memo", date_column="changed")
+    store = Collection(spark, str(tmp_path / "c"))
+    Sync(source, [CFG, memos], store).build()
+    assert set(content(Sync(source, [CFG], store).build())) == {"db.notes.1", "db.memos.1"}
+
+
+def test_a_crashed_build_leaves_nothing(spark, tmp_path):
+    source = Tables({"notes": spark.createDataFrame([(9, "a", 1.0, day(1))], SCHEMA)})
+    store = Collection(spark, str(tmp_path / "c"))
+    sync = Sync(source, [CFG], store)
+    sync.build()
+    left = store.new_snapshot()
+    left.add(store.read(), 0)
+    left.add(store.read(), 1)  # never finished
+    store.compact()
+    assert store.read().count() == 1
+
+
+def test_two_writers_and_a_snapshot_between(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lectern.operators.documents import build_documents
+    from lectern.plans.sync import embed_documents
+
+    store = Collection(spark, str(tmp_path / "c"))
+
+    def docs(i, text):
+        return embed_documents(build_documents(spark.createDataFrame([(i, text, 1.0, day(1))], SCHEMA), CFG))
+
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda i: store.append_changes(docs(i, f"t{i}")), range(6)))
+    assert len(set(numbers)) == 6 and store.read().count() == 6
+    upto = store.last_batch()
+    before, snapshot = store.read(upto), store.new_snapshot(upto)
+    store.append_changes(docs(0, "meanwhile"))
+    snapshot.add(before)
+    snapshot.finish()
+    assert content(store.read())["db.notes.0"] == "Note\nBody: meanwhile" and store.read().count() == 6
+    for i in range(3):
+        store.append_changes(docs(20 + i, "x"), compact_after=2)
+    assert len(store.batches()) <= 2 and store.read().count() == 9
+
+
+def test_dates_moved_back_or_lost(spark, tmp_path):
+    source = Tables({"notes": spark.createDataFrame([(1, "a", 1.0, day(9)), (2, "b", 1.0, day(9))], SCHEMA)})
+    sync = Sync(source, [CFG], Collection(spark, str(tmp_path / "c")))
+    sync.build()
+    source.frames["notes"] = spark.createDataFrame([(1, "a2", 1.0, day(1)), (2, "b2", 1.0, None)], SCHEMA)
+    assert content(sync.reindex(CFG)) == {"db.notes.1": "Note\nBody: a2", "db.notes.2": "Note\nBody: b2"}
+
+
+def test_file_chunks_follow_their_records(spark, tmp_path):
+    """Chunks of changed, kept and removed records through build, incremental sync, re-index and rescan."""
+    from lectern.plans.sync import Files
+    from lectern.sources import files as S
+
+    root = tmp_path / "files"
+    root.mkdir()
+    for name, text in (("a.txt", "alpha " * 300), ("b.txt", "beta"), ("c.csv", "k,v\n1,x\n2,y\n")):
+        (root / name).write_text(text)
+    cfg = TableConfig("db", "notes", ("body",), ("n",), "id", "Note", date_column="changed", file_columns=(("doc", ""),))
+    schema = f"{SCHEMA}, doc string"
+    rows = [(1, "one", 1.0, day(1), f"{root}/a.txt"), (2, "two", 1.0, day(1), f"{root}/b.txt"), (3, "three", 1.0, day(1), f"{root}/c.csv")]
+    source = Tables({"notes": spark.createDataFrame(rows, schema)})
+    store = Collection(spark, str(tmp_path / "c"))
+    sync = Sync(source, [cfg], store, files=Files(lambda: S.scan_files(spark, str(root)), prefixes=(f"{root}/",)))
+    built = content(sync.build())
+    first = {k for k in built if ".1.chunk_" in k}
+    assert len(first) > 1 and "db.notes.2.chunk_0" in built and built["db.notes.3.chunk_0"] == "k: 1\nv: x" and "db.notes.3.chunk_1" in built
+    # Row 1 now names the short file: its second chunk goes. Row 2 keeps its chunk.
+    rows[0] = (1, "one", 1.0, day(2), f"{root}/b.txt")
+    source.frames["notes"] = spark.createDataFrame(rows, schema)
+    after = content(sync.incremental())
+    assert after["db.notes.1.chunk_0"] == "beta" and "db.notes.1.chunk_1" not in after and "db.notes.2.chunk_0" in after
+    source.frames["notes"] = spark.createDataFrame(rows[:2], schema)
+    again = content(sync.reindex(cfg))
+    assert set(again) == {"db.notes.1", "db.notes.2", "db.notes.1.chunk_0", "db.notes.2.chunk_0"}
+    source.frames["notes"] = spark.createDataFrame(rows[:1], schema)
+    # Without files at hand, stored chunks stay with the records that are left.
+    assert set(content(Sync(source, [cfg], store).rescan())) == {"db.notes.1", "db.notes.1.chunk_0"}
+    assert sync.ledger.latest().first()["records"] == 1
