@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import chunks as C, documents as D, rollups as R
 from lectern.operators.merge import one_per_key
-from lectern.plans.sync import Sync, embed_documents, file_chunk_documents
+from lectern.plans.sync import Files, Sync, embed_documents, file_chunk_documents
 from lectern.queries import testbed as B
 from lectern.queries.registry import query, sql_generic, sql_html, table
 from lectern.queries.rendering import SQL_FAN_IN, _sql_documents
@@ -48,7 +48,6 @@ SELECT 'run-' || event_id AS run_id, ts AS run_ts, 'user.' || user_id AS table_k
   CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status FROM events""")
 def ledger_roundtrip(spark, sf):
     ledger = Ledger(spark, scratch_path(spark, "ledger"))
-    assert ledger.read().isEmpty()
     failed = F.col("event_type") == "error"
     rows = table(spark, sf, "events").select(
         F.concat(F.lit("run-"), "event_id").alias("run_id"), F.col("ts").alias("run_ts"),
@@ -145,6 +144,43 @@ def stream_sync(spark, sf):
     return store.read().select("doc_id", "version", F.md5("text").alias("text_md5"))
 
 
+_SQL_NEWEST = f"""SELECT 'corpus.events.' || event_id AS doc_id, md5({sql_generic("Event", [("event_type", "Event Type"), ("props", "Props")])}) AS text_md5
+FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'streamed' WHEN event_id % 5 = 1 THEN 'synced' ELSE event_type END AS event_type, props FROM events)"""
+
+
+@query("stream_after_sync", _SQL_NEWEST)
+def stream_after_sync(spark, sf):
+    """A build, an incremental sync, a compaction and two streams, none of which may undo another's changes."""
+    sync = _sync(spark, sf, (B.EVENTS,))
+    kind = F.col("event_id") % 5
+    sync.build(lambda df, cfg: df.where(F.col("event_id") % 10 != 0))
+    # Every date is at or after the watermark here, so that the sync sees the rows it changes.
+    last = F.lit("2030-01-01").cast("timestamp_ntz")
+    sync.incremental(lambda df, cfg: df.where(kind == 1).withColumn("event_type", F.lit("synced")).withColumn("ts", last))
+    events = table(spark, sf, "events")
+    for half in (0, 5):
+        root = scratch_path(spark, "stream")
+        rows = events.where(F.col("event_id") % 10 == half).withColumn("event_type", F.lit("streamed"))
+        rows.write.parquet(f"{root}/in")
+        stream_changes(stream_parquet(spark, f"{root}/in", events.schema), B.EVENTS, sync.collection, f"{root}/checkpoint").awaitTermination()
+        sync.collection.compact()
+    return sync.collection.read().select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("build_subset", f"""{_sql_documents("shop", "customer", "Customer", [("upper(c_name)", "C Name"), ("c_mktsegment", "C Mktsegment")], "c_custkey")}
+UNION ALL {_sql_documents("shop", "supplier", "Supplier", [("s_name", "S Name")], "s_suppkey")}""")
+def build_subset(spark, sf):
+    """A build of one table keeps the others, and nothing of a build that broke off."""
+    store = Collection(spark, scratch_path(spark, "sync"))
+    both = Sync(Parquet(sf), (B.CUSTOMER, B.SUPPLIER), store)
+    both.build()
+    broken = store.new_snapshot()
+    broken.add(store.read().where("source_table = 'supplier'"), 7)
+    Sync(Parquet(sf), (B.CUSTOMER,), store).build(lambda df, cfg: df.withColumn("c_name", F.upper("c_name")))
+    store.compact()
+    return _shown(store.read())
+
+
 # ---- files -------------------------------------------------------------------
 
 
@@ -244,3 +280,39 @@ def file_chunks(spark, sf):
     meta = F.col("metadata")
     return store.read().select("doc_id", meta["chunk_index"].cast("int").alias("chunk_index"),
                                meta["total_chunks"].cast("int").alias("total_chunks"), F.md5("text").alias("text_md5"))
+
+
+_SQL_KEPT = f"""WITH t AS ({_SQL_PAGE_TEXT}), p AS (SELECT page_id, url FROM pages WHERE page_id % 7 <> 3),
+f AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN page_id ELSE page_id - page_id % 5 END AS file FROM p),
+c AS (SELECT page_id, text, unnest(range(0, greatest(ceil((length(text) - 1000) / 800.0), 0)::BIGINT + 1)) AS i
+  FROM f JOIN t ON t.row_id = f.file::VARCHAR WHERE text IS NOT NULL)
+SELECT 'corpus.pages.' || page_id || '.chunk_' || i AS doc_id, md5(substr(text, i * 800 + 1, 1000)) AS text_md5 FROM c
+UNION ALL SELECT 'corpus.pages.' || page_id, md5({sql_generic("Page", [("url", "Url")])}) FROM p"""
+
+
+@query("sync_files", _SQL_KEPT)
+def sync_files(spark, sf):
+    """Chunks through a build, an incremental sync that moves files to other records, a re-index without some records,
+    and a rescan."""
+    root = scratch_path(spark, "files")
+    pages = widen(table(spark, sf, "pages"), "page_id")
+    named = pages.select("page_id", F.concat("page_id", F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content"))
+    S.write_files(named, root, "name", "content").agg(F.sum("length")).collect()
+    cfg = replace(B.PAGES, metadata_columns=(), date_column="seen", file_columns=(("place", ""),))
+
+    def rows(first: bool, some: bool):
+        id_ = F.col("page_id")
+        file = id_ if first else id_ - id_ % 5
+        seen = F.lit("2024-01-01" if first else "2024-01-02").cast("timestamp_ntz")
+        full = pages.select("page_id", "url", F.concat(F.lit(f"{root}/"), file.cast("string"), F.lit(".html")).alias("place"),
+                            F.when(id_ % 5 == 0, F.lit("2024-01-01").cast("timestamp_ntz")).otherwise(seen).alias("seen"))
+        return lambda df, _: full.where(id_ % 7 != 3) if some else full
+
+    store = Collection(spark, scratch_path(spark, "sync"))
+    sync = Sync(Parquet(sf), (cfg,), store, files=Files(lambda: S.scan_files(spark, root), recursive=False, prefixes=(f"{root}/",)))
+    sync.build(rows(True, False))
+    sync.incremental(rows(False, False))
+    sync.reindex(cfg, rows(False, True))
+    # Without its files, a sync keeps the chunks of the records that are left.
+    done = Sync(Parquet(sf), (cfg,), store).rescan(rows(False, True))
+    return done.select("doc_id", F.md5("text").alias("text_md5"))
