@@ -16,7 +16,7 @@ from pyspark.sql import Column, functions as F
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 PairScorer = Callable[[Sequence[str], Sequence[str]], Sequence[float]]
-Generator = Callable[[Sequence[str], Sequence[str]], Sequence[str]]
+Generator = Callable[..., Sequence[str]]  # (questions, contexts), and system= and temperature= where these are set
 
 
 def _tried(call: Callable, tries: int):
@@ -75,16 +75,23 @@ def score_with(factory: Callable[[], PairScorer], question: Column, text: Column
     return score.asNondeterministic()(question, text)
 
 
-def generate_with(factory: Callable[[], Generator], question: Column, context: Column) -> Column:
-    """Text per (question, context); NULL where the model fails."""
+def generate_with(factory: Callable[[], Generator], question: Column, context: Column, *, system: str | None = None,
+                  temperature: float | None = None) -> Column:
+    """Text per (question, context); NULL where the model fails.
+
+    A ``system`` text and a ``temperature`` are handed to the model as keyword
+    arguments if they are given.
+    """
+    given = {k: v for k, v in (("system", system), ("temperature", temperature)) if v is not None}
+
     @F.pandas_udf("string")
     def generate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = factory()
         for questions, contexts in batches:
             q, c = questions.tolist(), contexts.tolist()
-            out = _tried(lambda: list(model(q, c)), 1)
+            out = _tried(lambda: list(model(q, c, **given)), 1)
             if out is None:
-                out = [_tried(lambda a=a, b=b: model([a], [b])[0], 1) for a, b in zip(q, c)]
+                out = [_tried(lambda a=a, b=b: model([a], [b], **given)[0], 1) for a, b in zip(q, c)]
             yield pd.Series(out, dtype="object")
 
     return generate.asNondeterministic()(question, context)

@@ -15,9 +15,12 @@ from lectern.config import TableConfig
 from lectern.functions import text as X
 from lectern.operators import documents as D
 from lectern.operators.joins import resolve_paths
-from lectern.operators.skew import skewed_join
+from lectern.operators.skew import fits_broadcast, skewed_join
 from lectern.session import materialise
 
+#: Paths sent to every task at most; they are measured in bytes too.
+WANTED_PATHS = 500_000
+
 
 def file_refs(df: DataFrame, cfg: TableConfig) -> DataFrame:
     """One row per non-blank file reference of a table.
@@ -176,18 +179,22 @@ def place_refs(refs: DataFrame, files: DataFrame, prefixes: Sequence[str] = X.UP
     return materialise(typed, "placed")
 
 
+def _wanted(placed: DataFrame, files: DataFrame) -> DataFrame:
+    """The files that are referred to, with their bytes. These stay where they are read as long as the paths are few
+    enough to be sent to every task."""
+    wanted = placed.where(F.col("resolved_path").isNotNull()).select("resolved_path", "extension").distinct()
+    side = F.broadcast(wanted) if fits_broadcast(wanted, WANTED_PATHS) else wanted
+    return files.select(F.col("path").alias("resolved_path"), "content").join(side, "resolved_path")
+
+
 def extract_files(placed: DataFrame, files: DataFrame, extractors: Extractors | None = None) -> DataFrame:
     """``(resolved_path, extension, text, error)``; a file named by many rows is read once."""
-    wanted = placed.where(F.col("resolved_path").isNotNull()).select("resolved_path", "extension").distinct()
-    read = files.select(F.col("path").alias("resolved_path"), "content").join(wanted, "resolved_path")
-    return (extractors or Extractors()).extract(read).drop("content")
+    return (extractors or Extractors()).extract(_wanted(placed, files)).drop("content")
 
 
 def file_documents(placed: DataFrame, files: DataFrame, extractors: Extractors | None = None) -> DataFrame:
     """``(resolved_path, extension, part, text)``: the texts of each file; a file named by many rows is read once."""
-    wanted = placed.where(F.col("resolved_path").isNotNull()).select("resolved_path", "extension").distinct()
-    read = files.select(F.col("path").alias("resolved_path"), "content").join(wanted, "resolved_path")
-    texts = (extractors or Extractors()).documents(read).drop("content", "text")
+    texts = (extractors or Extractors()).documents(_wanted(placed, files)).drop("content", "text")
     return (texts.select("resolved_path", "extension", F.posexplode_outer("texts").alias("part", "text"))
             .where(F.col("text").isNotNull()))
 
