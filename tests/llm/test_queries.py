@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import sys
+
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 import __spark_entry__ as entry
 from lectern.llm import queries as Q
 
@@ -45,3 +50,11 @@ def test_held_out_languages(spark, sf):
         spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     right = rows.where("lang = lang_pred").count()
     assert right >= 0.9 * rows.where("lang is not null").count()
+
+
+def test_twins(spark, sf):
+    from oracle import compare, connect
+
+    con = connect(sf)
+    for name, sql in Q.ORACLES.items():
+        assert not compare(spark, con, sf, Q.QUERIES[name], sql)[1]
