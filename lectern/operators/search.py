@@ -3,8 +3,7 @@
 A small query set goes to every task once; each task multiplies its vectors
 batch by batch and keeps only the k best rows per query, so that the shuffle
 carries k rows per query and task, whatever the size of the collection. A query
-set beyond ``max_queries`` is cut into a grid of (query block, vector block)
-cells instead, each of bounded size, with the same result.
+set beyond ``max_queries`` is taken block by block, with the same result.
 """
 
 from __future__ import annotations
@@ -18,8 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lectern.session import scratch_path
+
 MAX_QUERIES = 4096
-CELL_ROWS = 20_000
 #: Equal vectors may differ in the last bits of their sums; this is far above that and far below any real difference.
 RANK_DECIMALS = 12
 SHOWN_DECIMALS = 6
@@ -87,27 +87,31 @@ def _scan(query_ids: np.ndarray, query_matrix: np.ndarray, k: int, decimals: int
     return run
 
 
-def _grid(vectors: DataFrame, queries: DataFrame, n_queries: int, k: int, decimals: int,
-          out: T.StructType, max_queries: int, cell_rows: int) -> DataFrame:
-    """Top-k rows per cell of (query block, vector block); no cell outgrows its bounds."""
-    blocks = math.ceil(n_queries / max_queries) * 2
-    cells = max(1, math.ceil(vectors.count() / cell_rows) * 2)
-    left = (vectors.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    right = (queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-             .withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint")))))
-
-    schema = to_arrow_schema(out)
+def _matrix_of(asked: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors of a bounded set of queries; None when no query has a vector."""
+    head = asked.select("query_id", "qvec").toArrow()
+    head = head.filter(pc.is_valid(head.column(1)))
+    if head.num_rows == 0:
+        return None
+    return head.column(0).to_numpy(zero_copy_only=False), _matrix(head.column(1).combine_chunks())
 
-    def one_cell(v: pa.Table, q: pa.Table) -> pa.Table:
-        q = q.filter(pc.is_valid(q["qvec"]))
-        if v.num_rows == 0 or q.num_rows == 0:
-            return schema.empty_table()
-        scan = _scan(q["query_id"].to_numpy(), _matrix(q["qvec"].combine_chunks()), k, decimals, schema)
-        return pa.Table.from_batches(scan(v.select(["doc_id", "vec"]).to_batches()), schema)
 
-    return (left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell"))
-            .applyInArrow(one_cell, out))
+def _blocks(pool: DataFrame, asked: DataFrame, n_queries: int, k: int, decimals: int, out: T.StructType,
+            max_queries: int) -> DataFrame:
+    """Top-k rows per task of a large query set: the collection is scanned in place for one block of queries after the
+    other, and never shuffled. The blocks, of half ``max_queries`` on average, are written apart, so each is read once."""
+    spark = pool.sparkSession
+    blocks = math.ceil(n_queries / max_queries) * 2
+    where, found = scratch_path(spark, "asked"), scratch_path(spark, "candidates")
+    (asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+     .repartition("_block").write.partitionBy("_block").parquet(where))
+    numbered = spark.read.schema(T.StructType([*asked.schema.fields, T.StructField("_block", T.IntegerType())])).parquet(where)
+    spark.createDataFrame([], out).write.parquet(found)
+    for block in range(blocks):
+        head = _matrix_of(numbered.where(F.col("_block") == block))
+        if head is not None:
+            pool.mapInArrow(_scan(*head, k, decimals, to_arrow_schema(out)), out).write.mode("append").parquet(found)
+    return spark.read.schema(out).parquet(found)
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
@@ -125,7 +129,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame
 def _topk(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | None = None,
           doc_id: str = "doc_id", vector: str = "embedding", query_id: str = "query_id",
           query_vector: str = "embedding", decimals: int = RANK_DECIMALS,
-          max_queries: int = MAX_QUERIES, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, int | None]:
+          max_queries: int = MAX_QUERIES) -> tuple[DataFrame, int | None]:
     """The hits and a bound of their number, None when the query set is large."""
     pool = vectors if where is None else vectors.where(where)
     pool = pool.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("vec"))
@@ -136,16 +140,13 @@ def _topk(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | Non
     few = len(asked.select("query_id").limit(max_queries + 1).collect())
     bound = few * k if few <= max_queries else None
     if bound is None:
-        candidates = _grid(pool, asked, asked.count(), k, decimals, out, max_queries, cell_rows)
+        candidates = _blocks(pool, asked, asked.count(), k, decimals, out, max_queries)
     else:
-        head = asked.toArrow()
-        head = head.filter(pc.is_valid(head.column(1)))
-        if head.num_rows == 0:
+        head = _matrix_of(asked)
+        if head is None:
             return pool.sparkSession.createDataFrame([], out).select(
                 "query_id", F.lit(0).alias("rank"), "doc_id", "score"), 0
-        ids = head.column(0).to_numpy(zero_copy_only=False)
-        matrix = _matrix(head.column(1).combine_chunks())
-        candidates = pool.mapInArrow(_scan(ids, matrix, k, decimals, to_arrow_schema(out)), out)
+        candidates = pool.mapInArrow(_scan(*head, k, decimals, to_arrow_schema(out)), out)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", F.round("score", SHOWN_DECIMALS).alias("score")), bound

@@ -56,6 +56,13 @@ def knn_topk(spark, sf):
     return _knn(spark, sf, 10)
 
 
+@query("knn_blocks", f"WITH {_SQL_QUERIES} {_sql_knn(10)}")
+def knn_blocks(spark, sf):
+    """The same for more queries than go to a task at once: the bound is set low here."""
+    e = widen(table(spark, sf, "embeddings"), "vec_id")
+    return S.topk(e, _centroids(spark, sf), 10, doc_id="vec_id", max_queries=3)
+
+
 @query("knn_filtered", f"WITH {_SQL_QUERIES} {_sql_knn(10, 'label IN (1, 3)')}")
 def knn_filtered(spark, sf):
     return _knn(spark, sf, 10, F.col("label").isin(1, 3))

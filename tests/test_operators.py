@@ -63,7 +63,7 @@ def vectors(spark):
     return docs, queries
 
 
-@pytest.mark.parametrize("options", [{}, {"max_queries": 4, "cell_rows": 50}])
+@pytest.mark.parametrize("options", [{}, {"max_queries": 4}])
 def test_topk_is_exact(spark, vectors, options):
     docs, queries = vectors
     d = spark.createDataFrame(docs + [("null", None)], "doc_id string, embedding array<float>").repartition(7)
