@@ -22,6 +22,7 @@ MARK = "\x01"
 #: Parts encoded in one call.
 TOGETHER = 512
 CACHE = 700_000
+_OTHER = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -33,8 +34,9 @@ def odd(part: str) -> bool:
 
 def parts(text: str) -> list[str]:
     """The text cut at its single blanks; these are left out."""
-    cut = text.split(" ")
-    return _CUT.split(text) if any(map(odd, cut)) else cut
+    spaced = ("  " in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace()
+              or _OTHER.search(text) is not None)
+    return _CUT.split(text) if spaced else text.split(" ")
 
 
 class ChunkEncoder:
