@@ -38,11 +38,11 @@ _EDGES = re.compile(r"^\W+|\W+$")
 
 
 def features(word: str) -> tuple[int, ...]:
-    """Places of a word and its beginnings; none for mere punctuation."""
+    """Places of a word and its beginnings, three for each word; none for mere punctuation."""
     w = _EDGES.sub("", word.lower())
     if not w:
         return ()
-    named = [f"w{w}", *(f"{n}{w[:n]}" for n in (4, 5) if len(w) >= n)]
+    named = [f"w{w}", *(f"{n}{w[:n]}" for n in (4, 5))]
     return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIMENSIONS for x in named)
 
 
