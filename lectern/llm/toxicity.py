@@ -1,7 +1,7 @@
 """Toxicity of documents by multiple-instance learning over their sentences.
 
 A sentence scores by logistic regression on its hashed different words and their beginnings; a
-document is toxic unless every sentence is clean (noisy-or). The weights are
+document is toxic unless every sentence is clean (noisy-or). Words only add to a score. The weights are
 learned from document labels alone, on at most ``PER_CLASS`` labelled documents
 of each class, and then name the offending sentences.
 
@@ -133,7 +133,8 @@ def fit(bags: list[tuple[int, bytes, bytes]], epochs: int = EPOCHS, rate: float
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, b = 1 - 0.9**step, 1 - 0.999**step
-        w -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
+        # Weights stay above zero: a sentence is no cleaner for the harmless words around an offence.
+        w = np.maximum(w - rate * (m / a) / (np.sqrt(v / b) + 1e-8), 0.0)
         bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-8)
     weights = np.zeros(DIMENSIONS, np.float32)
     weights[used] = w

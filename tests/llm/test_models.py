@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lectern.llm import chat, langid, toxicity, urls
 from lectern.llm.common import held_out, training_rows
 
-SYLLABLES = {"aa": "ba ke lo mi tu ran sel".split(), "bb": "zho xir qua wen yix ptal grü".split()}
+SYLLABLES = {"aa": "ba ke lo mi tu ran sel vor dun pik hes jal".split(), "bb": "zho xir qua wen yix ptal grü".split()}
 
 
 def prose(lang, seed, n=60):
