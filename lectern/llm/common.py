@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lectern.functions.text import let
 from lectern.session import scratch_path
 
 #: Rows are handed to vectorised code in groups of about this many characters.
@@ -41,6 +43,25 @@ def grouped(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = GROUP
             yield [c[first:] for c in others], texts[first:]
 
 
+def range_of(rows: DataFrame, key: str, groups: int) -> Column:
+    """The place of a row's key among about ``groups`` ranges of equal size, ascending; NULL keys are in the first.
+
+    Only the borders pass through the driver. They are looked up in two steps
+    of about the root of their number.
+    """
+    shares = [(i + 1) / groups for i in range(groups - 1)] or [1.0]
+    borders = sorted(set(rows.agg(F.percentile_approx(key, shares, F.lit(10 * groups))).first()[0] or []))
+    wide = max(1, math.isqrt(len(borders)))
+    inner = [borders[i : i + wide] for i in range(0, len(borders), wide)]
+    outer = F.array(*(F.lit(x[-1]) for x in inner)).cast("array<bigint>")
+    chosen = F.array(*(F.array(*map(F.lit, x)).cast("array<bigint>") for x in [*inner, []]))
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda x: x < F.col(key)))
+
+    return let(below(outer), lambda o: o * wide + below(F.get(chosen, o))).cast("int")
+
+
 def free(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of the table has it."""
     taken = {c.lower() for c in df.columns}

@@ -1,10 +1,10 @@
 """Token ids of documents in length-limited canonical Huffman code, in ascending document order.
 
 Files: ``codes`` (symbol, bits: the code lengths, which fix the canonical code)
-and ``segments``, one row for about a million ids: range partition and number
-in it, document ids, their id counts, the ids before it in its partition, a
+and ``segments``, one row for a million ids at most: range of document ids and number
+in it, document ids, their id counts, the ids before it in its range, a
 bit offset (checkpoint) for every block of 256 ids of a document, and the bits.
-A block can be decoded alone. Range partitions ascend by document id.
+A block can be decoded alone. Ranges ascend by document id.
 
 Defined cases: null text counts as empty; a null document id sorts first; rows
 that repeat an id are kept, all of them; an empty table gives empty files.
@@ -17,15 +17,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm.common import grouped, shuffle_partitions, stored
+from lectern.llm.common import grouped, range_of, shuffle_partitions, stored
 from lectern.llm.tokenizer import encoder
 from lectern.session import scratch_path
 
 BLOCK = 256
 SEGMENT_IDS = 1 << 20
+#: Ranges of ids per shuffle partition.
+RANGES = 4
 SEGMENTS = ("part int, seq int, ids_before long, n_ids long, doc_ids array<bigint>, counts binary, checkpoints binary, "
             "bits binary")
 
@@ -209,7 +210,7 @@ def write(docs: DataFrame, path: str, out: str, end: int | None = None, max_bits
                 first = last
 
     def segments(batches):
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        part, seq, before = -1, 0, 0
         ids, counts, marks, bits, n, size = [], [], [], [], 0, 0
 
         def row():
@@ -221,11 +222,13 @@ def write(docs: DataFrame, path: str, out: str, end: int | None = None, max_bits
                                   ("bits", pa.binary())]))
 
         for b in batches:
-            for key_, k, m, x in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
-                if n and n + k > SEGMENT_IDS:
+            for key_, k, m, x, at in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
+                if ids and (at != part or n + k > SEGMENT_IDS):
                     yield row()
                     seq, before = seq + 1, before + n
                     ids, counts, marks, bits, n, size = [], [], [], [], 0, 0
+                if at != part:
+                    part, seq, before = at, 0, 0
                 ids.append(key_)
                 counts.append(k)
                 marks.append((np.frombuffer(m, "<u8") + 8 * size).astype("<u8").tobytes())
@@ -235,7 +238,10 @@ def write(docs: DataFrame, path: str, out: str, end: int | None = None, max_bits
             yield row()
 
     rows = tokens.mapInArrow(coded, "doc_id long, n long, marks binary, bits binary")
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n", "bits")
+    # Ranges by a column: Spark's own range partitioning would encode everything once more to sample it.
+    parts = shuffle_partitions(spark)
+    placed = rows.withColumn("part", range_of(tokens, "doc_id", RANGES * parts))
+    ordered = placed.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "bits")
     ordered.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(f"{out}/segments")
 
 

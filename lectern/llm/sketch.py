@@ -17,12 +17,10 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.text import let
-from lectern.llm.common import shuffle_partitions
+from lectern.llm.common import range_of, shuffle_partitions
 
 CELLS = 12
 #: Cells of the larger sketches, and the digests of both texts they are meant for.
@@ -153,19 +151,7 @@ def followed(docs: DataFrame, text: str = "text", key: str = "doc_id", groups: i
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     groups = groups or GROUPS * shuffle_partitions(spark)
-    shares = [(i + 1) / groups for i in range(groups - 1)] or [1.0]
-    borders = rows.agg(F.percentile_approx("doc_id", shares, F.lit(10 * groups))).first()[0] or []
-    borders = sorted(set(borders))
-    wide = max(1, math.isqrt(len(borders)))
-    inner = [borders[i : i + wide] for i in range(0, len(borders), wide)] or [[]]
-    outer = F.array(*(F.lit(x[-1]) for x in inner if x)).cast("array<bigint>")
-    chosen = F.array(*(F.array(*map(F.lit, x)).cast("array<bigint>") for x in [*inner, []]))
-
-    def below(values):
-        return F.size(F.filter(values, lambda x: x < F.col("doc_id")))
-
-    bucket = let(below(outer), lambda o: o * wide + below(F.get(chosen, o)))
-    own = rows.withColumn("_range", bucket.cast("int"))
+    own = rows.withColumn("_range", range_of(rows, "doc_id", groups))
     firsts = own.groupBy("_range").agg(F.min(F.struct("doc_id")).alias("first")).collect()
     first = {r["_range"]: r["first"]["doc_id"] for r in firsts}
     order = sorted(first)
