@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -16,6 +17,22 @@ from lectern.session import scratch_path
 GROUP_CHARS = 1 << 20
 
 
+_HELD: dict[str, Any] = {}
+
+
+def held(kind: str, make: Callable[[], Any] = dict) -> Any:
+    """What a worker process keeps from task to task for one operator, made when it is first asked for.
+
+    Workers outlive stages. What other operators left there is dropped, so that
+    their caches never add up.
+    """
+    if kind not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[kind] = make()
+    return _HELD[kind]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.llm.common import grouped, stored, training_rows
+from lectern.llm.common import grouped, held, stored, training_rows
 
 ORDER = 4
 MAX_NGRAMS = 2_000_000
@@ -74,7 +74,8 @@ def hashes(code: np.ndarray, order: int) -> list[np.ndarray]:
 
 def _count(batches, order: int):
     """Counts of n-grams as (lang, first two characters, last two, n), added up within the task."""
-    held: dict[str, list] = {}
+    kept: dict[str, list] = {}
+    held("language")
 
     def merge(parts):
         key, n, at = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -96,12 +97,12 @@ def _count(batches, order: int):
             c = code.astype(np.int64)
             i = place[first]
             at = np.stack([c[i - 3] << 21 | c[i - 2], c[i - 1] << 21 | c[i]], 1)
-            held.setdefault(lang, []).append((key, n, at))
-            if len(held[lang]) >= 16:
-                held[lang] = [merge(held[lang])]
-                if len(held[lang][0][0]) > MAX_NGRAMS // 4:
-                    yield rows(lang, held.pop(lang))
-    for lang, parts in held.items():
+            kept.setdefault(lang, []).append((key, n, at))
+            if len(kept[lang]) >= 16:
+                kept[lang] = [merge(kept[lang])]
+                if len(kept[lang][0][0]) > MAX_NGRAMS // 4:
+                    yield rows(lang, kept.pop(lang))
+    for lang, parts in kept.items():
         yield rows(lang, parts)
 
 
@@ -271,6 +272,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        held("language")
         for (keys,), texts in grouped(batches):
             langs, score, bits, rejected = shared.value.judge(texts)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(score),
@@ -287,6 +289,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series) -> pd.Series:
+        held("language")
         plain = [x or "" for x in texts]
         out, first = [], 0
         while first < len(plain):

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.common import free, grouped, stored
+from lectern.llm.common import free, grouped, held, stored
 from lectern.llm.components import Forest, components
 
 SEED = 42
@@ -58,6 +58,7 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (doc_id, fp): the fingerprint of each whole text as a signed long."""
     def run(batches):
+        held("simhash")
         for (keys,), texts in grouped(batches):
             prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prints)], ["doc_id", "fp"])

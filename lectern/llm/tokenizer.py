@@ -18,13 +18,14 @@ from operator import is_
 
 import numpy as np
 
+from lectern.llm.common import held
+
 MARK = "\x01"
 #: Parts encoded in one call.
 TOGETHER = 512
 CACHE = 700_000
 _OTHER = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def odd(part: str) -> bool:
@@ -158,7 +159,5 @@ class ChunkEncoder:
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    """One encoder per worker process, for the file asked for last."""
+    return held(f"tokenizer {path}", lambda: ChunkEncoder(path))

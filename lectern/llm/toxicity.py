@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.llm.common import grouped, training_rows
+from lectern.llm.common import grouped, held, training_rows
 
 DIMENSIONS = 1 << 18
 #: Labelled documents of each class that are learned from, at most.
@@ -32,7 +32,7 @@ DECAY = 1e-4
 #: Features of fewer learning documents are left out.
 LEAST_DOCUMENTS = 8
 THRESHOLD = 0.7
-CACHE = 400_000
+CACHE = 200_000
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -83,7 +83,7 @@ class Model:
 
 
 def _bags(batches):
-    """(label, sizes, places): the label, the number of different words of each sentence, and three feature places for each
+    """Rows (label, sizes, places): the label, the number of different words of each sentence, and three feature places for each
     word, ``DIMENSIONS`` where a word has fewer; numbers as little-endian 32-bit integers."""
     for (labels,), texts in grouped(batches):
         rows = []
@@ -164,6 +164,7 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        held("toxicity")
         for (keys,), texts in grouped(batches):
             rows = []
             for k, t in zip(keys, texts, strict=True):
@@ -184,6 +185,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str
 
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series) -> pd.Series:
+        held("toxicity")
         return pd.Series([shared.value.score(x or "")[0] < threshold for x in texts], dtype=bool)
 
     return keep(F.col(text).cast("string"))
