@@ -7,7 +7,8 @@ transducer reads bytes; its state is the last token that is settled and the
 bytes after it. After each byte, the places where a later token can still begin
 are those from which the bytes so far begin some token; tokens on which the
 codes of all these places agree are emitted. States and transitions are made
-when they are first met, and kept in a bounded table.
+when they are first met, up to a bound; from where a piece leaves them, its rest is
+read by following the live places themselves.
 
 Decoding. Bytes of ids go through a UTF-8 state machine, whose transitions are
 compiled per token; chunks of ids give whole characters, and an unfinished
@@ -22,23 +23,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.common import grouped
+from lectern.llm.common import grouped, held
 from lectern.llm.tokenizer import parts
 
-STATES = 200_000
+STATES = 100_000
 PAIRS = 1_000_000
-CACHE = 400_000
+CACHE = 700_000
 #: States with more open bytes than this are not kept.
 LONGEST_KEPT = 64
 STREAM_IDS = 4096
-_CODECS: dict[tuple[str, str], Codec] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -83,9 +86,6 @@ class Transducer:
         self.begins = {t[:k] for t in ranks for k in range(1, len(t))}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.reset()
-
-    def reset(self) -> None:
         self.states: dict[tuple[int, bytes], State] = {}
         self.start = State(-1, b"", [-1], [-1], [0])
 
@@ -185,15 +185,43 @@ class Transducer:
             at.next[byte] = move
         return move
 
+    def follow(self, at: State, rest: bytes) -> list[int]:
+        """The code of the open bytes of a state and all that follow, without making states."""
+        ranks, begins, pairs = self.ranks, self.begins, self.pairs
+        text, live = at.open + rest, at.live
+        ends, begin = at.ends.copy(), at.begin.copy()
+        for n in range(len(at.open) + 1, len(text) + 1):
+            still, rank = [], None
+            for j in live:
+                part = text[j:n]
+                if rank is None and (r := ranks.get(part)) is not None:
+                    fits = pairs.get((ends[j], r))
+                    if self.neighbours(ends[j], r) if fits is None else fits:
+                        rank, first = r, j
+                if part in begins:
+                    still.append(j)
+            still.append(n)
+            live = still
+            ends.append(rank)
+            begin.append(first)
+        out, i = [], len(text)
+        while i > 0:
+            out.append(ends[i])
+            i = begin[i]
+        out.reverse()
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
         rank = self.ranks.get(piece)
         if rank is not None:
             return [rank]
-        if len(self.states) > STATES:
-            self.reset()
         at, out = self.start, []
-        for byte in piece:
-            move = at.next.get(byte) or self.step(at, byte)
+        for k, byte in enumerate(piece):
+            move = at.next.get(byte)
+            if move is None:
+                if len(self.states) >= STATES:
+                    return out + self.follow(at, piece[k:])
+                move = self.step(at, byte)
             if move[1]:
                 out += move[1]
             at = move[0]
@@ -269,35 +297,37 @@ class Codec:
         self.decimal = [str(r) for r in range(len(tokens))]
         self.pieces = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def code(self, text: str) -> bytes:
         out: list[int] = []
         for piece in self.pieces(text):
             out += self.machine.encode(piece.encode())
-        return np.array(out, "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; its parts between single blanks are looked up first."""
         if not text:
             return np.zeros(0, "<u4")
         head, *rest = parts(text)
-        cache = self.cache
-        for c in set(rest).difference(cache):
-            cache[c] = self.code(f" {c}")
-        out = self.code(head) + b"".join(map(cache.__getitem__, rest))
-        if len(cache) > CACHE:
-            cache.clear()
-        return np.frombuffer(out, "<u4")
+        if len(self.cache) > CACHE:
+            self.before, self.cache = self.cache, {}
+        cache, before = self.cache, self.before
+        found = list(map(cache.get, rest))
+        if None in found:
+            for at in compress(range(len(found)), map(is_, found, repeat(None))):
+                c = rest[at]
+                known = cache.get(c) or before.get(c)
+                found[at] = cache[c] = self.code(f" {c}") if known is None else known
+        return np.frombuffer(self.code(head) + b"".join(found), "<u4")
 
     def decode(self, ids: np.ndarray) -> Iterator[bytes]:
         return self.decoder.stream(ids[a : a + STREAM_IDS] for a in range(0, len(ids), STREAM_IDS))
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process and vocabulary."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    """One codec per worker process, for the vocabulary asked for last."""
+    return held(f"codec {path} {pattern}", lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
