@@ -1,12 +1,14 @@
 """Near-duplicate vectors by a robust-pruned flat graph, within equal labels.
 
 Equal vectors are one class, counted once. Classes go to shards around
-centroids: each is indexed in its ``OVERLAP`` nearest shards and searched in its
-``PROBES`` nearest ones. In each shard, near neighbours of every vector are pruned robustly (a neighbour
-is left out if a nearer one lies much closer to it); the lists a vector got in its shards are united. A search
+centroids: each is indexed in its nearest shard and searched in every shard that can hold
+a vector in range, by the shard's radius and by the plane between its centroid and the nearest one; so
+no link is lost between shards. In each shard, near neighbours of every vector are pruned robustly (a neighbour
+is left out if a nearer one lies much closer to it). A search
 starts at the shard's medoids and the vector's own place, follows the graph greedily with a beam, then widens through everything in range. Hits
-are verified in double precision. Each shard audits a share of its searches against all its vectors; below
-``RECALL`` it searches again with a wider beam, and at last compares all in blocks.
+are verified in double precision. Each shard audits searches against all its vectors, until they hold
+``AUDIT_LINKS`` links; below ``RECALL`` it searches again with a wider beam, and at last compares all in blocks.
+Searches with fewer links in the shard are all compared.
 
 Shards of more than ``SHARD_MOST`` vectors are dealt out to several graphs, all
 of which are searched; many searches in one shard go in blocks. So no task holds
@@ -32,8 +34,6 @@ THRESHOLD = 0.93
 SHARD = 1500
 SHARD_MOST = 4000
 BLOCK_QUERIES = 8000
-OVERLAP = 2
-PROBES = 3
 #: Vectors from which centroids are fitted, and centroids, at most; more vectors make larger shards, which are dealt out.
 SAMPLE = 40_000
 CENTROIDS = 4096
@@ -43,9 +43,13 @@ ALPHA = 1.2
 BEAM = 16
 MEDOIDS = 8
 MARGIN = 0.03
+#: Searches audited first, twice as many each time after; links that the audited ones hold at least, besides themselves.
 AUDIT = 24
+AUDIT_LINKS = 400
 RECALL = 0.995
 TOGETHER = 256
+#: What rounding may add to a bound.
+SLACK = 1e-9
 
 
 def unit(rows) -> np.ndarray:
@@ -223,20 +227,48 @@ def exact(x: np.ndarray, queries: np.ndarray, threshold: float) -> list[tuple[np
 
 
 def audited(x, lists, queries, own, threshold, audit=AUDIT, recall=RECALL):
-    """Pairs of a shard, and of the audited queries how many there are and how many were found."""
-    links = table_of(lists)
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
-    truth = sum(len(r) for r, _ in exact(x, queries[sample], threshold))
+    """Pairs of a shard, and of the audited queries how many links there are and how many were found."""
+    order = np.random.default_rng(len(queries)).permutation(len(queries))
+    compared, at, truth = [], 0, 0
+    while at < len(order) and truth < AUDIT_LINKS:
+        sample = order[at : at + audit]
+        compared += [(sample[r], v) for r, v in exact(x, queries[sample], threshold)]
+        truth = sum(int((v != own[r]).sum()) for r, v in compared)
+        at, audit = at + len(sample), audit * 2
+    if at >= len(order):
+        return compared, truth, truth
+    links, sample = table_of(lists), order[:at]
     beam, starts = BEAM, MEDOIDS
     for _ in range(3):
         start = medoids(x, starts)
-        got = sum(len(r) for r, _ in search(x, links, queries[sample], start, own[sample], threshold, beam))
+        got = sum(int((v != own[sample][r]).sum()) for r, v in search(x, links, queries[sample], start, own[sample], threshold, beam))
         if got >= recall * truth:
             return search(x, links, queries, start, own, threshold, beam), truth, got
         beam, starts = beam * 3, starts * 3
     return exact(x, queries, threshold), truth, truth
 
 
+def reach(c: np.ndarray, nearest: np.ndarray, threshold: float) -> np.ndarray:
+    """For each centroid, the least cosine of a query that can have a link in its shard.
+
+    ``nearest`` is the least cosine between the centroid and a vector of its shard; NaN: it has none.
+    """
+    wide = np.arccos(np.clip(nearest, -1, 1)) + np.arccos(np.clip(threshold, -1, 1))
+    return np.where(np.isnan(nearest), np.inf, np.where(wide < np.pi, np.cos(np.minimum(wide, np.pi)) - SLACK, -2.0))
+
+
+def probes(c: np.ndarray, least: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
+    """The shards that can hold a vector within ``threshold`` of ``x``.
+
+    A vector of another shard than that of the nearest centroid lies beyond the
+    plane between both centroids; ``x`` is at most one chord away from it.
+    """
+    s = c @ x
+    near = int(s.argmax())
+    apart = np.sqrt(((c - c[near]) ** 2).sum(1))
+    return np.flatnonzero((s >= least) & (s[near] - s <= apart * np.sqrt(max(2 - 2 * threshold, 0.0)) + SLACK))
+
+
 def _fit_to_link() -> Column:
     """True for rows whose vector ``v`` and label can link at all."""
     finite = F.forall("v", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
@@ -271,25 +303,38 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "ve
 
     def assign(batches):
         for b in batches:
-            ids, labels, vs = (b.column(j).to_pylist() for j in range(3))
-            cells = []
+            labels, vs = (b.column(j).to_pylist() for j in (1, 2))
+            cells, near = [], []
             for lab, v in zip(labels, vs, strict=True):
                 c, first = model[lab, len(v)]
-                x = unit([v])[0]
-                s = c @ x
-                k = min(PROBES, len(s))
-                top = np.argpartition(-s, k - 1)[:k]
-                cells.append((first + top[np.argsort(-s[top], kind="stable")]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column(2), b.column(3),
-                                              pa.array(cells, pa.list_(pa.int32()))], ["id", "v", "copies", "cells"])
-
-    kind = dict(classes.dtypes)["v"]
+                s = c @ unit([v])[0]
+                cells.append(first + int(s.argmax()))
+                near.append(float(s.max()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(cells, pa.int32()),
+                                              pa.array(near, pa.float64())], ["id", "label", "v", "copies", "cell", "near"])
+
+    kinds = dict(classes.dtypes)
     placed = stored(classes.select("id", "label", "v", "copies").mapInArrow(
-        assign, f"id long, v {kind}, copies long, cells array<int>"), "placed")
+        assign, f"id long, label {kinds['label']}, v {kinds['v']}, copies long, cell int, near double"), "placed")
     # One row for each shard, at most CENTROIDS and one more for each label and length.
-    indexed = placed.select("id", "v", "copies", "cells", F.explode(F.slice("cells", 1, OVERLAP)).alias("cell"))
-    asked = placed.select("id", "v", "copies", "cells", F.explode("cells").alias("cell"))
-    held = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    held, nearest = {}, np.full(base, np.nan)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect():
+        held[r["cell"]], nearest[r["cell"]] = r["n"], r["near"]
+    bounds = {cell: reach(c, nearest[first : first + len(c)], threshold) for cell, (c, first) in model.items()}
+
+    def ask(batches):
+        for b in batches:
+            labels, vs = (b.column(j).to_pylist() for j in (1, 2))
+            cells = []
+            for lab, v in zip(labels, vs, strict=True):
+                c, first = model[lab, len(v)]
+                cells.append((first + probes(c, bounds[lab, len(v)], unit([v])[0], threshold)).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(cells, pa.list_(pa.int32()))],
+                                             ["id", "v", "copies", "cells"])
+
+    indexed = placed.select("id", "v", "copies", "cell")
+    asked = stored(placed.select("id", "label", "v", "copies").mapInArrow(
+        ask, f"id long, v {kinds['v']}, copies long, cells array<int>"), "asked").select("id", "v", "copies", F.explode("cells").alias("cell"))
     asking = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     plan = spark.createDataFrame(
         [(c, -(-held.get(c, 0) // SHARD_MOST) or 1, -(-n // BLOCK_QUERIES)) for c, n in sorted(asking.items())],
@@ -304,19 +349,17 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "ve
         return pd.DataFrame({"id": ids, "near": [ids[a].tolist() for a in lists]})
 
     edges = stored(shards.groupBy("cell", "sub").applyInPandas(graph, "id long, near array<long>"), "adjacency")
-    united = edges.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    points = shards.join(united, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    points = shards.join(edges, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asks = (asked.join(F.broadcast(plan), "cell").withColumn("block", spread("block", "blocks"))
             .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))))
-    columns = ["cell", "sub", "block", "id", "v", "copies", "cells", "near"]
+    columns = ["cell", "sub", "block", "id", "v", "copies", "near"]
     none = F.lit(None).cast("array<long>")
     both = points.select(*columns, F.lit(True).alias("point")).unionByName(
         asks.withColumn("near", none).select(*columns, F.lit(False).alias("point")))
 
-    def find(key_, pdf):
-        cell = int(key_[0])
+    def find(_, pdf):
         pts, qs = pdf[pdf["point"]].sort_values("id"), pdf[~pdf["point"]].sort_values("id")
-        out = {"id": [], "other": [], "n": [], "truth": [], "found": []}
+        out = {"id": [], "other": [], "n": []}
         if len(pts) and len(qs):
             ids, asking_ids = pts["id"].to_numpy(), qs["id"].to_numpy()
             x, q = unit(pts["v"]), unit(qs["v"])
@@ -327,34 +370,25 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "ve
                 lists.append(at[ids[at] == np.asarray(near)])
             own = np.searchsorted(ids, asking_ids).clip(max=len(ids) - 1)
             own = np.where(ids[own] == asking_ids, own, -1)
-            pairs, truth, got = audited(x, lists, q, own, threshold)
-            # A vector in several shards of a search counts in the first of them.
-            home = np.array([np.pad(np.asarray(c[:OVERLAP]), (0, OVERLAP - len(c[:OVERLAP])), constant_values=-1) for c in pts["cells"]])
-            probes = np.array([np.pad(np.asarray(c), (0, PROBES - len(c)), constant_values=-2) for c in qs["cells"]])
-            rank = (probes == cell).argmax(1)
+            pairs, _, _ = audited(x, lists, q, own, threshold)
             copies = pts["copies"].to_numpy()
             forest = Forest()
             counts = np.zeros(len(q), np.int64)
             for r, v in pairs:
                 keep = ids[v] != asking_ids[r]
                 r, v = r[keep], v[keep]
-                earlier = np.zeros(len(r), bool)
-                for p in range(PROBES - 1):
-                    earlier |= (p < rank[r]) & (home[v] == probes[r, p][:, None]).any(1)
-                counts += np.bincount(r[~earlier], copies[v[~earlier]], len(q)).astype(np.int64)
+                counts += np.bincount(r, copies[v], len(q)).astype(np.int64)
                 for a, b in zip(asking_ids[r].tolist(), ids[v].tolist(), strict=True):
                     forest.join(a, b)
             some = np.flatnonzero(counts)
             links = forest.links()
-            out["id"] = [*asking_ids[some], *(a for a, _ in links), None]
-            out["other"] = [None] * len(some) + [b for _, b in links] + [None]
-            out["n"] = [*counts[some], *[None] * len(links), None]
-            out["truth"] = [None] * (len(some) + len(links)) + [truth]
-            out["found"] = [None] * (len(some) + len(links)) + [got]
+            out["id"] = [*asking_ids[some], *(a for a, _ in links)]
+            out["other"] = [None] * len(some) + [b for _, b in links]
+            out["n"] = [*counts[some], *[None] * len(links)]
         return pd.DataFrame({c: pd.array(v, "Int64") for c, v in out.items()})
 
     said = stored(both.groupBy("cell", "sub", "block").applyInPandas(
-        find, "id long, other long, n long, truth long, found long"), "found")
+        find, "id long, other long, n long"), "found")
     counts = said.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(said.where("other is not null").select("id", "other")).withColumnRenamed("node", "id")
     firsts = (classes.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")))

@@ -156,6 +156,29 @@ def test_vector_links(spark, monkeypatch, small):
     assert same >= 0.98 * len(rows)
 
 
+def test_links_between_many_shards(spark, monkeypatch):
+    """Links whose ends lie in different shards are all counted, at both ends."""
+    monkeypatch.setattr(vecgraph, "SHARD", 8)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 4))
+    rows = [(i, [float(np.float32(a)) for a in v], 1) for i, v in enumerate(x)]
+    want = links_of(rows)
+    got = sorted(vecgraph.link_counts(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)).collect())
+    assert sum(map(len, want)) > 500
+    assert [g["n_links"] for g in got] == [len(w) for w in want]
+    first = smallest(range(len(rows)), want)
+    assert [g["component_id"] for g in got] == [first[i] for i in range(len(rows))]
+
+
+def test_audit_sees_rare_links():
+    """A few links among many searches without any: the audit goes on until it has compared enough of them."""
+    rng = np.random.default_rng(3)
+    x = vecgraph.unit(rng.normal(size=(900, 32)))
+    x[500:505] = vecgraph.unit(x[100:105] + 0.02 * rng.normal(size=(5, 32)))
+    pairs, truth, _ = vecgraph.audited(x, [np.zeros(0, np.int64)] * 900, x, np.arange(900), 0.93)
+    assert sum(len(r) for r, _ in pairs) == 910 and truth == 10
+
+
 def test_no_vectors(spark):
     assert vecgraph.link_counts(spark.createDataFrame([], VECTORS)).count() == 0
 
