@@ -4,13 +4,13 @@ Texts become lower-case letters with one blank for every run of anything else.
 n-grams of all learning rows are counted (per task first); the models are sorted
 arrays of n-gram hashes with one probability per language. A text goes to the
 language of lowest cross-entropy in bits per character. It is rejected where
-that is higher than a bound calibrated on a bounded sample of learning rows: mean, plus
+that is higher than a bound calibrated on all learning rows of its language: mean, plus
 ``SPREADS`` deviations scaled by the root of the length, plus ``SLACK`` bits.
 
 Defined cases: a null text and one without letters are ``und``, score 0,
 rejected; without learning rows every text is; rows with a null language or id
-are not learned from; ties go to the language that sorts first. Of n-grams, the
-most frequent ``MAX_NGRAMS`` at most are kept in the model.
+are not learned from; a language with one learning row has the deviation of all
+languages together; ties go to the language that sorts first. Of n-grams, the most frequent ``MAX_NGRAMS`` at most are kept in the model.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from lectern.llm.common import grouped, held, stored, training_rows
 
 ORDER = 4
 MAX_NGRAMS = 2_000_000
-CALIBRATION_ROWS = 8000
 SPREADS = 8.0
 SLACK = 1.0
 #: Characters that count at most for the score, so that it keeps grades below one.
@@ -227,8 +226,7 @@ def build(langs: list[str], which: np.ndarray, high: np.ndarray, low: np.ndarray
     return model
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-          calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Learn from ``text`` and ``lang`` of the learning rows; the model's size is bounded, not the rows counted."""
     rows = docs.where(training_rows(key))
     counts = stored(count_ngrams(rows, text, lang), "ngrams")
@@ -243,27 +241,32 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     if not langs:
         return model
     known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = max(1, -(-known.count() // calibration_rows))
-    some = known.where(F.pmod(F.xxhash64(F.col(key), F.lit("calibration")), F.lit(share)) == 0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
+        held("language")
         for (own,), texts in grouped(batches):
-            bits, n = model.entropies(texts)
+            bits, n = shared.value.entropies(texts)
             at = np.array([place.get(x, -1) for x in own])
             ok = (n > 0) & (at >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(at[ok]), pa.array(n[ok]), pa.array(bits[ok, at[ok]])], ["at", "n", "bits"])
 
-    sample = some.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(
+    measured = known.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(
         measure, "at long, n long, bits double")
     # Sums for each language alone reach the driver; long texts weigh by their length.
-    sums = sample.groupBy("at").agg((F.sum(F.col("bits") * F.col("n")) / F.sum("n")).alias("mean"),
-                                    F.avg(F.col("bits") * F.col("bits") * F.col("n")).alias("b2"),
-                                    F.avg(F.col("bits") * F.col("n")).alias("b1"), F.avg("n").alias("b0")).collect()
-    model.mean, model.spread = np.full(len(langs), 8.0), np.full(len(langs), 1.0)
+    sums = measured.groupBy("at").agg((F.sum(F.col("bits") * F.col("n")) / F.sum("n")).alias("mean"),
+                                      F.avg(F.col("bits") * F.col("bits") * F.col("n")).alias("b2"),
+                                      F.avg(F.col("bits") * F.col("n")).alias("b1"), F.avg("n").alias("b0"),
+                                      F.count("*").alias("rows")).collect()
+    model.mean, model.spread = np.zeros(len(langs)), np.zeros(len(langs))
+    rows_of = np.zeros(len(langs), np.int64)
     for r in sums:
         m = r["mean"]
-        model.mean[r["at"]] = m
+        rows_of[r["at"]], model.mean[r["at"]] = r["rows"], m
         model.spread[r["at"]] = np.sqrt(max(r["b2"] - 2 * m * r["b1"] + m * m * r["b0"], 0.0))
+    several = rows_of > 1
+    # One row has no deviation of its own.
+    model.spread[~several] = np.sqrt(np.average(model.spread[several] ** 2, weights=rows_of[several])) if several.any() else 1.0
     return model
 
 

@@ -49,6 +49,27 @@ def test_language(marked):
     assert kept.columns == marked.columns and kept.count() == 242
 
 
+def test_rare_language_is_calibrated(spark):
+    """Each language's bound comes from its own learning rows, however many rows the others have."""
+    rows = [(i, prose("aa", i % 40, 16), "aa") for i in range(13000)] + [(20000 + i, prose("bb", i), "bb") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    learned = [t for i, t, lang in rows if lang == "bb" and zlib.crc32(str(i).encode()) % 3 != 1]
+    model = langid.train(docs)
+    bits, n = model.entropies(learned)
+    assert model.langs == ["aa", "bb"] and len(learned) > 1
+    own = bits[:, 1]
+    mean = (own * n).sum() / n.sum()
+    assert abs(model.mean[1] - mean) < 1e-9
+    assert abs(model.spread[1] - np.sqrt((n * (own - mean) ** 2).mean())) < 1e-6
+
+
+def test_one_learning_row_has_the_common_spread(spark):
+    one = next(i for i in range(900, 999) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(i, prose("aa", i), "aa") for i in range(60)] + [(one, prose("bb", 1), "bb")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.spread[1] == model.spread[0] > 0
+
+
 def test_language_without_rows(marked):
     empty = marked.where("false")
     model = langid.train(empty)
