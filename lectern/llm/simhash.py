@@ -55,16 +55,24 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, fp): the fingerprint of each whole text as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id", hashed: bool = False) -> DataFrame:
+    """Rows (doc_id, fp): the fingerprint of each whole text as a signed long; with ``hashed`` also the text's hash."""
+    names = ["doc_id", *(["text_hash"] if hashed else []), "fp"]
+
     def run(batches):
         held("simhash")
-        for (keys,), texts in grouped(batches):
+        for others, texts in grouped(batches):
             prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prints)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in others), pa.array(prints)], names)
+
+    more = [_text_hash(text).alias("text_hash")] if hashed else []
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more).mapInArrow(
+        run, ", ".join(f"{n} long" for n in names))
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+
+def _text_hash(text: str):
+    """Rows of equal text have it in common; a null text has none."""
+    return F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text).cast("string")))
 
 
 def _turned(fp, bits):
@@ -121,13 +129,18 @@ def links(prints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFra
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _rooted(classes: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """The rows of different fingerprints ``fp`` with ``root``, the smallest fingerprint of their group."""
+    roots = components(links(classes, distance, bucket)).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+
+
 def groups(docs: DataFrame, shingle: int = 3, distance: int = 2, text: str = "text", key: str = "doc_id",
            bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, fp, fingerprint (hex) and component_id, the smallest id of its group."""
     prints = stored(fingerprints(docs, shingle, text, key), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(classes, distance, bucket)).withColumnRenamed("node", "fp")
-    owned = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    owned = _rooted(classes, distance, bucket)
     least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
     named = owned.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -135,13 +148,17 @@ def groups(docs: DataFrame, shingle: int = 3, distance: int = 2, text: str = "te
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents whose id names their group, one row each; all columns stay."""
-    found = groups(docs, shingle, distance, text, key)
-    id_, rows_, text_ = (free(docs, n) for n in ("kept_id", "kept_rows", "text_hash"))
-    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(id_)).agg(
-        F.count("*").alias(rows_)), "kept")
-    rows = docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col(id_)))
+    """The documents whose id names their group, one row of each group; all columns stay."""
+    prints = stored(fingerprints(docs, shingle, text, key, hashed=True), "prints")
+    # Rows of one id and one text are the same to this; they have one fingerprint, so one group.
+    same = prints.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "rows")).alias("first")
+    chosen = _rooted(same.groupBy("fp").agg(first), distance).groupBy("root").agg(F.min("first").alias("first"))
+    id_, hash_, rows_ = (free(docs, n) for n in ("kept_id", "kept_hash", "kept_rows"))
+    kept = stored(chosen.select(F.col("first.doc_id").alias(id_), F.col("first.text_hash").alias(hash_),
+                                F.col("first.rows").alias(rows_)), "kept")
+    rows = docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col(id_)) & _text_hash(text).eqNullSafe(F.col(hash_)))
     once = rows.where(F.col(rows_) == 1)
-    # Rows that share an id: one of each text. Only these are shuffled by their text's hash.
-    again = rows.where(F.col(rows_) > 1).withColumn(text_, F.xxhash64(text)).dropDuplicates([id_, text_]).drop(text_)
+    # Only rows that share both id and text are shuffled once more.
+    again = rows.where(F.col(rows_) > 1).dropDuplicates([id_, hash_])
     return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -98,6 +98,16 @@ def test_keep_one(odd_docs, no_docs):
     assert simhash.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_row_of_each_group(spark):
+    """Null ids, repeated ids and near texts under one id: as many rows are kept as there are groups."""
+    a, b = ("".join(f"{w}{i} " for i in range(60)) for w in ("north", "south"))
+    c, d, e = ("".join(f"{w}{i} " for i in range(60)) for w in ("east", "west", "up"))
+    rows = [(5, a), (3, b), (5, b), (None, c), (None, c), (None, b), (None, d), (None, a), (7, e), (7, e.upper()), (7, e), (8, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r["doc_id"], (r["text"] or "").lower()) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (3, b), (None, c), (None, d), (7, e), (8, "")], key=str)
+
+
 def links_of(rows, threshold=0.93):
     n = len(rows)
     out = [set() for _ in range(n)]
