@@ -10,7 +10,8 @@ that is higher than a bound calibrated on all learning rows of its language: mea
 Defined cases: a null text and one without letters are ``und``, score 0,
 rejected; without learning rows every text is; rows with a null language or id
 are not learned from; a language with one learning row has the deviation of all
-languages together; ties go to the language that sorts first. Of n-grams, the most frequent ``MAX_NGRAMS`` at most are kept in the model.
+languages together; ties go to the language that sorts first.
+No n-gram is left out; the models of all of them are built on the driver and sent to every task.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.llm.common import grouped, held, stored, training_rows
 
 ORDER = 4
-MAX_NGRAMS = 2_000_000
+#: Different n-grams of a language a task adds up before it hands their counts on.
+TASK_NGRAMS = 500_000
 SPREADS = 8.0
 SLACK = 1.0
 #: Characters that count at most for the score, so that it keeps grades below one.
@@ -99,7 +101,7 @@ def _count(batches, order: int):
             kept.setdefault(lang, []).append((key, n, at))
             if len(kept[lang]) >= 16:
                 kept[lang] = [merge(kept[lang])]
-                if len(kept[lang][0][0]) > MAX_NGRAMS // 4:
+                if len(kept[lang][0][0]) > TASK_NGRAMS:
                     yield rows(lang, kept.pop(lang))
     for lang, parts in kept.items():
         yield rows(lang, parts)
@@ -227,17 +229,16 @@ def build(langs: list[str], which: np.ndarray, high: np.ndarray, low: np.ndarray
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Learn from ``text`` and ``lang`` of the learning rows; the model's size is bounded, not the rows counted."""
+    """Learn from ``text`` and ``lang`` of the learning rows; the model holds every n-gram of theirs."""
     rows = docs.where(training_rows(key))
     counts = stored(count_ngrams(rows, text, lang), "ngrams")
-    least = 1
-    while counts.where(F.col("n") >= least).limit(MAX_NGRAMS + 1).count() > MAX_NGRAMS:
-        least *= 2
-    found = counts.where(F.col("n") >= least).toPandas()
-    langs = sorted(found["lang"].unique())
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     place = {x: i for i, x in enumerate(langs)}
-    found = found.sort_values(["lang", "high", "low"])
-    model = build(langs, found["lang"].map(place).to_numpy(np.int64, na_value=0), *(found[c].to_numpy(np.int64) for c in ("high", "low", "n")))
+    at = F.array_position(F.array(*map(F.lit, langs)).cast("array<string>"), F.col("lang")) - 1
+    found = counts.select(at.cast("int").alias("at"), "high", "low", "n").toArrow()
+    which, high, low, n = (found[c].to_numpy() for c in ("at", "high", "low", "n"))
+    order = np.lexsort((low, high, which))
+    model = build(langs, which[order], high[order], low[order], n[order])
     if not langs:
         return model
     known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())

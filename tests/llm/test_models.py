@@ -49,6 +49,18 @@ def test_language(marked):
     assert kept.columns == marked.columns and kept.count() == 242
 
 
+def test_no_ngram_is_left_out(spark, monkeypatch):
+    """A language whose n-grams all occur once stays whole beside one with many."""
+    monkeypatch.setattr(langid, "MAX_NGRAMS", 400, raising=False)
+    one = next(i for i in range(900, 999) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(i, prose("aa", i), "aa") for i in range(60)] + [(one, "quick brown fox", "zz")]
+    learned = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    code, place = langid.windows([langid.letters(t) for t in learned], 4)
+    assert model.langs == ["aa", "zz"]
+    assert len(model.grams[4]) == len(np.unique(langid.hashes(code, 4)[4][place]))
+
+
 def test_rare_language_is_calibrated(spark):
     """Each language's bound comes from its own learning rows, however many rows the others have."""
     rows = [(i, prose("aa", i % 40, 16), "aa") for i in range(13000)] + [(20000 + i, prose("bb", i), "bb") for i in range(6)]
