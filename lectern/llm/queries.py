@@ -8,7 +8,9 @@ from functools import partial
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, chat, huffman, langid, packing, simhash, sketch, toxicity, urls, vecgraph
+from lectern.llm import (
+    bpe, chat, divergence, huffman, langid, packing, piececount, simhash, sketch, survival, toxicity, urls, vecgraph,
+)
 from lectern.llm.common import held_out, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +112,67 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_vector_graph(spark: SparkSession, sf: str) -> DataFrame:
     return vecgraph.link_counts(table(spark, sf, "embeddings"), threshold=0.93)
+
+
+_SQL_FILTERS = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+  + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT
+  + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS fails FROM t LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM d GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step::INT AS step, bits[step] AS bit, list_sum(bits[1:step - 1])::INT AS earlier
+  FROM o, unnest(range(1, 6)) u(step)),
+r AS (SELECT part, filter_order, step, bit,
+  sum(CASE WHEN fails & (coalesce(earlier, 0) | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN fails & coalesce(earlier, 0) = 0 AND fails & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN fails & coalesce(earlier, 0) > 0 AND fails & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN fails = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN fails & coalesce(earlier, 0) = 0 AND fails & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN fails & coalesce(earlier, 0) = 0 AND fails & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM m, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
+
+
+@partial(query, sql=_SQL_FILTERS)
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return survival.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+_SQL_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT i) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT + 5 * coalesce(any_value(v), 0) AS total FROM g LEFT JOIN c USING (lang, source) LEFT JOIN v USING (lang) GROUP BY 1, 2),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // total AS p
+  FROM n JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+ln AS (SELECT lang, coalesce(sum(n), 0)::HUGEINT + 5 * any_value(v) AS total FROM v LEFT JOIN c USING (lang) GROUP BY 1),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (coalesce(sum(n), 0) + 5)) // any_value(total) AS q FROM c JOIN ln USING (lang) GROUP BY 1, 2),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM every)
+WHERE part = 'pair' OR rank <= 50"""
+
+
+@partial(query, sql=_SQL_DIVERGENCE)
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+@query
+def op13_piece_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return piececount.token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)

@@ -23,6 +23,9 @@ COLUMNS = {
     "op8_url_verdicts": ("pages", "page_id host path rule verdict"),
     "op9_chat_format": (None, "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars"),
     "op10_toxicity": ("documents", "doc_id held_out score predicted"),
+    "op11_filter_audit": (None, "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley"),
+    "op12_source_divergence": (None, "lang source part item value rank"),
+    "op13_piece_counts": ("documents", "doc_id n_bytes n_tokens over_limit"),
 }
 
 
