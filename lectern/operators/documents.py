@@ -105,8 +105,8 @@ def metadata_map(schema: T.StructType, cfg: TableConfig, pk_value: Column) -> Co
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 
 
-def build_documents(df: DataFrame, cfg: TableConfig) -> DataFrame:
-    """One document per row. Rows of equal text in a table without key share their id."""
+def build_documents(df: DataFrame, cfg: TableConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One document per row, with the columns ``keep`` of the row. Rows of equal text in a table without key share their id."""
     schema = df.schema
     version = F.col(cfg.date_column).cast("timestamp_ntz") if cfg.date_column else F.lit(None).cast("timestamp_ntz")
     keyed = (
@@ -122,6 +122,7 @@ def build_documents(df: DataFrame, cfg: TableConfig) -> DataFrame:
         F.col("_text").alias("text"),
         metadata_map(schema, cfg, F.col("_pk")).alias("metadata"),
         version.alias("version"),
+        *keep,
     )
 
 

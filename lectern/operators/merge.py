@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.operators.skew import skewed_join
+from lectern.operators.skew import fits_broadcast, skewed_join
 from lectern.session import materialise
 
 SMALL_KEYS = 1_000_000
@@ -65,23 +65,21 @@ def live(log: DataFrame, key: str, order: Sequence[str], deleted: Column) -> Dat
     return latest.where(~F.coalesce(deleted, F.lit(False)))
 
 
-def apply_changes(current: DataFrame, changes: DataFrame, key: str = "doc_id",
-                  small_keys: int = SMALL_KEYS) -> DataFrame:
+def apply_changes(current: DataFrame, changes: DataFrame, key: str = "doc_id", small_keys: int = SMALL_KEYS,
+                  then: Sequence[str] = ("text",)) -> DataFrame:
     """A collection with one row per key after a log of ``(..., version, batch, deleted)``.
 
-    The later batch wins, the newest version within a batch. Only rows
-    whose key occurs in the log are compared and shuffled; where the log has
-    few keys, they go to the collection, so that its other rows are only scanned.
+    The later batch wins, the newest version within a batch, then the columns ``then`` decide. The changes of a key meet
+    by ``max_by``, so that a key changed very often sends one row per task. Rows of the
+    collection whose key occurs in the log go, the others are only scanned where the keys are few and short enough to be
+    sent to every task.
     """
     keys = changes.select(key).distinct()
-    if keys.limit(small_keys + 1).count() <= small_keys:
+    if fits_broadcast(keys, small_keys):
         keys = F.broadcast(keys)
-    untouched = current.join(keys, key, "left_anti")
-    touched = current.join(keys, key, "left_semi")
-    rows = (touched.withColumn("batch", F.lit(-1).cast("bigint")).withColumn("deleted", F.lit(False))
-            .unionByName(changes))
-    newest = top_per_group(rows, [key], [F.desc("batch"), F.col("version").desc_nulls_last()])
-    return untouched.unionByName(newest.where("NOT deleted").drop("batch", "deleted"))
+    last = F.max_by(F.struct(*(c for c in changes.columns if c != key)), F.struct("batch", "version", *then))
+    newest = changes.groupBy(key).agg(last.alias("_row")).select(key, "_row.*")
+    return current.join(keys, key, "left_anti").unionByName(newest.where("NOT deleted").select(*current.columns))
 
 
 def precedence_merge(sources: Sequence[DataFrame], keys: Sequence[str], group: Sequence[str]) -> DataFrame:

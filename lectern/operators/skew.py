@@ -26,9 +26,10 @@ def _row_bytes(schema: T.StructType) -> Column:
 
 
 def fits_broadcast(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
-    """Is the table within both bounds? Reads row sizes only, and stops past the row bound."""
-    sizes = df.select(_row_bytes(df.schema).alias("b")).limit(rows + 1).collect()
-    return len(sizes) <= rows and sum(r["b"] for r in sizes) <= size
+    """Is the table within both bounds? Reads row sizes only, stops past the row bound, and brings back two numbers."""
+    sizes = df.select(_row_bytes(df.schema).alias("b")).limit(rows + 1)
+    n, total = sizes.agg(F.count("*"), F.sum("b")).first()
+    return n <= rows and (total or 0) <= size
 
 
 def skewed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", *, cheap: bool = False,

@@ -14,7 +14,6 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -24,10 +23,10 @@ from lectern.functions.vectors import embed_hashed
 from lectern.operators import chunks as C
 from lectern.operators.documents import build_documents, drop_sensitive
 from lectern.operators.joins import CHUNK_MARK, is_chunk, stale_documents
-from lectern.operators.merge import one_per_key, top_per_group
+from lectern.operators.merge import top_per_group
 from lectern.operators.predicates import scope
 from lectern.operators.skew import skewed_join
-from lectern.session import materialise
+from lectern.session import materialise, scratch
 from lectern.sources.collection import COLUMNS, COMPACT_AFTER, Collection, Snapshot
 from lectern.sources.files import Extractors, file_documents, file_refs, place_refs
 from lectern.sources.ledger import Ledger
@@ -92,8 +91,9 @@ class Sync:
         return table if since is None else scan_changed(table, cfg.date_column, since, ordered=False)
 
     def _documents(self, cfg: TableConfig, table: DataFrame) -> DataFrame:
+        """A document for every row; keys may repeat."""
         docs = build_documents(widen(table, *([cfg.pk_column] if cfg.pk_column else [])), cfg)
-        return embed_documents(one_per_key(docs), self.embed).select(*COLUMNS)
+        return embed_documents(docs, self.embed).select(*COLUMNS)
 
     def _chunks(self, cfg: TableConfig, table: DataFrame) -> DataFrame | None:
         """Chunks of the files that the rows refer to."""
@@ -109,33 +109,34 @@ class Sync:
         return (chunks.withColumn("_record", record_id(chunks))
                 .join(docs.select(F.col("doc_id").alias("_record")), "_record", "left_semi").select(*COLUMNS))
 
-    def _whole(self, cfg: TableConfig, rows: Rows, before: DataFrame) -> DataFrame:
-        """Every document that a table has now, with its chunks."""
-        table = self._rows(cfg, rows)
-        docs = materialise(self._documents(cfg, table), "documents")
+    def _all_chunks(self, cfg: TableConfig, table: DataFrame, docs: DataFrame, before: DataFrame) -> DataFrame:
+        """The chunks that a table's documents have now: those of their files, or the stored ones where no files are given."""
         chunks = self._chunks(cfg, table)
-        return docs.unionByName(self._kept_chunks(cfg, docs, before) if chunks is None else chunks)
+        return self._kept_chunks(cfg, docs, before) if chunks is None else chunks
 
     def _index_table(self, part: int, rows: Rows, snapshot: Snapshot, before: DataFrame) -> tuple[str | None, float]:
-        """Write one table to a snapshot; its documents so far when it cannot be read."""
+        """Write one table to a snapshot. Its rows are read and rendered once, unless keys repeat."""
         cfg, start, error = self.configs[part], time.perf_counter(), None
+        n = len(self.configs)
         try:
-            snapshot.add(self._whole(cfg, rows, before), part)
+            with scratch(self.spark):
+                table = self._rows(cfg, rows)
+                docs = snapshot.add_last(self._documents(cfg, table), part, spare=n + part)
+                if (self.files and cfg.file_columns) or (cfg.db, cfg.table) in snapshot.known:
+                    snapshot.add(self._all_chunks(cfg, table, docs, before), 2 * n + part)
         except Exception as exc:  # one failing table must not stop the others
             error = str(exc).split("\n")[0]
-            snapshot.add(before.where(scope(cfg.db, cfg.table)), part)
         return error, round((time.perf_counter() - start) * 1000, 2)
 
     def build(self, rows: Rows = all_rows, mode: str = "full") -> DataFrame:
         """Index all configured tables into a new snapshot. Rows gone from a table are gone from the snapshot;
-        the documents of a table that cannot be read, and those of tables not configured, stay as they are."""
+        the documents of a table that cannot be read, and those of tables not configured, stay where they are."""
         upto = self.collection.last_batch()
         before, snapshot = self.collection.read(upto), self.collection.new_snapshot(upto)
         with ThreadPoolExecutor(TABLES_AT_ONCE) as tables:
             runs = list(tables.map(lambda part: self._index_table(part, rows, snapshot, before), range(len(self.configs))))
-        own = reduce(Column.__or__, [scope(cfg.db, cfg.table) for cfg in self.configs], F.lit(False))
-        snapshot.add(before.where(~own), len(self.configs))
-        snapshot.finish()
+        done = [(cfg.db, cfg.table) for cfg, (error, _) in zip(self.configs, runs) if not error]
+        snapshot.finish(done)
         written = self.collection.read()
         found = written.groupBy(F.concat_ws(".", "source_db", "source_table").alias("k")).agg(
             F.count_if(~is_chunk(F.col("doc_id"))).alias("n"), F.max("version").alias("mark"))
@@ -162,9 +163,12 @@ class Sync:
 
     def _append(self, batch: DataFrame) -> tuple[int, datetime | None]:
         """Records written and the highest date among them."""
-        number = self.collection.append_changes(batch, unique=True, compact_after=NEVER)
-        written = self.collection.changes(number - 1, number).where(~F.col("deleted") & ~is_chunk(F.col("doc_id")))
-        records, mark = written.agg(F.count("*"), F.max("version")).first()
+        number = self.collection.append_changes(batch, compact_after=NEVER)
+        written = self.collection.changes(number - 1, number)
+        if written is None:
+            return 0, None
+        live = written.where(~F.col("deleted") & ~is_chunk(F.col("doc_id")))
+        records, mark = live.agg(F.count_distinct("doc_id"), F.max("version")).first()
         return records, mark
 
     def incremental(self, rows: Rows = all_rows) -> DataFrame:
@@ -175,13 +179,15 @@ class Sync:
             start = time.perf_counter()
             mark, records, error = None, 0, None
             try:
-                records, mark = self._append(self._changes(cfg, self._rows(cfg, rows, marks.get(cfg.key))))
+                with scratch(self.spark):
+                    records, mark = self._append(self._changes(cfg, self._rows(cfg, rows, marks.get(cfg.key))))
             except Exception as exc:  # one failing table must not stop the others
                 error = str(exc).split("\n")[0]
             results.append((cfg.key, mark, records, error, round((time.perf_counter() - start) * 1000, 2)))
         self._record("incremental", results)
         if len(self.collection.batches()) > COMPACT_AFTER:
             self.collection.compact()
+            self.collection.vacuum()
         return self.collection.read()
 
     def rescan(self, rows: Rows = all_rows) -> DataFrame:
@@ -192,10 +198,13 @@ class Sync:
         """All rows of one table, with their chunks, as one batch of changes; removal marks for documents gone from it."""
         start = time.perf_counter()
         before = self.collection.read()
-        now = materialise(self._whole(cfg, rows, before), "reindexed")
-        gone = stale_documents(before.where(scope(cfg.db, cfg.table)), now).withColumn("deleted", F.lit(True))
-        batch = now.withColumn("deleted", F.lit(False)).unionByName(gone.select(*COLUMNS, "deleted"))
-        records, mark = self._append(batch)
+        with scratch(self.spark):
+            table = self._rows(cfg, rows)
+            docs = materialise(self._documents(cfg, table), "documents")
+            now = docs.unionByName(materialise(self._all_chunks(cfg, table, docs, before), "chunks"))
+            gone = stale_documents(before.where(scope(cfg.db, cfg.table)), now).withColumn("deleted", F.lit(True))
+            batch = now.withColumn("deleted", F.lit(False)).unionByName(gone.select(*COLUMNS, "deleted"))
+            records, mark = self._append(batch)
         self._record("reindex", [(cfg.key, mark, records, None, round((time.perf_counter() - start) * 1000, 2))])
         return self.collection.read()
 

@@ -135,11 +135,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn
 def stream_sync(spark, sf):
     root = scratch_path(spark, "stream")
     events = table(spark, sf, "events")
-    # Slices of several days each stand for files that arrive one after the other.
+    # Slices of several days each stand for files, which arrive in any order.
     events.repartitionByRange(6, "ts").write.parquet(f"{root}/in")
     store = Collection(spark, f"{root}/collection")
     rows = stream_parquet(spark, f"{root}/in", events.schema, files_per_batch=2)
-    run = stream_changes(rows, replace(B.EVENTS, pk_column="user_id"), store, f"{root}/checkpoint")
+    run = stream_changes(rows, replace(B.EVENTS, pk_column="user_id"), store, f"{root}/checkpoint", event_order=("ts",))
     run.awaitTermination()
     return store.read().select("doc_id", "version", F.md5("text").alias("text_md5"))
 

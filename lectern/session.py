@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "lectern",
                   memory: str = "12g") -> SparkSession:
@@ -41,7 +46,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_RUN.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all below it, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch copies made inside, by this thread, are deleted at the end; what is read from them must be written by then."""
+    folder = scratch_path(spark, "run")
+    before = _RUN.set(folder)
+    try:
+        yield
+    finally:
+        _RUN.reset(before)
+        remove(spark, folder)
 
 
 def materialise(df, name: str):

@@ -1,46 +1,56 @@
-"""A document collection on disk: snapshots and batches of changes, in the order of a commit log.
-
-Data goes to folders with names of their own, ``snapshots/<id>`` and
-``changes/<id>``. A folder counts once an entry of the log names it. Entries are
-``log/<number>``, written aside and moved into place; the move fails where the
-number is taken, and the writer tries the next one. So half-written folders,
-crashed builds and two writers at a time never mix, whatever the committer's
-own marks. The number is the only order: later batches win. A batch that a
-stream writes again after a failure is known by writer and epoch, not by
-its place. A snapshot entry says up to which number it stands for the log;
-later batches stay on top of it.
+"""A document collection on disk: snapshots of tables and changes on top of them, all plain Parquet.
+
+``documents``: snapshots, one folder each, by table. ``heads``: one row per table and finished snapshot; the
+last one names the folder that holds the table. A snapshot without heads, whether still being written or left by a
+crash, is nobody's. A snapshot replaces the tables it was finished for and no others.
+
+``changes``: batches partitioned by table, writer and epoch, written by dynamic partition overwrite. A batch
+that a stream writes again after a failure lands in its old place, with its old number, however much came between.
+A reader takes the last row of each key by batch number, then by version, then by text, so that
+a batch may hold a key several times.
+
+A head also carries marks: the last epoch of each writer that its snapshot contains. Batches up to their
+writer's mark are part of the snapshot; all others lie on top of it, whoever wrote them and when they were
+committed, also while the snapshot was being written. Numbers rise with each batch of a process; equal
+numbers of two processes go by writer.
 """
 
 from __future__ import annotations
 
-import json
+import threading
 import uuid
-from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Iterable
+from functools import reduce
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from lectern.operators.merge import apply_changes, one_per_key
+from lectern.session import remove
 
 DOCUMENT_SCHEMA = ("doc_id string, doc_label string, pk_value string, text string, metadata map<string,string>, "
                    "version timestamp_ntz, embedding array<float>, source_db string, source_table string")
 COLUMNS = [part.split()[0] for part in DOCUMENT_SCHEMA.replace("map<string,string>", "map").split(", ")]
+CHANGE_SCHEMA = f"{DOCUMENT_SCHEMA}, deleted boolean, batch bigint, writer string, epoch bigint"
+HEAD_SCHEMA = "source_db string, source_table string, generation bigint, folder string, upto bigint, marks map<string,bigint>"
 NO_BATCH = -1
-#: Batches on top of a snapshot after which ``append_changes`` folds them into a new one.
+#: Batches on top of the snapshots after which ``append_changes`` folds them into new ones.
 COMPACT_AFTER = 200
-#: Entries at the end of the log among which a repeated batch is looked for; a stream only repeats its last one.
-WRITER_ENTRIES = 1000
+#: Generations whose files stay for readers that have begun.
+KEPT_GENERATIONS = 2
+#: Writers that write one batch and no more; their marks go when their batch is gone.
+ONCE = "once-"
+
+Table = tuple[str | None, str | None]
+
 
+def _of(table: Table) -> Column:
+    return F.col("source_db").eqNullSafe(F.lit(table[0])) & F.col("source_table").eqNullSafe(F.lit(table[1]))
 
-@dataclass(frozen=True)
-class Entry:
-    """One line of the log."""
-    number: int
-    kind: str  # snapshot or changes
-    folder: str
-    upto: int = NO_BATCH  # of a snapshot: the last entry it contains
-    writer: str = ""
-    epoch: int = -1
+
+def _any(conditions: Iterable[Column]) -> Column:
+    return reduce(Column.__or__, conditions, F.lit(False))
 
 
 class Snapshot:
@@ -49,104 +59,127 @@ class Snapshot:
     Every part has a folder of its own, so that parts may be written side by side.
     """
 
-    def __init__(self, collection: Collection, upto: int):
+    def __init__(self, collection: Collection, upto: int | None = None):
         self.collection = collection
-        self.upto = upto
-        self.folder = f"snapshots/{uuid.uuid4().hex}"
+        heads, batches = collection._heads(), collection._batches()
+        self.generation = max((h["generation"] for h in heads), default=-1) + 1
+        self.upto = collection._last(heads, batches) if upto is None else upto
+        self.folder = f"{self.generation}-{uuid.uuid4().hex}"
+        self.known: dict[Table, dict[str, int]] = {}
+        present = {b["writer"] for b in batches}
+        for h in Collection._newest(heads):
+            own = h["marks"] or {}
+            self.known[h["source_db"], h["source_table"]] = {w: e for w, e in own.items() if w in present or not w.startswith(ONCE)}
+        for b in batches:
+            if b["batch"] <= self.upto:
+                marks = self.known.setdefault((b["source_db"], b["source_table"]), {})
+                marks[b["writer"]] = max(marks.get(b["writer"], -1), b["epoch"])
 
     @property
     def path(self) -> str:
-        return f"{self.collection.root}/{self.folder}"
+        return f"{self.collection.root}/documents/folder={self.folder}"
 
     def add(self, documents: DataFrame, part: int = 0) -> None:
+        """Documents with one row per key."""
         documents.select(*COLUMNS).write.mode("overwrite").partitionBy("source_db", "source_table").parquet(f"{self.path}/part={part}")
 
-    def finish(self) -> str:
-        self.collection._commit("snapshot", self.folder, upto=self.upto)
+    def _written(self, part: int) -> DataFrame:
+        return self.collection.spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{self.path}/part={part}")
+
+    def add_last(self, documents: DataFrame, part: int, spare: int) -> DataFrame:
+        """The last row of each key, by version, then by text; returns what was written.
+
+        The rows are computed and written once. Only where keys repeat among the written ones, they are read again and
+        written to the ``spare`` part in place of ``part``.
+        """
+        self.add(documents, part)
+        written = self._written(part)
+        if written.groupBy("doc_id").count().where("count > 1").isEmpty():
+            return written
+        self.add(one_per_key(written), spare)
+        remove(self.collection.spark, f"{self.path}/part={part}")
+        return self._written(spare)
+
+    def finish(self, tables: Iterable[Table] | None = None) -> str:
+        """From now on the snapshot is the state of these tables, by default of all there are."""
+        spark = self.collection.spark
+        try:
+            rows = spark.read.schema(f"{DOCUMENT_SCHEMA}, part int").parquet(self.path).select("source_db", "source_table").distinct().collect()
+        except AnalysisException:  # no part was added
+            rows = []
+        filled = {(r["source_db"], r["source_table"]) for r in rows}
+        heads = [(*t, self.generation, self.folder if t in filled else None, self.upto, self.known.get(t, {}))
+                 for t in ({*filled, *self.known} if tables is None else {*tables})]
+        spark.createDataFrame(heads, HEAD_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.collection.root}/heads")
         return self.path
 
 
 class Collection:
+    _lock = threading.Lock()
+    _given: dict[str, int] = {}
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    # ---- the log
-
-    def _fs(self, path: str):
-        """Hadoop's path and file system of a place below the root."""
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
-        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _entries(self, last: int | None = None, whole: bool = True) -> list[Entry]:
-        """The last entries in order; unless ``whole``, only those that the snapshots among them do not contain."""
-        base, fs = self._fs("log")
-        if not fs.exists(base):
-            return []
-        names = sorted((s.getPath().getName() for s in fs.listStatus(base) if s.getPath().getName().isdigit()), reverse=True)
-        found: list[Entry] = []
-        floor = NO_BATCH
-        for name in names[:last]:
-            if not whole and int(name) <= floor:
-                break
-            stream = fs.open(self._fs(f"log/{name}")[0])
-            try:
-                entry = Entry(**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-            finally:
-                stream.close()
-            found.append(entry)
-            if entry.kind == "snapshot":
-                floor = max(floor, entry.upto)
-        return found[::-1]
-
-    def _log(self) -> list[Entry]:
-        """What a reader needs: the entries that no snapshot contains, and the snapshots among them."""
-        return self._entries(whole=False)
-
-    def _commit(self, kind: str, folder: str, **more) -> int:
-        """Add an entry under the next free number."""
-        jvm = self.spark._jvm
-        base, fs = self._fs("log")
-        fs.mkdirs(base)
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(base.toUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        taken = [int(s.getPath().getName()) for s in fs.listStatus(base) if s.getPath().getName().isdigit()]
-        number = max(taken, default=NO_BATCH) + 1
-        while True:
-            aside, _ = self._fs(f"log/.{uuid.uuid4().hex}")
-            out = fs.create(aside, False)
-            out.write(bytearray(json.dumps(asdict(Entry(number, kind, folder, **more))).encode()))
-            out.close()
-            target, _ = self._fs(f"log/{number:012d}")
-            try:
-                context.rename(aside, target, none)
-                return number
-            except Exception:
-                fs.delete(aside, False)
-                if not fs.exists(target):
-                    raise
-                number += 1
-
-    def _latest(self) -> tuple[Entry | None, list[Entry]]:
-        """The snapshot that stands for most of the log, and the batches after it."""
-        log = self._log()
-        snapshots = [e for e in log if e.kind == "snapshot"]
-        best = max(snapshots, key=lambda e: (e.upto, e.number), default=None)
-        upto = best.upto if best else NO_BATCH
-        return best, [e for e in log if e.kind == "changes" and e.number > upto]
+    # ---- what there is
+
+    def _table(self, name: str, schema: str) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException:  # nothing written yet
+            return None
+
+    def _heads(self) -> list[Row]:
+        """Finished snapshots by table: as many rows as builds and compactions have tables."""
+        heads = self._table("heads", HEAD_SCHEMA)
+        return [] if heads is None else heads.collect()
+
+    def _batches(self) -> list[Row]:
+        """Stored batches by table; compaction bounds their number."""
+        changes = self._table("changes", CHANGE_SCHEMA)
+        return [] if changes is None else changes.groupBy("source_db", "source_table", "writer", "epoch").agg(
+            F.max("batch").alias("batch")).collect()
+
+    @staticmethod
+    def _newest(heads: list[Row], generations: int = 1) -> list[Row]:
+        """The heads of each table's last snapshots."""
+        out = []
+        for table in {(h["source_db"], h["source_table"]) for h in heads}:
+            own = [h for h in heads if (h["source_db"], h["source_table"]) == table]
+            if generations == 1:
+                out.append(max(own, key=lambda h: (h["generation"], h["folder"] or "")))
+            else:
+                last = sorted({h["generation"] for h in own})[-generations:]
+                out += [h for h in own if h["generation"] in last]
+        return out
+
+    @staticmethod
+    def _covered(batch: Row, heads: list[Row]) -> bool:
+        """Do all these heads' snapshots contain the batch? Not without a head of its table."""
+        own = [h for h in heads if (h["source_db"], h["source_table"]) == (batch["source_db"], batch["source_table"])]
+        return bool(own) and all((h["marks"] or {}).get(batch["writer"], -1) >= batch["epoch"] for h in own)
+
+    @staticmethod
+    def _last(heads: list[Row], batches: list[Row]) -> int:
+        return max([h["upto"] for h in heads] + [b["batch"] for b in batches], default=NO_BATCH)
+
+    def _live(self) -> list[Row]:
+        newest = self._newest(self._heads())
+        return [b for b in self._batches() if not self._covered(b, newest)]
 
     def batches(self) -> list[int]:
-        """Numbers of the batches on top of the last snapshot."""
-        return [e.number for e in self._latest()[1]]
+        """Numbers of the batches on top of the snapshots."""
+        return sorted({b["batch"] for b in self._live()})
 
     def last_batch(self) -> int:
-        return max((e.number for e in self._entries(1)), default=NO_BATCH)
+        return self._last(self._heads(), self._batches())
 
     # ---- writing
 
     def new_snapshot(self, upto: int | None = None) -> Snapshot:
-        """An unfinished snapshot that stands for everything up to an entry, by default the last one."""
-        return Snapshot(self, self.last_batch() if upto is None else upto)
+        """An unfinished snapshot that contains every batch up to a number, by default the last one."""
+        return Snapshot(self, upto)
 
     def write_snapshot(self, documents: DataFrame, upto: int | None = None) -> str:
         """All documents at once as a new snapshot."""
@@ -154,57 +187,106 @@ class Collection:
         snapshot.add(documents)
         return snapshot.finish()
 
+    def _number(self, writer: str, epoch: int) -> int:
+        """The number that a batch has, or the next one."""
+        heads, batches = self._heads(), self._batches()
+        for b in batches:
+            if (b["writer"], b["epoch"]) == (writer, epoch):
+                return b["batch"]
+        with self._lock:
+            number = max(self._last(heads, batches), self._given.get(self.root, NO_BATCH)) + 1
+            self._given[self.root] = number
+        return number
+
     def append_changes(self, documents: DataFrame, embed: Callable[[Column], Column] | None = None, unique: bool = False,
                        writer: str = "", epoch: int = -1, compact_after: int = COMPACT_AFTER) -> int:
         """One batch of changed documents; ``deleted`` marks removed ones. Returns its number.
 
-        The rows are reduced to one per key unless they are ``unique`` already,
-        then embedded when ``embed`` is given. A batch whose ``writer`` and
-        ``epoch`` are in the log already is not written again.
+        Rows are computed and written once, embedded when ``embed`` is given. Of a key's rows in the batch readers take the
+        last; ``unique`` says that there is only one. A batch whose ``writer`` and ``epoch``
+        were written before overwrites itself, and one that a snapshot contains changes nothing.
         """
-        if writer:
-            done = [e.number for e in self._entries(WRITER_ENTRIES) if (e.writer, e.epoch) == (writer, epoch)]
-            if done:
-                return done[-1]
         rows = documents if "deleted" in documents.columns else documents.withColumn("deleted", F.lit(False))
-        newest = rows if unique else one_per_key(rows)
         if embed:
-            newest = newest.withColumn("embedding", embed(F.col("text")))
-        folder = f"changes/{uuid.uuid4().hex}"
-        newest.select(*COLUMNS, "deleted").write.parquet(f"{self.root}/{folder}")
-        number = self._commit("changes", folder, writer=writer, epoch=epoch)
+            rows = rows.withColumn("embedding", embed(F.col("text")))
+        name, place = (md5(writer.encode()).hexdigest(), epoch) if writer else (f"{ONCE}{uuid.uuid4().hex}", 0)
+        number = self._number(name, place)
+        placed = rows.select(*COLUMNS, "deleted").withColumns(
+            {"batch": F.lit(number).cast("bigint"), "writer": F.lit(name), "epoch": F.lit(place).cast("bigint")})
+        (placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("source_db", "source_table", "writer", "epoch").parquet(f"{self.root}/changes"))
         if len(self.batches()) > compact_after:
             self.compact()
+            self.vacuum()
         return number
 
-    def compact(self) -> str:
-        """Fold the changes into a new snapshot. Batches committed meanwhile stay on top of it."""
-        upto = self.last_batch()
-        return self.write_snapshot(self.read(upto), upto)
+    def compact(self) -> None:
+        """Fold the changes into new snapshots of their tables. Batches committed meanwhile stay on top of them."""
+        snapshot = self.new_snapshot()
+        tables = {(b["source_db"], b["source_table"]) for b in self._live()}
+        if tables:
+            snapshot.add(self.read().where(_any(map(_of, tables))))
+            snapshot.finish(tables)
+
+    def vacuum(self) -> None:
+        """Delete files of snapshots that later ones replaced, and batches that the snapshots contain.
+
+        What the last ``KEPT_GENERATIONS`` of a table need stays, so that readers may end, and so that of
+        two snapshots of one generation neither needs a batch that the other has made away with.
+        """
+        heads = self._heads()
+        kept = self._newest(heads, KEPT_GENERATIONS)
+        used = {h["folder"] for h in kept}
+        for folder in {h["folder"] for h in heads if h["folder"]} - used:
+            remove(self.spark, f"{self.root}/documents/folder={folder}")
+        # A table with one generation may have another of the same number on its way.
+        several = {t for t in {(h["source_db"], h["source_table"]) for h in kept}
+                   if len({h["generation"] for h in kept if (h["source_db"], h["source_table"]) == t}) == KEPT_GENERATIONS}
+        gone = [b for b in self._batches() if (b["source_db"], b["source_table"]) in several and self._covered(b, kept)]
+        changes = self._table("changes", CHANGE_SCHEMA)
+        if gone and changes is not None:
+            names = {(b["writer"], b["epoch"]) for b in gone}
+            tables = {(b["source_db"], b["source_table"]) for b in gone}
+            for file in changes.where(_any(map(_of, tables))).inputFiles():
+                folder = file.rpartition("/")[0]
+                writer, epoch = (x.partition("=")[2] for x in folder.split("/")[-2:])
+                if (writer, int(epoch)) in names:
+                    remove(self.spark, folder)
 
     # ---- reading
 
-    def _snapshot(self, entry: Entry | None) -> DataFrame:
-        if entry is None:
+    def _snapshot(self, heads: list[Row]) -> DataFrame:
+        heads = [h for h in heads if h["folder"]]
+        if not heads:
             return self.spark.createDataFrame([], DOCUMENT_SCHEMA)
-        return self.spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{self.root}/{entry.folder}").select(*COLUMNS)
+        base = f"{self.root}/documents"
+        rows = (self.spark.read.schema(f"{DOCUMENT_SCHEMA}, folder string, part int").option("basePath", base)
+                .parquet(*sorted({f"{base}/folder={h['folder']}" for h in heads})))
+        own = _any((F.col("folder") == h["folder"]) & _of((h["source_db"], h["source_table"])) for h in heads)
+        return rows.where(own).select(*COLUMNS)
+
+    def _changes(self, live: list[Row], after: int, upto: int | None) -> DataFrame | None:
+        chosen = [b for b in live if b["batch"] > after and (upto is None or b["batch"] <= upto)]
+        rows = self._table("changes", CHANGE_SCHEMA)
+        if not chosen or rows is None:
+            return None
+        # Partition columns only, so that files of other batches are not opened.
+        place = F.concat_ws("/", "writer", "epoch")
+        by_table: dict[Table, list[str]] = {}
+        for b in chosen:
+            by_table.setdefault((b["source_db"], b["source_table"]), []).append(f"{b['writer']}/{b['epoch']}")
+        own = _any(_of(table) & place.isin(names) for table, names in by_table.items())
+        return rows.where(own).select(*COLUMNS, "batch", "deleted", "writer")
 
     def changes(self, after: int = NO_BATCH, upto: int | None = None) -> DataFrame | None:
-        """Rows of the batches on top of the last snapshot, with their numbers as ``batch``."""
-        found = [e for e in self._latest()[1] if e.number > after and (upto is None or e.number <= upto)]
-        if not found:
-            return None
-        schema = f"{DOCUMENT_SCHEMA}, deleted boolean"
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{e.folder}" for e in found])
-        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-        numbers = {e.folder.rpartition("/")[2]: e.number for e in found}
-        table = self.spark.createDataFrame(list(numbers.items()), "_folder string, batch long")
-        log = rows.withColumn("_folder", folder).join(F.broadcast(table), "_folder")
-        return log.select(*COLUMNS, "batch", "deleted")
+        """Rows of the batches on top of the snapshots, with their numbers as ``batch``."""
+        rows = self._changes(self._live(), after, upto)
+        return None if rows is None else rows.drop("writer")
 
     def read(self, upto: int | None = None) -> DataFrame:
-        """Current documents: the last snapshot with all later changes applied."""
-        entry, _ = self._latest()
-        log = self.changes(upto=upto)
-        current = self._snapshot(entry)
-        return current if log is None else apply_changes(current, log)
+        """Current documents: each table's last snapshot with all later changes applied."""
+        newest = self._newest(self._heads())
+        live = [b for b in self._batches() if not self._covered(b, newest)]
+        log = self._changes(live, NO_BATCH, upto)
+        current = self._snapshot(newest)
+        return current if log is None else apply_changes(current, log, then=("writer", "text")).select(*COLUMNS)
