@@ -7,13 +7,15 @@ import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.functions.text import let
 from lectern.session import scratch_path
 
-#: Rows are handed to vectorised code in groups of about this many characters.
+#: Rows are handed to vectorised code in groups of about this many bytes.
 GROUP_CHARS = 1 << 20
 
 
@@ -44,20 +46,24 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, text: int = 1, limit: int = GROUP_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have a bounded number of bytes; a longer text goes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        done = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def grouped(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = GROUP_CHARS
             ) -> Iterator[tuple[list[list[Any]], list[str]]]:
-    """Rows of Arrow batches in groups of bounded text: the other columns as lists, and the texts (null: empty)."""
+    """Rows of Arrow batches in groups of bounded text (in bytes): the other columns as lists, and the texts (null: empty)."""
     for batch in batches:
-        others = [batch.column(j).to_pylist() for j in range(batch.num_columns) if j != text]
-        texts = [x or "" for x in batch.column(text).to_pylist()]
-        first = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield [c[first:i] for c in others], texts[first:i]
-                first, size = i, 0
-            size += len(t)
-        if first < len(texts):
-            yield [c[first:] for c in others], texts[first:]
+        for part in slices(batch, text, limit):
+            others = [part.column(j).to_pylist() for j in range(part.num_columns) if j != text]
+            yield others, [x or "" for x in part.column(text).to_pylist()]
 
 
 def range_of(rows: DataFrame, key: str, groups: int) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lectern.llm.common import stored
+from lectern.llm.common import slices, stored
 
 #: What stands between terms: every ASCII character but letters.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -70,22 +70,11 @@ def merged(tables: list[pa.Table]) -> pa.Table:
     return out.select([*KEYS, "n_sum", "docs_sum"]).rename_columns(COUNTS.names)
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have a bounded number of bytes."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    first = 0
-    while first < batch.num_rows:
-        done = ends[first - 1] if first else 0
-        end = max(first + 1, int(np.searchsorted(ends, done + TOGETHER, side="right")))
-        yield batch.slice(first, end - first)
-        first = end
-
-
 def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting: list[pa.Table] = []
     size = 0
     for batch in batches:
-        for piece in pieces(batch):
+        for piece in slices(batch, 2, TOGETHER):
             waiting.append(batch_counts(*piece.columns))
             size += waiting[-1].num_rows
             if size > MERGE:

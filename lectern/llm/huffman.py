@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm.common import grouped, range_of, shuffle_partitions, stored
-from lectern.llm.tokenizer import encoder
+from lectern.llm.common import range_of, shuffle_partitions, slices, stored
+from lectern.llm.tokenizer import ENCODED, encoder
 from lectern.session import scratch_path
 
 BLOCK = 256
@@ -141,9 +141,10 @@ def tokenise(docs: DataFrame, path: str, end: int | None, text: str = "text", ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         tail = b"" if end is None else np.array([end], enc.dtype).tobytes()
-        for (keys,), texts in grouped(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()),
-                                              pa.array([x + tail for x in enc.encode(texts)], pa.binary())], ["doc_id", "ids"])
+        for batch in batches:
+            for part in slices(batch, limit=ENCODED):
+                ids = [x + tail for x in enc.encode(part.column(1).fill_null(""))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, ids binary")
@@ -158,8 +159,8 @@ def count_ids(tokens: DataFrame, dtype: np.dtype) -> dict[int, int]:
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0):
-                ids = np.frombuffer(x.as_buffer(), dtype)
+            for part in slices(b, 0, 4 * SEGMENT_IDS):
+                ids = np.frombuffer(b"".join(part.column(0).to_numpy(zero_copy_only=False)), dtype)
                 found = np.bincount(ids)
                 if len(found) > len(total):
                     total, found = found, total

@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lectern.llm.common import grouped, stored
-from lectern.llm.tokenizer import encoder
+from lectern.llm.common import slices, stored
+from lectern.llm.tokenizer import ENCODED, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Groups into which pieces of one length are spread while they are ranked.
@@ -32,18 +32,19 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int, text: str = "tex
     """One row per piece. A longer document is cut so that all pieces but the first are full."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for (keys,), texts in grouped(batches):
-            rows: list[list] = [[], [], [], [], []]
-            for doc, raw in zip(keys, enc.encode(texts), strict=True):
-                ids = np.append(np.frombuffer(raw, enc.dtype), enc.dtype.type(end)).astype("<u4")
-                head = (len(ids) - 1) % capacity + 1
-                for k, at in enumerate([0, *range(head, len(ids), capacity)]):
-                    part = ids[at : head if not k else at + capacity]
-                    for c, v in zip(rows, (doc, k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int32() if j == 1 else pa.int64()) for j, c in enumerate(rows)],
-                ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in batches:
+            for some in slices(batch, limit=ENCODED):
+                rows: list[list] = [[], [], [], [], []]
+                for doc, raw in zip(some.column(0).to_pylist(), enc.encode(some.column(1).fill_null("")), strict=True):
+                    ids = np.append(np.frombuffer(raw, enc.dtype), enc.dtype.type(end)).astype("<u4")
+                    head = (len(ids) - 1) % capacity + 1
+                    for k, at in enumerate([0, *range(head, len(ids), capacity)]):
+                        part = ids[at : head if not k else at + capacity]
+                        for c, v in zip(rows, (doc, k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int32() if j == 1 else pa.int64()) for j, c in enumerate(rows)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, PIECES)

@@ -2,9 +2,13 @@
 
 A text is cut only at single blanks between two other characters. The tokenizers
 used here split at such a blank whatever stands around it, so the ids of the
-parts, joined, are the ids of the whole text. New parts are encoded many at a
-time; their ids are told apart by token lengths in byte-level vocabularies, by
-word ends where the vocabulary marks these, else by a mark between the parts.
+parts, joined, are the ids of the whole text. The different parts of many texts are
+found by Arrow's dictionary encoding, looked up once, and put back in place as
+arrays. New parts are encoded many at a time; their ids are told apart by
+token lengths in byte-level vocabularies, by word ends where the vocabulary marks
+these, else by a mark between the parts. Marks at the end of a word of letters are a
+token group of their own in both kinds of vocabulary, so such a part is its word's ids and the marks'.
+A vocabulary that turns any white space into one blank, and drops that, is cut at line ends too.
 """
 
 from __future__ import annotations
@@ -12,27 +16,31 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from lectern.llm.common import held
 
 MARK = "\x01"
+#: Characters of texts that are best encoded together.
+ENCODED = 4 << 20
 #: Parts encoded in one call.
-TOGETHER = 512
-CACHE = 700_000
+TOGETHER = 128
+#: Bytes of remembered parts after which they become the old ones, and the old ones go; about what a part takes; the
+#: characters above which a part is not kept.
+CACHE, ENTRY, LONGEST = 96 << 20, 220, 64
+#: Marks that are split from a word of letters before them, whatever follows after a blank, as many as ``TAIL``.
+TAILS, TAIL = ".,!?;:#$%&*", 8
+#: Letters before this one are the same in all versions of Unicode, and lower-case to one letter.
+SAFE = "İ"
 _OTHER = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def odd(part: str) -> bool:
-    """Parts that blanks alone don't set apart: empty, or with white space at an end."""
-    return not part or part[0].isspace() or part[-1].isspace()
-
-
 def parts(text: str) -> list[str]:
     """The text cut at its single blanks; these are left out."""
     spaced = ("  " in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace()
@@ -40,6 +48,11 @@ def parts(text: str) -> list[str]:
     return _CUT.split(text) if spaced else text.split(" ")
 
 
+def word(part: str) -> bool:
+    """Letters only, all of them safe."""
+    return part.isalpha() and (part.isascii() or max(part) < SAFE)
+
+
 class ChunkEncoder:
     """Ids as little-endian bytes, two or four bytes per id by the size of the vocabulary."""
 
@@ -52,10 +65,10 @@ class ChunkEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size(True) <= 1 << 16 else "<u4")
-        self.cache_size = cache_size
+        self.cache_size, self.size = cache_size, 0
         self.heads: dict[str, bytes] = {}
-        self.rest: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
+        self.rest: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.mark = self.model.encode(f" {MARK}", add_special_tokens=False).ids
         suffix = said["model"].get("end_of_word_suffix")
         self.ends = self.lengths = None
@@ -67,95 +80,160 @@ class ChunkEncoder:
             self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
             for t, i in vocab.items():
                 self.lengths[i] = len(t)
+        self.splits = self.ends is not None or self.lengths is not None
+        self.tails: dict[str, bytes] = {}
+        rules = said["normalizer"] or {}
+        blank = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+        self.collapses = bool(suffix) and blank in rules.get("normalizers", [rules])
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         done = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in done]
-
-    def _words(self, part: str) -> int:
-        """Of how many words with an end mark the part is sure to consist; 0 if that takes more than a glance."""
-        if max(part) < "İ":
-            if part.isalpha():
-                return 1
-            if part[-1] in ".,!?;:" and part[:-1].isalpha():
-                return 2
-        return 0
-
-    def _split(self, group: list[str], text: str, ends) -> None:
+        return [array("H" if self.dtype.itemsize == 2 else "I", x.ids).tobytes() for x in done]
+
+    def _together(self, group: list[str], text: str, bounds) -> dict[str, bytes]:
+        """Ids of parts that are encoded as one text; ``bounds`` finds where each begins and ends among its ids."""
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
         raw, w = ids.tobytes(), self.dtype.itemsize
-        first = 0
-        for c, (end, after) in zip(group, ends(ids), strict=True):
-            self.rest[c] = raw[first * w : end * w]
-            first = after
-
-    def _learn(self, new: Iterable[str]) -> None:
-        sure, marked, alone = [], [], []
-        counts = []
+        begins, ends = bounds(ids)
+        found = [raw[a:b] for a, b in zip((begins * w).tolist(), (ends * w).tolist(), strict=True)]
+        return dict(zip(group, found, strict=True))
+
+    def _sure(self, new: list[str]) -> dict[str, bytes]:
+        """Words of letters; in a byte-level vocabulary any parts."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(new), TOGETHER):
+            group = new[at : at + TOGETHER]
+            if self.ends is not None:
+                def bounds(ids):
+                    ends = np.flatnonzero(self.ends[ids]) + 1
+                    return np.concatenate([[0], ends[:-1]]), ends
+            else:
+                goal = np.cumsum([len(c.encode()) + 1 for c in group])
+
+                def bounds(ids, goal=goal):
+                    ends = np.searchsorted(np.cumsum(self.lengths[ids]), goal) + 1
+                    return np.concatenate([[0], ends[:-1]]), ends
+            out.update(self._together(group, " " + " ".join(group), bounds))
+        return out
+
+    def _marked(self, new: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        cut = len(self.mark)
+
+        def bounds(ids):
+            ends = np.flatnonzero(ids == self.mark[-1]) + 1
+            return np.concatenate([[0], ends[:-1]]), ends - cut
+
+        for at in range(0, len(new), TOGETHER):
+            group = new[at : at + TOGETHER]
+            out.update(self._together(group, "".join(f" {c} {MARK}" for c in group), bounds))
+        return out
+
+    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
+        """Ids of parts that are not odd, each with the blank before it."""
+        words, tailed, others = set(), {}, []
         for c in new:
-            if odd(c):
-                self.rest[c] = None
-            elif self.lengths is not None:
-                sure.append(c)
-                counts.append(len(c.encode()) + 1)
-            elif self.ends is not None and (n := self._words(c)):
-                sure.append(c)
-                counts.append(n)
+            if word(c):
+                words.add(c)
+            elif self.splits and c[-1] in TAILS and word(base := c.rstrip(TAILS)) and len(c) - len(base) <= TAIL:
+                tailed[c] = base
             else:
-                (alone if MARK in c else marked).append(c)
-        self.rest.update(zip(alone, self._plain([f" {c}" for c in alone]), strict=True))
-        for at in range(0, len(marked), TOGETHER):
-            group = marked[at : at + TOGETHER]
-            cut = len(self.mark)
-            self._split(group, "".join(f" {c} {MARK}" for c in group), lambda ids, cut=cut: [
-                (e + 1 - cut, e + 1) for e in np.flatnonzero(ids == self.mark[-1]).tolist()])
-        weight = self.lengths if self.lengths is not None else self.ends
-        for at in range(0, len(sure), TOGETHER):
-            group = sure[at : at + TOGETHER]
-            goal = np.cumsum(counts[at : at + TOGETHER])
-            self._split(group, " " + " ".join(group), lambda ids, goal=goal: [
-                (e, e) for e in (np.searchsorted(np.cumsum(weight[ids]), goal) + 1).tolist()])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        if len(self.rest) > self.cache_size:
-            self.before, self.rest = self.rest, {}
-        if len(self.heads) > self.cache_size:
-            self.heads = {}
-        heads = {c[0] for c in cut}
-        get = self.rest.get
-        found = [list(map(get, c)) for c in cut]
-        gaps = {}
-        for i, f in enumerate(found):
-            if None in f:
-                gaps[i] = [p for p in compress(range(len(f)), map(is_, f, repeat(None))) if p]
-        missing = {cut[i][p] for i, gap in gaps.items() for p in gap}
-        old = {c: self.before[c] for c in missing if c in self.before}
-        self.rest.update(old)
-        self._learn(sorted(missing.difference(old)))
-        for i, gap in gaps.items():
-            for p in gap:
-                found[i][p] = get(cut[i][p])
-            if None in found[i][1:]:
-                # White space other than single blanks: cut only where it is safe, and look up the parts in between.
-                cut[i] = _CUT.split(texts[i])
-                heads.add(cut[i][0])
-                found[i] = [b"", *self._spaced(cut[i][1:])]
-        new = sorted(heads.difference(self.heads))
-        self.heads.update(zip(new, self._plain(new), strict=True))
-        out = []
-        for c, f in zip(cut, found, strict=True):
-            f[0] = self.heads[c[0]]
-            out.append(b"".join(f))
+                others.append(c)
+        bases = set(tailed.values()) - words
+        out = {c: ids for c in bases if (ids := self.rest.get(c) or self.before.get(c)) is not None}
+        words |= bases.difference(out)
+        if self.lengths is not None:
+            out.update(self._sure([*words, *others]))
+        elif self.ends is not None:
+            out.update(self._sure(list(words)))
+            out.update(self._marked([c for c in others if MARK not in c]))
+        else:
+            others += words
+            out.update(self._marked([c for c in others if MARK not in c]))
+        alone = [c for c in others if MARK in c and c not in out]
+        out.update(zip(alone, self._plain([f" {c}" for c in alone]), strict=True))
+        if len(self.tails) > 10_000:
+            self.tails = {}
+        for c, base in tailed.items():
+            tail = c[len(base) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._plain([tail])[0]
+            out[c] = out[base] + self.tails[tail]
         return out
 
-    def _spaced(self, cut: list[str]) -> list[bytes]:
-        """Parts that may hold or end in white space."""
-        new = sorted({c for c in cut if self.rest.get(c) is None})
-        self._learn([c for c in new if not odd(c)])
-        ends = [c for c in new if odd(c)]
-        own = dict(zip(ends, self._plain([f" {c}" for c in ends]), strict=True))
-        return [self.rest.get(c) or own.get(c, b"") for c in cut]
+    def _keep(self, where: dict[str, bytes], new: dict[str, bytes]) -> None:
+        short = {c: ids for c, ids in new.items() if len(c) <= LONGEST}
+        where.update(short)
+        self.size += ENTRY * len(short)
+
+    def _found(self, wanted: list[str]) -> list[bytes | None]:
+        """Ids of different parts with the blank before each; None for odd ones: empty, or with white space at an end that counts."""
+        found = list(map(self.rest.get, wanted))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        if self.collapses:
+            missing = [c for k in gaps if (c := wanted[k])]
+        else:  # stripping leaves what is not odd as it is
+            missing = [c for k in gaps if (c := wanted[k]) and c.strip() == c]
+        before = self.before
+        new = {c: before[c] for c in missing if c in before}
+        new.update(self._learn([c for c in missing if c not in before] if new else missing))
+        self._keep(self.rest, new)
+        for k in gaps:
+            found[k] = new.get(wanted[k])
+        return found
+
+    def _first(self, wanted: list[str]) -> list[bytes]:
+        """Ids of the first parts of texts."""
+        missing = [c for c in dict.fromkeys(wanted) if c not in self.heads]
+        new = dict(zip(missing, self._plain(missing), strict=True))
+        self._keep(self.heads, new)
+        return [new[c] if c in new else self.heads[c] for c in wanted]
+
+    def _spaced(self, text: str) -> bytes:
+        """White space other than single blanks: cut only where it is safe, parts that hold or end in white space by themselves."""
+        head, *cut = _CUT.split(text)
+        wanted = list(dict.fromkeys(cut))
+        found = dict(zip(wanted, self._found(wanted), strict=True))
+        ends = [c for c in wanted if found[c] is None]
+        found.update(zip(ends, self._plain([f" {c}" for c in ends]), strict=True))
+        return self._first([head])[0] + b"".join(map(found.__getitem__, cut))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of texts, without nulls."""
+        if not len(texts):
+            return []
+        if self.size > self.cache_size:
+            self.before, self.rest, self.heads, self.size = self.rest, {}, {}, 0
+        own = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring(own, "\n", " ") if self.collapses else own, " ")
+        coded = lists.flatten().dictionary_encode()
+        codes, dictionary = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        begins = lists.offsets.to_numpy()
+        heads = [b""] * len(own)
+        if not self.collapses:
+            first = np.zeros(len(codes), bool)
+            first[begins[:-1]] = True
+            heads = self._first(dictionary[codes[first]].tolist())
+            codes, begins = codes[~first], begins - np.arange(len(begins))
+        last = begins[1:]
+        used = np.zeros(len(dictionary), bool)
+        used[codes] = True
+        wanted = np.flatnonzero(used)
+        found = self._found(dictionary[wanted].tolist())
+        slot = np.zeros(len(dictionary), np.int32)
+        slot[wanted] = np.arange(len(wanted), dtype=np.int32)
+        codes = slot[codes]
+        # Taking binary values by code lays the ids of all texts out one after the other.
+        taken = pa.array(found, pa.large_binary()).fill_null(b"").take(pa.array(codes))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[np.concatenate([[0], last])].tolist()
+        raw = taken.buffers()[2]
+        raw = memoryview(raw) if raw else b""
+        out = [h + bytes(raw[a:b]) for h, a, b in zip(heads, ends, ends[1:])]
+        strange = np.fromiter((ids is None for ids in found), bool, len(found))
+        if strange.any() and not self.collapses:
+            for i in np.unique(np.searchsorted(last, np.flatnonzero(strange[codes]), side="right")).tolist():
+                out[i] = self._spaced(own[i].as_py())
+        return out
 
 
 def encoder(path: str) -> ChunkEncoder:
