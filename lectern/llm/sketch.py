@@ -41,10 +41,18 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit("check"))
 
 
-def _placed(key: Column, sign: Column, cells: int) -> Column:
+def _size(cells: int | Column) -> Column:
+    return F.lit(cells) if isinstance(cells, int) else cells
+
+
+def _third(cells: int | Column) -> Column:
+    return F.lit(cells // 3) if isinstance(cells, int) else (cells / 3).cast("int")
+
+
+def _placed(key: Column, sign: Column, cells: int | Column) -> Column:
     """A digest with its sign, its three cells and its check hash."""
-    third = cells // 3
-    at = F.array(*((F.pmod(F.xxhash64(key, F.lit(cells + j)), F.lit(third)) + j * third).cast("int") for j in range(3)))
+    third = _third(cells)
+    at = F.array(*((F.pmod(F.xxhash64(key, _size(cells) + F.lit(j)), third) + third * j).cast("int") for j in range(3)))
     return F.struct(key.alias("key"), sign.cast("long").alias("sign"), at.alias("at"), _check(key).alias("check"))
 
 
@@ -56,17 +64,17 @@ def _cell(n: Column, key: Column, check: Column) -> Column:
     return F.struct(n.cast("long").alias("n"), key.cast("long").alias("key"), check.cast("long").alias("check"))
 
 
-def _of_cell(placed: Column, i: Column, cells: int) -> Column:
-    third = F.floor(i / F.lit(cells // 3)).cast("int")
+def _of_cell(placed: Column, i: Column, cells: int | Column) -> Column:
+    third = F.floor(i / _third(cells)).cast("int")
     return F.filter(placed, lambda k: F.get(k["at"], third) == i)
 
 
-def sketch(signed: Column, cells: int = CELLS) -> Column:
+def sketch(signed: Column, cells: int | Column = CELLS) -> Column:
     """Cells of digests with signs."""
     zero = _cell(F.lit(0), F.lit(0), F.lit(0))
 
     def fill(placed):
-        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.aggregate(
+        return F.transform(F.sequence(F.lit(0), _size(cells) - 1), lambda i: F.aggregate(
             _of_cell(placed, i, cells), zero, lambda a, k: _cell(
                 a["n"] + k["sign"], a["key"].bitwiseXOR(k["key"]), a["check"].bitwiseXOR(k["check"]))))
 
@@ -78,7 +86,7 @@ def subtract(a: Column, b: Column) -> Column:
                                                x["check"].bitwiseXOR(y["check"])))
 
 
-def peel(rest: Column, cells: int = CELLS) -> Column:
+def peel(rest: Column, cells: int | Column = CELLS) -> Column:
     """Struct (cells, found): what can't be peeled, and the recovered digests with signs (1: first text only)."""
     none = F.array().cast("array<struct<key:bigint,sign:bigint>>")
 
@@ -103,13 +111,10 @@ def _empty(state: Column) -> Column:
     return F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0))
 
 
-def _recover(signed: Column, sizes: tuple[int, ...] = LARGER) -> Column:
-    """Digests left over when equal ones of both signs cancel: by a sketch, a larger one where that fails, then exactly."""
-    if not sizes:
-        side = [F.transform(F.filter(signed, lambda k, s=s: k["sign"] == s), lambda k: k["key"]) for s in (1, -1)]
-        return F.concat(_signed(F.array_except(*side), 1), _signed(F.array_except(*side[::-1]), -1))
-    return let(peel(sketch(signed, sizes[0]), sizes[0]),
-               lambda s: F.when(_empty(s), s["found"]).otherwise(_recover(signed, sizes[1:])))
+def _exactly(signed: Column) -> Column:
+    """Digests left over when equal ones of both signs cancel."""
+    side = [F.transform(F.filter(signed, lambda k, s=s: k["sign"] == s), lambda k: k["key"]) for s in (1, -1)]
+    return F.concat(_signed(F.array_except(*side), 1), _signed(F.array_except(*side[::-1]), -1))
 
 
 def _dealt(signed: Column, n: Column) -> Column:
@@ -123,14 +128,33 @@ def _dealt(signed: Column, n: Column) -> Column:
     return let(wide, lambda w: F.flatten(F.transform(part(signed, w, "first"), lambda keys: part(keys, w, "second"))))
 
 
+def _groups(first: Column, a: Column, b: Column) -> Column:
+    """What is left to recover after the fingerprints: groups of digests of both texts, none where nothing is."""
+    signed = F.concat(_signed(a, 1), _signed(b, -1))
+    groups = F.transform(_dealt(signed, F.size(a) + F.size(b)), lambda keys: F.struct(F.lit(False).alias("done"), keys.alias("keys")))
+    none = F.array().cast("array<struct<done:boolean,keys:array<struct<key:bigint,sign:bigint>>>>")
+    return F.when(_empty(first), none).otherwise(groups)
+
+
+def _retried(groups: Column) -> Column:
+    """Each group's difference by a larger sketch, by an even larger one where that fails."""
+    def tried(size, g):
+        return let(peel(sketch(g["keys"], size), size), lambda s: F.struct(
+            _empty(s).alias("done"), F.when(_empty(s), s["found"]).otherwise(g["keys"]).alias("keys")))
+
+    return F.aggregate(F.array(*map(F.lit, LARGER)), groups, lambda all_, size: F.transform(
+        all_, lambda g: F.when(g["done"], g).otherwise(tried(size, g))))
+
+
+def _recovered(first: Column, groups: Column) -> Column:
+    """Everything that peeling found, and the rest by comparing digest by digest."""
+    rest = F.flatten(F.transform(groups, lambda g: F.when(g["done"], g["keys"]).otherwise(_exactly(g["keys"]))))
+    return F.when(_empty(first), first["found"]).otherwise(rest)
+
+
 def difference(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
     """Digests that only one of two texts has, with signs, from their digests and fingerprints' cells."""
-    def larger(first):
-        signed = F.concat(_signed(a, 1), _signed(b, -1))
-        groups = let(signed, lambda keys: _dealt(keys, F.size(keys)))
-        return F.when(_empty(first), first["found"]).otherwise(F.flatten(F.transform(groups, lambda keys: _recover(keys))))
-
-    return let(peel(subtract(a_cells, b_cells)), larger)
+    return let(peel(subtract(a_cells, b_cells)), lambda first: _recovered(first, _retried(_groups(first, a, b))))
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
@@ -176,9 +200,13 @@ def fingerprint_edits(docs: DataFrame, text: str = "text", key: str = "doc_id",
                        paragraphs(F.col("edited")).alias("cut"), paragraphs(F.col("next")).alias("next"))
     for name in ("own", "cut", "next"):
         rows = rows.withColumn(f"{name}_cells", sketch(_signed(F.col(name), 1)))
+    # One column per step: nested in one another, the steps would take the analyzer many rounds.
     for name in ("cut", "next"):
-        apart = difference(F.col("own"), F.col(name), F.col("own_cells"), F.col(f"{name}_cells"))
-        rows = rows.withColumn(f"{name}_apart", apart)
+        first, groups = F.col(f"{name}_first"), F.col(f"{name}_groups")
+        rows = rows.withColumn(f"{name}_first", peel(subtract(F.col("own_cells"), F.col(f"{name}_cells"))))
+        rows = rows.withColumn(f"{name}_groups", _groups(first, F.col("own"), F.col(name)))
+        rows = rows.withColumn(f"{name}_groups", _retried(groups))
+        rows = rows.withColumn(f"{name}_apart", _recovered(first, groups))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own_cells")).alias("fingerprint"),
                        as_text(F.col("cut_cells")).alias("edited_fingerprint"),
                        likeness(F.col("own"), F.col("cut"), F.col("cut_apart")).alias("near_edited"),
