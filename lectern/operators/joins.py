@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lectern.functions import text as X
+from lectern.operators.prefilter import maybe_among
 from lectern.operators.skew import skewed_join
+from lectern.session import materialise
 
 CHUNK_MARK = ".chunk_"
 
@@ -70,7 +72,12 @@ def enrich_first_chunk(hits: DataFrame, collection: DataFrame, columns: Sequence
         .join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     )
     chunks = collection.select("doc_id", *columns).where(is_chunk(F.col("doc_id")))
-    added = chunks.join(F.broadcast(wanted) if small else wanted, "doc_id")
+    if small:
+        added = chunks.join(F.broadcast(wanted), "doc_id")
+    else:
+        # Only texts of chunks that may be wanted are shuffled; a record of very many hits is spread over tasks.
+        wanted = materialise(wanted, "wanted")
+        added = skewed_join(wanted, maybe_among(chunks, "doc_id", wanted.select("doc_id").distinct()), ["doc_id"])
     both = (hits.withColumn("added", F.lit(False))
             .unionByName(added.withColumn("added", F.lit(True)), allowMissingColumns=True))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "added"))
@@ -101,12 +108,13 @@ def file_path_for_doc(ids: DataFrame, collection: DataFrame, file_path: Column,
              .withColumn("base_id", F.when(is_chunk(F.col("doc_id")),
                                            F.split_part("doc_id", F.lit(CHUNK_MARK), F.lit(1)))))
     files = collection.select("doc_id", file_path.alias("file_path")).where(F.coalesce("file_path", F.lit("")) != "")
-    if small:
-        asked = named.select(F.explode(F.array("doc_id", "chunk_id", "base_id")).alias("doc_id"))
-        files = files.join(F.broadcast(asked.distinct()), "doc_id", "left_semi")
+    asked = named.select(F.explode(F.array("doc_id", "chunk_id", "base_id")).alias("doc_id")).distinct()
+    files = files.join(F.broadcast(asked), "doc_id", "left_semi") if small else maybe_among(files, "doc_id", asked)
     own = files.withColumnRenamed("file_path", "own_path")
     chunk = files.select(F.col("doc_id").alias("chunk_id"), F.col("file_path").alias("chunk_path"))
     base = files.select(F.col("doc_id").alias("base_id"), F.col("file_path").alias("base_path"))
-    return (named.join(own, "doc_id", "left").join(chunk, "chunk_id", "left").join(base, "base_id", "left")
+    # Most documents have no base record; rows without one go round the last join.
+    known = named.join(own, "doc_id", "left").join(chunk, "chunk_id", "left")
+    return (skewed_join(known, base, ["base_id"], "left")
             .withColumn("file_path", F.coalesce("own_path", "chunk_path", "base_path"))
             .drop("chunk_id", "base_id", "own_path", "chunk_path", "base_path"))

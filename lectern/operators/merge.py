@@ -38,7 +38,7 @@ def one_per_key(docs: DataFrame, key: str = "doc_id", version: str = "version",
     order = [F.col(version).desc_nulls_last(), F.desc(then)]
     counted = docs.groupBy(key).agg(F.count("*").alias("_n"))
     repeated = materialise(counted.where(F.col("_n") > 1).select(key), "repeated")
-    if repeated.limit(small_keys + 1).count() > small_keys:
+    if not fits_broadcast(repeated, small_keys):
         return top_per_group(docs, [key], order)
     single = docs.join(F.broadcast(repeated), key, "left_anti")
     several = docs.join(F.broadcast(repeated), key, "left_semi")

@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lectern.session import scratch_path
+from lectern.operators.prefilter import maybe_among
+from lectern.operators.skew import SMALL_ROWS, fits_broadcast, skewed_join
+from lectern.session import materialise, scratch_path
 
 MAX_QUERIES = 4096
 #: Equal vectors may differ in the last bits of their sums; this is far above that and far below any real difference.
@@ -114,7 +116,9 @@ def _blocks(pool: DataFrame, asked: DataFrame, n_queries: int, k: int, decimals:
     return spark.read.schema(out).parquet(found)
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
+def topk(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | None = None,
+         doc_id: str = "doc_id", vector: str = "embedding", query_id: str = "query_id",
+         query_vector: str = "embedding", decimals: int = RANK_DECIMALS, max_queries: int = MAX_QUERIES) -> DataFrame:
     """``(query_id, rank, doc_id, score)`` of the k best vectors per query.
 
     ``where`` applies before the search, so a selective condition still fills
@@ -123,14 +127,6 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame
     score shown is rounded afterwards. The result is independent of partitioning. NULL and
     zero vectors, the mark of a failed embedding, are no hits.
     """
-    return _topk(vectors, queries, k, **options)[0]
-
-
-def _topk(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | None = None,
-          doc_id: str = "doc_id", vector: str = "embedding", query_id: str = "query_id",
-          query_vector: str = "embedding", decimals: int = RANK_DECIMALS,
-          max_queries: int = MAX_QUERIES) -> tuple[DataFrame, int | None]:
-    """The hits and a bound of their number, None when the query set is large."""
     pool = vectors if where is None else vectors.where(where)
     pool = pool.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("vec"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qvec"))
@@ -138,25 +134,30 @@ def _topk(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | Non
                         T.StructField("doc_id", pool.schema["doc_id"].dataType),
                         T.StructField("score", T.DoubleType())])
     few = len(asked.select("query_id").limit(max_queries + 1).collect())
-    bound = few * k if few <= max_queries else None
-    if bound is None:
+    if few > max_queries:
         candidates = _blocks(pool, asked, asked.count(), k, decimals, out, max_queries)
     else:
         head = _matrix_of(asked)
         if head is None:
             return pool.sparkSession.createDataFrame([], out).select(
-                "query_id", F.lit(0).alias("rank"), "doc_id", "score"), 0
+                "query_id", F.lit(0).alias("rank"), "doc_id", "score")
         candidates = pool.mapInArrow(_scan(*head, k, decimals, to_arrow_schema(out)), out)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "doc_id", F.round("score", SHOWN_DECIMALS).alias("score")), bound
+    return ranked.select("query_id", "rank", "doc_id", F.round("score", SHOWN_DECIMALS).alias("score"))
+
 
+def attach(hits: DataFrame, collection: DataFrame, columns: list[str], broadcast_rows: int = SMALL_ROWS) -> DataFrame:
+    """Hits, cheap to read again, with columns of their documents.
 
-def attach(hits: DataFrame, collection: DataFrame, columns: list[str],
-           hit_rows: int | None = None, broadcast_rows: int = 100_000) -> DataFrame:
-    """Hits with columns of their documents. A hit table of known small size is broadcast."""
-    side = F.broadcast(hits) if hit_rows is not None and hit_rows <= broadcast_rows else hits
-    return collection.select("doc_id", *columns).join(side, "doc_id")
+    Few hits, in rows and bytes, go to the collection. Otherwise a filter of their ids goes there, so that
+    only texts of documents that may be hits are shuffled; a document that very many questions hit is spread over tasks.
+    """
+    docs = collection.select("doc_id", *columns)
+    if fits_broadcast(hits, broadcast_rows):
+        return docs.join(F.broadcast(hits), "doc_id")
+    named = maybe_among(docs, "doc_id", hits.select("doc_id").distinct())
+    return skewed_join(hits, named, ["doc_id"]).select("doc_id", *columns, *(c for c in hits.columns if c != "doc_id"))
 
 
 def topk_postfilter(vectors: DataFrame, queries: DataFrame, n: int, where: Column, **names) -> DataFrame:
@@ -182,13 +183,10 @@ def hits_per_query(hits: DataFrame, *columns: str) -> DataFrame:
 
 
 def search(collection: DataFrame, questions: DataFrame, k: int, *, where: Column | None = None,
-           columns: tuple[str, ...] = ("doc_label", "source_db", "source_table", "text")) -> DataFrame:
-    """Top-k hits of questions (``query_id, question, embedding``) with their documents.
-
-    Hits known to be few go to the collection, whose texts are then neither
-    shuffled nor collected.
-    """
-    hits, bound = _topk(collection, questions, k, where=where)
-    found = attach(hits, collection, list(columns), bound)
+           columns: tuple[str, ...] = ("doc_label", "source_db", "source_table", "text"),
+           broadcast_rows: int = SMALL_ROWS) -> DataFrame:
+    """Top-k hits of questions (``query_id, question, embedding``) with their documents."""
+    found = materialise(topk(collection, questions, k, where=where), "hits")
     named = questions.select("query_id", "question")
-    return found.join(F.broadcast(named) if bound is not None else named, "query_id")
+    side = F.broadcast(named) if fits_broadcast(named, broadcast_rows) else named
+    return attach(found, collection, list(columns), broadcast_rows).join(side, "query_id")

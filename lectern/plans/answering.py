@@ -18,6 +18,7 @@ from lectern.operators import answers as A
 from lectern.operators.joins import enrich_first_chunk
 from lectern.operators.merge import top_per_group
 from lectern.operators.search import search
+from lectern.operators.skew import fits_broadcast, skewed_join
 from lectern.session import materialise
 
 DEFAULT_TOP_K = 10
@@ -44,21 +45,28 @@ class Models:
 
 
 def ask(collection: DataFrame, questions: DataFrame, k: int, models: Models = Models(),
-        where: Column | None = None) -> DataFrame:
+        where: Column | None = None, small_hits: int = SMALL_HITS) -> DataFrame:
     """Hits for ``(query_id, question)`` against a collection with embeddings."""
     embedded = questions.withColumn("embedding", models.embed(F.col("question")))
-    return search(collection, embedded, k, where=where)
+    return search(collection, embedded, k, where=where, broadcast_rows=small_hits)
 
 
-def rewrite_rarest(questions: DataFrame, collection: DataFrame, terms: int = REWRITE_TERMS) -> DataFrame:
-    """Questions cut down to their rarest terms in the collection, rarest first."""
+def rewrite_rarest(questions: DataFrame, collection: DataFrame, terms: int = REWRITE_TERMS,
+                   frequencies: DataFrame | None = None, small_terms: int = SMALL_TERMS) -> DataFrame:
+    """Questions cut down to their rarest terms in the collection, rarest first.
+
+    With ``frequencies`` (``term, df``), such as a kept term index gives, no text of the collection is read.
+    """
     asked = questions.select("query_id", F.explode(X.terms(F.col("question"))).alias("term"))
-    wanted = asked.select("term").distinct()
-    if wanted.limit(SMALL_TERMS + 1).count() <= SMALL_TERMS:
+    wanted = materialise(asked.select("term").distinct(), "terms")
+    if fits_broadcast(wanted, small_terms):
         wanted = F.broadcast(wanted)
-    frequency = (collection.select(F.explode(X.terms(F.col("text"))).alias("term"))
-                 .join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
-    rare = top_per_group(asked.join(frequency, "term"), ["query_id"], ["df", "term"], terms, rank="place")
+    if frequencies is None:
+        frequency = (collection.select(F.explode(X.terms(F.col("text"))).alias("term"))
+                     .join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
+    else:
+        frequency = frequencies.join(wanted, "term", "left_semi")
+    rare = top_per_group(skewed_join(asked, frequency, ["term"]), ["query_id"], ["df", "term"], terms, rank="place")
     words = F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda e: e["term"])
     new = rare.groupBy("query_id").agg(F.array_join(words, " ").alias("new_question"))
     return questions.join(new, "query_id", "left").select(
@@ -67,32 +75,34 @@ def rewrite_rarest(questions: DataFrame, collection: DataFrame, terms: int = REW
 
 
 def retrieve(collection: DataFrame, questions: DataFrame, k: int, models: Models = Models(),
-             where: Column | None = None, enrich: bool = False) -> DataFrame:
+             where: Column | None = None, enrich: bool = False, small_hits: int = SMALL_HITS) -> DataFrame:
     """Hits, with the first chunks of the records among them if asked for."""
-    hits = ask(collection, questions, k, models, where)
+    hits = ask(collection, questions, k, models, where, small_hits)
     if not enrich:
         return hits
     hits = materialise(hits, "found")
-    added = enrich_first_chunk(hits, collection, HIT_COLUMNS, small=hits.count() <= SMALL_HITS)
+    added = enrich_first_chunk(hits, collection, HIT_COLUMNS, small=fits_broadcast(hits.drop("text"), small_hits))
     named = questions.select("query_id", F.col("question").alias("_q"))
     return (added.join(named, "query_id").withColumn("question", F.col("_q")).withColumn("rank", F.col("position"))
             .drop("_q", "position", "added"))
 
 
 def retrieve_graded(collection: DataFrame, questions: DataFrame, k: int, threshold: float,
-                    models: Models = Models(), where: Column | None = None, enrich: bool = False) -> DataFrame:
+                    models: Models = Models(), where: Column | None = None, enrich: bool = False,
+                    frequencies: DataFrame | None = None, small_hits: int = SMALL_HITS) -> DataFrame:
     """Hits worth answering from: the relevant ones, after one retry for questions without any.
 
     Chunks are added before grading, in the retry too. When the retry finds
-    nothing relevant either, its ungraded hits stay.
+    nothing relevant either, its ungraded hits stay. The retry's questions are cut down by ``frequencies`` of terms
+    if given, else by those counted in the collection.
     """
     def graded(asked: DataFrame) -> DataFrame:
-        return A.grade(retrieve(collection, asked, k, models, where, enrich), threshold, models.grader, models.grader_chars)
+        return A.grade(retrieve(collection, asked, k, models, where, enrich, small_hits), threshold, models.grader, models.grader_chars)
 
     first = materialise(graded(questions), "graded")
     good = first.where("relevant")
     failing = questions.join(good.select("query_id").distinct(), "query_id", "left_anti")
-    changed = materialise(rewrite_rarest(failing, collection), "rewritten")
+    changed = materialise(rewrite_rarest(failing, collection, frequencies=frequencies), "rewritten")
     second = materialise(graded(changed).join(changed.select("query_id", "rewritten"), "query_id"), "regraded")
     found = second.where("relevant").select("query_id").distinct().withColumn("_found", F.lit(True))
     kept = second.join(found, "query_id", "left").where(F.col("relevant") | F.col("_found").isNull()).drop("_found")
@@ -102,12 +112,13 @@ def retrieve_graded(collection: DataFrame, questions: DataFrame, k: int, thresho
 def answer_questions(collection: DataFrame, questions: DataFrame, k: int = DEFAULT_TOP_K, *,
                      grading: bool = False, threshold: float = 0.5, reranking: bool = True,
                      enrich: bool = True, paths: DataFrame | None = None, models: Models = Models(),
-                     where: Column | None = None) -> DataFrame:
+                     where: Column | None = None, frequencies: DataFrame | None = None,
+                     small_hits: int = SMALL_HITS) -> DataFrame:
     """One row per question with answer, flags and sources."""
     if grading:
-        hits = retrieve_graded(collection, questions, k, threshold, models, where, enrich)
+        hits = retrieve_graded(collection, questions, k, threshold, models, where, enrich, frequencies, small_hits)
     else:
-        hits = retrieve(collection, questions, k, models, where, enrich).withColumn("rewritten", F.lit(False))
+        hits = retrieve(collection, questions, k, models, where, enrich, small_hits).withColumn("rewritten", F.lit(False))
     hits = A.rerank(hits, scorer=models.scorer, chars=models.scorer_chars) if reranking else hits.withColumn("rerank_score", F.lit(None).cast("double"))
     hits = materialise(hits, "hits")
     asked = hits.select("query_id", "question").distinct()

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from lectern.functions import models as U, text as X, vectors as V
 from lectern.operators import answers as A, chunks as C, documents as D, joins as J, rollups as R, search as S
+from lectern.operators.skew import fits_broadcast
 from lectern.plans import answering as P
 from lectern.queries import testbed as B
 from lectern.queries.registry import query, sql_generic, sql_hits, sql_tokens, sql_vectors, table
-from lectern.session import materialise
+from lectern.session import materialise, scratch_path
+from lectern.sources.collection import Collection
 from lectern.sources.tables import widen
+from lectern.sources.terms import TermIndex
 
 # ---- vectors -----------------------------------------------------------------
 
@@ -114,6 +117,16 @@ def collection(spark, sf):
     return docs.withColumn("embedding", V.embed_hashed(F.col("text")))
 
 
+def _indexed(spark, docs):
+    """The documents as a stored collection, and the index of its terms."""
+    store = Collection(spark, scratch_path(spark, "collection"))
+    index = TermIndex(store)
+    more = {c: F.lit(None).cast(t) for c, t in (("pk_value", "string"), ("metadata", "map<string,string>"), ("version", "timestamp_ntz"))}
+    store.write_snapshot(docs.withColumns({c: v for c, v in more.items() if c not in docs.columns}))
+    index.refresh()
+    return store.read(), index
+
+
 def questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
@@ -170,13 +183,22 @@ def text_search_topk(spark, sf):
     return S.topk(collection(spark, sf), asked, 5)
 
 
-@query("hit_projection", f"""{_sql_search(5)}
+_SQL_HITS = f"""{_sql_search(5)}
 SELECT query_id, rank, doc_id, round(score, 4) AS score, 'Document' AS label, 'corpus' AS source_db, 'documents' AS source_table,
-  substr(text, 1, 400) AS snippet FROM h""")
+  substr(text, 1, 400) AS snippet FROM h"""
+
+
+@query("hit_projection", _SQL_HITS)
 def hit_projection(spark, sf):
     return D.project_hits(_hits(spark, sf, 5))
 
 
+@query("hits_large", _SQL_HITS)
+def hits_large(spark, sf):
+    """The same for hits that are too many to be sent to every task: the bound is set low here."""
+    return D.project_hits(P.ask(collection(spark, sf), questions(spark, sf), 5, small_hits=0))
+
+
 _SQL_COVER = (f"(len(list_intersect(list_distinct({sql_tokens('question')}), {sql_tokens('text')}))::DOUBLE "
               f"/ len(list_distinct({sql_tokens('question')})))")
 
@@ -249,29 +271,50 @@ def collection_with_chunks(spark, sf):
     return docs.select(*chunks.columns).unionByName(chunks)
 
 
-@query("enrich_first_chunk", f"""WITH {_SQL_DOCS}, {_SQL_PARTS}, a AS (SELECT * FROM dv UNION ALL {sql_vectors('p', 'doc_id', 'text')}),
+_SQL_ENRICHED = f"""WITH {_SQL_DOCS}, {_SQL_PARTS}, a AS (SELECT * FROM dv UNION ALL {sql_vectors('p', 'doc_id', 'text')}),
 h AS ({sql_hits('a', 'qv', 5)}),
 n AS (SELECT query_id, rank, doc_id || '.chunk_0' AS doc_id, score, true AS added FROM h WHERE NOT contains(doc_id, '.chunk_')
   AND (query_id, doc_id || '.chunk_0') NOT IN (SELECT query_id, doc_id FROM h) AND doc_id || '.chunk_0' IN (SELECT doc_id FROM p))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, added)::INT AS position, doc_id, score, added
-FROM (SELECT query_id, rank, doc_id, score, false AS added FROM h UNION ALL SELECT * FROM n)""")
+FROM (SELECT query_id, rank, doc_id, score, false AS added FROM h UNION ALL SELECT * FROM n)"""
+
+
+@query("enrich_first_chunk", _SQL_ENRICHED)
 def enrich_first_chunk(spark, sf):
     parts = collection_with_chunks(spark, sf)
     asked = questions(spark, sf).withColumn("embedding", V.embed_hashed(F.col("question")))
     hits = materialise(S.topk(parts, asked, 5), "hits")
-    more = J.enrich_first_chunk(hits, parts, (), small=hits.count() <= P.SMALL_HITS)
+    more = J.enrich_first_chunk(hits, parts, (), small=fits_broadcast(hits, P.SMALL_HITS))
+    return more.select("query_id", "position", "doc_id", "score", "added")
+
+
+@query("enrich_large", _SQL_ENRICHED)
+def enrich_large(spark, sf):
+    """The same for hits that are too many to be sent to every task."""
+    parts = materialise(collection_with_chunks(spark, sf), "parts")
+    asked = questions(spark, sf).withColumn("embedding", V.embed_hashed(F.col("question")))
+    more = J.enrich_first_chunk(materialise(S.topk(parts, asked, 5), "hits"), parts, ())
     return more.select("query_id", "position", "doc_id", "score", "added")
 
 
-@query("rag_sources", f"""{_sql_search(5)}, {_SQL_RERANKED} SELECT query_id, rank, doc_id, round(score, 4) AS score, rerank_score,
-  md5(substr(text, 1, 400)) AS snippet_md5, CASE WHEN lang = 'en' THEN '/files/' || doc_id END AS file_link FROM rr""")
-def rag_sources(spark, sf):
+_SQL_SOURCES = f"""{_sql_search(5)}, {_SQL_RERANKED} SELECT query_id, rank, doc_id, round(score, 4) AS score, rerank_score,
+  md5(substr(text, 1, 400)) AS snippet_md5, CASE WHEN lang = 'en' THEN '/files/' || doc_id END AS file_link FROM rr"""
+
+
+@query("sources_large", _SQL_SOURCES)
+def sources_large(spark, sf):
+    """The same for sources that are too many to be sent to every task."""
+    return rag_sources(spark, sf, large=True)
+
+
+@query("rag_sources", _SQL_SOURCES)
+def rag_sources(spark, sf, large=False):
     docs = collection(spark, sf)
     hits = A.rerank(_hits(spark, sf, 5))
     path = F.when(F.col("metadata")["lang"] == "en", F.concat(F.lit("/data/"), F.col("pk_value"), F.lit(".txt")))
     hits = materialise(hits, "hits")
-    few = hits.count() <= P.SMALL_HITS
-    paths = J.file_path_for_doc(hits.select("doc_id").distinct(), docs, path, small=few)
+    ids = hits.select("doc_id").distinct()
+    paths = J.file_path_for_doc(ids, docs, path, small=not large and fits_broadcast(ids, P.SMALL_HITS))
     one = A.source_list(hits, paths).select("query_id", F.explode("sources").alias("s"))
     return one.select("query_id", "s.rank", "s.doc_id", F.round("s.score", 4).alias("score"), "s.rerank_score",
                       F.md5("s.snippet").alias("snippet_md5"), "s.file_link")
@@ -304,11 +347,44 @@ UNION ALL SELECT query_id, rank, doc_id, relevant, rewritten FROM g2 WHERE relev
 
 @query("rag_retry", _SQL_RETRY)
 def rag_retry(spark, sf):
+    docs, index = _indexed(spark, collection(spark, sf))
+    kept = P.retrieve_graded(docs, questions(spark, sf), 5, RETRY_AT, frequencies=index.frequencies())
+    return kept.select("query_id", "rank", "doc_id", "relevant", "rewritten")
+
+
+@query("rag_retry_large", _SQL_RETRY)
+def rag_retry_large(spark, sf):
+    """The same without an index of terms, and with more hits than are sent to every task."""
     stored = materialise(collection(spark, sf), "collection")
-    kept = P.retrieve_graded(stored, questions(spark, sf), 5, RETRY_AT)
+    kept = P.retrieve_graded(stored, questions(spark, sf), 5, RETRY_AT, small_hits=0)
     return kept.select("query_id", "rank", "doc_id", "relevant", "rewritten")
 
 
+_SQL_TERMS = f"""WITH d AS (SELECT 'Document' || chr(10) || 'Text: ' || CASE WHEN doc_id % 5 = 0 THEN lang || ' ' || source ELSE text END AS text, doc_id
+  FROM documents WHERE doc_id % 7 <> 0 AND trim(text, '{X.WHITESPACE}') <> '')
+SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({sql_tokens('text')})) AS term FROM d) GROUP BY 1"""
+
+
+@query("term_frequencies", _SQL_TERMS)
+def term_frequencies(spark, sf):
+    """Documents per term after a snapshot, a batch of changed texts, one of removals and a compaction between them."""
+    d = widen(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "doc_id").where(F.trim("text") != "")
+    short = d.where(F.col("doc_id") % 5 == 0).withColumn("text", F.concat_ws(" ", "lang", "source"))
+    store = Collection(spark, scratch_path(spark, "collection"))
+    index = TermIndex(store)
+    none = F.lit(None).cast("array<float>")
+    store.write_snapshot(D.build_documents(d.where(F.col("doc_id") % 3 != 1), B.DOCUMENTS).withColumn("embedding", none))
+    index.refresh()
+    store.append_changes(D.build_documents(d.where(F.col("doc_id") % 3 == 1), B.DOCUMENTS).withColumn("embedding", none))
+    index.refresh()
+    store.compact()
+    store.append_changes(D.build_documents(short, B.DOCUMENTS).withColumn("embedding", none))
+    gone = D.build_documents(d.where(F.col("doc_id") % 7 == 0), B.DOCUMENTS).withColumn("embedding", none)
+    store.append_changes(gone.withColumn("deleted", F.lit(True)))
+    index.refresh()
+    return index.frequencies()
+
+
 def _sql_with_chunks(hits):
     """Hits and the first chunks of records among them, in one order."""
     return f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, added)::INT AS rank, doc_id, text, question FROM (
@@ -346,8 +422,8 @@ FROM q LEFT JOIN c USING (query_id) LEFT JOIN o ON o.query_id = q.query_id"""
 
 @query("rag_batch", _SQL_BATCH)
 def rag_batch(spark, sf):
-    stored = materialise(collection_with_chunks(spark, sf), "collection")
-    rows = P.answer_questions(stored, questions(spark, sf), 5, grading=True, threshold=0.8)
+    docs, index = _indexed(spark, collection_with_chunks(spark, sf))
+    rows = P.answer_questions(docs, questions(spark, sf), 5, grading=True, threshold=0.8, frequencies=index.frequencies())
     shown = F.transform("sources", lambda s: F.concat(s["rank"], F.lit(":"), s["doc_id"]))
     return rows.select("query_id", "answer", "has_hits", "grounded", "rewritten", "n_sources",
                        F.coalesce(F.array_join(shown, ","), F.lit("")).alias("sources"))

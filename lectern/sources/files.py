@@ -15,6 +15,7 @@ from lectern.config import TableConfig
 from lectern.functions import text as X
 from lectern.operators import documents as D
 from lectern.operators.joins import resolve_paths
+from lectern.operators.prefilter import maybe_among
 from lectern.operators.skew import fits_broadcast, skewed_join
 from lectern.session import materialise
 
@@ -181,10 +182,12 @@ def place_refs(refs: DataFrame, files: DataFrame, prefixes: Sequence[str] = X.UP
 
 def _wanted(placed: DataFrame, files: DataFrame) -> DataFrame:
     """The files that are referred to, with their bytes. These stay where they are read as long as the paths are few
-    enough to be sent to every task."""
-    wanted = placed.where(F.col("resolved_path").isNotNull()).select("resolved_path", "extension").distinct()
-    side = F.broadcast(wanted) if fits_broadcast(wanted, WANTED_PATHS) else wanted
-    return files.select(F.col("path").alias("resolved_path"), "content").join(side, "resolved_path")
+    enough to be sent to every task; beyond that, bytes of files that may be wanted are shuffled, and of no others."""
+    wanted = materialise(placed.where(F.col("resolved_path").isNotNull()).select("resolved_path", "extension").distinct(), "wanted")
+    named = files.select(F.col("path").alias("resolved_path"), "content")
+    if fits_broadcast(wanted, WANTED_PATHS):
+        return named.join(F.broadcast(wanted), "resolved_path")
+    return maybe_among(named, "resolved_path", wanted.select("resolved_path").distinct()).join(wanted, "resolved_path")
 
 
 def extract_files(placed: DataFrame, files: DataFrame, extractors: Extractors | None = None) -> DataFrame:
