@@ -1,14 +1,19 @@
 """Near-duplicate vectors by a robust-pruned flat graph, within equal labels.
 
-Equal vectors are one class, counted once. Classes go to shards around
-centroids: each is indexed in its nearest shard and searched in every shard that can hold
+Equal vectors are one class, counted once. Classes go to overlapping shards around
+centroids: each is indexed in its ``HOMES`` nearest shards. There vectors are inserted one group after the other: each
+is searched for in the graph so far, what the search meets is pruned robustly (a neighbour is left out if a nearer one lies
+much closer to it), and links back are pruned too; a second round does the same with the whole graph. A vector's
+lists from all its shards are united and pruned again into one flat graph.
+
+A vector is searched for in every shard that can hold
 a vector in range, by the shard's radius and by the plane between its centroid and the nearest one; so
-no link is lost between shards. In each shard, near neighbours of every vector are pruned robustly (a neighbour
-is left out if a nearer one lies much closer to it). A search
+no link is lost between shards. A link is counted in the nearest shard of the vector that is found; those that are there by
+overlap lead the way. A search
 starts at the shard's medoids and the vector's own place, follows the graph greedily with a beam, then widens through everything in range. Hits
-are verified in double precision. Each shard audits searches against all its vectors, until they hold
-``AUDIT_LINKS`` links; below ``RECALL`` it searches again with a wider beam, and at last compares all in blocks.
-Searches with fewer links in the shard are all compared.
+are verified in double precision. Each shard audits ``AUDIT`` searches against all its vectors, at the threshold or, where
+these have fewer than ``AUDIT_LINKS`` links, at the lower one that has as many pairs; below ``RECALL`` it searches with a
+wider beam, and at last compares all in blocks.
 
 Shards of more than ``SHARD_MOST`` vectors are dealt out to several graphs, all
 of which are searched; many searches in one shard go in blocks. So no task holds
@@ -38,14 +43,18 @@ BLOCK_QUERIES = 8000
 SAMPLE = 40_000
 CENTROIDS = 4096
 DEGREE = 16
-POOL = 48
+POOL = 32
 ALPHA = 1.2
 BEAM = 16
 MEDOIDS = 8
 MARGIN = 0.03
-#: Searches audited first, twice as many each time after; links that the audited ones hold at least, besides themselves.
-AUDIT = 24
+#: Searches audited, and pairs that they hold at least.
+AUDIT = 64
 AUDIT_LINKS = 400
+#: Shards that index a vector; vectors that a graph begins with, and those inserted at a time.
+HOMES = 2
+FIRST = 64
+INSERTED = 1024
 RECALL = 0.995
 TOGETHER = 256
 #: What rounding may add to a bound.
@@ -89,32 +98,68 @@ def prune(x: np.ndarray, own: np.ndarray, pool: np.ndarray, degree: int = DEGREE
     return out
 
 
+def nearest_first(x: np.ndarray, own: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """Candidates (-1: none) without the vector itself and without repeats, nearest first."""
+    pool = np.where(pool == own[:, None], -1, np.sort(pool, 1))
+    pool[:, 1:][pool[:, 1:] == pool[:, :-1]] = -1
+    sims = np.where(pool >= 0, np.einsum("nd,ncd->nc", x[own], x[np.maximum(pool, 0)]), -3)
+    return np.take_along_axis(pool, np.argsort(-sims, axis=1, kind="stable"), 1)
+
+
+def insert(x: np.ndarray, table: np.ndarray, own: np.ndarray, pool: np.ndarray) -> None:
+    """Give vectors their pruned candidates as neighbours, and these a link back; full lists are pruned again."""
+    for a in range(0, len(own), TOGETHER):
+        some = own[a : a + TOGETHER]
+        both = nearest_first(x, some, np.concatenate([pool[a : a + TOGETHER], table[some]], 1))
+        table[some] = -1
+        table[some, :DEGREE] = prune(x, some, both)
+    to, frm = table[own, :DEGREE].ravel(), np.repeat(own, DEGREE)
+    order = np.argsort(to, kind="stable")
+    to, frm = to[order], frm[order]
+    to, frm = to[np.searchsorted(to, 0) :], frm[np.searchsorted(to, 0) :]
+    nodes, first, counts = np.unique(to, return_index=True, return_counts=True)
+    width = table.shape[1]
+    for a in range(0, len(nodes), TOGETHER):
+        some, n = nodes[a : a + TOGETHER], np.minimum(counts[a : a + TOGETHER], 4 * width)
+        back = np.full((len(some), int(n.max())), -1, np.int64)
+        at = np.arange(back.shape[1])
+        has = at < n[:, None]
+        back[has] = frm[(first[a : a + TOGETHER, None] + at)[has]]
+        both = nearest_first(x, some, np.concatenate([table[some], back], 1))
+        full = (both >= 0).sum(1) > width
+        fitted = both[:, :width] if both.shape[1] >= width else np.pad(both, ((0, 0), (0, width - both.shape[1])), constant_values=-1)
+        if full.any():
+            fitted[full] = prune(x, some[full], both[full], width)
+        table[some] = fitted
+
+
 def build(x: np.ndarray) -> list[np.ndarray]:
-    """Neighbour lists of one shard: pruned near neighbours, and the links back."""
+    """Neighbour lists of one shard by greedy insertion in a fixed random order, then once more for every vector."""
     n = len(x)
-    lists: list[np.ndarray] = []
-    for a in range(0, n, TOGETHER):
-        own = np.arange(a, min(a + TOGETHER, n))
-        sims = x[own] @ x.T
-        sims[np.arange(len(own)), own] = -2
-        k = min(POOL, n - 1)
-        if k < 1:
-            lists.append(np.zeros((len(own), 0), np.int64))
-            continue
-        pool = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        order = np.argsort(-np.take_along_axis(sims, pool, 1), axis=1, kind="stable")
-        lists.append(prune(x, own, np.take_along_axis(pool, order, 1)))
-    out = np.concatenate(lists)
-    to, frm = out.ravel(), np.repeat(np.arange(n), out.shape[1])
-    ok = to >= 0
-    back = pd.DataFrame({"to": to[ok], "frm": frm[ok]})
-    returned = dict(iter(back.groupby("to")["frm"])) if len(back) else {}
-    both = []
-    for i in range(n):
-        extra = returned.get(i)
-        mine = out[i][out[i] >= 0]
-        both.append(np.unique(np.concatenate([mine, extra.to_numpy()[:DEGREE]])) if extra is not None else mine)
-    return both
+    table = np.full((n, 2 * DEGREE), -1, np.int64)
+    order = np.random.default_rng(n).permutation(n)
+    head = order[:FIRST]
+    insert(x, table, head, np.broadcast_to(head, (len(head), len(head))).copy())
+    at, start = len(head), head[:MEDOIDS]
+    while at < n:
+        own = order[at : at + min(at, INSERTED)]
+        insert(x, table, own, beam_search(x, table, x[own], start, None, POOL)[0])
+        at += len(own)
+    start = medoids(x)
+    for a in range(0, n if n > FIRST else 0, INSERTED):
+        own = order[a : a + INSERTED]
+        insert(x, table, own, beam_search(x, table, x[own], start, own, POOL)[0])
+    return [row[row >= 0] for row in table]
+
+
+def united(x: np.ndarray, lists: list[np.ndarray]) -> list[np.ndarray]:
+    """Lists that came from several shards, pruned again."""
+    table = table_of(lists)
+    out = []
+    for a in range(0, len(x), TOGETHER):
+        own = np.arange(a, min(a + TOGETHER, len(x)))
+        out.append(prune(x, own, nearest_first(x, own, table[own]), 2 * DEGREE))
+    return [row[row >= 0] for row in np.concatenate(out)] if out else []
 
 
 def medoids(x: np.ndarray, count: int = MEDOIDS) -> np.ndarray:
@@ -135,6 +180,65 @@ def table_of(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def beam_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndarray, own: np.ndarray | None, beam: int):
+    """The nearest vectors that greedy searches find, ``beam`` for each query (-1: none), and all pairs they looked at."""
+    out, looked = [], []
+    for a in range(0, len(queries), TOGETHER):
+        ids, sims, _, r, v, _ = _greedy(x, links, queries[a : a + TOGETHER], start, None if own is None else own[a : a + TOGETHER], beam)
+        ids = np.where(sims > -3, ids, -1)[:, :beam]
+        out.append(np.pad(ids, ((0, 0), (0, beam - ids.shape[1])), constant_values=-1))
+        looked.append((r + a, v))
+    return np.concatenate(out) if out else np.zeros((0, beam), np.int64), looked
+
+
+def _greedy(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, own: np.ndarray | None, beam: int):
+    """One block of greedy searches: the beams and their cosines, the vectors seen, and the pairs looked at with theirs."""
+    m, n = len(q), len(x)
+    seen = np.zeros((m, n), bool)
+    rows = np.arange(m)
+    places = np.full((m, 1), -1) if own is None else own[:, None]
+    ids = np.concatenate([np.broadcast_to(start, (m, len(start))), places], 1)
+    ids = np.where(ids < 0, start[0], ids)
+    seen[rows[:, None], ids] = True
+    sims = np.einsum("md,mkd->mk", q, x[ids])
+    # The own place may be one of the starts: a place twice in the beam is harmless but counted once.
+    sims[:, -1] = np.where((ids[:, :-1] == ids[:, -1:]).any(1), -3, sims[:, -1])
+    open_ = sims > -3
+    r, c = np.nonzero(open_)
+    looked = [(r, ids[r, c], sims[r, c])]
+    while True:
+        best = np.where(open_, sims, -4).argmax(1)
+        act = np.flatnonzero(open_[rows, best] & (sims[rows, best] > -3))
+        if not len(act):
+            break
+        node = ids[act, best[act]]
+        open_[act, best[act]] = False
+        nbr = links[node]
+        fresh = (nbr >= 0) & ~seen[act[:, None], np.maximum(nbr, 0)]
+        r, c = np.nonzero(fresh)
+        v = nbr[r, c]
+        seen[act[r], v] = True
+        s = np.einsum("kd,kd->k", q[act[r]], x[v])
+        looked.append((act[r], v, s))
+        new_s = np.full(nbr.shape, -3.0)
+        new_s[r, c] = s
+        all_i, all_s = np.concatenate([ids[act], np.maximum(nbr, 0)], 1), np.concatenate([sims[act], new_s], 1)
+        all_o = np.concatenate([open_[act], new_s > -3], 1)
+        keep = min(beam, all_s.shape[1])
+        top = np.argpartition(-all_s, keep - 1, axis=1)[:, :keep]
+        pad = keep - ids.shape[1]
+        if pad > 0:
+            ids, sims, open_ = (np.pad(ids, ((0, 0), (0, pad))), np.pad(sims, ((0, 0), (0, pad)), constant_values=-3),
+                                np.pad(open_, ((0, 0), (0, pad))))
+        ids[act[:, None], np.arange(keep)] = np.take_along_axis(all_i, top, 1)
+        sims[act[:, None], np.arange(keep)] = np.take_along_axis(all_s, top, 1)
+        open_[act[:, None], np.arange(keep)] = np.take_along_axis(all_o, top, 1)
+        if ids.shape[1] > keep:
+            sims[act, keep:], open_[act, keep:] = -3, False
+    r, v, s = (np.concatenate(column) for column in zip(*looked, strict=True))
+    return ids, sims, seen, r, v, s
+
+
 def search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndarray, own: np.ndarray, threshold: float,
            beam: int = BEAM) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs (query, vector) within range, block by block. ``own`` is a query's own place among the vectors, or -1."""
@@ -142,58 +246,10 @@ def search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndar
     n = len(x)
     for a in range(0, len(queries), TOGETHER):
         q = queries[a : a + TOGETHER]
-        m = len(q)
-        seen = np.zeros((m, n), bool)
-        rows = np.arange(m)
-        entry = np.concatenate([np.broadcast_to(start, (m, len(start))), own[a : a + m, None]], 1)
-        entry = np.where(entry < 0, start[0], entry)
-        seen[rows[:, None], entry] = True
-        ids = entry
-        sims = np.einsum("md,mkd->mk", q, x[ids])
-        # The own place may be one of the medoids: a place twice in the beam is harmless but counted once.
-        sims[:, -1] = np.where((ids[:, :-1] == ids[:, -1:]).any(1), -3, sims[:, -1])
-        open_ = np.ones(ids.shape, bool)
-        near_q, near_v = [], []
-
-        def note(r, v, s):
-            hit = s >= threshold - MARGIN
-            near_q.append(r[hit])
-            near_v.append(v[hit])
-
-        r, c = np.nonzero(sims > -3)
-        note(r, ids[r, c], sims[r, c])
-        while True:
-            best = np.where(open_, sims, -4).argmax(1)
-            act = np.flatnonzero(open_[rows, best] & (sims[rows, best] > -3))
-            if not len(act):
-                break
-            node = ids[act, best[act]]
-            open_[act, best[act]] = False
-            nbr = links[node]
-            fresh = (nbr >= 0) & ~seen[act[:, None], np.maximum(nbr, 0)]
-            r, c = np.nonzero(fresh)
-            v = nbr[r, c]
-            seen[act[r], v] = True
-            s = np.einsum("kd,kd->k", q[act[r]], x[v])
-            note(act[r], v, s)
-            new_s = np.full(nbr.shape, -3.0)
-            new_s[r, c] = s
-            all_i, all_s = np.concatenate([ids[act], np.maximum(nbr, 0)], 1), np.concatenate([sims[act], new_s], 1)
-            all_o = np.concatenate([open_[act], new_s > -3], 1)
-            keep = min(beam, all_s.shape[1])
-            top = np.argpartition(-all_s, keep - 1, axis=1)[:, :keep]
-            if ids.shape[1] != keep:
-                pad = keep - ids.shape[1]
-                if pad > 0:
-                    ids, sims, open_ = (np.pad(ids, ((0, 0), (0, pad))), np.pad(sims, ((0, 0), (0, pad)), constant_values=-3),
-                                        np.pad(open_, ((0, 0), (0, pad))))
-            ids[act[:, None], np.arange(keep)] = np.take_along_axis(all_i, top, 1)
-            sims[act[:, None], np.arange(keep)] = np.take_along_axis(all_s, top, 1)
-            open_[act[:, None], np.arange(keep)] = np.take_along_axis(all_o, top, 1)
-            if ids.shape[1] > keep:
-                sims[act, keep:], open_[act, keep:] = -3, False
+        _, _, seen, r, v, s = _greedy(x, links, q, start, own[a : a + TOGETHER], beam)
+        near = s >= threshold - MARGIN
+        r, v = r[near], v[near]
         # Widen: neighbours of everything in range, until nothing new is.
-        r, v = np.concatenate(near_q), np.concatenate(near_v)
         all_r, all_v = [r], [v]
         while len(r):
             nbr = links[v]
@@ -227,25 +283,43 @@ def exact(x: np.ndarray, queries: np.ndarray, threshold: float) -> list[tuple[np
 
 
 def audited(x, lists, queries, own, threshold, audit=AUDIT, recall=RECALL):
-    """Pairs of a shard, and of the audited queries how many links there are and how many were found."""
-    order = np.random.default_rng(len(queries)).permutation(len(queries))
-    compared, at, truth = [], 0, 0
-    while at < len(order) and truth < AUDIT_LINKS:
-        sample = order[at : at + audit]
-        compared += [(sample[r], v) for r, v in exact(x, queries[sample], threshold)]
-        truth = sum(int((v != own[r]).sum()) for r, v in compared)
-        at, audit = at + len(sample), audit * 2
-    if at >= len(order):
-        return compared, truth, truth
-    links, sample = table_of(lists), order[:at]
+    """Pairs of a shard, and of the audited queries, or of all where all were compared, how many pairs there are and how many
+    were found."""
+    sample = np.random.default_rng(len(queries)).permutation(len(queries))[:audit]
+    sims = queries[sample] @ x.T
+    placed = np.flatnonzero(own[sample] >= 0)
+    sims[placed, own[sample][placed]] = -3
+    some = np.sort(sims[sims > -3])
+    if not len(some):
+        return exact(x, queries, threshold), 0, 0
+    least = min(threshold, some[-min(len(some), AUDIT_LINKS)])
+    truth = int((some >= least).sum())
+    links = table_of(lists)
     beam, starts = BEAM, MEDOIDS
     for _ in range(3):
         start = medoids(x, starts)
-        got = sum(int((v != own[sample][r]).sum()) for r, v in search(x, links, queries[sample], start, own[sample], threshold, beam))
+        got = sum(int((v != own[sample][r]).sum()) for r, v in search(x, links, queries[sample], start, own[sample], least, beam))
         if got >= recall * truth:
             return search(x, links, queries, start, own, threshold, beam), truth, got
         beam, starts = beam * 3, starts * 3
-    return exact(x, queries, threshold), truth, truth
+    pairs = exact(x, queries, threshold)
+    truth = sum(int((v != own[r]).sum()) for r, v in pairs)
+    return pairs, truth, truth
+
+
+def _both_ways(pairs, ids: np.ndarray, asking_ids: np.ndarray):
+    """The pairs, and those of two vectors that both ask here the other way round, each once."""
+    if not pairs:
+        return pairs
+    r, v = (np.concatenate(column) for column in zip(*pairs, strict=True))
+    if not len(r):
+        return []
+    # Where the found vector is among those asking, and the asking one among those found.
+    as_query = np.searchsorted(asking_ids, ids[v]).clip(max=len(asking_ids) - 1)
+    as_point = np.searchsorted(ids, asking_ids[r]).clip(max=len(ids) - 1)
+    back = (asking_ids[as_query] == ids[v]) & (ids[as_point] == asking_ids[r])
+    key = np.unique(np.concatenate([r * len(ids) + v, as_query[back] * len(ids) + as_point[back]]))
+    return [(key // len(ids), key % len(ids))]
 
 
 def reach(c: np.ndarray, nearest: np.ndarray, threshold: float) -> np.ndarray:
@@ -276,8 +350,8 @@ def _fit_to_link() -> Column:
 
 
 def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding",
-                label: str = "label") -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+                label: str = "label", audit: str | None = None) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept. What the shards' audits compared and found goes to ``audit``."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     rows = rows.withColumn("h", F.xxhash64("label", "v"))
@@ -304,22 +378,25 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "ve
     def assign(batches):
         for b in batches:
             labels, vs = (b.column(j).to_pylist() for j in (1, 2))
-            cells, near = [], []
+            cells, homes, near = [], [], []
             for lab, v in zip(labels, vs, strict=True):
                 c, first = model[lab, len(v)]
                 s = c @ unit([v])[0]
-                cells.append(first + int(s.argmax()))
+                own = np.argsort(-s, kind="stable")[:HOMES]
+                cells.append(first + int(own[0]))
+                homes.append((first + own).tolist())
                 near.append(float(s.max()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(cells, pa.int32()),
-                                              pa.array(near, pa.float64())], ["id", "label", "v", "copies", "cell", "near"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(cells, pa.int32()), pa.array(near, pa.float64()),
+                 pa.array(homes, pa.list_(pa.int32()))], ["id", "label", "v", "copies", "cell", "near", "homes"])
 
     kinds = dict(classes.dtypes)
     placed = stored(classes.select("id", "label", "v", "copies").mapInArrow(
-        assign, f"id long, label {kinds['label']}, v {kinds['v']}, copies long, cell int, near double"), "placed")
+        assign, f"id long, label {kinds['label']}, v {kinds['v']}, copies long, cell int, near double, homes array<int>"), "placed")
     # One row for each shard, at most CENTROIDS and one more for each label and length.
-    held, nearest = {}, np.full(base, np.nan)
-    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect():
-        held[r["cell"]], nearest[r["cell"]] = r["n"], r["near"]
+    nearest = np.full(base, np.nan)
+    for r in placed.groupBy("cell").agg(F.min("near").alias("near")).collect():
+        nearest[r["cell"]] = r["near"]
     bounds = {cell: reach(c, nearest[first : first + len(c)], threshold) for cell, (c, first) in model.items()}
 
     def ask(batches):
@@ -332,12 +409,14 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "ve
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(cells, pa.list_(pa.int32()))],
                                              ["id", "v", "copies", "cells"])
 
-    indexed = placed.select("id", "v", "copies", "cell")
+    indexed = placed.select("id", "v", "copies", F.explode("homes").alias("home"), "cell").select(
+        "id", "v", "copies", F.col("home").alias("cell"), (F.col("home") == F.col("cell")).alias("counts"))
+    held = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     asked = stored(placed.select("id", "label", "v", "copies").mapInArrow(
         ask, f"id long, v {kinds['v']}, copies long, cells array<int>"), "asked").select("id", "v", "copies", F.explode("cells").alias("cell"))
     asking = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     plan = spark.createDataFrame(
-        [(c, -(-held.get(c, 0) // SHARD_MOST) or 1, -(-n // BLOCK_QUERIES)) for c, n in sorted(asking.items())],
+        [(c, -(-held.get(c, 0) // SHARD_MOST) or 1, -(-asking.get(c, 0) // BLOCK_QUERIES)) for c in sorted({*held, *asking})],
         "cell int, subs int, blocks int")
     spread = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     shards = (indexed.join(F.broadcast(plan), "cell").withColumn("sub", spread("sub", "subs")))
@@ -349,17 +428,19 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "ve
         return pd.DataFrame({"id": ids, "near": [ids[a].tolist() for a in lists]})
 
     edges = stored(shards.groupBy("cell", "sub").applyInPandas(graph, "id long, near array<long>"), "adjacency")
-    points = shards.join(edges, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A vector has a list in each of its homes: one flat graph, in which a list holds neighbours from all of them.
+    flat = edges.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    points = shards.where("blocks > 0").join(flat, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asks = (asked.join(F.broadcast(plan), "cell").withColumn("block", spread("block", "blocks"))
             .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))))
-    columns = ["cell", "sub", "block", "id", "v", "copies", "near"]
+    columns = ["cell", "sub", "block", "id", "v", "copies", "near", "counts"]
     none = F.lit(None).cast("array<long>")
     both = points.select(*columns, F.lit(True).alias("point")).unionByName(
-        asks.withColumn("near", none).select(*columns, F.lit(False).alias("point")))
+        asks.withColumn("near", none).withColumn("counts", F.lit(False)).select(*columns, F.lit(False).alias("point")))
 
     def find(_, pdf):
         pts, qs = pdf[pdf["point"]].sort_values("id"), pdf[~pdf["point"]].sort_values("id")
-        out = {"id": [], "other": [], "n": []}
+        out = {"id": [], "other": [], "n": [], "audited": [], "met": []}
         if len(pts) and len(qs):
             ids, asking_ids = pts["id"].to_numpy(), qs["id"].to_numpy()
             x, q = unit(pts["v"]), unit(qs["v"])
@@ -370,25 +451,30 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "ve
                 lists.append(at[ids[at] == np.asarray(near)])
             own = np.searchsorted(ids, asking_ids).clip(max=len(ids) - 1)
             own = np.where(ids[own] == asking_ids, own, -1)
-            pairs, _, _ = audited(x, lists, q, own, threshold)
-            copies = pts["copies"].to_numpy()
+            pairs, truth, met = audited(x, united(x, lists), q, own, threshold)
+            copies, counted = pts["copies"].to_numpy(), pts["counts"].to_numpy()
+            pairs = _both_ways(pairs, ids, asking_ids)
             forest = Forest()
             counts = np.zeros(len(q), np.int64)
             for r, v in pairs:
-                keep = ids[v] != asking_ids[r]
+                keep = (ids[v] != asking_ids[r]) & counted[v]
                 r, v = r[keep], v[keep]
                 counts += np.bincount(r, copies[v], len(q)).astype(np.int64)
                 for a, b in zip(asking_ids[r].tolist(), ids[v].tolist(), strict=True):
                     forest.join(a, b)
             some = np.flatnonzero(counts)
             links = forest.links()
-            out["id"] = [*asking_ids[some], *(a for a, _ in links)]
-            out["other"] = [None] * len(some) + [b for _, b in links]
-            out["n"] = [*counts[some], *[None] * len(links)]
+            out["id"] = [*asking_ids[some], *(a for a, _ in links), None]
+            out["other"] = [None] * len(some) + [b for _, b in links] + [None]
+            out["n"] = [*counts[some], *[None] * len(links), None]
+            out["audited"] = [None] * (len(out["id"]) - 1) + [truth]
+            out["met"] = [None] * (len(out["id"]) - 1) + [met]
         return pd.DataFrame({c: pd.array(v, "Int64") for c, v in out.items()})
 
     said = stored(both.groupBy("cell", "sub", "block").applyInPandas(
-        find, "id long, other long, n long"), "found")
+        find, "id long, other long, n long, audited long, met long"), "found")
+    if audit:
+        said.where("audited is not null").select("audited", "met").write.parquet(audit)
     counts = said.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(said.where("other is not null").select("id", "other")).withColumnRenamed("node", "id")
     firsts = (classes.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")))
