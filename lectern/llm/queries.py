@@ -49,14 +49,15 @@ def op2_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = langid.train(docs.select("doc_id", "text", "lang"))
-    return langid.predict(docs, model).withColumn("held_out", held_out())
+    return langid.predict(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_char", "rejected")
 
 
 @query
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = toxicity.train(docs, table(spark, sf, "labels"))
-    return toxicity.predict(docs, model).withColumn("held_out", held_out())
+    return toxicity.predict(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "offending")
 
 
 @query

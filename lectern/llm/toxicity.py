@@ -28,9 +28,8 @@ DIMENSIONS = 1 << 18
 PER_CLASS = 2500
 EPOCHS = 250
 RATE = 0.08
-DECAY = 1e-4
-#: Features of fewer learning documents are left out.
-LEAST_DOCUMENTS = 8
+#: Decay of every weight, and what the decay of a feature's weight has besides, divided by the documents that hold it.
+DECAY, RARE = 1e-4, 3e-3
 THRESHOLD = 0.7
 CACHE = 200_000
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -96,10 +95,10 @@ def _bags(batches):
 
 
 def fit(bags: list[tuple[int, bytes, bytes]], epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY,
-        least: int = LEAST_DOCUMENTS) -> Model:
+        rare: float = RARE) -> Model:
     """Weights that make the noisy-or of the sentences agree with the labels (full-batch Adam).
 
-    Features of fewer than ``least`` documents get none: they would only tell these documents apart.
+    The fewer documents hold a feature, the more its weight decays: it may only tell these documents apart.
     """
     bags = [b for b in bags if b[1]]
     labels = np.array([b[0] for b in bags])
@@ -116,10 +115,11 @@ def fit(bags: list[tuple[int, bytes, bytes]], epochs: int = EPOCHS, rate: float
     once = np.unique(word + len(owned) * doc[sentence])
     # In how many documents each feature is; a feature twice in a document, by two words, counts twice.
     spread = np.bincount(owned[once % len(owned)].ravel(), minlength=DIMENSIONS + 1)
-    of_word, column = np.nonzero((owned < DIMENSIONS) & (spread[owned] >= least))
+    of_word, column = np.nonzero(owned < DIMENSIONS)
     used, place = np.unique(owned[of_word, column], return_inverse=True)
     weight = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean())
     w, bias = np.zeros(len(used)), -4.0
+    decays = decay + rare / spread[used]
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, epochs + 1):
         by_word = np.bincount(of_word, w[place], len(owned))
@@ -128,7 +128,7 @@ def fit(bags: list[tuple[int, bytes, bytes]], epochs: int = EPOCHS, rate: float
         total = np.bincount(doc, np.logaddexp(0, z), len(bags))
         pull = np.where(labels == 1, -1 / np.maximum(np.expm1(np.minimum(total, 60)), 1e-6), 1.0) * weight / len(bags)
         g = pull[doc] * p
-        gw = np.bincount(place, np.bincount(word, g[sentence], len(owned))[of_word], len(used)) + decay * w
+        gw = np.bincount(place, np.bincount(word, g[sentence], len(owned))[of_word], len(used)) + decays * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
