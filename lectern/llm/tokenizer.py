@@ -32,7 +32,7 @@ ENCODED = 4 << 20
 TOGETHER = 128
 #: Bytes of remembered parts after which they become the old ones, and the old ones go; about what a part takes; the
 #: characters above which a part is not kept.
-CACHE, ENTRY, LONGEST = 96 << 20, 220, 64
+CACHE, ENTRY, LONGEST = 72 << 20, 220, 64
 #: Marks that are split from a word of letters before them, whatever follows after a blank, as many as ``TAIL``.
 TAILS, TAIL = ".,!?;:#$%&*", 8
 #: Letters before this one are the same in all versions of Unicode, and lower-case to one letter.
