@@ -6,14 +6,17 @@ from collections import deque
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions import text as X
 from lectern.operators.joins import CHUNK_MARK
+from lectern.session import materialise
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+#: Texts of a file that are counted through in one task.
+PARTS_BLOCK = 4096
 
 
 def _pieces(text: str, separator: str) -> list[str]:
@@ -79,6 +82,31 @@ def explode_chunks(df: DataFrame, chunks: Column, parent: str = "doc_id") -> Dat
             .withColumn("chunk_id", F.concat(F.col(parent).cast("string"), F.lit(CHUNK_MARK), F.col("chunk_index"))))
 
 
+def chunks_through(texts: DataFrame, group: Sequence[str], recursive: bool = False, block: int = PARTS_BLOCK) -> DataFrame:
+    """Chunks of texts that belong together, counted through: ``group``, ``chunk_index``, ``total_chunks``, ``text``.
+
+    ``parts`` says how many texts the row's group has, ``part`` which one it is. Texts that are alone are counted in
+    their row. The others' counts, without texts, are added up by blocks of ``block`` parts, then blocks by group: no task
+    holds a group of very many texts.
+    """
+    fn = chunk_recursive(F.col("text")) if recursive else X.chunk_sliding(F.col("text"), CHUNK_SIZE, CHUNK_OVERLAP)
+    cut = materialise(texts.select(*group, "parts", "part", fn.alias("_chunks")), "cut")
+    one = cut.where("parts = 1").withColumn("_before", F.lit(0).cast("bigint")).withColumn("total_chunks", F.size("_chunks"))
+    several = cut.where("parts > 1")
+    sizes = several.select(*group, "part", F.size("_chunks").cast("bigint").alias("_n"), F.floor(F.col("part") / block).alias("_block"))
+    by_block = sizes.groupBy(*group, "_block").agg(F.sum("_n").alias("_n"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = by_block.select(*group, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
+                             F.sum("_n").over(whole).cast("int").alias("total_chunks"))
+    inside = Window.partitionBy(*group, "_block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    places = (sizes.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(blocks, [*group, "_block"])
+              .select(*group, "part", (F.col("_base") + F.col("_in")).alias("_before"), "total_chunks"))
+    numbered = one.unionByName(several.join(places, [*group, "part"]))
+    out = numbered.select(*group, "_before", "total_chunks", F.posexplode_outer("_chunks").alias("_at", "text")).where(F.col("_at").isNotNull())
+    return out.select(*group, (F.col("_before") + F.col("_at")).cast("int").alias("chunk_index"), "total_chunks", "text")
+
+
 def chunk_documents(docs: DataFrame, text: str = "text", parent: str = "doc_id", recursive: bool = False) -> DataFrame:
     cut = chunk_recursive(F.col(text)) if recursive else X.chunk_sliding(F.col(text), CHUNK_SIZE, CHUNK_OVERLAP)
     return explode_chunks(docs, cut, parent)

@@ -15,7 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.config import TableConfig
 from lectern.functions.text import UPLOAD_PREFIXES
@@ -220,12 +220,7 @@ def file_chunk_documents(refs: DataFrame, files: DataFrame, cfg: TableConfig, ex
     """
     single = top_per_group(refs, ["parent_id", "path_no"], ["path", "file_type"])
     placed = place_refs(single, files, prefixes)
-    cut_up = C.chunk_documents(file_documents(placed, files, extractors), parent="resolved_path", recursive=recursive)
-    # Files of records have several texts, whose chunks are counted through.
-    group = Window.partitionBy("resolved_path", "extension")
-    place = F.row_number().over(group.orderBy("part", "chunk_index")) - 1
-    pieces = cut_up.select("resolved_path", "extension", place.alias("chunk_index"),
-                           F.count("*").over(group).cast("int").alias("total_chunks"), F.col("chunk_text").alias("text"))
+    pieces = C.chunks_through(file_documents(placed, files, extractors), ["resolved_path", "extension"], recursive)
     cut = skewed_join(placed, embed_documents(pieces, embed), ["resolved_path", "extension"])
     parent = F.when(F.col("path_no") == 0, F.col("parent_id")).otherwise(F.concat_ws(".", "parent_id", "path_col"))
     meta = F.create_map(

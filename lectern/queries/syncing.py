@@ -282,6 +282,28 @@ def file_chunks(spark, sf):
                                meta["total_chunks"].cast("int").alias("total_chunks"), F.md5("text").alias("text_md5"))
 
 
+_CUSTOMER_LINES = ("'c_custkey: ' || c_custkey || chr(10) || 'c_name: ' || c_name || chr(10) || 'c_mktsegment: ' || c_mktsegment || chr(10) || "
+                   "'note: 5\" \"' || chr(10) || 'x, y'")
+
+
+@query("file_chunks_records", f"""
+WITH r AS (SELECT c_nationkey, {_CUSTOMER_LINES} AS text, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer)
+SELECT 'corpus.nation.' || c_nationkey || '.chunk_' || i AS doc_id, i::INT AS chunk_index,
+  (count(*) OVER (PARTITION BY c_nationkey))::INT AS total_chunks, md5(text) AS text_md5 FROM r""")
+def file_chunks_records(spark, sf):
+    """Files of records, one text each, counted through by blocks; the blocks are set small here."""
+    row = F.to_csv(F.struct("c_custkey", "c_name", "c_mktsegment", F.lit('5" "\nx, y').alias("note")),
+                   {"escape": '"', "quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    lines = table(spark, sf, "customer").select("c_nationkey", F.struct("c_custkey", row.alias("row")).alias("line"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["row"]), "\n")
+    files = lines.groupBy("c_nationkey").agg(F.encode(F.concat(F.lit("c_custkey,c_name,c_mktsegment,note\n"), rows, F.lit("\n\n")), "UTF-8").alias("content"))
+    texts = S.Extractors().documents(files.withColumn("extension", F.lit("csv")))
+    parts = texts.select("c_nationkey", F.size("texts").alias("parts"), F.posexplode("texts").alias("part", "text"))
+    cut = C.chunks_through(parts, ["c_nationkey"], block=7)
+    return cut.select(F.concat(F.lit("corpus.nation."), "c_nationkey", F.lit(".chunk_"), "chunk_index").alias("doc_id"),
+                      "chunk_index", "total_chunks", F.md5("text").alias("text_md5"))
+
+
 _SQL_KEPT = f"""WITH t AS ({_SQL_PAGE_TEXT}), p AS (SELECT page_id, url FROM pages WHERE page_id % 7 <> 3),
 f AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN page_id ELSE page_id - page_id % 5 END AS file FROM p),
 c AS (SELECT page_id, text, unnest(range(0, greatest(ceil((length(text) - 1000) / 800.0), 0)::BIGINT + 1)) AS i

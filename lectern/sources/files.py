@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Callable, Iterator, Sequence
-from itertools import zip_longest
 
 import pandas as pd
 import pyarrow as pa
@@ -51,26 +48,43 @@ def file_refs(df: DataFrame, cfg: TableConfig) -> DataFrame:
 # ---- extraction --------------------------------------------------------------
 
 
-def _csv_rows(content: bytes) -> Iterator[list[str]]:
-    """Rows of a comma-separated file; they end where the file is broken."""
-    rows = csv.reader(io.StringIO(content.decode("utf-8", "replace"), newline=None))
-    while True:
-        try:
-            yield next(rows)
-        except (StopIteration, csv.Error):
-            return
+# Patterns of comma-separated files. Groups and runs are possessive: they need no way back, and long fields no stack.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+_FIELD = rf'(?:{_QUOTED}(?:"[^,\n]*+|\z)|[^,\n]*+)'
 
 
-def _csv_text(content: bytes) -> str:
-    return "\n".join(map(" | ".join, _csv_rows(content)))
+def _csv_records(content: Column) -> Column:
+    """Rows of a comma-separated file as they stand; a quoted field may hold line ends, one without its end takes the rest."""
+    text = F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")
+    return F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(rf"\n({_FIELD}(?:,{_FIELD})*+)"), F.lit(1))
 
 
-def _csv_documents(content: bytes) -> list[str]:
+def _csv_fields(record: Column) -> Column:
+    """Values of a row; none for an empty line. Only a quote that begins a field opens one."""
+    def value(field: Column) -> Column:
+        inside = F.regexp_extract(field, rf'^"({_QUOTED[1:]})', 1)
+        rest = F.substr(field, F.length(inside) + 3)
+        return F.when(F.startswith(field, F.lit('"')), F.concat(F.replace(inside, F.lit('""'), F.lit('"')), rest)).otherwise(field)
+
+    fields = F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(rf",({_FIELD})"), F.lit(1)), value)
+    return F.when(record == "", F.array().cast("array<string>")).otherwise(fields)
+
+
+def _csv_text(content: Column) -> Column:
+    return F.array_join(F.transform(_csv_records(content), lambda r: F.array_join(_csv_fields(r), " | ")), "\n")
+
+
+def _csv_documents(content: Column) -> Column:
     """One text per row below the header: ``column: value`` lines. A value that is missing is empty."""
-    rows = _csv_rows(content)
-    header = next(rows, [])
-    return ["\n".join(f"{name}: {value}" for name, value in zip_longest(header, row[: len(header)], fillvalue=""))
-            for row in rows if row]
+    def texts(rows: Column) -> Column:
+        def one(header: Column, row: Column) -> Column:
+            return F.array_join(F.transform(header, lambda name, i: F.concat(name, F.lit(": "), F.coalesce(F.get(row, i), F.lit("")))), "\n")
+
+        below = F.filter(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.size(r) > 0)
+        return X.let(F.coalesce(F.get(rows, F.lit(0)), F.array().cast("array<string>")),
+                     lambda header: F.transform(below, lambda r: one(header, r)))
+
+    return X.let(F.transform(_csv_records(content), _csv_fields), texts)
 
 
 def _plain_text(content: Column) -> Column:
@@ -87,17 +101,18 @@ class Extractors:
     ``native`` ones map a binary Column to a text Column. ``python`` ones map
     the bytes of one file to its text and run as an Arrow UDF on the files of
     their extensions only; an error there is kept with the file. ``records``
-    ones give several texts per file, for :meth:`documents`.
+    ones give several texts per file, for :meth:`documents`; native ones map a binary Column to an array of texts.
     """
 
     def __init__(self) -> None:
         self._native: dict[str, Callable[[Column], Column]] = {}
         self._python: dict[str, Callable[[bytes], str]] = {}
         self._records: dict[str, Callable[[bytes], list[str]]] = {}
+        self._native_records: dict[str, Callable[[Column], Column]] = {}
         self.register_native(("txt", "text", "log", "md", "rst"), _plain_text)
         self.register_native(("html", "htm"), _html_text)
-        self.register_python(("csv", "tsv"), _csv_text)
-        self.register_records(("csv", "tsv"), _csv_documents)
+        self.register_native(("csv", "tsv"), _csv_text)
+        self.register_native_records(("csv", "tsv"), _csv_documents)
 
     def register_native(self, extensions: Sequence[str], fn: Callable[[Column], Column]) -> None:
         for e in extensions:
@@ -111,6 +126,10 @@ class Extractors:
         for e in extensions:
             self._records[e.lower().lstrip(".")] = fn
 
+    def register_native_records(self, extensions: Sequence[str], fn: Callable[[Column], Column]) -> None:
+        for e in extensions:
+            self._native_records[e.lower().lstrip(".")] = fn
+
     def supported(self) -> list[str]:
         return sorted({*self._native, *self._python})
 
@@ -152,15 +171,19 @@ class Extractors:
     def documents(self, df: DataFrame, content: str = "content", extension: str = "extension") -> DataFrame:
         """Adds ``texts``: the texts of a file of records, else its one text; empty when there is none."""
         functions = dict(self._records)
-
-        @F.pandas_udf("array<string>")
-        def split(contents: pd.Series, extensions: pd.Series) -> pd.Series:
-            return pd.Series([None if data is None else functions[e](data) for data, e in zip(contents, extensions)], dtype="object")
-
         ext = F.col(extension)
-        many = ext.isin(list(functions))
+        records = F.lit(None).cast("array<string>")
+        for e, fn in self._native_records.items():
+            if e not in functions:
+                records = F.when(ext == e, fn(F.col(content))).otherwise(records)
+        if functions:
+            @F.pandas_udf("array<string>")
+            def split(contents: pd.Series, extensions: pd.Series) -> pd.Series:
+                return pd.Series([None if data is None else functions[e](data) for data, e in zip(contents, extensions)], dtype="object")
+
+            many = ext.isin(list(functions))
+            records = F.coalesce(split.asNondeterministic()(F.when(many, F.col(content)), ext), records)
         single = self.extract(df, content, extension)
-        records = split.asNondeterministic()(F.when(many, F.col(content)), ext)
         return single.withColumn("texts", F.filter(F.coalesce(records, F.array("text")), lambda t: X.strip(t) != ""))
 
 
@@ -196,9 +219,9 @@ def extract_files(placed: DataFrame, files: DataFrame, extractors: Extractors |
 
 
 def file_documents(placed: DataFrame, files: DataFrame, extractors: Extractors | None = None) -> DataFrame:
-    """``(resolved_path, extension, part, text)``: the texts of each file; a file named by many rows is read once."""
+    """``(resolved_path, extension, parts, part, text)``: the texts of each file; a file named by many rows is read once."""
     texts = (extractors or Extractors()).documents(_wanted(placed, files)).drop("content", "text")
-    return (texts.select("resolved_path", "extension", F.posexplode_outer("texts").alias("part", "text"))
+    return (texts.select("resolved_path", "extension", F.size("texts").alias("parts"), F.posexplode_outer("texts").alias("part", "text"))
             .where(F.col("text").isNotNull()))
 
 
