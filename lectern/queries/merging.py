@@ -312,7 +312,31 @@ def chunk_positions(spark, sf):
     return C.chunk_documents(d).select("chunk_id", "chunk_index", "total_chunks")
 
 
-@query("chunk_recursive")
+# The second version of recursive chunks. Level by level, long pieces are split at the next separator; ``n`` holds the
+# text and every long piece with its place. Runs of short pieces between long ones are packed by jumps: a window
+# from piece s ends before the first piece that overflows it, and the next one starts at the first piece that
+# keeps to the overlap and leaves room for that piece. ``cum`` has the characters before each piece of a run.
+_SQL_LEVEL = ("CASE WHEN lvl <= 1 AND contains(text, chr(10) || chr(10)) THEN 1 WHEN lvl <= 2 AND contains(text, chr(10)) THEN 2 "
+              "WHEN lvl <= 3 AND contains(text, '. ') THEN 3 WHEN lvl <= 4 AND contains(text, ' ') THEN 4 ELSE 5 END")
+_SQL_PIECES = """CASE WHEN l = 5 THEN regexp_extract_all(text, '(?s).') ELSE list_filter(list_transform(string_split(text, sep),
+  lambda x, i: CASE WHEN i = 1 THEN x ELSE sep || x END), lambda x: x <> '') END"""
+_SQL_CUT = f"""SELECT doc_id, path, l, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos FROM (SELECT *, {_SQL_PIECES} AS pieces FROM (
+  SELECT *, [chr(10) || chr(10), chr(10), '. ', ' ', ''][l] AS sep FROM (SELECT *, {_SQL_LEVEL} AS l FROM n)))"""
+_SQL_RECURSIVE = f"""WITH RECURSIVE n AS (SELECT doc_id, []::BIGINT[] AS path, text, 1 AS lvl FROM documents WHERE text <> ''
+  UNION ALL SELECT doc_id, list_append(path, pos), piece, l + 1 FROM ({_SQL_CUT}) WHERE length(piece) >= 1000),
+p AS (SELECT *, count_if(length(piece) >= 1000) OVER (PARTITION BY doc_id, path ORDER BY pos) AS run FROM ({_SQL_CUT})),
+r AS (SELECT doc_id, list_append(path, min(pos)) AS place, string_agg(piece, '' ORDER BY pos) AS text, list(length(piece) ORDER BY pos) AS sizes
+  FROM p WHERE length(piece) < 1000 GROUP BY doc_id, path, run),
+c AS (SELECT doc_id, place, text, list_transform(range(1, len(sizes) + 2), lambda j: coalesce(list_sum(sizes[1:j - 1]), 0)::BIGINT) AS cum FROM r),
+w AS (SELECT doc_id, place, text, cum, 1::BIGINT AS s, len(list_filter(cum, lambda x: x <= 1000))::BIGINT AS e FROM c
+  UNION ALL SELECT doc_id, place, text, cum, s2, len(list_filter(cum, lambda x: x <= cum[s2] + 1000))::BIGINT FROM (
+    SELECT *, greatest(s, 1 + len(list_filter(cum, lambda x: x < greatest(cum[e] - 200, cum[e + 1] - 1000))))::BIGINT AS s2 FROM w WHERE e < len(cum))),
+k AS (SELECT doc_id, place, s, trim(substr(text, cum[s] + 1, cum[e] - cum[s]), '{X.WHITESPACE}') AS chunk FROM w),
+o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, s) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, chunk FROM k WHERE chunk <> '')
+SELECT doc_id || '.chunk_' || i AS chunk_id, i::INT AS chunk_index, n::INT AS total_chunks, md5(chunk) AS chunk_md5 FROM o"""
+
+
+@query("chunk_recursive", _SQL_RECURSIVE)
 def chunk_recursive(spark, sf):
     d = widen(table(spark, sf, "documents"), "doc_id").select("doc_id", "text")
     return C.chunk_documents(d, recursive=True).select("chunk_id", "chunk_index", "total_chunks",
