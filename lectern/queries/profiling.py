@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import profile as P
+from lectern.operators.sketches import DISTINCT_ERROR, ProfileStore
 from lectern.queries.merging import TABLE_NAMES
 from lectern.queries.registry import query, table
+from lectern.session import scratch_path
 
 # Columns of the stand-in tables with their catalog types, for the SQL twins.
 COLUMNS = {
@@ -149,3 +151,24 @@ def profile_configs(spark, sf):
     return (found.withColumn("file_columns", F.array_join(pairs, ","))
             .withColumn("text_columns", F.array_join("text_columns", ","))
             .withColumn("metadata_columns", F.array_join("metadata_columns", ",")))
+
+
+@query("profile_merged", f"""SELECT table_name, column_name, n_rows, n_nulls, avg_length, max_length, n_rows > 0 AS distinct_in_bounds
+FROM ({_sql_statistics()}) WHERE base_type <> 'vector' AND table_name <> 'uploads'""")
+def profile_merged(spark, sf):
+    """Sketches of two slices of each table, one of them profiled twice, merged; distinct counts against exact ones."""
+    store = ProfileStore(spark, scratch_path(spark, "profiles"))
+    frames = {t: table(spark, sf, t) for t in TABLE_NAMES}
+    for name, df in frames.items():
+        half = F.pmod(F.xxhash64(df.columns[0]), F.lit(2))
+        for i in (0, 1, 0):
+            store.add(name, f"part {i}", df.where(half == i))
+    exact = P.profile_statistics({n: df.select(*(f.name for f in df.schema.fields if P.base_type(f.dataType) != "vector"))
+                                  for n, df in frames.items()}, exact=True)
+    true = exact.select("table_name", F.col("n_distinct").alias("exact"), "ordinal")
+    places = spark.createDataFrame([(n, i, c) for n, df in frames.items() for i, c in enumerate(
+        f.name for f in df.schema.fields if P.base_type(f.dataType) != "vector")], "table_name string, ordinal int, column_name string")
+    merged = store.statistics().where("base_type <> 'vector'").drop("ordinal").join(
+        places.join(true, ["table_name", "ordinal"]), ["table_name", "column_name"])
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 1 + DISTINCT_ERROR * F.col("exact")
+    return merged.select("table_name", "column_name", "n_rows", "n_nulls", "avg_length", "max_length", near.alias("distinct_in_bounds"))
