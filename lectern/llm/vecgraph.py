@@ -6,10 +6,10 @@ is searched for in the graph so far, what the search meets is pruned robustly (a
 much closer to it), and links back are pruned too; a second round does the same with the whole graph. A vector's
 lists from all its shards are united and pruned again into one flat graph.
 
-A vector is searched for in every shard that can hold
-a vector in range, by the shard's radius and by the plane between its centroid and the nearest one; so
-no link is lost between shards. A link is counted in the nearest shard of the vector that is found; those that are there by
-overlap lead the way. A search
+Searches go to the shards of a vector's nearest centroids. How many, an audit of each label says: ``ROUTED`` vectors are
+compared with all others, and searches go to as many shards as it takes to meet every link of theirs in a home of the vector
+that is found. So the work of a search does not grow with the number of shards. A link that may be met in two shards is
+counted in one. A search
 starts at the shard's medoids and the vector's own place, follows the graph greedily with a beam, then widens through everything in range. Hits
 are verified in double precision. Each shard audits ``AUDIT`` searches against all its vectors, at the threshold or, where
 these have fewer than ``AUDIT_LINKS`` links, at the lower one that has as many pairs; below ``RECALL`` it searches with a
@@ -36,12 +36,14 @@ from lectern.llm.common import stored
 from lectern.llm.components import Forest, components
 
 THRESHOLD = 0.93
-SHARD = 1500
+SHARD = 400
 SHARD_MOST = 4000
 BLOCK_QUERIES = 8000
 #: Vectors from which centroids are fitted, and centroids, at most; more vectors make larger shards, which are dealt out.
 SAMPLE = 40_000
-CENTROIDS = 4096
+CENTROIDS = 8192
+#: Vectors compared with all others to learn how many shards a search needs, about.
+ROUTED = 2000
 DEGREE = 16
 POOL = 32
 ALPHA = 1.2
@@ -322,25 +324,24 @@ def _both_ways(pairs, ids: np.ndarray, asking_ids: np.ndarray):
     return [(key // len(ids), key % len(ids))]
 
 
-def reach(c: np.ndarray, nearest: np.ndarray, threshold: float) -> np.ndarray:
-    """For each centroid, the least cosine of a query that can have a link in its shard.
+def by_cell(batch: pa.RecordBatch, label: int, vector: int):
+    """Rows of a batch by label and length of the vector: the places of the rows, and their unit vectors."""
+    groups: dict = {}
+    vectors = batch.column(vector).to_pylist()
+    for i, (lab, v) in enumerate(zip(batch.column(label).to_pylist(), vectors, strict=True)):
+        groups.setdefault((lab, len(v)), []).append(i)
+    for cell, rows in groups.items():
+        for a in range(0, len(rows), INSERTED):
+            some = rows[a : a + INSERTED]
+            yield cell, some, unit([vectors[i] for i in some])
 
-    ``nearest`` is the least cosine between the centroid and a vector of its shard; NaN: it has none.
-    """
-    wide = np.arccos(np.clip(nearest, -1, 1)) + np.arccos(np.clip(threshold, -1, 1))
-    return np.where(np.isnan(nearest), np.inf, np.where(wide < np.pi, np.cos(np.minimum(wide, np.pi)) - SLACK, -2.0))
-
-
-def probes(c: np.ndarray, least: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
-    """The shards that can hold a vector within ``threshold`` of ``x``.
 
-    A vector of another shard than that of the nearest centroid lies beyond the
-    plane between both centroids; ``x`` is at most one chord away from it.
-    """
-    s = c @ x
-    near = int(s.argmax())
-    apart = np.sqrt(((c - c[near]) ** 2).sum(1))
-    return np.flatnonzero((s >= least) & (s[near] - s <= apart * np.sqrt(max(2 - 2 * threshold, 0.0)) + SLACK))
+def nearest(c: np.ndarray, x: np.ndarray, count: int) -> np.ndarray:
+    """The places of the ``count`` nearest centroids of each vector, nearest first."""
+    sims = x @ c.T
+    count = min(count, len(c))
+    top = np.argpartition(-sims, count - 1, axis=1)[:, :count]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
 
 
 def _fit_to_link() -> Column:
@@ -349,6 +350,52 @@ def _fit_to_link() -> Column:
     return F.coalesce(F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
 
 
+def _probes(placed: DataFrame, model: dict, total: int, threshold: float, audit: str | None) -> dict:
+    """How many shards a search of each label and length goes to: enough for every link of the audited vectors.
+
+    About ``ROUTED`` vectors, chosen by hash, are compared with all others; only counts come back.
+    """
+    share = max(1, -(-total // ROUTED))
+    chosen: dict = {}
+    for r in placed.where(F.pmod(F.xxhash64("id", F.lit("routed")), F.lit(share)) == 0).select("id", "label", "v").collect():
+        chosen.setdefault((r["label"], len(r["v"])), []).append((r["id"], r["v"]))
+    cells = {}
+    for cell, rows in chosen.items():
+        x = unit([v for _, v in rows])
+        order = nearest(model[cell][0], x, len(model[cell][0]))
+        place = np.empty_like(order, np.int32)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1], dtype=np.int32), order.shape), 1)
+        cells[cell] = (len(cells), np.array([i for i, _ in rows]), x, place)
+
+    def needed(batches):
+        for b in batches:
+            keys, found = b.column(0).to_numpy(), {}
+            homes = b.column(3).to_pylist()
+            for cell, rows, x in by_cell(b, 1, 2):
+                if cell not in cells:
+                    continue
+                number, ids, own, place = cells[cell]
+                q, v = np.nonzero((own @ x.T >= threshold) & (ids[:, None] != keys[rows]))
+                at = np.array([homes[i] for i in rows], np.int64)[v] - model[cell][1]
+                least = place[q[:, None], at].min(1) + 1 if len(q) else np.zeros(0, np.int64)
+                for p, n in zip(*np.unique(least, return_counts=True), strict=True):
+                    found[number, int(p)] = found.get((number, int(p)), 0) + int(n)
+            yield pa.RecordBatch.from_pylist([{"cell": c, "probes": p, "n": n} for (c, p), n in found.items()],
+                                             schema=pa.schema([("cell", pa.int32()), ("probes", pa.int32()), ("n", pa.int64())]))
+
+    counted = placed.select("id", "label", "v", "homes").mapInArrow(needed, "cell int, probes int, n long").groupBy("cell", "probes").agg(
+        F.sum("n").alias("n")).collect()
+    number = {c: cell for cell, (c, *_) in cells.items()}
+    out: dict = {}
+    for r in counted:
+        out[number[r["cell"]]] = max(out.get(number[r["cell"]], HOMES), r["probes"])
+    if audit:
+        links = sum(r["n"] for r in counted)
+        placed.sparkSession.createDataFrame([("routing", links, links, max(out.values(), default=HOMES))],
+                                            "kind string, audited long, met long, probes int").write.mode("append").parquet(audit)
+    return out
+
+
 def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding",
                 label: str = "label", audit: str | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept. What the shards' audits compared and found goes to ``audit``."""
@@ -377,43 +424,32 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "ve
 
     def assign(batches):
         for b in batches:
-            labels, vs = (b.column(j).to_pylist() for j in (1, 2))
-            cells, homes, near = [], [], []
-            for lab, v in zip(labels, vs, strict=True):
-                c, first = model[lab, len(v)]
-                s = c @ unit([v])[0]
-                own = np.argsort(-s, kind="stable")[:HOMES]
-                cells.append(first + int(own[0]))
-                homes.append((first + own).tolist())
-                near.append(float(s.max()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(cells, pa.int32()), pa.array(near, pa.float64()),
-                 pa.array(homes, pa.list_(pa.int32()))], ["id", "label", "v", "copies", "cell", "near", "homes"])
+            homes = [None] * b.num_rows
+            for cell, rows, x in by_cell(b, 1, 2):
+                c, first = model[cell]
+                for i, own in zip(rows, (first + nearest(c, x, HOMES)).tolist(), strict=True):
+                    homes[i] = own
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(homes, pa.list_(pa.int32()))], ["id", "label", "v", "copies", "homes"])
 
     kinds = dict(classes.dtypes)
     placed = stored(classes.select("id", "label", "v", "copies").mapInArrow(
-        assign, f"id long, label {kinds['label']}, v {kinds['v']}, copies long, cell int, near double, homes array<int>"), "placed")
-    # One row for each shard, at most CENTROIDS and one more for each label and length.
-    nearest = np.full(base, np.nan)
-    for r in placed.groupBy("cell").agg(F.min("near").alias("near")).collect():
-        nearest[r["cell"]] = r["near"]
-    bounds = {cell: reach(c, nearest[first : first + len(c)], threshold) for cell, (c, first) in model.items()}
+        assign, f"id long, label {kinds['label']}, v {kinds['v']}, copies long, homes array<int>"), "placed")
+    probes = _probes(placed, model, total, threshold, audit)
 
     def ask(batches):
         for b in batches:
-            labels, vs = (b.column(j).to_pylist() for j in (1, 2))
-            cells = []
-            for lab, v in zip(labels, vs, strict=True):
-                c, first = model[lab, len(v)]
-                cells.append((first + probes(c, bounds[lab, len(v)], unit([v])[0], threshold)).tolist())
+            cells = [None] * b.num_rows
+            for cell, rows, x in by_cell(b, 1, 2):
+                c, first = model[cell]
+                for i, own in zip(rows, (first + nearest(c, x, probes.get(cell, HOMES))).tolist(), strict=True):
+                    cells[i] = own
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(cells, pa.list_(pa.int32()))],
                                              ["id", "v", "copies", "cells"])
 
-    indexed = placed.select("id", "v", "copies", F.explode("homes").alias("home"), "cell").select(
-        "id", "v", "copies", F.col("home").alias("cell"), (F.col("home") == F.col("cell")).alias("counts"))
+    indexed = placed.select("id", "v", "copies", F.explode("homes").alias("cell"), "homes")
     held = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     asked = stored(placed.select("id", "label", "v", "copies").mapInArrow(
-        ask, f"id long, v {kinds['v']}, copies long, cells array<int>"), "asked").select("id", "v", "copies", F.explode("cells").alias("cell"))
+        ask, f"id long, v {kinds['v']}, copies long, cells array<int>"), "asked").select("id", "v", "copies", F.explode("cells").alias("cell"), F.col("cells").alias("homes"))
     asking = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     plan = spark.createDataFrame(
         [(c, -(-held.get(c, 0) // SHARD_MOST) or 1, -(-asking.get(c, 0) // BLOCK_QUERIES)) for c in sorted({*held, *asking})],
@@ -433,10 +469,10 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "ve
     points = shards.where("blocks > 0").join(flat, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asks = (asked.join(F.broadcast(plan), "cell").withColumn("block", spread("block", "blocks"))
             .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))))
-    columns = ["cell", "sub", "block", "id", "v", "copies", "near", "counts"]
+    columns = ["cell", "sub", "block", "id", "v", "copies", "near", "homes"]
     none = F.lit(None).cast("array<long>")
     both = points.select(*columns, F.lit(True).alias("point")).unionByName(
-        asks.withColumn("near", none).withColumn("counts", F.lit(False)).select(*columns, F.lit(False).alias("point")))
+        asks.withColumn("near", none).select(*columns, F.lit(False).alias("point")))
 
     def find(_, pdf):
         pts, qs = pdf[pdf["point"]].sort_values("id"), pdf[~pdf["point"]].sort_values("id")
@@ -452,12 +488,15 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "ve
             own = np.searchsorted(ids, asking_ids).clip(max=len(ids) - 1)
             own = np.where(ids[own] == asking_ids, own, -1)
             pairs, truth, met = audited(x, united(x, lists), q, own, threshold)
-            copies, counted = pts["copies"].to_numpy(), pts["counts"].to_numpy()
+            copies, own_cell = pts["copies"].to_numpy(), pts["cell"].iloc[0]
+            # Only a search that does not go to a vector's first home counts it in the second.
+            firsts, tried = np.array([h[0] for h in pts["homes"]]), [frozenset(h) for h in qs["homes"]]
             pairs = _both_ways(pairs, ids, asking_ids)
             forest = Forest()
             counts = np.zeros(len(q), np.int64)
             for r, v in pairs:
-                keep = (ids[v] != asking_ids[r]) & counted[v]
+                keep = (ids[v] != asking_ids[r]) & np.fromiter(
+                    (f == own_cell or f not in tried[q] for f, q in zip(firsts[v].tolist(), r.tolist(), strict=True)), bool, len(r))
                 r, v = r[keep], v[keep]
                 counts += np.bincount(r, copies[v], len(q)).astype(np.int64)
                 for a, b in zip(asking_ids[r].tolist(), ids[v].tolist(), strict=True):
@@ -474,7 +513,7 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "ve
     said = stored(both.groupBy("cell", "sub", "block").applyInPandas(
         find, "id long, other long, n long, audited long, met long"), "found")
     if audit:
-        said.where("audited is not null").select("audited", "met").write.parquet(audit)
+        said.where("audited is not null").select(F.lit("graph").alias("kind"), "audited", "met").write.mode("append").parquet(audit)
     counts = said.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(said.where("other is not null").select("id", "other")).withColumnRenamed("node", "id")
     firsts = (classes.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")))
