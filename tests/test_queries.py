@@ -22,7 +22,7 @@ def con(sf):
 
 
 def test_names():
-    assert len(QUERIES) == 108
+    assert len(QUERIES) == 115
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
