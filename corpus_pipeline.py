@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage reads what the stage before it kept, and its decisions take effect."""
+"""The corpus pipeline: each stage reads what the stage before it kept, and its decisions take effect.
+
+Defined cases: a null text or one without letters has no language and goes in the first stage; rows that
+repeat an id or a text stand until near-duplicates keep one of each group; a null id stays a row like others; an
+empty table gives no rows; other columns of documents pass through all stages but the last.
+"""
 
 from __future__ import annotations
 

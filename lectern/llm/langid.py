@@ -10,7 +10,8 @@ that is higher than a bound calibrated on all learning rows of its language: mea
 Defined cases: a null text and one without letters are ``und``, score 0,
 rejected; without learning rows every text is; rows with a null language or id
 are not learned from; a language with one learning row has the deviation of all
-languages together; ties go to the language that sorts first.
+languages together; ties go to the language that sorts first; rows that repeat are learned from and
+judged each by itself; an empty table gives no rows.
 No n-gram is left out; the models of all of them are built on the driver and sent to every task.
 """
 

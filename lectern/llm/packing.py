@@ -8,7 +8,8 @@ times as its lengths last. Pieces then find their place by their rank among
 the pieces of equal length, which is counted in spread groups.
 
 Defined cases: null text counts as empty (a piece of the end id alone); a null
-document id sorts first; rows that repeat an id are packed, all of them.
+document id sorts first; rows that repeat an id are packed, all of them; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

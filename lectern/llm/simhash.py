@@ -13,7 +13,7 @@ a spanning forest of its links, never all pairs.
 Defined cases: a text without words (null, empty, blank) has fingerprint zero
 and links like any other; rows that repeat an id are one group at least; a null
 id joins the group of its fingerprint, and counts as the id only of a group
-without any other. ``keep_one`` keeps one row of each group.
+without any other; an empty table gives no rows. ``keep_one`` keeps one row of each group.
 """
 
 from __future__ import annotations

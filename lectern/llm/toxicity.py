@@ -7,7 +7,8 @@ of each class, and then name the offending sentences.
 
 Defined cases: a text without sentences (null, empty, blank) scores 0; rows with
 a null label or id are not learned from; a document labelled more than once
-counts by its highest label; without labels of both classes every score is 0.
+counts by its highest label; of rows that repeat an id the text that sorts first is learned from, and
+each row is scored; without labels of both classes every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations

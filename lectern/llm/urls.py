@@ -6,7 +6,8 @@ fitted on the driver, from at most ``PER_CLASS`` labelled URLs of each class.
 Defined cases: a null URL or one without ``://`` has an empty host and path and
 fits no rule; of rules that fit, the longest wins, then the one with the longer
 host, then the first by text; without labelled URLs of both classes the method
-says what the labels say, ``allow`` without any; rows that repeat an id each have a row.
+says what the labels say, ``allow`` without any; rows that repeat an id each have a row;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
