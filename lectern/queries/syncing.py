@@ -297,8 +297,7 @@ def file_chunks_records(spark, sf):
     lines = table(spark, sf, "customer").select("c_nationkey", F.struct("c_custkey", row.alias("row")).alias("line"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["row"]), "\n")
     files = lines.groupBy("c_nationkey").agg(F.encode(F.concat(F.lit("c_custkey,c_name,c_mktsegment,note\n"), rows, F.lit("\n\n")), "UTF-8").alias("content"))
-    texts = S.Extractors().documents(files.withColumn("extension", F.lit("csv")))
-    parts = texts.select("c_nationkey", F.size("texts").alias("parts"), F.posexplode("texts").alias("part", "text"))
+    parts = S.text_parts(S.Extractors().documents(files.withColumn("extension", F.lit("csv"))), "c_nationkey")
     cut = C.chunks_through(parts, ["c_nationkey"], block=7)
     return cut.select(F.concat(F.lit("corpus.nation."), "c_nationkey", F.lit(".chunk_"), "chunk_index").alias("doc_id"),
                       "chunk_index", "total_chunks", F.md5("text").alias("text_md5"))

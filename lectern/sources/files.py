@@ -218,11 +218,20 @@ def extract_files(placed: DataFrame, files: DataFrame, extractors: Extractors |
     return (extractors or Extractors()).extract(_wanted(placed, files)).drop("content")
 
 
+def text_parts(texts: DataFrame, *columns: str) -> DataFrame:
+    """One row per text of ``texts``: its columns, the number of texts as ``parts``, ``part`` and ``text``.
+
+    The texts are counted in a step of their own: counted beside the generator, a copy of the whole array would go
+    along with each of its texts.
+    """
+    counted = texts.select(*columns, F.size("texts").alias("parts"), "texts")
+    return (counted.select(*columns, "parts", F.posexplode_outer("texts").alias("part", "text"))
+            .where(F.col("text").isNotNull()))
+
+
 def file_documents(placed: DataFrame, files: DataFrame, extractors: Extractors | None = None) -> DataFrame:
     """``(resolved_path, extension, parts, part, text)``: the texts of each file; a file named by many rows is read once."""
-    texts = (extractors or Extractors()).documents(_wanted(placed, files)).drop("content", "text")
-    return (texts.select("resolved_path", "extension", F.size("texts").alias("parts"), F.posexplode_outer("texts").alias("part", "text"))
-            .where(F.col("text").isNotNull()))
+    return text_parts((extractors or Extractors()).documents(_wanted(placed, files)), "resolved_path", "extension")
 
 
 def extract_refs(refs: DataFrame, files: DataFrame, extractors: Extractors | None = None,

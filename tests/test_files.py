@@ -77,3 +77,16 @@ def test_chunks_are_counted_through(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert held < 2500
+
+
+def test_texts_of_a_file_do_not_carry_all_of_them(spark):
+    """Counted beside the generator, the texts of a file went along with each of them: memory by their square."""
+    content = "id,note\n" + "\n".join(f"{i},n{i}" for i in range(50))
+    files = spark.createDataFrame([("a", content.encode(), "csv"), ("b", b"", "csv"), ("c", b"one", "txt")], "name string, content binary, extension string")
+    parts = S.text_parts(S.Extractors().documents(files), "name")
+    got = sorted((r["name"], r["parts"], r["part"], r["text"]) for r in parts.collect())
+    assert got == sorted([("a", 50, i, f"id: {i}\nnote: n{i}") for i in range(50)] + [("c", 1, 0, "one")])
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    generate = next(line for line in plan.split("\n") if "Generate posexplode(" in line)
+    carried = generate.split("], ")[0].split(", [")[1]
+    assert "parts#" in carried and "texts#" not in carried
