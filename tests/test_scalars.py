@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F, types as T
 
@@ -153,3 +154,18 @@ def test_hashed_embedding(spark):
     for got, counts in zip(out, want):
         length = (counts.astype(float) ** 2).sum() ** 0.5 or 1.0
         assert len(got) == V.HASHED_DIM and got == pytest.approx(list(counts / length), abs=1e-6)
+
+
+def test_embedder_keeps_a_bounded_number_of_short_tokens(monkeypatch):
+    """Tokens of any length were kept, and a batch was held as Python objects."""
+    monkeypatch.setattr(V, "TOKENS_KEPT", 10)
+    places = V._Places(V.HASHED_DIM)
+    long = "x" * 1000
+    texts = [" ".join(f"t{i}" for i in range(30)), "", f"{long} t1 t1", "ünï 5"]
+    got = V._unit_counts(texts, places)
+    assert len(places) <= 10 and long not in places
+    for text, row in zip(texts, got):
+        tf = np.zeros(V.HASHED_DIM)
+        for word in V._TOKEN.findall(text):
+            tf[V._bucket(word, V.HASHED_DIM)] += 1
+        assert (row == (tf / (np.sqrt(tf @ tf) or 1.0)).astype(np.float32)).all()
