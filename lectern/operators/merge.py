@@ -12,11 +12,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lectern.operators.skew import fits_broadcast, skewed_join
+from lectern.operators.skew import SMALL_KEYS, fits_broadcast, skewed_join
 from lectern.session import materialise
 
-SMALL_KEYS = 1_000_000
-
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int = 1,
                   rank: str | None = None) -> DataFrame:
@@ -69,17 +67,34 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str = "doc_id", s
                   then: Sequence[str] = ("text",)) -> DataFrame:
     """A collection with one row per key after a log of ``(..., version, batch, deleted)``.
 
-    The later batch wins, the newest version within a batch, then the columns ``then`` decide. The changes of a key meet
-    by ``max_by``, so that a key changed very often sends one row per task. Rows of the
+    The later batch wins, the newest version within a batch, then the columns ``then`` decide. Keys are counted
+    first, on the key column alone: changes whose key occurs once, normally all of them, pass as they are, with the
+    columns that are asked for and no others. The others meet by ``max_by``, so that a key changed very often sends one row per task. Rows of the
     collection whose key occurs in the log go, the others are only scanned where the keys are few and short enough to be
-    sent to every task.
+    sent to every task; beyond that they stream past the keys of their partition, and are not sorted.
     """
-    keys = changes.select(key).distinct()
-    if fits_broadcast(keys, small_keys):
-        keys = F.broadcast(keys)
+    return union_sources(*changed_parts(current, changes, key, small_keys, then))
+
+
+def changed_parts(current: DataFrame, changes: DataFrame, key: str = "doc_id", small_keys: int = SMALL_KEYS,
+                  then: Sequence[str] = ("text",)) -> list[DataFrame]:
+    """The same in parts: rows that stay, then changed rows."""
+    counted = changes.groupBy(key).agg(F.count("*").alias("_n"))
+    keys = counted.select(key)
+    keys = F.broadcast(keys) if fits_broadcast(keys, small_keys) else keys.hint("shuffle_hash")
+    repeated = counted.where("_n > 1").select(F.col(key).alias("_repeated"))
+    if fits_broadcast(repeated, small_keys):
+        same = F.col(key).eqNullSafe(F.col("_repeated"))
+        newest = [changes.join(F.broadcast(repeated), same, "left_anti"),
+                  _last_changes(changes.join(F.broadcast(repeated), same, "left_semi"), key, then)]
+    else:
+        newest = [_last_changes(changes, key, then)]
+    return [current.join(keys, key, "left_anti"), *(n.where("NOT deleted").select(*current.columns) for n in newest)]
+
+
+def _last_changes(changes: DataFrame, key: str, then: Sequence[str]) -> DataFrame:
     last = F.max_by(F.struct(*(c for c in changes.columns if c != key)), F.struct("batch", "version", *then))
-    newest = changes.groupBy(key).agg(last.alias("_row")).select(key, "_row.*")
-    return current.join(keys, key, "left_anti").unionByName(newest.where("NOT deleted").select(*current.columns))
+    return changes.groupBy(key).agg(last.alias("_row")).select(key, "_row.*")
 
 
 def precedence_merge(sources: Sequence[DataFrame], keys: Sequence[str], group: Sequence[str]) -> DataFrame:

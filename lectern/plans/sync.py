@@ -121,9 +121,9 @@ class Sync:
         try:
             with scratch(self.spark):
                 table = self._rows(cfg, rows)
-                docs = snapshot.add_last(self._documents(cfg, table), part, spare=n + part)
+                docs = snapshot.add_last(self._documents(cfg, table), part, n + part, (cfg.db, cfg.table))
                 if (self.files and cfg.file_columns) or (cfg.db, cfg.table) in snapshot.known:
-                    snapshot.add(self._all_chunks(cfg, table, docs, before), 2 * n + part)
+                    snapshot.add(self._all_chunks(cfg, table, docs, before), 2 * n + part, (cfg.db, cfg.table))
         except Exception as exc:  # one failing table must not stop the others
             error = str(exc).split("\n")[0]
         return error, round((time.perf_counter() - start) * 1000, 2)
@@ -161,9 +161,9 @@ class Sync:
         gone = stale_documents(old, new)
         return new.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
 
-    def _append(self, batch: DataFrame) -> tuple[int, datetime | None]:
-        """Records written and the highest date among them."""
-        number = self.collection.append_changes(batch, compact_after=NEVER)
+    def _append(self, cfg: TableConfig, batch: DataFrame) -> tuple[int, datetime | None]:
+        """Records of a table written and the highest date among them."""
+        number = self.collection.append_changes(batch, compact_after=NEVER, table=(cfg.db, cfg.table))
         written = self.collection.changes(number - 1, number)
         if written is None:
             return 0, None
@@ -180,7 +180,7 @@ class Sync:
             mark, records, error = None, 0, None
             try:
                 with scratch(self.spark):
-                    records, mark = self._append(self._changes(cfg, self._rows(cfg, rows, marks.get(cfg.key))))
+                    records, mark = self._append(cfg, self._changes(cfg, self._rows(cfg, rows, marks.get(cfg.key))))
             except Exception as exc:  # one failing table must not stop the others
                 error = str(exc).split("\n")[0]
             results.append((cfg.key, mark, records, error, round((time.perf_counter() - start) * 1000, 2)))
@@ -204,7 +204,7 @@ class Sync:
             now = docs.unionByName(materialise(self._all_chunks(cfg, table, docs, before), "chunks"))
             gone = stale_documents(before.where(scope(cfg.db, cfg.table)), now).withColumn("deleted", F.lit(True))
             batch = now.withColumn("deleted", F.lit(False)).unionByName(gone.select(*COLUMNS, "deleted"))
-            records, mark = self._append(batch)
+            records, mark = self._append(cfg, batch)
         self._record("reindex", [(cfg.key, mark, records, None, round((time.perf_counter() - start) * 1000, 2))])
         return self.collection.read()
 

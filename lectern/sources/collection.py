@@ -26,7 +26,7 @@ from hashlib import md5
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from lectern.operators.merge import apply_changes, one_per_key
+from lectern.operators.merge import changed_parts, one_per_key
 from lectern.session import remove
 
 DOCUMENT_SCHEMA = ("doc_id string, doc_label string, pk_value string, text string, metadata map<string,string>, "
@@ -49,6 +49,14 @@ def _of(table: Table) -> Column:
     return F.col("source_db").eqNullSafe(F.lit(table[0])) & F.col("source_table").eqNullSafe(F.lit(table[1]))
 
 
+def _in_table(rows: DataFrame, table: Table | None) -> DataFrame:
+    """Rows that are known to belong to one table, with its names as constants: a task that writes them by table then
+    need not sort them, with their texts and vectors, first."""
+    if table is None:
+        return rows
+    return rows.withColumns({c: F.lit(name).cast("string") for c, name in zip(("source_db", "source_table"), table)})
+
+
 def _any(conditions: Iterable[Column]) -> Column:
     return reduce(Column.__or__, conditions, F.lit(False))
 
@@ -79,24 +87,24 @@ class Snapshot:
     def path(self) -> str:
         return f"{self.collection.root}/documents/folder={self.folder}"
 
-    def add(self, documents: DataFrame, part: int = 0) -> None:
-        """Documents with one row per key."""
-        documents.select(*COLUMNS).write.mode("overwrite").partitionBy("source_db", "source_table").parquet(f"{self.path}/part={part}")
+    def add(self, documents: DataFrame, part: int = 0, table: Table | None = None) -> None:
+        """Documents with one row per key; all of one table, if it is given."""
+        _in_table(documents, table).select(*COLUMNS).write.mode("overwrite").partitionBy("source_db", "source_table").parquet(f"{self.path}/part={part}")
 
     def _written(self, part: int) -> DataFrame:
         return self.collection.spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{self.path}/part={part}")
 
-    def add_last(self, documents: DataFrame, part: int, spare: int) -> DataFrame:
+    def add_last(self, documents: DataFrame, part: int, spare: int, table: Table | None = None) -> DataFrame:
         """The last row of each key, by version, then by text; returns what was written.
 
         The rows are computed and written once. Only where keys repeat among the written ones, they are read again and
         written to the ``spare`` part in place of ``part``.
         """
-        self.add(documents, part)
+        self.add(documents, part, table)
         written = self._written(part)
         if written.groupBy("doc_id").count().where("count > 1").isEmpty():
             return written
-        self.add(one_per_key(written), spare)
+        self.add(one_per_key(written), spare, table)
         remove(self.collection.spark, f"{self.path}/part={part}")
         return self._written(spare)
 
@@ -199,11 +207,12 @@ class Collection:
         return number
 
     def append_changes(self, documents: DataFrame, embed: Callable[[Column], Column] | None = None, unique: bool = False,
-                       writer: str = "", epoch: int = -1, compact_after: int = COMPACT_AFTER) -> int:
+                       writer: str = "", epoch: int = -1, compact_after: int = COMPACT_AFTER,
+                       table: Table | None = None) -> int:
         """One batch of changed documents; ``deleted`` marks removed ones. Returns its number.
 
         Rows are computed and written once, embedded when ``embed`` is given. Of a key's rows in the batch readers take the
-        last; ``unique`` says that there is only one. A batch whose ``writer`` and ``epoch``
+        last; ``unique`` says that there is only one, ``table`` that all rows are of this table. A batch whose ``writer`` and ``epoch``
         were written before overwrites itself, and one that a snapshot contains changes nothing.
         """
         rows = documents if "deleted" in documents.columns else documents.withColumn("deleted", F.lit(False))
@@ -211,7 +220,7 @@ class Collection:
             rows = rows.withColumn("embedding", embed(F.col("text")))
         name, place = (md5(writer.encode()).hexdigest(), epoch) if writer else (f"{ONCE}{uuid.uuid4().hex}", 0)
         number = self._number(name, place)
-        placed = rows.select(*COLUMNS, "deleted").withColumns(
+        placed = _in_table(rows, table).select(*COLUMNS, "deleted").withColumns(
             {"batch": F.lit(number).cast("bigint"), "writer": F.lit(name), "epoch": F.lit(place).cast("bigint")})
         (placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("source_db", "source_table", "writer", "epoch").parquet(f"{self.root}/changes"))
@@ -225,7 +234,10 @@ class Collection:
         snapshot = self.new_snapshot()
         tables = {(b["source_db"], b["source_table"]) for b in self._live()}
         if tables:
-            snapshot.add(self.read().where(_any(map(_of, tables))))
+            rows = self._parts()
+            # Each part is written by itself: of a union of parts it is not known that all rows belong to one table.
+            for part, (table, own) in enumerate((t, r) for t in sorted(tables, key=str) for r in rows):
+                snapshot.add(own.where(_of(table)), part, table)
             snapshot.finish(tables)
 
     def vacuum(self) -> None:
@@ -283,10 +295,13 @@ class Collection:
         rows = self._changes(self._live(), after, upto)
         return None if rows is None else rows.drop("writer")
 
-    def read(self, upto: int | None = None) -> DataFrame:
-        """Current documents: each table's last snapshot with all later changes applied."""
+    def _parts(self, upto: int | None = None) -> list[DataFrame]:
         newest = self._newest(self._heads())
         live = [b for b in self._batches() if not self._covered(b, newest)]
         log = self._changes(live, NO_BATCH, upto)
         current = self._snapshot(newest)
-        return current if log is None else apply_changes(current, log, then=("writer", "text")).select(*COLUMNS)
+        return [current] if log is None else [p.select(*COLUMNS) for p in changed_parts(current, log, then=("writer", "text"))]
+
+    def read(self, upto: int | None = None) -> DataFrame:
+        """Current documents: each table's last snapshot with all later changes applied."""
+        return reduce(DataFrame.unionByName, self._parts(upto))

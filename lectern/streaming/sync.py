@@ -46,7 +46,7 @@ def stream_changes(rows: DataFrame, cfg: TableConfig, collection: Collection, ch
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         docs = batch if event_order else build_documents(drop_sensitive(batch), cfg)
-        collection.append_changes(docs, embed, writer=checkpoint, epoch=batch_id)
+        collection.append_changes(docs, embed, writer=checkpoint, epoch=batch_id, table=(cfg.db, cfg.table))
 
     changes = last_events(rows, cfg, event_order) if event_order else rows
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -7,7 +7,7 @@ import os
 from itertools import permutations
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from lectern.config import TableConfig
 from lectern.operators.documents import build_documents
@@ -163,3 +163,43 @@ def test_events_in_any_order_of_their_files(spark, tmp_path, order):
         stream_changes(rows, CFG, store, str(tmp_path / "check"), event_order=("changed",)).awaitTermination()
     got = content(store)
     assert {k: got[k] for k in "123"} == {"1": "a5", "2": "tie y", "3": "no date"} and len(got) == 4
+
+
+def _plans(spark, run):
+    """Plans of what is written meanwhile, by their commands' text."""
+    seen = []
+    write = DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        seen.append((path, self._df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(self, path, *args, **kwargs)
+
+    DataFrameWriter.parquet = parquet
+    try:
+        run()
+    finally:
+        DataFrameWriter.parquet = write
+    return seen
+
+
+def test_compaction_writes_constants_as_table_names(spark, tmp_path):
+    """A task sorted all its documents by table before it wrote them, though they were of one table."""
+    store = Collection(spark, str(tmp_path / "c"))
+    store.write_snapshot(docs(spark, *((i, "old", 1) for i in range(5))))
+    store.append_changes(docs(spark, (1, "new", 1), (1, "newer", 2), (9, "new", 1)))
+    written = [plan for path, plan in _plans(spark, store.compact) if "/documents/" in path]
+    assert len(written) == 3
+    for plan in written:
+        top = plan.split("\n")[0]
+        assert plan.startswith("LocalRelation") or "AS source_table" in top, top
+    assert content(store) == {"0": "old", "1": "newer", "2": "old", "3": "old", "4": "old", "9": "new"}
+
+
+def test_changes_of_single_keys_are_not_aggregated(spark, tmp_path):
+    """Changes whose key occurs once went through a sorted aggregate of whole rows, vectors and all."""
+    store = Collection(spark, str(tmp_path / "c"))
+    store.write_snapshot(docs(spark, (1, "old", 1)))
+    store.append_changes(docs(spark, (1, "new", 1), (2, "new", 1)))
+    kept, once, several = store._parts()
+    assert "max_by" not in once.select("doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 0 and several.count() == 0 and once.count() == 2
