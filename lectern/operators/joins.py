@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lectern.functions import text as X
 from lectern.operators.prefilter import maybe_among
-from lectern.operators.skew import skewed_join
+from lectern.operators.skew import SMALL_KEYS, fits_broadcast, skewed_join
 from lectern.session import materialise
 
 CHUNK_MARK = ".chunk_"
@@ -29,6 +29,18 @@ def stale_documents(collection: DataFrame, source: DataFrame, key: str = "doc_id
     return collection.join(source.select(key), key, "left_anti")
 
 
+def lookup(docs: DataFrame, ids: DataFrame, key: str = "doc_id", small_ids: int = SMALL_KEYS) -> DataFrame:
+    """Documents with the ids of a list, in which ids may repeat.
+
+    Few ids are sent to every task. Beyond that, only documents that may be wanted are shuffled, and stream past the ids
+    of their partition: no task sorts texts.
+    """
+    wanted = ids.select(key).distinct()
+    if fits_broadcast(wanted, small_ids):
+        return docs.join(F.broadcast(wanted), key, "left_semi")
+    return maybe_among(docs, key, wanted).join(wanted.hint("shuffle_hash"), key, "left_semi")
+
+
 def overlay(base: DataFrame, patch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Non-empty patch values win; rows of either side stay, those of the patch alone as they are."""
     def filled(c: Column, dtype: T.DataType) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lectern.functions import text as X
 from lectern.operators import documents as D
+from lectern.operators.joins import lookup
 from lectern.operators.predicates import compile_where, scope
 from lectern.queries import testbed as B
 from lectern.queries.registry import (query, sql_clean, sql_generic, sql_hash_key, sql_html, sql_join,
@@ -359,7 +360,7 @@ def lookup_by_ids(spark, sf):
     rich = table(spark, sf, "orders").where("o_totalprice > 400000")
     ids = (table(spark, sf, "labels").select(F.concat(F.lit("corpus.documents."), "doc_id").alias("doc_id"))
            .unionByName(rich.select(F.concat(F.lit("shop.customer."), "o_custkey").alias("doc_id"))))
-    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "source_table", F.md5("text").alias("text_md5"))
+    return lookup(docs, ids).select("doc_id", "source_table", F.md5("text").alias("text_md5"))
 
 
 @query("file_refs_nonblank", """

@@ -251,3 +251,13 @@ def test_profile_rules(spark):
     pairs = {f["path_col"]: f["type_col"] for f in cfg["file_columns"]}
     assert pairs == {"spec_path": "spec_type", "attachment": "", "my_documents_list": ""}
     assert "password" not in [r["column_name"] for r in columns.collect()]
+
+
+def test_lookup_sorts_no_texts(spark):
+    """Ids too many to be sent to every task made each task sort the texts of its documents."""
+    docs = spark.createDataFrame([(f"d{i}", f"text {i}") for i in range(40)], "doc_id string, text string")
+    ids = spark.createDataFrame([("d1",), ("d1",), ("d7",), ("none",), (None,)], "doc_id string")
+    for bound in (0, 100):
+        found = J.lookup(docs, ids, small_ids=bound)
+        assert sorted(map(tuple, found.collect())) == [("d1", "text 1"), ("d7", "text 7")]
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
