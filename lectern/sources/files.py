@@ -18,6 +18,8 @@ from lectern.session import materialise
 
 #: Paths sent to every task at most; they are measured in bytes too.
 WANTED_PATHS = 500_000
+#: Splits of a scan of files that one task reads at most, and tasks for each core below which none are put together.
+SPLITS, TASKS_PER_CORE = 16, 3
 
 
 def file_refs(df: DataFrame, cfg: TableConfig) -> DataFrame:
@@ -191,8 +193,16 @@ class Extractors:
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder as ``(path, length, content)``; the content is read only when used."""
+    """Files below a folder as ``(path, length, content)``; the content is read only when used.
+
+    Spark counts every file as 4 MB at least, so that tasks of 32 small files come about, each with a start, and with an
+    output file where it writes, of its own. Neighbouring ones are put together, never to fewer than the cores keep busy.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    splits = files.rdd.getNumPartitions()
+    tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-splits // SPLITS))
+    if tasks < splits:
+        files = files.coalesce(tasks)
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", "content")
 
 

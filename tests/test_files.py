@@ -90,3 +90,13 @@ def test_texts_of_a_file_do_not_carry_all_of_them(spark):
     generate = next(line for line in plan.split("\n") if "Generate posexplode(" in line)
     carried = generate.split("], ")[0].split(", [")[1]
     assert "parts#" in carried and "texts#" not in carried
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    n = 2_000
+    for i in range(n):
+        (tmp_path / f"{i}.txt").write_text(f"file {i}")
+    files = S.scan_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() <= S.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    found = {r["path"].rpartition("/")[2]: (r["length"], bytes(r["content"])) for r in files.collect()}
+    assert found == {f"{i}.txt": (len(f"file {i}"), f"file {i}".encode()) for i in range(n)}
