@@ -25,6 +25,8 @@ from lectern.session import scratch_path
 
 BLOCK = 256
 SEGMENT_IDS = 1 << 20
+#: Ids packed in one go: their arrays stay in a core's cache.
+PACKED_IDS = 1 << 16
 #: Ranges of ids per shuffle partition.
 RANGES = 4
 SEGMENTS = ("part int, seq int, ids_before long, n_ids long, doc_ids array<bigint>, counts binary, checkpoints binary, "
@@ -177,7 +179,7 @@ def write(docs: DataFrame, path: str, out: str, end: int | None = None, max_bits
     """Write the ids of all documents below ``out``, in ascending order of ``key``."""
     spark = docs.sparkSession
     dtype = _id_type(path)
-    tokens = stored(tokenise(docs, path, end, text, key), "ids")
+    tokens = stored(tokenise(docs, path, end, text, key), "ids", "snappy")
     found = count_ids(tokens, dtype)
     counts = np.zeros(max(found, default=0) + 1, np.int64)
     for i, n in found.items():
@@ -194,7 +196,7 @@ def write(docs: DataFrame, path: str, out: str, end: int | None = None, max_bits
             first = 0
             while first < len(raw):
                 last, size = first, 0
-                while last < len(raw) and (last == first or size + len(raw[last]) <= 2 * SEGMENT_IDS):
+                while last < len(raw) and (last == first or size + len(raw[last]) <= PACKED_IDS * dtype.itemsize):
                     size += len(raw[last])
                     last += 1
                 sizes = np.array([len(x) // dtype.itemsize for x in raw[first:last]], np.int64)

@@ -90,17 +90,16 @@ class ChunkEncoder:
         done = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [array("H" if self.dtype.itemsize == 2 else "I", x.ids).tobytes() for x in done]
 
-    def _together(self, group: list[str], text: str, bounds) -> dict[str, bytes]:
-        """Ids of parts that are encoded as one text; ``bounds`` finds where each begins and ends among its ids."""
+    def _together(self, group: list[str], text: str, bounds) -> zip[tuple[str, bytes]]:
+        """Parts that are encoded as one text, with their ids; ``bounds`` finds where each begins and ends among its ids."""
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
         raw, w = ids.tobytes(), self.dtype.itemsize
         begins, ends = bounds(ids)
         found = [raw[a:b] for a, b in zip((begins * w).tolist(), (ends * w).tolist(), strict=True)]
-        return dict(zip(group, found, strict=True))
+        return zip(group, found, strict=True)
 
-    def _sure(self, new: list[str]) -> dict[str, bytes]:
-        """Words of letters; in a byte-level vocabulary any parts."""
-        out: dict[str, bytes] = {}
+    def _sure(self, new: list[str], out: dict[str, bytes]) -> None:
+        """Adds words of letters; in a byte-level vocabulary any parts."""
         for at in range(0, len(new), TOGETHER):
             group = new[at : at + TOGETHER]
             if self.ends is not None:
@@ -114,10 +113,8 @@ class ChunkEncoder:
                     ends = np.searchsorted(np.cumsum(self.lengths[ids]), goal) + 1
                     return np.concatenate([[0], ends[:-1]]), ends
             out.update(self._together(group, " " + " ".join(group), bounds))
-        return out
 
-    def _marked(self, new: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
+    def _marked(self, new: list[str], out: dict[str, bytes]) -> None:
         cut = len(self.mark)
 
         def bounds(ids):
@@ -127,29 +124,31 @@ class ChunkEncoder:
         for at in range(0, len(new), TOGETHER):
             group = new[at : at + TOGETHER]
             out.update(self._together(group, "".join(f" {c} {MARK}" for c in group), bounds))
-        return out
 
-    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
-        """Ids of parts that are not odd, each with the blank before it."""
-        words, tailed, others = set(), {}, []
+    def _learn(self, new: Iterable[str], out: dict[str, bytes]) -> None:
+        """Adds the ids of different parts that are not odd, each with the blank before it."""
+        words, tailed, others = [], {}, []
         for c in new:
-            if word(c):
-                words.add(c)
+            # The test of ``word``, without a call for each part.
+            if c.isalpha() and (c.isascii() or max(c) < SAFE):
+                words.append(c)
             elif self.splits and c[-1] in TAILS and word(base := c.rstrip(TAILS)) and len(c) - len(base) <= TAIL:
                 tailed[c] = base
             else:
                 others.append(c)
-        bases = set(tailed.values()) - words
-        out = {c: ids for c in bases if (ids := self.rest.get(c) or self.before.get(c)) is not None}
-        words |= bases.difference(out)
+        if tailed:
+            bases = set(tailed.values()).difference(words)
+            known = {c: ids for c in bases if (ids := self.rest.get(c) or self.before.get(c)) is not None}
+            words += bases.difference(known)
+            out.update(known)
         if self.lengths is not None:
-            out.update(self._sure([*words, *others]))
+            self._sure([*words, *others], out)
         elif self.ends is not None:
-            out.update(self._sure(list(words)))
-            out.update(self._marked([c for c in others if MARK not in c]))
+            self._sure(words, out)
+            self._marked([c for c in others if MARK not in c], out)
         else:
             others += words
-            out.update(self._marked([c for c in others if MARK not in c]))
+            self._marked([c for c in others if MARK not in c], out)
         alone = [c for c in others if MARK in c and c not in out]
         out.update(zip(alone, self._plain([f" {c}" for c in alone]), strict=True))
         if len(self.tails) > 10_000:
@@ -159,12 +158,12 @@ class ChunkEncoder:
             if tail not in self.tails:
                 self.tails[tail] = self._plain([tail])[0]
             out[c] = out[base] + self.tails[tail]
-        return out
 
     def _keep(self, where: dict[str, bytes], new: dict[str, bytes]) -> None:
-        short = {c: ids for c, ids in new.items() if len(c) <= LONGEST}
-        where.update(short)
-        self.size += ENTRY * len(short)
+        if max(map(len, new), default=0) > LONGEST:
+            new = {c: ids for c, ids in new.items() if len(c) <= LONGEST}
+        where.update(new)
+        self.size += ENTRY * len(new)
 
     def _found(self, wanted: list[str]) -> list[bytes | None]:
         """Ids of different parts with the blank before each; None for odd ones: empty, or with white space at an end that counts."""
@@ -175,8 +174,8 @@ class ChunkEncoder:
         else:  # stripping leaves what is not odd as it is
             missing = [c for k in gaps if (c := wanted[k]) and c.strip() == c]
         before = self.before
-        new = {c: before[c] for c in missing if c in before}
-        new.update(self._learn([c for c in missing if c not in before] if new else missing))
+        new = {c: before[c] for c in missing if c in before} if before else {}
+        self._learn([c for c in missing if c not in new] if new else missing, new)
         self._keep(self.rest, new)
         for k in gaps:
             found[k] = new.get(wanted[k])
@@ -207,30 +206,32 @@ class ChunkEncoder:
         own = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         lists = pc.split_pattern(pc.replace_substring(own, "\n", " ") if self.collapses else own, " ")
         coded = lists.flatten().dictionary_encode()
-        codes, dictionary = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
-        begins = lists.offsets.to_numpy()
+        codes, begins = coded.indices.to_numpy(), lists.offsets.to_numpy()
         heads = [b""] * len(own)
-        if not self.collapses:
+        dictionary = coded.dictionary.to_numpy(zero_copy_only=False)
+        if self.collapses:  # first parts are like the others, and none is odd
+            last, found = begins[1:], self._found(dictionary.tolist())
+        else:
             first = np.zeros(len(codes), bool)
             first[begins[:-1]] = True
             heads = self._first(dictionary[codes[first]].tolist())
             codes, begins = codes[~first], begins - np.arange(len(begins))
-        last = begins[1:]
-        used = np.zeros(len(dictionary), bool)
-        used[codes] = True
-        wanted = np.flatnonzero(used)
-        found = self._found(dictionary[wanted].tolist())
-        slot = np.zeros(len(dictionary), np.int32)
-        slot[wanted] = np.arange(len(wanted), dtype=np.int32)
-        codes = slot[codes]
+            last = begins[1:]
+            used = np.zeros(len(dictionary), bool)
+            used[codes] = True
+            wanted = np.flatnonzero(used)
+            found = self._found(dictionary[wanted].tolist())
+            slot = np.zeros(len(dictionary), np.int32)
+            slot[wanted] = np.arange(len(wanted), dtype=np.int32)
+            codes = slot[codes]
         # Taking binary values by code lays the ids of all texts out one after the other.
         taken = pa.array(found, pa.large_binary()).fill_null(b"").take(pa.array(codes))
         ends = np.frombuffer(taken.buffers()[1], np.int64)[np.concatenate([[0], last])].tolist()
         raw = taken.buffers()[2]
         raw = memoryview(raw) if raw else b""
         out = [h + bytes(raw[a:b]) for h, a, b in zip(heads, ends, ends[1:])]
-        strange = np.fromiter((ids is None for ids in found), bool, len(found))
-        if strange.any() and not self.collapses:
+        if not self.collapses and None in found:
+            strange = np.fromiter((ids is None for ids in found), bool, len(found))
             for i in np.unique(np.searchsorted(last, np.flatnonzero(strange[codes]), side="right")).tolist():
                 out[i] = self._spaced(own[i].as_py())
         return out

@@ -89,6 +89,18 @@ def test_files(spark, odd_docs):
     assert keys == sorted(keys)
 
 
+def test_packed_in_short_runs(spark, odd_docs, monkeypatch):
+    """Many runs of few ids give the bits of one run."""
+    found = []
+    for ids in (4, huffman.PACKED_IDS):
+        monkeypatch.setattr(huffman, "PACKED_IDS", ids)
+        out = huffman.output_folder(spark)
+        huffman.write(odd_docs, WORD, out, end=2)
+        found.append(sorted((r["doc_ids"][0] or 0, bytes(r["counts"]), bytes(r["checkpoints"]), bytes(r["bits"]))
+                            for r in spark.read.parquet(f"{out}/segments").collect()))
+    assert found[0] == found[1]
+
+
 def test_no_files(spark, no_docs):
     out = huffman.output_folder(spark)
     huffman.write(no_docs, WORD, out, end=2)
