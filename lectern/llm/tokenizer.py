@@ -8,7 +8,8 @@ arrays. New parts are encoded many at a time; their ids are told apart by
 token lengths in byte-level vocabularies, by word ends where the vocabulary marks
 these, else by a mark between the parts. Marks at the end of a word of letters are a
 token group of their own in both kinds of vocabulary, so such a part is its word's ids and the marks'.
-A vocabulary that turns any white space into one blank, and drops that, is cut at line ends too.
+A vocabulary that turns any white space into one blank, and drops that, is cut at line ends too;
+where it also lower-cases, parts are lower-cased and cut off their marks as arrays before they are looked up.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ CACHE, ENTRY, LONGEST = 96 << 20, 220, 64
 TAILS, TAIL = ".,!?;:#$%&*", 8
 #: Letters before this one are the same in all versions of Unicode, and lower-case to one letter.
 SAFE = "İ"
+LETTERS = "".join(c for c in map(chr, range(ord(SAFE))) if c.isalpha())
 _OTHER = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_UNSAFE = f"[^\\x{{0}}-\\x{{{ord(SAFE) - 1:X}}}]"
 
 
 def parts(text: str) -> list[str]:
@@ -84,7 +87,11 @@ class ChunkEncoder:
         self.tails: dict[str, bytes] = {}
         rules = said["normalizer"] or {}
         blank = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
-        self.collapses = bool(suffix) and blank in rules.get("normalizers", [rules])
+        steps = rules.get("normalizers", [rules])
+        self.collapses = bool(suffix) and blank in steps
+        lower = {"type": "Lowercase"}
+        self.lowers = (lower in steps and all(x in ({"type": "NFC"}, blank, lower) for x in steps)
+                       and all(x["special"] for x in said["added_tokens"]))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         done = self.model.encode_batch_fast(texts, add_special_tokens=False)
@@ -181,6 +188,22 @@ class ChunkEncoder:
             found[k] = new.get(wanted[k])
         return found
 
+    def _folded(self, dictionary: pa.Array) -> pa.Array:
+        """Ids of different parts with the blank before each (empty parts: none), where no part is odd."""
+        low = dictionary
+        if self.lowers:  # safe characters have one lower case each, and no accent of their own to be joined with
+            low = pc.if_else(pc.match_substring_regex(low, _UNSAFE), low, pc.utf8_lower(low))
+        marks = pc.utf8_ltrim(low, characters=LETTERS)
+        n = pc.binary_length(marks)
+        tailed = pc.and_(pc.equal(pc.ascii_ltrim(marks, characters=TAILS), ""),
+                         pc.and_(pc.less_equal(n, TAIL), pc.less(n, pc.binary_length(low))))
+        base = pc.if_else(tailed, pc.ascii_rtrim(low, characters=TAILS), low).dictionary_encode()
+        tail = pc.if_else(tailed, marks, "").dictionary_encode()
+        found = self._found(base.dictionary.to_numpy(zero_copy_only=False).tolist())
+        bases = pa.array(found, pa.large_binary()).fill_null(b"").take(base.indices)
+        tails = pa.array(self._plain(tail.dictionary.to_pylist()), pa.large_binary()).take(tail.indices)
+        return pc.binary_join_element_wise(bases, tails, pa.scalar(b"", pa.large_binary()))
+
     def _first(self, wanted: list[str]) -> list[bytes]:
         """Ids of the first parts of texts."""
         missing = [c for c in dict.fromkeys(wanted) if c not in self.heads]
@@ -208,10 +231,10 @@ class ChunkEncoder:
         coded = lists.flatten().dictionary_encode()
         codes, begins = coded.indices.to_numpy(), lists.offsets.to_numpy()
         heads = [b""] * len(own)
-        dictionary = coded.dictionary.to_numpy(zero_copy_only=False)
         if self.collapses:  # first parts are like the others, and none is odd
-            last, found = begins[1:], self._found(dictionary.tolist())
+            last, known = begins[1:], self._folded(coded.dictionary)
         else:
+            dictionary = coded.dictionary.to_numpy(zero_copy_only=False)
             first = np.zeros(len(codes), bool)
             first[begins[:-1]] = True
             heads = self._first(dictionary[codes[first]].tolist())
@@ -224,8 +247,9 @@ class ChunkEncoder:
             slot = np.zeros(len(dictionary), np.int32)
             slot[wanted] = np.arange(len(wanted), dtype=np.int32)
             codes = slot[codes]
+            known = pa.array(found, pa.large_binary()).fill_null(b"")
         # Taking binary values by code lays the ids of all texts out one after the other.
-        taken = pa.array(found, pa.large_binary()).fill_null(b"").take(pa.array(codes))
+        taken = known.take(pa.array(codes))
         ends = np.frombuffer(taken.buffers()[1], np.int64)[np.concatenate([[0], last])].tolist()
         raw = taken.buffers()[2]
         raw = memoryview(raw) if raw else b""

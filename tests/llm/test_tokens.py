@@ -8,6 +8,7 @@ from itertools import pairwise
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -41,6 +42,32 @@ def test_parts_join(path):
     check()
 
 
+def test_words_are_learned_once():
+    """Capitals and marks at its end make no new word."""
+    own, want = ChunkEncoder(WORD), plain(WORD)
+    texts = ["Éclair", "the éclair, THE", "The ÉCLAIR!? the... éclair."]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == [want(t) for t in texts]
+    assert sorted(own.rest) == ["the", "éclair"]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_capitals_join(path):
+    """Also letters that an accent after them changes in one case only, and those with more than one lower case."""
+    own, want = ChunkEncoder(path, 50), plain(path)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.text("aAjJHIiÉéßẞİıΣσK×µĮ\u030c\u0307\u0331.,!' \n\x00", max_size=20), max_size=6))
+    def check(texts):
+        assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == [want(t) for t in texts]
+        arrays = pa.array(texts, pa.string())
+        assert own.encode(arrays) == own.encode(texts)
+
+    check()
+    for text in ("The" + "." * 8, "The" + "." * 9, "É" + ".,!?;:#$%&*" * 3, "J\u030c", "j\u030c, J\u030c,", "I\u0307.",
+                 "<|STARTOFTEXT|>", "<|startoftext|>"):
+        assert np.frombuffer(own.encode([f"a {text} b"])[0], own.dtype).tolist() == want(f"a {text} b")
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 500), min_size=1, max_size=60), st.integers(7, 12))
 def test_code_lengths(counts, limit):
