@@ -186,7 +186,7 @@ def build_subset(spark, sf):
 
 def _page_files(spark, sf):
     """Pages as files below the shared folder, with references that name them in several ways."""
-    root = scratch_path(spark, "files")
+    root = S.plain_path(scratch_path(spark, "files"))
     pages = widen(table(spark, sf, "pages"), "page_id").select(
         "page_id", F.concat("page_id", F.when(F.col("page_id") % 2 == 0, ".html").otherwise(".dat")).alias("name"),
         F.encode("html", "UTF-8").alias("content"))
@@ -315,7 +315,7 @@ UNION ALL SELECT 'corpus.pages.' || page_id, md5({sql_generic("Page", [("url", "
 def sync_files(spark, sf):
     """Chunks through a build, an incremental sync that moves files to other records, a re-index without some records,
     and a rescan."""
-    root = scratch_path(spark, "files")
+    root = S.plain_path(scratch_path(spark, "files"))
     pages = widen(table(spark, sf, "pages"), "page_id")
     named = pages.select("page_id", F.concat("page_id", F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content"))
     S.write_files(named, root, "name", "content").agg(F.sum("length")).collect()

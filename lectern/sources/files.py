@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.config import TableConfig
@@ -20,6 +24,8 @@ from lectern.session import materialise
 WANTED_PATHS = 500_000
 #: Splits of a scan of files that one task reads at most, and tasks for each core below which none are put together.
 SPLITS, TASKS_PER_CORE = 16, 3
+#: Files and bytes of files that a task opens, about; names that a listing and bytes that a reader hand on at once.
+TASK_FILES, TASK_BYTES, NAMES_AT_ONCE, BYTES_AT_ONCE = 4096, 64 << 20, 4096, 4 << 20
 
 
 def file_refs(df: DataFrame, cfg: TableConfig) -> DataFrame:
@@ -192,12 +198,123 @@ class Extractors:
 # ---- files -------------------------------------------------------------------
 
 
+def plain_path(path: str) -> str:
+    """A path as ``scan_files`` shows it: a local one without a scheme."""
+    return re.sub("^file:/+", "/", path)
+
+
+def _uri(spark: SparkSession, root: str) -> tuple[str, str, bool]:
+    """A folder as a URI and as a path for people, both with its file system, and whether it is there as a folder. One
+    without a scheme belongs to the session's default file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = system.makeQualified(place)
+    uri = str(full.toUri())
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = f"file://{uri.removeprefix('file:')}"
+    return uri, full.toString(), system.exists(place) and system.getFileStatus(place).isDirectory()
+
+
+def _left_out(name: str, length: int | None) -> bool:
+    """What Spark's readers leave out: empty files, and hidden files and folders."""
+    hidden = name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_")
+    if length is None:
+        return hidden and not name.startswith(("_common_metadata", "_metadata"))
+    return hidden or length == 0
+
+
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, str, int | None]]:
+    """Name, path and length of what is in a folder; a folder in it has no length. Local ones are read as a stream."""
+    if not isinstance(system, fs.LocalFileSystem):
+        for found in system.get_file_info(fs.FileSelector(folder)):
+            yield found.base_name, found.path, None if found.type == fs.FileType.Directory else found.size
+        return
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            try:
+                entry.name.encode()
+                yield entry.name, entry.path, None if entry.is_dir() else entry.stat().st_size
+            except (FileNotFoundError, UnicodeEncodeError):  # gone meanwhile, or a name that is no text
+                continue
+
+
+def _list_files(spark: SparkSession, uri: str, base: str) -> DataFrame:
+    """``(path, length)`` of the files below a folder, in its file system's own paths. Folders are listed by tasks, those
+    of one depth side by side, and what is found is written down: the driver sees the number of folders only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(uri)
+
+        def batch(rows: list[tuple[str, int | None]]) -> pa.RecordBatch:
+            paths, sizes = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "length"])
+
+        for folders in batches:
+            for folder in folders.column(0).to_pylist():
+                rows = []
+                for name, path, length in _entries(system, folder):
+                    if not _left_out(name, length):
+                        rows.append((path, length))
+                    if len(rows) == NAMES_AT_ONCE:
+                        yield batch(rows)
+                        rows = []
+                if rows:
+                    yield batch(rows)
+
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    levels, folders = [], spark.createDataFrame([(base,)], "path string").coalesce(1)
+    while True:
+        found = materialise(folders.mapInArrow(run, "path string, length bigint").repartition(tasks, "path"), "listing")
+        levels.append(found.where("length IS NOT NULL"))
+        below = found.where("length IS NULL").select("path")
+        n = below.count()
+        if not n:
+            return reduce(DataFrame.unionByName, levels)
+        folders = below.repartition(min(n, tasks), "path")
+
+
+def _read_files(uri: str, path: Column) -> Column:
+    """The bytes of each file. Few are held at once, whatever the number of paths in a batch."""
+    @F.arrow_udf("binary")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        system, _ = fs.FileSystem.from_uri(uri)
+        for paths in batches:
+            held, size = [], 0
+            for p in paths.to_pylist():
+                with system.open_input_file(p) as file:
+                    held.append(file.read())
+                size += len(held[-1])
+                if size >= BYTES_AT_ONCE:
+                    yield pa.array(held, pa.binary())
+                    held, size = [], 0
+            yield pa.array(held, pa.binary())
+
+    return read(path)
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """Files below a folder as ``(path, length, content)``; the content is read only when used.
 
-    Spark counts every file as 4 MB at least, so that tasks of 32 small files come about, each with a start, and with an
-    output file where it writes, of its own. Neighbouring ones are put together, never to fewer than the cores keep busy.
+    Tasks list the folder and open its files, in about as many tasks as bytes and files ask for. Spark's own reader of
+    files holds the status of each of them on the driver, and once more for each scan. It still reads patterns, single
+    files and stores that pyarrow cannot open; there, neighbouring splits are put together, never to fewer than the
+    cores keep busy, as Spark counts every file as 4 MB at least.
     """
+    uri, full, is_folder = _uri(spark, root)
+    try:
+        base = fs.FileSystem.from_uri(uri)[1].rstrip("/") if is_folder else ""
+    except (pa.ArrowException, OSError):
+        base = ""
+    if not base or not full.endswith(base):
+        return _scan_by_spark(spark, root)
+    place = "" if full.startswith("file:") else full.removesuffix(base)
+    files = _list_files(spark, uri, base)
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(min(n, TASKS_PER_CORE * spark.sparkContext.defaultParallelism), -(-n // TASK_FILES), -(-size // TASK_BYTES), 1)
+    return files.repartition(tasks, "path").select(
+        F.concat(F.lit(place), "path").alias("path"), "length", _read_files(uri, F.col("path")).alias("content"))
+
+
+def _scan_by_spark(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     splits = files.rdd.getNumPartitions()
     tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-splits // SPLITS))
@@ -271,15 +388,9 @@ def write_files(df: DataFrame, root: str, name: str, content: str) -> DataFrame:
     repeated task writes the same file again. A path without a scheme belongs
     to the session's default file system, as it does for ``scan_files``.
     """
-    spark = df.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    target = str(place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri())
-    if target.startswith("file:/") and not target.startswith("file://"):
-        target = f"file://{target.removeprefix('file:')}"
+    target, _, _ = _uri(df.sparkSession, root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         system, base = fs.FileSystem.from_uri(target)
         system.create_dir(base, recursive=True)
         for batch in batches:

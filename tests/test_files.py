@@ -6,10 +6,13 @@ import csv
 import io
 from itertools import zip_longest
 
+import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lectern.operators import chunks as C
+from lectern.queries import syncing
 from lectern.sources import files as S
 
 
@@ -100,3 +103,50 @@ def test_small_files_share_tasks(spark, tmp_path):
     assert files.rdd.getNumPartitions() <= S.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
     found = {r["path"].rpartition("/")[2]: (r["length"], bytes(r["content"])) for r in files.collect()}
     assert found == {f"{i}.txt": (len(f"file {i}"), f"file {i}".encode()) for i in range(n)}
+
+
+def found_files(files):
+    return {r["path"]: (r["length"], bytes(r["content"])) for r in files.collect()}
+
+
+def test_driver_holds_no_list_of_files(spark, tmp_path):
+    """Spark's reader of files kept every file's status on the driver, and its name once more in each scan."""
+    for i in range(500):
+        (tmp_path / f"{i}.txt").write_text(f"file {i}")
+    files = S.scan_files(spark, str(tmp_path))
+    assert len(files.inputFiles()) <= S.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    plan = files.select("path", "length")._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "EvalPython" not in plan  # nor is any file opened for its name
+    twice = files.where(F.length("content") > 6).select(F.md5("content"), F.length("content"))
+    assert twice._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2
+
+
+def test_scan_finds_what_sparks_reader_finds(spark, tmp_path):
+    """Folders of several depths, odd and hidden names, links, empty and large files, and a folder named by a URI."""
+    root = tmp_path / "a b%20#c"
+    for name, data in (("x.txt", b"x"), ("empty.txt", b""), ("d/e/f/deep er.txt", "é".encode()), ("d/100%.txt", b"%"), ("d/k=1/y.txt", b"y"),
+                       ("_hidden/z.txt", b"z"), (".dot/z.txt", b"z"), ("d/_z.txt", b"z"), ("d/.z.txt", b"z"), ("d/_k=1/z.txt", b"z"),
+                       ("_metadata", b"m"), ("_metadata_of/m.txt", b"m"), ("d/z._COPYING_", b"z"), *((f"d/large{i}.bin", bytes([i]) * (3 << 20)) for i in range(6))):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    (root / "none").mkdir()
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "elsewhere" / "linked.txt").write_text("linked")
+    (root / "link").symlink_to(tmp_path / "elsewhere")
+    (root / "broken").symlink_to(tmp_path / "nothing")
+    want = found_files(S._scan_by_spark(spark, str(root)))
+    assert f"{root}/d/e/f/deep er.txt" in want and f"{root}/link/linked.txt" in want and len(want) == 13
+    assert found_files(S.scan_files(spark, str(root))) == want
+    assert found_files(S.scan_files(spark, f"file://{root}/")) == want
+    assert sorted(S._entries(S.fs.SubTreeFileSystem("/", S.fs.LocalFileSystem()), f"{root}/d/e")) == [("f", f"{root}/d/e/f".lstrip("/"), None)]
+    assert S.scan_files(spark, str(root / "none")).count() == 0
+    assert found_files(S.scan_files(spark, f"{tmp_path}/else*")) == {f"{tmp_path}/elsewhere/linked.txt": (6, b"linked")}
+    with pytest.raises(AnalysisException):
+        S.scan_files(spark, str(root / "missing"))
+
+
+def test_files_below_a_folder_named_by_a_uri(spark, sf, tmp_path, monkeypatch):
+    """References and found files met in no path where the shared folder was given as a URI, so that no file had a text."""
+    monkeypatch.setattr(syncing, "scratch_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").count()
+    assert syncing.file_scan_text(spark, sf).where("text_md5 IS NOT NULL").count() == pages
